@@ -10,7 +10,9 @@ Candidates pass an estimate by their tokens, five standard errors below the limi
 
 Large groups of copies never part, so they are linked first: each document with the best of the pivots that its nodes have,
 which is linear. Nodes whose documents are then all in one component need no more; in the others only pairs across
-components are compared. That loses no link between components, so the components are exact up to the recall of the trees.
+components are compared. Nodes give of their candidates only what connects documents; the components of these are clusters
+that hold all candidates, and within a cluster all full sets are compared across components, in blocks. No step makes a row
+for each pair, and no link between components is lost, so the components are exact up to the recall of the trees.
 
 Cases: null and empty texts and texts without words have no shingles and are linked with nothing; rows with null ids take no
 part, keep a null component and are kept; rows that share an id share a component; an empty table gives no rows. Columns of
@@ -22,7 +24,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -158,27 +159,86 @@ def _estimated(pairs: DataFrame, reps: DataFrame, least: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, same long")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full sets are similar."""
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("data")).filter("data is not null")
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for a, b, x, y in columns_of(batches, "a", "b", "x", "y"):
-            keep = [i for i in range(len(a)) if similar(np.frombuffer(x[i], np.uint64), np.frombuffer(y[i], np.uint64), percent)]
-            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], ["a", "b"])
 
-    one = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
-    two = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
-    return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long").distinct()
+def _keyed_sets(docs: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """The sets of the wanted documents, each row with its long keys, rows of equal keys next to each other in order of keys."""
+    names = ["doc_id", *keys]
 
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple = (None, b"")
+        for data, *rest in columns_of(batches, "data", *names):
+            for low in range(0, len(data), 512):
+                made = []
+                for x in data[low : low + 512]:
+                    if x is not last[0]:
+                        last = (x, shingle_set(x).tobytes())
+                    made.append(last[1])
+                yield pa.RecordBatch.from_arrays([*(pa.array(c[low : low + 512], pa.int64()) for c in rest), pa.array(made, pa.binary())], [*names, "shingles"])
+
+    sets = _texts(docs).join(wanted, "doc_id").select("data", *names).mapInArrow(look, ", ".join(f"{n} long" for n in names) + ", shingles binary")
+    return sets.repartition(*keys[:-1]).sortWithinPartitions(*keys)
+
+
+def _pivots_confirmed(best: DataFrame, docs: DataFrame, percent: int, share: int = 1024) -> DataFrame:
+    """The pairs (a, b), one for each b, whose full sets are similar; the documents of a pivot are dealt to parts of about `share`,
+    each with the pivot's own set first."""
+    sized = best.join(best.groupBy("a").agg(F.ceil(F.count("*") / share).alias("ways")), "a")
+    others = sized.select(F.col("b").alias("doc_id"), "a", F.pmod(F.xxhash64("b"), "ways").alias("part"), F.lit(1).cast("long").alias("turn"))
+    firsts = sized.groupBy("a").agg(F.max("ways").alias("ways")).select(F.col("a").alias("doc_id"), "a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ways") - 1)).alias("part"), F.lit(0).cast("long").alias("turn"))
 
-def _across(docs: list, comps: list, tokens: list, least: int) -> list[tuple[int, int]]:
-    """Pairs of a small node in different components that share so many tokens."""
-    matrix = _matrix(tokens)
-    comp, ids, found = np.asarray(comps), np.asarray(docs), []
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivots, at = [], None  # rows that share the pivot's id each count
+        for ids, a, part, turn, data in columns_of(batches, "doc_id", "a", "part", "turn", "shingles"):
+            found = []
+            for i, p, q, t, x in zip(ids, a, part, turn, data, strict=True):
+                if (p, q) != at:
+                    pivots, at = [], (p, q)
+                own = np.frombuffer(x, np.uint64)
+                if t == 0:
+                    pivots.append(own)
+                elif any(similar(v, own, percent) for v in pivots):
+                    found.append((p, i))
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return _keyed_sets(docs, others.union(firsts), ["a", "part", "turn"]).mapInArrow(check, "a long, b long")
+
+
+def _forest(one: np.ndarray, two: np.ndarray, labels: list) -> list[tuple[int, int]]:
+    """Of the pairs of positions, those that connect labels not yet connected."""
+    root: dict = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    kept = []
+    for i, j in zip(one.tolist(), two.tolist(), strict=True):
+        x, y = find(labels[i]), find(labels[j])
+        if x != y:
+            root[x] = y
+            kept.append((i, j))
+    return kept
+
+
+def _likely_pairs(docs: list, comps: list, tokens: list, least: int) -> list[tuple[int, int]]:
+    """Pairs of a node's documents that share so many tokens, across components, as far as they connect documents anew."""
+    matrix, comp, ids = _matrix(tokens), np.asarray(comps), np.asarray(docs)
+    one, two = [], []
     for i in range(len(ids) - 1):
         near = np.flatnonzero(((matrix[i + 1 :] == matrix[i]).sum(1) >= least) & (comp[i + 1 :] != comp[i]) & (ids[i + 1 :] != ids[i])) + i + 1
-        found += [(min(ids[i], ids[j]), max(ids[i], ids[j])) for j in near]
-    return found
+        one.append(np.full(len(near), i))
+        two.append(near)
+    if not one:
+        return []
+    return [(docs[i], docs[j]) for i, j in _forest(np.concatenate(one), np.concatenate(two), docs)]
+
+
+def _pair_batch(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
 def _leaf_pairs(leaves: DataFrame, least: int) -> DataFrame:
@@ -186,40 +246,82 @@ def _leaf_pairs(leaves: DataFrame, least: int) -> DataFrame:
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (nodes,) in columns_of(batches, "node"):
-            found = [p for n in nodes for p in _across([x["doc_id"] for x in n], [x["comp"] for x in n], [x["tokens"] for x in n], least)]
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+            yield _pair_batch([p for n in nodes for p in _likely_pairs([x["doc_id"] for x in n], [x["comp"] for x in n], [x["tokens"] for x in n], least)])
 
     nodes = leaves.groupBy("path").agg(F.collect_list(F.struct("doc_id", "comp", "tokens")).alias("node"))
     return nodes.select("node").mapInArrow(compare, "a long, b long")
 
 
-def _block_pairs(rows: DataFrame, least: int, block: int = 256) -> DataFrame:
-    """Candidates of nodes that stayed large: documents go to blocks by component, or by hash if theirs is small, and pairs of
-    blocks are compared unless both hold the same component alone."""
-    sized = rows.join(rows.groupBy("path", "comp").agg(F.count("*").alias("__c")), ["path", "comp"])
-    alone = F.col("__c") >= block
-    small = sized.filter(~alone).groupBy("path").agg(F.count("*").alias("__rest"))
-    ways = F.ceil(F.when(alone, F.col("__c")).otherwise(F.col("__rest")) / block)
-    own = F.when(alone, F.col("comp"))
-    blocked = sized.join(small, "path", "left").withColumn("pure", own).withColumn("block", F.xxhash64(own, F.pmod(F.xxhash64("doc_id"), ways)))
-    kinds = blocked.groupBy("path", "block").agg(F.first("pure").alias("pure"))
-    left = kinds.select("path", F.col("block").alias("one"), F.col("pure").alias("p"))
-    right = kinds.select("path", F.col("block").alias("two"), F.col("pure").alias("q"))
-    meets = left.join(right, "path").filter("one <= two and not coalesce(p = q, false)").select("path", "one", "two")
-    sides = ["path", "one", "two", "doc_id", "comp", "tokens"]
-    first = blocked.withColumn("one", F.col("block")).join(meets, ["path", "one"]).select(*sides)
-    second = blocked.withColumn("two", F.col("block")).join(meets, ["path", "two"]).select(*sides).toDF(*(f"{c}_" for c in sides))
-
-    def compare(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        y = y.rename(columns=lambda c: c.rstrip("_"))
-        m, found = _matrix(list(y.tokens)), []
-        for doc, comp, tokens in zip(x.doc_id, x.comp, x.tokens, strict=True):
-            near = np.flatnonzero(((m == np.frombuffer(tokens, "<u4")).sum(1) >= least) & (y.comp.to_numpy() != comp) & (y.doc_id.to_numpy() != doc))
-            found += [(min(doc, o), max(doc, o)) for o in y.doc_id.to_numpy()[near]]
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+def _blocked(rows: DataFrame, group: str, size: int) -> DataFrame:
+    """Rows of groups dealt to blocks of about `size`, and each row to the pairs of blocks (one <= two) that its own is in."""
+    ways = rows.groupBy(group).agg(F.ceil(F.count("*") / size).alias("__ways"))
+    own = rows.join(ways, group).withColumn("__own", F.pmod(F.xxhash64("doc_id"), "__ways"))
+    met = own.withColumn("__met", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__ways") - 1)))
+    return met.withColumn("one", F.least("__own", "__met")).withColumn("two", F.greatest("__own", "__met")).drop("__ways", "__own", "__met")
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], keys: list[str], names: list[str]) -> Iterator[list[tuple]]:
+    """The rows of each run of equal keys."""
+    at, rows = None, []
+    for columns in columns_of(batches, *keys, *names):
+        for row in zip(*columns, strict=True):
+            if row[: len(keys)] != at:
+                if rows:
+                    yield rows
+                at, rows = row[: len(keys)], []
+            rows.append(row[len(keys) :])
+    if rows:
+        yield rows
 
+
+def _block_pairs(rows: DataFrame, least: int, block: int = 256) -> DataFrame:
+    """Candidates of nodes that stayed large, by pairs of blocks of their documents."""
     keys = ["path", "one", "two"]
-    return first.groupBy(*keys).cogroup(second.groupBy(*(f"{k}_" for k in keys))).applyInPandas(compare, "a long, b long")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _grouped(batches, keys, ["doc_id", "comp", "tokens"]):
+            yield _pair_batch(_likely_pairs(*map(list, zip(*group, strict=True)), least))
+
+    dealt = _blocked(rows.select("path", "doc_id", "comp", "tokens"), "path", block)
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "a long, b long")
+
+
+def _common(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of sets, by products of their incidence with the values that several of them have."""
+    flat = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, number, count = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = count[number] > 1
+    _, number = np.unique(number[shared], return_inverse=True)
+    owner, total = owner[shared], np.zeros((len(sets), len(sets)), np.float32)
+    order = np.argsort(number, kind="stable")
+    number, owner = number[order], owner[order]
+    for low in range(0, int(number[-1]) + 1 if len(number) else 0, 4096):
+        s, e = np.searchsorted(number, [low, low + 4096])
+        part = np.zeros((len(sets), 4096), np.float32)
+        part[owner[s:e], number[s:e] - low] = 1
+        total += part @ part.T
+    return total
+
+
+def _links_within(clusters: DataFrame, docs: DataFrame, percent: int, block: int = 256) -> DataFrame:
+    """Links between documents of a cluster (cluster, doc_id, comp) whose full sets are similar, across components, as far as they
+    connect them anew; large clusters by pairs of blocks."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _grouped(batches, ["cluster", "one", "two"], ["doc_id", "comp", "shingles"]):
+            ids, comps = [g[0] for g in group], np.asarray([g[1] for g in group])
+            sets = [np.frombuffer(g[2], np.uint64) for g in group]
+            if len(sets) <= 8:
+                pairs = [(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if comps[i] != comps[j] and similar(sets[i], sets[j], percent)]
+                one, two = (np.array([p[k] for p in pairs], np.int64) for k in (0, 1))
+            else:
+                both, size = _common(sets), np.array([len(x) for x in sets], np.float32)
+                one, two = np.nonzero(np.triu(100 * both >= percent * (size[:, None] + size - both), 1) & (comps[:, None] != comps))
+            yield _pair_batch([(ids[i], ids[j]) for i, j in _forest(one, two, comps.tolist())])
+
+    dealt = _blocked(clusters, "cluster", block)
+    return _keyed_sets(docs, dealt, ["cluster", "one", "two", "comp"]).mapInArrow(check, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -242,47 +344,42 @@ def components(links: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("comp")).select(F.col("u").alias("doc_id"), "comp").union(edges.select(F.col("v").alias("doc_id"), F.col("v").alias("comp")).distinct())
 
 
-def linked(docs: DataFrame, reps: DataFrame, percent: int = 75, trees: int = 16, node_limit: int = 32, levels: int = 7) -> DataFrame:
+def linked(docs: DataFrame, reps: DataFrame, percent: int = 75, trees: int = 16, node_limit: int = 32, levels: int = 3) -> DataFrame:
     """Components (doc_id, comp) of the representatives that have links; reps has doc_id and tokens."""
     likely = percent / 100
     least = int(TOKENS * likely - 5 * (TOKENS * likely * (1 - likely)) ** 0.5)
     roots = _grown(reps, trees)
-    nodes = roots.groupBy("path").agg(F.count("*").alias("n"), F.min("doc_id").alias("pivot")).filter("n > 1")
-    members = stored(roots.join(nodes, "path").select("path", "used", "doc_id", "pivot"), "members")
-    some = members.select("doc_id").distinct()
-
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, data in columns_of(batches, "doc_id", "data"):
-            for low in range(0, len(ids), 512):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[low : low + 512], pa.int64()), pa.array([shingle_set(x).tobytes() for x in data[low : low + 512]], pa.binary())], ["doc_id", "shingles"])
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("data")).filter("data is not null")
-    sets = stored(texts.join(some, "doc_id", "left_semi").mapInArrow(sets_of, "doc_id long, shingles binary"), "sets")
-
-    stars = members.filter("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
+    nodes = roots.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1")
+    members = stored(roots.join(nodes, "path"), "members")
+    # A group's most central document is in large nodes more often than others: it is the pivot of those nodes.
+    central = members.groupBy("doc_id").agg(F.sum("n").alias("weight"))
+    weighed = members.select("path", "doc_id").join(central, "doc_id")
+    pivots = weighed.groupBy("path").agg(F.max_by("doc_id", F.struct("weight", -F.col("doc_id"))).alias("a"))
+    stars = members.select("path", "doc_id").join(pivots, "path").select("a", F.col("doc_id").alias("b")).filter("a <> b").distinct()
     best = _estimated(stars, reps, least).groupBy("b").agg(F.min_by("a", F.struct(-F.col("same"), F.col("a"))).alias("a"))
-    first = stored(_confirmed(best, sets, percent), "links")
+    first = stored(_pivots_confirmed(stored(best, "best"), docs, percent), "links")
     comps = components(first)
-    current = members.drop("pivot").join(comps, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
+    current = members.drop("n").join(comps, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
     found: list[DataFrame] = []
     for level in range(1, levels + 1):
         info = current.groupBy("path").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("path", "n")
-        open_ = current.join(info, "path").join(reps.select("doc_id", "tokens"), "doc_id")
-        open_ = stored(open_, "nodes")
+        open_ = stored(current.join(info, "path").join(reps.select("doc_id", "tokens"), "doc_id"), "nodes")
         found.append(_leaf_pairs(open_.filter(F.col("n") <= node_limit), least))
         large = open_.filter(F.col("n") > node_limit)
-        if large.isEmpty():
-            break
         if level == levels:
             found.append(_block_pairs(large, least))
+        elif large.isEmpty():
             break
-        grown = _grown(large.select("path", "used", "doc_id", "tokens"))
-        known = large.select("doc_id", "comp").distinct()
-        current = stored(grown.join(known, "doc_id"), "grown")
+        else:
+            grown = _grown(large.select("path", "used", "doc_id", "tokens"))
+            current = stored(grown.join(large.select("doc_id", "comp").distinct(), "doc_id"), "grown")
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.union(more)
-    second = _confirmed(stored(pairs.distinct(), "candidates"), sets, percent)
+    # All pairs that may be linked lie within a component of the candidates; what they connect is confirmed there.
+    clusters = components(pairs.distinct()).withColumnRenamed("comp", "cluster")
+    named = clusters.join(comps, "doc_id", "left").select("cluster", "doc_id", F.coalesce("comp", "doc_id").alias("comp"))
+    second = _links_within(stored(named, "clusters"), docs, percent)
     return components(stored(first.union(second), "links"))
 
 
