@@ -7,8 +7,8 @@ gathered from the partitions by a tree of sums, train the states; they start fro
 documents. A text's score is the exact likelihood of its sequence: the scaled forward recursion over the whole text, and the
 chance of each word in its class.
 
-Texts are first stored in blocks with a dictionary of each block's own words, so a block meets the vocabulary by its distinct
-words only. The base score of the same text is that of single words.
+Texts are first stored in blocks with a dictionary of each block's own words, as 64-bit hashes, so a block meets the
+vocabulary by its distinct words only. The base score of the same text is that of single words.
 
 Cases: null and empty texts are an end alone; repeated rows stay and count as often; null ids are in training, since they are
 in no fold; without training texts all words are unknown and all scores come from the smoothing; an empty table gives no rows.
@@ -27,10 +27,10 @@ from pyspark.sql import functions as F
 
 from kelpie.llm.common import columns_of, range_hashes, stored, word_spans
 
-END = ""
+END = 0  # no word has this hash
 _SPAN = 64  # tokens that training looks at together
 _BLOCK = 1 << 22  # bytes of text to a block
-BLOCKS = "seq long, words array<string>, counts array<long>, doc_ids array<long>, held array<boolean>, lengths array<int>, tokens binary"
+BLOCKS = "seq long, words array<long>, endings array<int>, counts array<long>, doc_ids array<long>, held array<boolean>, lengths array<int>, tokens binary"
 
 
 def held_out(doc_id: Column, folds: int = 5, fold: int = 1) -> Column:
@@ -39,18 +39,18 @@ def held_out(doc_id: Column, folds: int = 5, fold: int = 1) -> Column:
 
 @dataclass(frozen=True)
 class Classes:
-    """The class of a word: its own if it is frequent, else one of `tail` by its last three characters."""
+    """The class of a word: its own if it is frequent, else one of `tail` by its last three bytes."""
 
-    own: dict[str, int]
-    tail: int = 1024
+    own: np.ndarray  # hashes of the frequent words and of the end, in order
+    tail: int
 
     @property
     def number(self) -> int:
         return len(self.own) + self.tail
 
-    def of(self, words: list[str]) -> np.ndarray:
-        base, tail = len(self.own), self.tail
-        return np.array([k if (k := self.own.get(w)) is not None else base + zlib.crc32(w[-3:].encode()) % tail for w in words], np.int64)
+    def of(self, words: np.ndarray, endings: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.own, words), len(self.own) - 1)
+        return np.where(self.own[at] == words, at, len(self.own) + endings)
 
 
 @dataclass(frozen=True)
@@ -62,36 +62,37 @@ class Chain:
     emits: np.ndarray
 
 
-def encoded(ids: list, held: list, texts: list[bytes | None], seq: int) -> dict:
-    """A block: its distinct words with their counts in training texts, and each text as numbers of these words."""
-    hashes, words, lengths = [], {}, []
-    spans = []
+def encoded(ids: list, held: list, texts: list[bytes | None], seq: int, tail: int) -> dict:
+    """A block: the hashes of its distinct words with their endings and counts in training texts, and each text as numbers of these
+    words. 64-bit hashes stand for words from here on."""
+    hashes, spans, lengths = [], [], []
     for text in texts:
         data = (text or b"").lower()
         values, starts, ends = word_spans(data)
         hashes.append(range_hashes(values, starts, ends) | np.uint64(1) if len(starts) else np.zeros(0, np.uint64))
-        hashes.append(np.zeros(1, np.uint64))  # the end
+        hashes.append(np.full(1, END, np.uint64))
         lengths.append(len(starts) + 1)
         spans.append((data, starts, ends))
-    flat = np.concatenate(hashes)
-    distinct, first, numbers = np.unique(flat, return_index=True, return_inverse=True)
+    distinct, first, numbers = np.unique(np.concatenate(hashes).astype(np.int64), return_index=True, return_inverse=True)
     bounds = np.cumsum([0, *lengths])
     doc = np.searchsorted(bounds, first, "right") - 1
-    words = [END if i - bounds[d] == lengths[d] - 1 else spans[d][0][spans[d][1][i - bounds[d]] : spans[d][2][i - bounds[d]]].decode("utf-8", "replace") for i, d in zip(first.tolist(), doc.tolist(), strict=True)]
-    train = np.repeat(~np.asarray(held, bool), lengths)
-    counts = np.bincount(numbers[train], minlength=len(distinct))
-    return {"seq": seq, "words": words, "counts": counts.tolist(), "doc_ids": ids, "held": held, "lengths": lengths, "tokens": numbers.astype("<i4").tobytes()}
+    endings = []
+    for i, d in zip((first - bounds[doc]).tolist(), doc.tolist(), strict=True):
+        data, starts, ends = spans[d]
+        endings.append(zlib.crc32(data[max(starts[i], ends[i] - 3) : ends[i]]) % tail if i < len(starts) else 0)
+    counts = np.bincount(numbers[np.repeat(~np.asarray(held, bool), lengths)], minlength=len(distinct))
+    return {"seq": seq, "words": distinct, "endings": endings, "counts": counts, "doc_ids": ids, "held": held, "lengths": lengths, "tokens": numbers.astype("<i4").tobytes()}
 
 
-def blocks(docs: DataFrame, folds: int = 5, fold: int = 1) -> DataFrame:
-    kinds = [pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary()]
+def blocks(docs: DataFrame, folds: int = 5, fold: int = 1, tail: int = 1024) -> DataFrame:
+    kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary()]
     names = [x.split()[0] for x in BLOCKS.split(", ")]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seq, rows, size = 0, [], 0
 
         def block() -> pa.RecordBatch:
-            b = encoded(*map(list, zip(*rows, strict=True)), seq)
+            b = encoded(*map(list, zip(*rows, strict=True)), seq, tail)
             return pa.RecordBatch.from_arrays([pa.array([b[n]], k) for n, k in zip(names, kinds, strict=True)], names)
 
         for columns in columns_of(batches, "doc_id", "held", "data"):
@@ -116,29 +117,30 @@ def expected(classes: np.ndarray, end: int, chain: Chain) -> tuple[np.ndarray, n
     state after an end is a first one."""
     n, length = classes.shape
     real = classes >= 0
-    emits = chain.emits.T[np.maximum(classes, 0)]
+    chain = Chain(*(x.astype(np.float32) for x in (chain.first, chain.steps, chain.emits * chain.emits.shape[1])))
+    emits = np.ascontiguousarray(chain.emits.T)[np.maximum(classes, 0)]
     emits[~real] = 1.0
     fresh = np.zeros((n, length), bool)
     fresh[:, 1:] = classes[:, :-1] == end
     fresh[:, 0] = True
-    alpha, scale = np.empty_like(emits), np.empty((n, length))
+    alpha, scale = np.empty_like(emits), np.empty((n, length), np.float32)
     for t in range(length):
         ahead = np.where(fresh[:, t, None], chain.first, alpha[:, t - 1] @ chain.steps) if t else np.broadcast_to(chain.first, (n, len(chain.first)))
         now = ahead * emits[:, t]
         scale[:, t] = now.sum(1)
         alpha[:, t] = now / scale[:, t, None]
-    beta = np.ones((n, len(chain.first)))
-    gamma, steps = alpha, np.zeros_like(chain.steps)
+    beta = np.ones((n, len(chain.first)), np.float32)
+    gamma, steps = alpha, np.zeros(chain.steps.shape)
     for t in range(length - 2, -1, -1):
         back = emits[:, t + 1] * beta / scale[:, t + 1, None]
         on = (~fresh[:, t + 1] & real[:, t + 1])[:, None]
-        steps += chain.steps * (alpha[:, t].T @ np.where(on, back, 0.0))
-        beta = np.where(fresh[:, t + 1, None], 1.0, back @ chain.steps.T)
+        steps += chain.steps * (alpha[:, t].T @ np.where(on, back, np.float32(0)))
+        beta = np.where(fresh[:, t + 1, None], np.float32(1), back @ chain.steps.T)
         gamma[:, t] = alpha[:, t] * beta
     gamma[~real] = 0.0
     flat = np.maximum(classes, 0).ravel()
     emitted = np.stack([np.bincount(flat, weights=gamma[:, :, k].ravel(), minlength=chain.emits.shape[1]) for k in range(len(chain.first))])
-    return gamma[fresh & real].sum(0), steps, emitted, float(np.log(scale[real]).sum())
+    return gamma[fresh & real].sum(0, dtype=np.float64), steps, emitted, float(np.log(scale[real].astype(np.float64) / chain.emits.shape[1]).sum())
 
 
 def updated(first: np.ndarray, steps: np.ndarray, emits: np.ndarray, share: np.ndarray) -> Chain:
@@ -164,29 +166,41 @@ def started(docs: list[np.ndarray], states: int, share: np.ndarray, rounds: int
 
 
 def log10_likelihoods(docs: list[np.ndarray], chain: Chain) -> np.ndarray:
-    """log10 of the chance of each sequence of classes by the scaled forward recursion; sequences run side by side, the longest
-    first, and leave as they end."""
+    """log10 of the chance of each sequence of classes by the forward recursion, scaled at every eighth step and where
+    sequences end; they run side by side, the longest first."""
     order = np.argsort([-len(d) for d in docs], kind="stable")
     lengths = np.array([len(docs[i]) for i in order])
     padded = [docs[i] for i in order]
     logs, alpha = np.zeros(len(docs)), np.broadcast_to(chain.first, (len(docs), len(chain.first)))
-    emits, ends = chain.emits.T, np.cumsum(lengths) - lengths
+    emits, ends = np.ascontiguousarray(chain.emits.T), np.cumsum(lengths) - lengths
     flat = np.concatenate(padded) if padded else np.zeros(0, np.int64)
-    active = len(docs)
-    for t in range(int(lengths[0]) if len(lengths) else 0):
-        while lengths[active - 1] <= t:
-            active -= 1
-        alpha = (alpha[:active] @ chain.steps if t else alpha[:active]) * emits[flat[ends[:active] + t]]
+    active, steps = len(docs), np.ascontiguousarray(chain.steps)
+
+    def scaled(alpha: np.ndarray) -> np.ndarray:
         scale = alpha.sum(1)
-        alpha = alpha / scale[:, None]
-        logs[:active] += np.log10(scale)
+        logs[: len(alpha)] += np.log10(scale)
+        return alpha / scale[:, None]
+
+    for t in range(int(lengths[0]) if len(lengths) else 0):
+        if lengths[active - 1] <= t:  # some end here
+            alpha = scaled(alpha)
+            active = int(np.searchsorted(-lengths, -t, "left"))
+        alpha = (alpha[:active] @ steps if t else alpha) * emits[flat[ends[:active] + t]]
+        if t % 8 == 7:
+            alpha = scaled(alpha)
+    if len(docs):
+        scaled(alpha)
     out = np.zeros(len(docs))
     out[order] = logs
     return out
 
 
-def _sequences(tokens: bytes, lengths: list[int], classes: np.ndarray) -> list[np.ndarray]:
-    return np.split(classes[np.frombuffer(tokens, "<i4")], np.cumsum(lengths)[:-1])
+def _numbers(column: pa.Array, row: int, field: str | None = None) -> np.ndarray:
+    """The numbers of a list, or of a field of a list of structs, without Python objects."""
+    values = column[row].values
+    if values is None:
+        return np.zeros(0, np.int64)
+    return (values.field(field) if field else values).to_numpy(zero_copy_only=False)
 
 
 def _summed(partial: DataFrame, size: int) -> np.ndarray:
@@ -245,54 +259,58 @@ def trained(coded: DataFrame, classes: Classes, share: np.ndarray, end: int, sta
 def score(docs: DataFrame, states: int = 8, rounds: int = 3, frequent: int = 4096, tail: int = 1024, most_sampled: int = 1024, folds: int = 5, fold: int = 1) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row."""
     spark = docs.sparkSession
-    texts = blocks(docs, folds, fold)
-    words = texts.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "w")).select("block", "at", "w.words", "w.counts")
-    vocabulary = stored(words.filter("counts > 0").groupBy(F.col("words").alias("word")).agg(F.sum("counts").alias("c")), "vocabulary")
+    texts = blocks(docs, folds, fold, tail)
+    words = texts.select("block", F.posexplode(F.arrays_zip("words", "endings", "counts")).alias("at", "w")).select("block", "at", "w.words", "w.endings", "w.counts")
+    vocabulary = stored(words.filter("counts > 0").groupBy(F.col("words").alias("word")).agg(F.sum("counts").alias("c"), F.min("endings").alias("ending")), "vocabulary")
     sums = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     total, distinct = sums["n"], sums["v"]
     top = [r["word"] for r in vocabulary.orderBy(F.desc("c"), "word").limit(frequent).collect()]
-    classes = Classes({w: k for k, w in enumerate(dict.fromkeys([END, *top]))}, tail)
+    classes = Classes(np.array(sorted({END, *top}), np.int64), tail)
     known = spark.sparkContext.broadcast(classes)  # at most `frequent` words
-    end, number = classes.own[END], classes.number
+    end, number = int(np.searchsorted(classes.own, END)), classes.number
 
     def class_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, size = np.zeros(number), np.zeros(number)
-        for word, c in columns_of(batches, "word", "c"):
-            at = known.value.of(word)
+        for batch in batches:
+            word, c, ending = (batch.column(n).to_numpy() for n in ("word", "c", "ending"))
+            at = known.value.of(word, ending)
             count += np.bincount(at, weights=c, minlength=number)
             size += np.bincount(at, minlength=number)
         yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([count, size]).tobytes()], pa.binary())], ["sums"])
 
-    in_class = _summed(vocabulary.mapInArrow(class_sums, "sums binary"), 2 * number)
+    in_class = _summed(vocabulary.select("word", "c", "ending").mapInArrow(class_sums, "sums binary"), 2 * number)
     count, size = in_class[:number], in_class[number:]
     share = (count + 0.5) / (count + 0.5).sum()
 
     def to_classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for tokens, own, lengths, held in columns_of(batches, "tokens", "words", "lengths", "held"):
-            made = [known.value.of(w)[np.frombuffer(t, "<i4")].astype("<u2").tobytes() for t, w in zip(tokens, own, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary()), pa.array(lengths, pa.list_(pa.int32())), pa.array(held, pa.list_(pa.bool_()))], ["coded", "lengths", "held"])
+        for b in batches:
+            own, endings, tokens = b.column("words"), b.column("endings"), b.column("tokens")
+            made = [known.value.of(_numbers(own, k), _numbers(endings, k))[np.frombuffer(tokens[k].as_py(), "<i4")].astype("<u2").tobytes() for k in range(b.num_rows)]
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary()), b.column("lengths"), b.column("held")], ["coded", "lengths", "held"])
 
     if number > 1 << 16:
         raise ValueError("at most 65536 classes")
-    coded = stored(texts.select("tokens", "words", "lengths", "held").mapInArrow(to_classes, "coded binary, lengths array<int>, held array<boolean>"), "coded")
+    coded = stored(texts.select("tokens", "words", "endings", "lengths", "held").mapInArrow(to_classes, "coded binary, lengths array<int>, held array<boolean>"), "coded")
     chain = spark.sparkContext.broadcast(trained(coded, classes, share, end, states, rounds, most_sampled))
     room = count + 0.5 * (size + 1)
 
-    found = words.join(vocabulary, F.col("words") == F.col("word")).groupBy("block").agg(F.collect_list(F.struct("at", "c")).alias("known"))  # a block's own words
+    found = words.select("block", "at", "words").join(vocabulary.select("word", "c"), F.col("words") == F.col("word")).groupBy("block").agg(F.collect_list(F.struct("at", "c")).alias("known"))  # a block's own words
 
     def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for tokens, own, ids, held, lengths, seen in columns_of(batches, "tokens", "words", "doc_ids", "held", "lengths", "known"):
-            for t, w, i, h, n, s in zip(tokens, own, ids, held, lengths, seen, strict=True):
-                c = np.zeros(len(w))
-                if s:
-                    c[[x["at"] for x in s]] = [x["c"] for x in s]
-                at, kind, starts = np.frombuffer(t, "<i4"), known.value.of(w), np.cumsum(n) - n
+        for b in batches:
+            column = {n: b.column(b.schema.get_field_index(n)) for n in b.schema.names}
+            for k in range(b.num_rows):
+                own, n = _numbers(column["words"], k), _numbers(column["lengths"], k)
+                i, h = column["doc_ids"][k].values, column["held"][k].values
+                c = np.zeros(len(own))
+                c[_numbers(column["known"], k, "at")] = _numbers(column["known"], k, "c")
+                at, kind, starts = np.frombuffer(column["tokens"][k].as_py(), "<i4"), known.value.of(own, _numbers(column["endings"], k)), np.cumsum(n) - n
                 base = np.log10((c + 0.5) / (total + 0.5 * (distinct + 1)))
                 inside = np.log10((c + 0.5) / room[kind])
                 sequences = np.split(kind[at], starts[1:])
                 one = log10_likelihoods(sequences, chain.value) + np.add.reduceat(inside[at], starts)
-                columns = [(i, pa.int64()), (h, pa.bool_()), (n, pa.int64()), (np.add.reduceat((c > 0)[at].astype(np.int64), starts), pa.int64()), ([total] * len(i), pa.int64()), (np.add.reduceat(base[at], starts), pa.float64()), (one, pa.float64())]
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in columns], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+                columns = [(n, pa.int64()), (np.add.reduceat((c > 0)[at].astype(np.int64), starts), pa.int64()), ([total] * len(i), pa.int64()), (np.add.reduceat(base[at], starts), pa.float64()), (one, pa.float64())]
+                yield pa.RecordBatch.from_arrays([i, h, *(pa.array(x, kind) for x, kind in columns)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    whole = texts.join(found, "block", "left").select("tokens", "words", "doc_ids", "held", "lengths", "known")
+    whole = texts.join(found, "block", "left").select("tokens", "words", "endings", "doc_ids", "held", "lengths", "known")
     return whole.mapInArrow(final, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
