@@ -30,6 +30,7 @@ BUCKETS = 1 << BITS
 #: What each word costs besides its score, and standard errors by which log-odds go towards 0.
 _DRIFT, _SURE = 1.0, 1.0
 _BINS, _STEP = 2048, 0.25
+_NOTHING = -10.0
 _FINE = 64  # bins of a word's score to a unit
 _BEGINNINGS = (3, 4, 5, 6)  # bytes
 _PARTS = bytes(c if chr(c).isalnum() or c > 127 else 0x20 for c in range(256))
@@ -76,6 +77,8 @@ class Model:
         return word_scores(self.scores, buckets(data)) - self.drift
 
     def evidence(self, highest: float, words: int) -> float:
+        if highest <= 0:  # no segment, which is sure to be
+            return _NOTHING
         return self.decay * highest - float(np.log(self.scale * max(words, 1)))
 
     def chance(self, evidence: np.ndarray | float) -> np.ndarray | float:
