@@ -10,9 +10,9 @@ Candidates pass an estimate by their tokens, five standard errors below the limi
 
 Large groups of copies never part, so they are linked first: each document with the best of the pivots that its nodes have,
 which is linear. Nodes whose documents are then all in one component need no more; in the others only pairs across
-components are compared. Nodes give of their candidates only what connects documents; the components of these are clusters
-that hold all candidates, and within a cluster all full sets are compared across components, in blocks. No step makes a row
-for each pair, and no link between components is lost, so the components are exact up to the recall of the trees.
+components are compared. Nodes give of their candidates only what connects groups that pivots don't connect yet; the components
+of both are clusters that hold all candidates, and within a cluster of several components all full sets are compared across
+components, in blocks. No step makes a row for each pair, and no link between components is lost, so the components are exact up to the recall of the trees.
 
 Cases: null and empty texts and texts without words have no shingles and are linked with nothing; rows with null ids take no
 part, keep a null component and are kept; rows that share an id share a component; an empty table gives no rows. Columns of
@@ -224,8 +224,8 @@ def _forest(one: np.ndarray, two: np.ndarray, labels: list) -> list[tuple[int, i
     return kept
 
 
-def _likely_pairs(docs: list, comps: list, tokens: list, least: int) -> list[tuple[int, int]]:
-    """Pairs of a node's documents that share so many tokens, across components, as far as they connect documents anew."""
+def _likely_pairs(docs: list, comps: list, groups: list, tokens: list, least: int) -> list[tuple[int, int]]:
+    """Pairs of a node's documents that share so many tokens, across components, as far as they connect groups anew."""
     matrix, comp, ids = _matrix(tokens), np.asarray(comps), np.asarray(docs)
     one, two = [], []
     for i in range(len(ids) - 1):
@@ -234,7 +234,7 @@ def _likely_pairs(docs: list, comps: list, tokens: list, least: int) -> list[tup
         two.append(near)
     if not one:
         return []
-    return [(docs[i], docs[j]) for i, j in _forest(np.concatenate(one), np.concatenate(two), docs)]
+    return [(docs[i], docs[j]) for i, j in _forest(np.concatenate(one), np.concatenate(two), groups)]
 
 
 def _pair_batch(found: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -246,18 +246,24 @@ def _leaf_pairs(leaves: DataFrame, least: int) -> DataFrame:
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (nodes,) in columns_of(batches, "node"):
-            yield _pair_batch([p for n in nodes for p in _likely_pairs([x["doc_id"] for x in n], [x["comp"] for x in n], [x["tokens"] for x in n], least)])
+            yield _pair_batch([p for n in nodes for p in _likely_pairs([x["doc_id"] for x in n], [x["comp"] for x in n], [x["group"] for x in n], [x["tokens"] for x in n], least)])
 
-    nodes = leaves.groupBy("path").agg(F.collect_list(F.struct("doc_id", "comp", "tokens")).alias("node"))
+    nodes = leaves.groupBy("path").agg(F.collect_list(F.struct("doc_id", "comp", "group", "tokens")).alias("node"))
     return nodes.select("node").mapInArrow(compare, "a long, b long")
 
 
 def _blocked(rows: DataFrame, group: str, size: int) -> DataFrame:
-    """Rows of groups dealt to blocks of about `size`, and each row to the pairs of blocks (one <= two) that its own is in."""
-    ways = rows.groupBy(group).agg(F.ceil(F.count("*") / size).alias("__ways"))
-    own = rows.join(ways, group).withColumn("__own", F.pmod(F.xxhash64("doc_id"), "__ways"))
-    met = own.withColumn("__met", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__ways") - 1)))
-    return met.withColumn("one", F.least("__own", "__met")).withColumn("two", F.greatest("__own", "__met")).drop("__ways", "__own", "__met")
+    """Rows of groups dealt to blocks of about `size`, and each row to the pairs of blocks (one <= two) that its own is in. A large
+    component has blocks of its own, which don't meet each other."""
+    counts = rows.groupBy(group, "comp").agg(F.count("*").alias("__n")).withColumn("__pure", F.when(F.col("__n") >= size, F.col("comp")))
+    ways = counts.groupBy(group, "__pure").agg(F.ceil(F.sum("__n") / size).alias("__ways"))
+    block = F.xxhash64(F.col("__pure"), F.col("__at"))
+    blocks = ways.withColumn("__at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__ways") - 1))).groupBy(group).agg(F.collect_list(F.struct("__pure", block.alias("block"))).alias("__blocks"))
+    pure = counts.filter("__pure is not null").select(group, "comp", "__pure")
+    own = rows.join(pure, [group, "comp"], "left").join(ways.select(F.col(group).alias("__g"), F.col("__pure").alias("__p"), "__ways"), (F.col(group) == F.col("__g")) & F.col("__pure").eqNullSafe(F.col("__p")))
+    own = own.withColumn("__at", F.pmod(F.xxhash64("doc_id"), "__ways")).withColumn("__own", block).drop("__g", "__p")
+    met = own.join(blocks, group).withColumn("__met", F.explode("__blocks")).filter(F.coalesce(F.col("__met.__pure") != F.col("__pure"), F.lit(True)))
+    return met.withColumn("one", F.least("__own", "__met.block")).withColumn("two", F.greatest("__own", "__met.block")).drop("__ways", "__own", "__met", "__pure", "__at", "__blocks")
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], keys: list[str], names: list[str]) -> Iterator[list[tuple]]:
@@ -279,10 +285,10 @@ def _block_pairs(rows: DataFrame, least: int, block: int = 256) -> DataFrame:
     keys = ["path", "one", "two"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _grouped(batches, keys, ["doc_id", "comp", "tokens"]):
+        for group in _grouped(batches, keys, ["doc_id", "comp", "group", "tokens"]):
             yield _pair_batch(_likely_pairs(*map(list, zip(*group, strict=True)), least))
 
-    dealt = _blocked(rows.select("path", "doc_id", "comp", "tokens"), "path", block)
+    dealt = _blocked(rows.select("path", "doc_id", "comp", "group", "tokens"), "path", block)
     return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "a long, b long")
 
 
@@ -357,9 +363,11 @@ def linked(docs: DataFrame, reps: DataFrame, percent: int = 75, trees: int = 16,
     pivots = weighed.groupBy("path").agg(F.max_by("doc_id", F.struct("weight", -F.col("doc_id"))).alias("a"))
     stars = members.select("path", "doc_id").join(pivots, "path").select("a", F.col("doc_id").alias("b")).filter("a <> b").distinct()
     best = _estimated(stars, reps, least).groupBy("b").agg(F.min_by("a", F.struct(-F.col("same"), F.col("a"))).alias("a"))
-    first = stored(_pivots_confirmed(stored(best, "best"), docs, percent), "links")
+    best = stored(best, "best")
+    first = stored(_pivots_confirmed(best, docs, percent), "links")
     comps = components(first)
-    current = members.drop("n").join(comps, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
+    groups = components(best.select("a", "b")).withColumnRenamed("comp", "group")
+    current = members.drop("n").join(comps, "doc_id", "left").join(groups, "doc_id", "left").withColumns({"comp": F.coalesce("comp", "doc_id"), "group": F.coalesce("group", "doc_id")})
     found: list[DataFrame] = []
     for level in range(1, levels + 1):
         info = current.groupBy("path").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("path", "n")
@@ -372,14 +380,15 @@ def linked(docs: DataFrame, reps: DataFrame, percent: int = 75, trees: int = 16,
             break
         else:
             grown = _grown(large.select("path", "used", "doc_id", "tokens"))
-            current = stored(grown.join(large.select("doc_id", "comp").distinct(), "doc_id"), "grown")
+            current = stored(grown.join(large.select("doc_id", "comp", "group").distinct(), "doc_id"), "grown")
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.union(more)
-    # All pairs that may be linked lie within a component of the candidates; what they connect is confirmed there.
-    clusters = components(pairs.distinct()).withColumnRenamed("comp", "cluster")
+    # All pairs that may be linked lie within a component of pivots' and nodes' candidates; what they connect is confirmed there.
+    clusters = components(best.select("a", "b").union(pairs.distinct())).withColumnRenamed("comp", "cluster")
     named = clusters.join(comps, "doc_id", "left").select("cluster", "doc_id", F.coalesce("comp", "doc_id").alias("comp"))
-    second = _links_within(stored(named, "clusters"), docs, percent)
+    mixed_ones = named.groupBy("cluster").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("cluster")
+    second = _links_within(stored(named.join(mixed_ones, "cluster"), "clusters"), docs, percent)
     return components(stored(first.union(second), "links"))
 
 
