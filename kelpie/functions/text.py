@@ -64,4 +64,4 @@ def wiki_links(text: Column) -> Column:
 
 def terms(text: Column) -> Column:
     """Lower-case ASCII alphanumeric terms in order."""
-    return F.filter(F.split(F.lower(text), r"[^a-z0-9]+"), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(text), r"[^a-z0-9]+"), "")
