@@ -88,6 +88,7 @@ def cuts(rows: DataFrame, plan: DataFrame) -> DataFrame:
         F.min(F.when(F.col("__end") > F.col("left"), F.struct("__rank", "__key"))).alias("__cut"),
         F.coalesce(F.max(F.when(F.col("__end") <= F.col("left"), F.col("__end"))), F.max("__done")).alias("__words"),
     )
+    last = stored(last, "cuts")  # a row for each source, as the plan: Spark then knows that it is small and broadcasts it
     beyond = ranked.join(last, _BY).filter(F.struct("__rank", "__key") >= F.col("__cut")).withColumn("__miss", F.abs(F.col("size") - (F.col("left") - F.col("__words"))))
     nearer = beyond.filter(F.col("__miss") < F.col("left") - F.col("__words"))
     rounding = nearer.groupBy(*_BY).agg(F.min_by("__key", F.struct("__miss", "__rank", "__key")).alias("__round"))
@@ -108,13 +109,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: int
     have the weights in turn. `most` bounds the copies of a document and each target."""
     rows = drawn(docs)
     slim = stored(rows.select(*_BY, "__key", "__u", "size"), "drawn")
-    return applied(rows, stored(cuts(slim, targets(slim, weights, most)), "mix"))
+    return applied(rows, stored(cuts(slim, stored(targets(slim, weights, most), "targets")), "mix"))
 
 
 def digest(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: int = 3) -> DataFrame:
     """The same decisions without the texts, which are read once."""
     slim = stored(drawn(docs).select(*_BY, "__key", "__u", "size", "doc_id", "source"), "drawn")
-    return applied(slim, stored(cuts(slim, targets(slim, weights, most)), "mix"))
+    return applied(slim, stored(cuts(slim, stored(targets(slim, weights, most), "targets")), "mix"))
 
 
 MIX_SQL = r"""
