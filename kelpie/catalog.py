@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kelpie.plans import activity_queries
+from kelpie.plans import knowledge_queries
 
 FLAGSHIP = "a1_time_per_tag_day"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(activity_queries.QUERIES)
+    return dict(knowledge_queries.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(activity_queries.SQL)
+    return dict(knowledge_queries.SQL)

@@ -65,3 +65,36 @@ def wiki_links(text: Column) -> Column:
 def terms(text: Column) -> Column:
     """Lower-case ASCII alphanumeric terms in order."""
     return F.array_remove(F.split(F.lower(text), r"[^a-z0-9]+"), "")
+
+
+def keywords(text: Column, stop: list[str], most: int = 12) -> Column:
+    """The first distinct terms of two characters or more that aren't stop words; none if nothing else is left."""
+    bare = F.array_distinct(F.filter(terms(text), lambda t: (F.length(t) > 1) & ~t.isin(stop) if stop else F.length(t) > 1))
+    return F.slice(bare, 1, most)
+
+
+def labelled_line(text: Column, label: str) -> Column:
+    """What follows 'Label:' on the first line that starts so; null if none does."""
+    return F.nullif(F.trim(F.regexp_extract(text, rf"(?im)^{label}:[ \t]*(.*)$", 1)), F.lit(""))
+
+
+def fenced_json(text: Column) -> Column:
+    """The body of the first fenced block, or the text itself without a fence."""
+    body = F.regexp_extract(text, r"(?s)```[a-zA-Z]*\s*\n(.*?)\s*```", 1)
+    return F.trim(F.when(body == "", text).otherwise(body))
+
+
+def human_size(value: Column) -> Column:
+    """Bytes of '30MB' and the like; null if it isn't a size."""
+    unit = F.upper(F.regexp_extract(value, r"(?i)^\s*\d+\s*([KMG]?)B?\s*$", 1))
+    number = F.nullif(F.regexp_extract(value, r"(?i)^\s*(\d+)\s*[KMG]?B?\s*$", 1), F.lit("")).cast("long")
+    return number * F.when(unit == "K", 1 << 10).when(unit == "M", 1 << 20).when(unit == "G", 1 << 30).otherwise(1)
+
+
+def frontmatter(text: Column) -> Column:
+    """The scalar 'key: value' lines between the first two '---' lines as a map; of repeated keys the last counts."""
+    head = F.regexp_extract(text, r"(?s)\A---[ \t]*\n(.*?)\n---[ \t]*(?:\n|\z)", 1)
+    lines = F.filter(F.split(head, r"\n"), lambda x: x.rlike(r"^[A-Za-z_][\w-]*:[ \t]*\S"))
+    pairs = F.transform(lines, lambda x: F.struct(F.regexp_extract(x, r"^([\w-]+):", 1).alias("k"), F.regexp_replace(F.trim(F.regexp_replace(x, r"^[\w-]+:", "")), r"""^(["'])(.*)\1$""", "$2").alias("v")))
+    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"]))
+    return F.map_from_entries(last)

@@ -61,3 +61,35 @@ def compacted(activities: DataFrame, shortest: int = 30) -> DataFrame:
 
 def nearest_rank(value: Column, share: float) -> Column:
     return F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY {value._jc.toString()})")
+
+
+def timeline(activities: DataFrame, group: str) -> DataFrame:
+    """Blocks of a user's day in seconds of the day: each activity but sleep lasts until the next starts, and adjacent blocks of one
+    group are one. A day's last activity has no end and gives no block."""
+    awake = activities.filter("application <> 'SLEEP'").withColumn("day", F.to_date("start_time"))
+    w = Window.partitionBy("user_id", "day").orderBy("start_time", "id")
+    second = lambda c: (F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)).cast("long")
+    spans = awake.withColumns({"from_second": second("start_time"), "to_second": F.lead(second("start_time")).over(w)}).filter("to_second is not null")
+    runs = islands(spans, group, ["user_id", "day"], ["start_time", "id"])
+    return runs.groupBy("user_id", "day", group, "island").agg(F.min("from_second").alias("from_second"), F.max("to_second").alias("to_second")).drop("island")
+
+
+def group_durations(activities: DataFrame, group: str, edited: DataFrame | None = None) -> DataFrame:
+    """Positive seconds of each group of a user until whatever is next that day, and the edited ones (group, seconds) over them."""
+    spans = with_duration(activities, "user_id").filter(F.col(group).isNotNull())
+    sums = spans.groupBy(group).agg(F.sum(F.greatest(F.coalesce("seconds", F.lit(0)), F.lit(0))).alias("seconds"))
+    if edited is None:
+        return sums
+    return sums.join(edited.select(group, F.col("seconds").alias("__edited")), group, "left").select(group, F.coalesce("__edited", "seconds").alias("seconds"))
+
+
+def day_tag_maps(per_day: DataFrame, label: Column) -> DataFrame:
+    """For each day its seconds by label, as a list by name without regard to case, 'Untagged' last."""
+    named = per_day.groupBy("day", F.coalesce(label, F.lit("Untagged")).alias("label")).agg(F.sum("seconds").alias("seconds"))
+    entry = F.struct((F.col("label") == "Untagged").alias("last"), F.lower("label").alias("key"), "label", "seconds")
+    return named.groupBy("day").agg(F.transform(F.array_sort(F.collect_list(entry)), lambda e: F.struct(e["label"], e["seconds"])).alias("tags"))
+
+
+def valid_on(tags: DataFrame, day: Column) -> DataFrame:
+    """Rows created by a day and not deleted before it."""
+    return tags.filter((F.col("create_date") <= day) & (F.col("delete_date").isNull() | (F.col("delete_date") >= day)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,3 +63,152 @@ def kept_nodes(nodes: DataFrame, threshold: int) -> DataFrame:
     links, and pinned ones."""
     n = F.count("*").over(Window.partitionBy("bucket"))
     return nodes.withColumn("__n", n).filter((F.col("__n") <= threshold) | F.col("pinned") | (F.col("degree") >= F.ceil(F.col("__n") / threshold))).drop("__n")
+
+
+def centroids(members: DataFrame, group: str, vector: str) -> DataFrame:
+    """The mean vector and number of members of each group; rows without a vector take no part."""
+    there = members.filter(F.col(vector).isNotNull()).select(group, F.posexplode(vector).alias("pos", "x"))
+    means = there.groupBy(group, "pos").agg(F.avg("x").alias("x"), F.count("*").alias("n"))
+    listed = means.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("dims"), F.max("n").alias("members"))
+    return listed.select(group, F.transform("dims", lambda d: d["x"]).alias("centroid"), "members")
+
+
+def nearest_of_all(vectors: DataFrame, id_col: str, vec_col: str, k: int, block: int = 2048) -> DataFrame:
+    """id, other, distance and place of the k nearest others of each vector by cosine distance to nine places, ties by id.
+
+    Exact: rows are dealt to blocks of about `block`, and a task compares two blocks and gives k rows for each of the first. Null
+    and zero vectors take no part."""
+    kept = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v")).filter(F.exists("v", lambda x: x != 0))
+    ways = F.greatest(F.ceil(F.count("*") / block), F.lit(1)).alias("ways")
+    dealt = kept.crossJoin(F.broadcast(kept.agg(ways))).withColumn("own", F.pmod(F.xxhash64("id"), "ways"))  # one row
+    met = F.explode(F.sequence(F.lit(0).cast("long"), F.col("ways") - 1))
+    asked = dealt.select("id", "v", F.col("own").alias("one"), met.alias("two"), F.lit(True).alias("asks"))
+    every = asked.union(dealt.select("id", "v", met.alias("one"), F.col("own").alias("two"), F.lit(False).alias("asks")))
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        q, c = rows[rows.asks], rows[~rows.asks].sort_values("id")
+        if not len(q) or not len(c):
+            return pd.DataFrame({"id": [], "other": [], "distance": []})
+        x, y = np.stack(q.v.to_list()), np.stack(c.v.to_list())
+        far = 1 - (x / np.linalg.norm(x, axis=1)[:, None]) @ (y / np.linalg.norm(y, axis=1)[:, None]).T
+        far = np.round(far, 9) + 0.0
+        far[q.id.to_numpy()[:, None] == c.id.to_numpy()] = np.inf
+        best = np.argsort(far, axis=1, kind="stable")[:, :k]
+        found = pd.DataFrame({"id": np.repeat(q.id.to_numpy(), best.shape[1]), "other": c.id.to_numpy()[best.ravel()], "distance": np.take_along_axis(far, best, 1).ravel()})
+        return found[np.isfinite(found.distance)]
+
+    part = every.groupBy("one", "two").applyInPandas(compare, "id long, other long, distance double")
+    place = Window.partitionBy("id").orderBy("distance", "other")
+    return part.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= k)
+
+
+def similarity_edges(near: DataFrame, vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """Edges between all of a row and its neighbours (id, other: a bounded number for each id), weighed by similarity, none below 0."""
+    from kelpie.functions.vectors import distance
+
+    groups = near.groupBy("id").agg(F.collect_list("other").alias("others")).select(F.array_append("others", F.col("id")).alias("g"))
+    one = groups.select("g", F.explode("g").alias("first_id"))
+    pairs = one.select("first_id", F.explode("g").alias("second_id")).filter("first_id < second_id").distinct()
+    a = vectors.select(F.col(id_col).alias("first_id"), F.col(vec_col).alias("x"))
+    b = vectors.select(F.col(id_col).alias("second_id"), F.col(vec_col).alias("y"))
+    weight = F.greatest(F.lit(0.0), 1 - distance(F.col("x"), F.col("y"), "cosine"))
+    return pairs.join(a, "first_id").join(b, "second_id").select("first_id", "second_id", weight.alias("weight"))
+
+
+def matched(pairs: DataFrame, floor: float) -> DataFrame:
+    """Greedy one-to-one matching of pairs (a, b, score) of at least the floor, best first, ties by a and b. Each round takes all
+    pairs that are the best of both their ends, which gives the same matching."""
+    ensure_checkpoints(pairs.sparkSession)
+    left = pairs.filter(F.col("score") >= floor).select("a", "b", "score").checkpoint()
+    taken: list[DataFrame] = []
+    while not left.isEmpty():
+        order = [F.desc("score"), F.col("a"), F.col("b")]
+        ranked = left.withColumns({end: F.row_number().over(Window.partitionBy(end[2:]).orderBy(*order)) for end in ("__a", "__b")})
+        now = ranked.filter("__a = 1 and __b = 1").select("a", "b", "score").checkpoint()
+        taken.append(now)
+        left = left.join(now.select("a"), "a", "left_anti").join(now.select("b"), "b", "left_anti").select("a", "b", "score").checkpoint()
+    out = left
+    for t in taken:
+        out = out.union(t)
+    return out
+
+
+def _moves(nodes: DataFrame, both: DataFrame, resolution: float, least: float, turn: int | None = None) -> DataFrame:
+    """id and target of moves that each raise the quality: without a turn no two touch the same community, so that all hold
+    together; with one, communities give or take by a coin of the turn, and many nodes may move to one."""
+    total = nodes.groupBy("comm").agg(F.sum("size").alias("total"))
+    other = nodes.select(F.col("id").alias("other"), F.col("comm").alias("target"))
+    pull = both.join(other, "other").groupBy("id", "target").agg(F.sum("weight").alias("w"))
+    own = nodes.join(total, "comm").join(pull.select("id", F.col("target").alias("comm"), F.col("w").alias("w0")), ["id", "comm"], "left")
+    stays = own.select("id", "size", "comm", (F.coalesce("w0", F.lit(0.0)) - resolution * F.col("size") * (F.col("total") - F.col("size"))).alias("stay"))
+    goes = pull.join(stays, "id").filter("target <> comm")
+    if turn is not None:
+        takes = lambda c: F.xxhash64(F.col(c), F.lit(turn)).bitwiseAND(F.lit(1).cast("long")) == 1
+        goes = goes.filter(~takes("comm") & takes("target"))
+    goes = goes.join(total.withColumnRenamed("comm", "target"), "target")
+    gain = F.col("w") - resolution * F.col("size") * F.col("total") - F.col("stay")
+    better = goes.withColumn("gain", gain).filter(F.col("gain") > least).groupBy("id", "comm").agg(F.max_by("target", F.struct("gain", -F.col("target"))).alias("target"), F.max("gain").alias("gain"))
+    if turn is not None:
+        return better.select("id", "target")
+    touched = better.select("*", F.explode(F.array("comm", "target")).alias("side"))
+    first = touched.groupBy("side").agg(F.max_by("id", F.struct("gain", -F.col("id"))).alias("id"))
+    return touched.select("id", "target", "side").join(first, ["side", "id"]).groupBy("id", "target").agg(F.count("*").alias("n")).filter("n = 2").select("id", "target")
+
+
+def _moved(nodes: DataFrame, moves: DataFrame) -> DataFrame:
+    return nodes.join(moves, "id", "left").select("id", "size", F.coalesce("target", "comm").alias("comm"))
+
+
+def _quality(nodes: DataFrame, both: DataFrame, resolution: float) -> float:
+    """Twice the weight within communities less the resolution times their squared sizes."""
+    comm = nodes.select("id", "comm")
+    inner = both.join(comm, "id").join(comm.select(F.col("id").alias("other"), F.col("comm").alias("far")), "other").filter("comm = far").agg(F.sum("weight").alias("x"))
+    sizes = nodes.groupBy("comm").agg(F.sum("size").alias("s")).agg(F.sum(F.col("s").cast("double") * F.col("s")).alias("y"))
+    x, y = inner.crossJoin(sizes).first()  # one row each
+    return (x or 0.0) - resolution * (y or 0.0)
+
+
+def communities(edges: DataFrame, resolution: float = 0.05, least: float = 1e-7, most_levels: int = 64) -> DataFrame:
+    """id and community_id (its smallest member) of nodes in communities of two or more, under the constant Potts model.
+
+    Nodes move to the community of a neighbour that raises the quality most. Half the communities give and half take in a round, by a
+    coin; a round that doesn't raise the quality is put back, and the best move for each community made instead, which does. So
+    quality only rises and the rounds end. Then communities become nodes and move as wholes, until none does. Parallel edges
+    count together, self-links and those without positive weight are left out. Moves start from single nodes and only join linked
+    ones; results can differ from those of sequential sweeps where several partitions are stable, and there is no step that refines
+a community within itself."""
+    ensure_checkpoints(edges.sparkSession)
+    plain = edges.filter("first_id <> second_id and weight > 0").select(F.least("first_id", "second_id").alias("first_id"), F.greatest("first_id", "second_id").alias("second_id"), F.col("weight").cast("double").alias("weight"))
+    both = _ends(plain).groupBy("id", "other").agg(F.sum("weight").alias("weight")).checkpoint()
+    nodes = both.select("id").distinct().select("id", F.lit(1).cast("long").alias("size"), F.col("id").alias("comm")).checkpoint()
+    members = nodes.select(F.col("id").alias("member"), F.col("comm").alias("id"))
+    for _ in range(most_levels):
+        moved = False
+        turn, best = 0, _quality(nodes, both, resolution)
+        while True:
+            changed = _moved(nodes, _moves(nodes, both, resolution, least, turn)).checkpoint()
+            turn, now = turn + 1, _quality(changed, both, resolution)
+            if now <= best + least:
+                moves = _moves(nodes, both, resolution, least).checkpoint()
+                if moves.isEmpty():
+                    break
+                changed = _moved(nodes, moves).checkpoint()
+                now = _quality(changed, both, resolution)
+            nodes, best, moved = changed, now, True
+        if not moved:
+            break
+        place = nodes.select("id", "comm")
+        members = members.join(place, "id").select("member", F.col("comm").alias("id")).checkpoint()
+        ends = both.join(place, "id").join(place.select(F.col("id").alias("other"), F.col("comm").alias("far")), "other").filter("comm <> far")
+        both = ends.groupBy(F.col("comm").alias("id"), F.col("far").alias("other")).agg(F.sum("weight").alias("weight")).checkpoint()
+        nodes = nodes.groupBy("comm").agg(F.sum("size").alias("size")).select(F.col("comm").alias("id"), "size", "comm").checkpoint()
+    named = members.groupBy("id").agg(F.min("member").alias("community_id"), F.count("*").alias("n")).filter("n > 1")
+    return members.join(named, "id").select(F.col("member").alias("id"), "community_id")
+
+
+def folders(paths: DataFrame, path: str) -> DataFrame:
+    """All folders above the paths, with depth, parent and the number of paths below."""
+    parts = paths.select(F.split(F.trim(F.regexp_replace(path, "/+", "/")), "/").alias("p"))
+    each = parts.select("p", F.explode(F.when(F.size("p") > 1, F.sequence(F.lit(1), F.size("p") - 1))).alias("depth"))
+    named = each.select(F.array_join(F.slice("p", 1, F.col("depth")), "/").alias("folder"), "depth", F.array_join(F.slice("p", 1, F.col("depth") - 1), "/").alias("parent"))
+    return named.groupBy("folder", "depth", "parent").agg(F.count("*").alias("files"))

@@ -39,3 +39,39 @@ def due(jobs: DataFrame, now: Column) -> DataFrame:
     free = F.col("lease_until").isNull() | (F.col("lease_until") <= now)
     passed = F.col("last_success_at").isNull() | (F.unix_timestamp(now) - F.unix_timestamp("last_success_at") >= F.col("interval_seconds"))
     return jobs.filter(F.col("enabled") & free & passed)
+
+
+def with_invalidation(old: DataFrame, new: DataFrame, key: str, watched: str, derived: dict[str, Column]) -> DataFrame:
+    """Old rows with new values of `watched`: where it is given and differs, the derived columns fall back to the given values;
+    null or equal keeps them. New keys are added with the fallbacks. Each side has a key once."""
+    both = old.alias("o").join(new.select(key, watched).alias("n"), key, "full")
+    changed = F.col(f"o.{key}").isNull() | (F.col(f"n.{watched}").isNotNull() & ~F.col(f"n.{watched}").eqNullSafe(F.col(f"o.{watched}")))
+    kept = [F.when(changed, value).otherwise(F.col(f"o.{c}")).alias(c) for c, value in derived.items()]
+    return both.select(key, F.coalesce(f"n.{watched}", f"o.{watched}").alias(watched), *kept)
+
+
+def inserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """Old rows, and new ones whose key isn't there; of new rows with equal keys one."""
+    return old.unionByName(new.dropDuplicates(keys).join(old.select(*keys), keys, "left_anti"))
+
+
+def assigned_unless_manual(rows: DataFrame, given: DataFrame, key: str, column: str, source: str) -> DataFrame:
+    """Rows with `column` as given (key, value), null where nothing is given; what was set by hand stays, the candidate is noted."""
+    manual = F.coalesce(F.col(source) == "manual", F.lit(False))
+    joined = rows.join(given.select(key, F.col("value").alias("candidate")), key, "left")
+    kept = {column: F.when(manual, F.col(column)).otherwise(F.col("candidate")), source: F.when(manual, F.col(source)).otherwise("auto")}
+    return joined.withColumns(kept)
+
+
+def repointed(rows: DataFrame, column: str, moves: DataFrame) -> DataFrame:
+    """Rows with `column` moved by (old_id, new_id), each old_id once."""
+    return rows.join(moves, F.col(column) == F.col("old_id"), "left").withColumn(column, F.coalesce("new_id", column)).drop("old_id", "new_id")
+
+
+def first_wins(passes: list[DataFrame], key: str, order: list[Column]) -> DataFrame:
+    """The rows of several passes one after the other, each key once, where it came first; `place` is the order over all."""
+    marked = [p.withColumn("pass", F.lit(k)) for k, p in enumerate(passes)]
+    every = marked[0]
+    for p in marked[1:]:
+        every = every.unionByName(p)
+    return latest(every, [key], [F.col("pass"), *order])

@@ -68,3 +68,39 @@ def hybrid(text_hits: DataFrame, vector_hits: DataFrame, floor: float = FLOOR) -
 def best_per_group(rows: DataFrame, group: str, order: list[Column], k: int = 3) -> DataFrame:
     """The first k rows of each group."""
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(*order))).filter(F.col("place") <= k)
+
+
+def phrase_hits(docs: DataFrame, id_col: str, text: Column, phrases: list[str]) -> DataFrame:
+    """id and number of the phrases that a row holds as consecutive terms, rows with none left out."""
+    joined = docs.select(F.col(id_col).alias("id"), F.concat(F.lit(" "), F.array_join(terms(F.coalesce(text, F.lit(""))), " "), F.lit(" ")).alias("t"))
+    held = [F.col("t").contains(f" {' '.join(p.lower().split())} ").cast("int") for p in phrases]
+    return joined.select("id", sum(held[1:], held[0]).alias("phrases")).filter("phrases > 0")
+
+
+def merged_evidence(streams: list[DataFrame], keys: list[str]) -> DataFrame:
+    """Evidence of several streams (keys, text_score, vector_score), the best of each score for each key, then the hybrid score."""
+    every = streams[0]
+    for s in streams[1:]:
+        every = every.unionByName(s, allowMissingColumns=True)
+    best = every.groupBy(*keys).agg(*(F.coalesce(F.max(c), F.lit(0.0)).alias(c) for c in ("text_score", "vector_score")))
+    both = F.when((F.col("text_score") > 0) & (F.col("vector_score") > 0), BOTH_BONUS).otherwise(0.0)
+    return best.withColumn("score", VECTOR_WEIGHT * F.col("vector_score") + TEXT_WEIGHT * F.col("text_score") + both)
+
+
+def rolled_up(scores: DataFrame, parents: DataFrame) -> DataFrame:
+    """id and the best score of a row and its children (id, parent)."""
+    up = scores.join(parents, "id").select(F.col("parent").alias("id"), "score")
+    return scores.select("id", "score").union(up).groupBy("id").agg(F.max("score").alias("score"))
+
+
+def resolved_links(links: DataFrame, target: str, aliases: DataFrame) -> DataFrame:
+    """Links with the file that an alias (alias, file_id) names: by the path, then its stem, then with .md or .markdown added.
+
+    All keys of a link go through one join; of aliases that several files share the smallest file counts."""
+    path = F.lower(F.trim(F.regexp_replace("__target", r"^(\./)+", "")))
+    stem = F.regexp_replace(F.regexp_replace(path, r"^.*/", ""), r"\.[^.]+$", "")
+    tried = F.array(path, stem, F.concat(path, F.lit(".md")), F.concat(path, F.lit(".markdown")))
+    named = aliases.groupBy(F.lower("alias").alias("key")).agg(F.min("file_id").alias("file_id"))
+    keys = links.select(F.col(target).alias("__target")).distinct().select("__target", F.posexplode(tried).alias("turn", "key"))
+    found = keys.join(named, "key").groupBy("__target").agg(F.min_by("file_id", "turn").alias("file_id"))
+    return links.join(found, links[target].eqNullSafe(F.col("__target")), "left").drop("__target")
