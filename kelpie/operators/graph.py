@@ -120,13 +120,14 @@ def matched(pairs: DataFrame, floor: float) -> DataFrame:
     pairs that are the best of both their ends, which gives the same matching."""
     ensure_checkpoints(pairs.sparkSession)
     left = pairs.filter(F.col("score") >= floor).select("a", "b", "score").checkpoint()
-    taken: list[DataFrame] = []
+    order, taken = [F.desc("score"), F.col("a"), F.col("b")], []
     while not left.isEmpty():
-        order = [F.desc("score"), F.col("a"), F.col("b")]
-        ranked = left.withColumns({end: F.row_number().over(Window.partitionBy(end[2:]).orderBy(*order)) for end in ("__a", "__b")})
-        now = ranked.filter("__a = 1 and __b = 1").select("a", "b", "score").checkpoint()
-        taken.append(now)
-        left = left.join(now.select("a"), "a", "left_anti").join(now.select("b"), "b", "left_anti").select("a", "b", "score").checkpoint()
+        ranked = left.withColumns({f"__{end}": F.row_number().over(Window.partitionBy(end).orderBy(*order)) for end in ("a", "b")})
+        ranked = ranked.withColumn("hit", (F.col("__a") == 1) & (F.col("__b") == 1))
+        gone = [F.max("hit").over(Window.partitionBy(end)) for end in ("a", "b")]
+        round_ = ranked.withColumn("gone", gone[0] | gone[1]).filter("hit or not gone").select("a", "b", "score", "hit").checkpoint()
+        taken.append(round_.filter("hit").drop("hit"))
+        left = round_.filter("not hit").drop("hit")
     out = left
     for t in taken:
         out = out.union(t)
