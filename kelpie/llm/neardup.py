@@ -330,24 +330,30 @@ def _links_within(clusters: DataFrame, docs: DataFrame, percent: int, block: int
     return _keyed_sets(docs, dealt, ["cluster", "one", "two", "comp"]).mapInArrow(check, "a long, b long")
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether each u of the edges (u, v) has one v, which is no u itself: then v names its component. One number reaches the driver."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up")).union(edges.select(F.col("v"), F.lit(0)))
+    odd = ends.groupBy("x").agg(F.sum("up").alias("ups"), F.count("*").alias("n")).filter("ups > 1 or (ups = 1 and n > 1)")
+    return odd.agg(F.count("*")).first()[0] == 0
+
+
 def components(links: DataFrame) -> DataFrame:
-    """doc_id and comp, the smallest id reachable, of each end of the links a, b: large and small stars in turn until nothing
-    changes. Only sums of hashes reach the driver."""
+    """doc_id and comp, the smallest id reachable, of each end of the links a, b: large and small stars in turn until only stars
+    are left."""
     edges = stored(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    mark = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
-    before = None
-    while True:
-        now = edges.agg(F.count("*"), mark).first()
-        if now == before or not now[0]:
-            break
-        before = now
+    while not _stars(edges):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
         edges = stored(small, "edges")
-    return edges.groupBy("u").agg(F.min("v").alias("comp")).select(F.col("u").alias("doc_id"), "comp").union(edges.select(F.col("v").alias("doc_id"), F.col("v").alias("comp")).distinct())
+    return edges.select(F.col("u").alias("doc_id"), F.col("v").alias("comp")).union(edges.select(F.col("v").alias("doc_id"), F.col("v").alias("comp")).distinct())
+
+
+def _as_links(comps: DataFrame) -> DataFrame:
+    """The links (a, b) of each document with the name of its component."""
+    return comps.select(F.col("doc_id").alias("a"), F.col(comps.columns[1]).alias("b"))
 
 
 def linked(docs: DataFrame, reps: DataFrame, percent: int = 75, trees: int = 16, node_limit: int = 32, levels: int = 3) -> DataFrame:
@@ -364,8 +370,7 @@ def linked(docs: DataFrame, reps: DataFrame, percent: int = 75, trees: int = 16,
     stars = members.select("path", "doc_id").join(pivots, "path").select("a", F.col("doc_id").alias("b")).filter("a <> b").distinct()
     best = _estimated(stars, reps, least).groupBy("b").agg(F.min_by("a", F.struct(-F.col("same"), F.col("a"))).alias("a"))
     best = stored(best, "best")
-    first = stored(_pivots_confirmed(best, docs, percent), "links")
-    comps = components(first)
+    comps = components(_pivots_confirmed(best, docs, percent))
     groups = components(best.select("a", "b")).withColumnRenamed("comp", "group")
     current = members.drop("n").join(comps, "doc_id", "left").join(groups, "doc_id", "left").withColumns({"comp": F.coalesce("comp", "doc_id"), "group": F.coalesce("group", "doc_id")})
     found: list[DataFrame] = []
@@ -385,11 +390,11 @@ def linked(docs: DataFrame, reps: DataFrame, percent: int = 75, trees: int = 16,
     for more in found[1:]:
         pairs = pairs.union(more)
     # All pairs that may be linked lie within a component of pivots' and nodes' candidates; what they connect is confirmed there.
-    clusters = components(best.select("a", "b").union(pairs.distinct())).withColumnRenamed("comp", "cluster")
+    clusters = components(_as_links(groups).union(pairs)).withColumnRenamed("comp", "cluster")
     named = clusters.join(comps, "doc_id", "left").select("cluster", "doc_id", F.coalesce("comp", "doc_id").alias("comp"))
     mixed_ones = named.groupBy("cluster").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("cluster")
     second = _links_within(stored(named.join(mixed_ones, "cluster"), "clusters"), docs, percent)
-    return components(stored(first.union(second), "links"))
+    return components(_as_links(comps).union(second))
 
 
 def near_duplicates(docs: DataFrame, **options: int) -> DataFrame:
