@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kelpie.plans import knowledge_queries
+from kelpie.plans import knowledge_queries, record_queries  # noqa: F401  the modules share one list
 
 FLAGSHIP = "a1_time_per_tag_day"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(knowledge_queries.QUERIES)
+    return dict(record_queries.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(knowledge_queries.SQL)
+    return dict(record_queries.SQL)
