@@ -151,3 +151,47 @@ def m21_soft_deletes(spark, sf_dir):
     """Rows to be deleted get a date, those of a protected kind don't."""
     doomed = (F.col("c_mktsegment") != "MACHINERY") & (F.col("c_acctbal") < 0)
     return table(spark, sf_dir, "customer").select("c_custkey", F.when(doomed, F.lit(TODAY).cast("date")).alias("delete_date"))
+
+
+def numbered_names(rows: DataFrame, ident: str, name: str) -> DataFrame:
+    """Names trimmed and lower-cased, those after the first of a name with a number from 2; rows of one name are counted in parts
+    by hash before they are numbered, so that a frequent name isn't sorted by one task. Null names stay null; a name that already
+    ends in such a number may meet a numbered one."""
+    parts = rows.withColumn("__name", F.lower(F.trim(name))).withColumn("__part", F.pmod(F.xxhash64(ident), F.lit(64)))
+    sizes = parts.groupBy("__name", "__part").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy("__name").orderBy("__part")) - F.col("__n")
+    place = F.row_number().over(Window.partitionBy("__name", "__part").orderBy(ident))
+    numbered = parts.withColumn("__at", place).join(sizes.withColumn("__before", before), ["__name", "__part"], "left").withColumn("__at", F.col("__at") + F.coalesce("__before", F.lit(0)))
+    return numbered.withColumn("unique_name", F.when((F.col("__at") == 1) | F.col("__name").isNull(), F.col("__name")).otherwise(F.concat_ws(" ", "__name", "__at"))).drop("__name", "__part", "__n", "__before", "__at")
+
+
+@query("SELECT l_partkey, min(l_linenumber) AS best, max(l_orderkey) AS last_order FROM lineitem GROUP BY l_partkey")
+def a9_merged_matches(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.min("l_linenumber").alias("best"), F.max("l_orderkey").alias("last_order"))
+
+
+@query("""WITH v AS (SELECT user_id, event_type, count(*) AS votes FROM events GROUP BY ALL)
+  SELECT user_id, event_type, votes FROM v QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY votes DESC, event_type) = 1""")
+def a15_votes(spark, sf_dir):
+    """The candidate with most votes of each user, ties to the smaller name."""
+    votes = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("votes"))
+    best = votes.groupBy("user_id").agg(F.min(F.struct((-F.col("votes")).alias("v"), "event_type")).alias("b"))
+    return best.select("user_id", "b.event_type", (-F.col("b.v")).alias("votes"))
+
+
+@query(f"""WITH {ACTIVITIES} SELECT user_id, id, place FROM (SELECT user_id, id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC NULLS LAST, start_time, id) AS place FROM a)
+  WHERE place <= 3""")
+def w3_ranked_three(spark, sf_dir):
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc_nulls_last("value"), "start_time", "id"))
+    return activities(spark, sf_dir).select("user_id", "id", place.alias("place")).filter("place <= 3")
+
+
+@query("SELECT o_orderkey, (SELECT c_name FROM customer WHERE c_custkey = o_custkey) AS name FROM orders")
+def j14_looked_up(spark, sf_dir):
+    names = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("name"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(names, "o_custkey", "left").drop("o_custkey")
+
+
+@query()
+def m22_unique_names(spark, sf_dir):
+    return numbered_names(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), "c_custkey", "c_mktsegment").drop("c_mktsegment")

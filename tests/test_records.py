@@ -39,3 +39,11 @@ def test_linked_to(spark):
     wanted = spark.createDataFrame([(2,), (2,), (None,)], "one int")
     assert {tuple(x) for x in r.linked_to(links, "one", "two", wanted).collect()} == {(1, 2), (2, 3), (None, 2)}
     assert r.linked_to(links, "one", "two", wanted.limit(0)).collect() == []
+
+
+def test_numbered_names(spark):
+    rows = spark.createDataFrame([(i, " One" if i % 2 else "one ") for i in range(300)] + [(900, "two"), (901, None), (902, None)], "id int, name string")
+    got = {x.id: x.unique_name for x in r.numbered_names(rows, "id", "name").collect()}
+    assert sorted(got[i] for i in range(300)) == sorted(["one", *(f"one {n}" for n in range(2, 301))]) and got[900] == "two"
+    assert got[901] is None and got[902] is None
+    assert r.numbered_names(rows.limit(0), "id", "name").collect() == []
