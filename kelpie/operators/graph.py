@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kelpie.plans.storage import ensure_checkpoints
+from kelpie.plans.storage import cut, ensure_checkpoints
 
 
 def pair_weights(links: DataFrame, a: str, b: str) -> DataFrame:
@@ -118,14 +118,13 @@ def similarity_edges(near: DataFrame, vectors: DataFrame, id_col: str, vec_col:
 def matched(pairs: DataFrame, floor: float) -> DataFrame:
     """Greedy one-to-one matching of pairs (a, b, score) of at least the floor, best first, ties by a and b. Each round takes all
     pairs that are the best of both their ends, which gives the same matching."""
-    ensure_checkpoints(pairs.sparkSession)
-    left = pairs.filter(F.col("score") >= floor).select("a", "b", "score").checkpoint()
+    left = cut(pairs.filter(F.col("score") >= floor).select("a", "b", "score"))
     order, taken = [F.desc("score"), F.col("a"), F.col("b")], []
     while not left.isEmpty():
         ranked = left.withColumns({f"__{end}": F.row_number().over(Window.partitionBy(end).orderBy(*order)) for end in ("a", "b")})
         ranked = ranked.withColumn("hit", (F.col("__a") == 1) & (F.col("__b") == 1))
         gone = [F.max("hit").over(Window.partitionBy(end)) for end in ("a", "b")]
-        round_ = ranked.withColumn("gone", gone[0] | gone[1]).filter("hit or not gone").select("a", "b", "score", "hit").checkpoint()
+        round_ = cut(ranked.withColumn("gone", gone[0] | gone[1]).filter("hit or not gone").select("a", "b", "score", "hit"))
         taken.append(round_.filter("hit").drop("hit"))
         left = round_.filter("not hit").drop("hit")
     out = left
@@ -134,75 +133,60 @@ def matched(pairs: DataFrame, floor: float) -> DataFrame:
     return out
 
 
-def _moves(nodes: DataFrame, both: DataFrame, resolution: float, least: float, turn: int | None = None) -> DataFrame:
-    """id and target of moves that each raise the quality: without a turn no two touch the same community, so that all hold
-    together; with one, communities give or take by a coin of the turn, and many nodes may move to one."""
+def _moves(nodes: DataFrame, both: DataFrame, resolution: float, least: float) -> DataFrame:
+    """id and target of moves that together raise the quality.
+
+    Each node asks for its best move. A community gives if the best move out of it is above the best into it, else it takes, so the
+    best move of all is always made. Of the moves of one community, each has to gain after the sizes of those before it are
+    charged, as if they weren't linked to it; so the sum of the charged gains is a lower bound, and no round need be put back."""
     total = nodes.groupBy("comm").agg(F.sum("size").alias("total"))
     other = nodes.select(F.col("id").alias("other"), F.col("comm").alias("target"))
     pull = both.join(other, "other").groupBy("id", "target").agg(F.sum("weight").alias("w"))
     own = nodes.join(total, "comm").join(pull.select("id", F.col("target").alias("comm"), F.col("w").alias("w0")), ["id", "comm"], "left")
     stays = own.select("id", "size", "comm", (F.coalesce("w0", F.lit(0.0)) - resolution * F.col("size") * (F.col("total") - F.col("size"))).alias("stay"))
-    goes = pull.join(stays, "id").filter("target <> comm")
-    if turn is not None:
-        takes = lambda c: F.xxhash64(F.col(c), F.lit(turn)).bitwiseAND(F.lit(1).cast("long")) == 1
-        goes = goes.filter(~takes("comm") & takes("target"))
-    goes = goes.join(total.withColumnRenamed("comm", "target"), "target")
+    goes = pull.join(stays, "id").filter("target <> comm").join(total.withColumnRenamed("comm", "target"), "target")
     gain = F.col("w") - resolution * F.col("size") * F.col("total") - F.col("stay")
-    better = goes.withColumn("gain", gain).filter(F.col("gain") > least).groupBy("id", "comm").agg(F.max_by("target", F.struct("gain", -F.col("target"))).alias("target"), F.max("gain").alias("gain"))
-    if turn is not None:
-        return better.select("id", "target")
-    touched = better.select("*", F.explode(F.array("comm", "target")).alias("side"))
-    first = touched.groupBy("side").agg(F.max_by("id", F.struct("gain", -F.col("id"))).alias("id"))
-    return touched.select("id", "target", "side").join(first, ["side", "id"]).groupBy("id", "target").agg(F.count("*").alias("n")).filter("n = 2").select("id", "target")
+    better = goes.withColumn("gain", gain).filter(F.col("gain") > least)
+    best = better.groupBy("id", "comm", "size").agg(F.max_by("target", F.struct("gain", -F.col("target"))).alias("target"), F.max("gain").alias("gain"))
+    key = F.struct("gain", -F.col("id"))
+    sides = best.select(key.alias("key"), F.posexplode(F.array("comm", "target")).alias("into", "side"))
+    ends = sides.groupBy("side").agg(*(F.max(F.when(F.col("into") == k, F.col("key"))).alias(name) for k, name in enumerate(("out", "in"))))
+    roles = ends.select("side", F.coalesce(F.col("out") > F.col("in"), F.col("in").isNull()).alias("gives"))
+    chosen = best.join(roles.filter("gives").select(F.col("side").alias("comm")), "comm", "left_semi").join(roles.filter("not gives").select(F.col("side").alias("target")), "target", "left_semi")
+    before = [F.coalesce(F.sum("size").over(Window.partitionBy(c).orderBy(F.desc("gain"), "id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) for c in ("comm", "target")]
+    return chosen.withColumn("before", before[0] + before[1]).filter(F.col("gain") - resolution * F.col("size") * F.col("before") > least).select("id", "target")
 
 
 def _moved(nodes: DataFrame, moves: DataFrame) -> DataFrame:
-    return nodes.join(moves, "id", "left").select("id", "size", F.coalesce("target", "comm").alias("comm"))
-
-
-def _quality(nodes: DataFrame, both: DataFrame, resolution: float) -> float:
-    """Twice the weight within communities less the resolution times their squared sizes."""
-    comm = nodes.select("id", "comm")
-    inner = both.join(comm, "id").join(comm.select(F.col("id").alias("other"), F.col("comm").alias("far")), "other").filter("comm = far").agg(F.sum("weight").alias("x"))
-    sizes = nodes.groupBy("comm").agg(F.sum("size").alias("s")).agg(F.sum(F.col("s").cast("double") * F.col("s")).alias("y"))
-    x, y = inner.crossJoin(sizes).first()  # one row each
-    return (x or 0.0) - resolution * (y or 0.0)
+    return nodes.join(moves, "id", "left").select("id", "size", F.coalesce("target", "comm").alias("comm"), F.col("target").isNotNull().alias("moved"))
 
 
 def communities(edges: DataFrame, resolution: float = 0.05, least: float = 1e-7, most_levels: int = 64) -> DataFrame:
     """id and community_id (its smallest member) of nodes in communities of two or more, under the constant Potts model.
 
-    Nodes move to the community of a neighbour that raises the quality most. Half the communities give and half take in a round, by a
-    coin; a round that doesn't raise the quality is put back, and the best move for each community made instead, which does. So
+    Nodes move to the community of a neighbour that raises the quality most, many in a round, and a round is one table, so that
     quality only rises and the rounds end. Then communities become nodes and move as wholes, until none does. Parallel edges
     count together, self-links and those without positive weight are left out. Moves start from single nodes and only join linked
     ones; results can differ from those of sequential sweeps where several partitions are stable, and there is no step that refines
-a community within itself."""
-    ensure_checkpoints(edges.sparkSession)
+    a community within itself."""
     plain = edges.filter("first_id <> second_id and weight > 0").select(F.least("first_id", "second_id").alias("first_id"), F.greatest("first_id", "second_id").alias("second_id"), F.col("weight").cast("double").alias("weight"))
-    both = _ends(plain).groupBy("id", "other").agg(F.sum("weight").alias("weight")).checkpoint()
-    nodes = both.select("id").distinct().select("id", F.lit(1).cast("long").alias("size"), F.col("id").alias("comm")).checkpoint()
+    both = cut(_ends(plain).groupBy("id", "other").agg(F.sum("weight").alias("weight")))
+    nodes = cut(both.select("id").distinct().select("id", F.lit(1).cast("long").alias("size"), F.col("id").alias("comm")))
     members = nodes.select(F.col("id").alias("member"), F.col("comm").alias("id"))
     for _ in range(most_levels):
         moved = False
-        turn, best = 0, _quality(nodes, both, resolution)
         while True:
-            changed = _moved(nodes, _moves(nodes, both, resolution, least, turn)).checkpoint()
-            turn, now = turn + 1, _quality(changed, both, resolution)
-            if now <= best + least:
-                moves = _moves(nodes, both, resolution, least).checkpoint()
-                if moves.isEmpty():
-                    break
-                changed = _moved(nodes, moves).checkpoint()
-                now = _quality(changed, both, resolution)
-            nodes, best, moved = changed, now, True
+            changed = cut(_moved(nodes, _moves(nodes, both, resolution, least)))
+            if changed.filter("moved").isEmpty():
+                break
+            nodes, moved = changed.drop("moved"), True
         if not moved:
             break
         place = nodes.select("id", "comm")
-        members = members.join(place, "id").select("member", F.col("comm").alias("id")).checkpoint()
+        members = cut(members.join(place, "id").select("member", F.col("comm").alias("id")))
         ends = both.join(place, "id").join(place.select(F.col("id").alias("other"), F.col("comm").alias("far")), "other").filter("comm <> far")
-        both = ends.groupBy(F.col("comm").alias("id"), F.col("far").alias("other")).agg(F.sum("weight").alias("weight")).checkpoint()
-        nodes = nodes.groupBy("comm").agg(F.sum("size").alias("size")).select(F.col("comm").alias("id"), "size", "comm").checkpoint()
+        both = cut(ends.groupBy(F.col("comm").alias("id"), F.col("far").alias("other")).agg(F.sum("weight").alias("weight")))
+        nodes = cut(nodes.groupBy("comm").agg(F.sum("size").alias("size")).select(F.col("comm").alias("id"), "size", "comm"))
     named = members.groupBy("id").agg(F.min("member").alias("community_id"), F.count("*").alias("n")).filter("n > 1")
     return members.join(named, "id").select(F.col("member").alias("id"), "community_id")
 

@@ -106,20 +106,17 @@ def g3_similarity_edges(spark, sf_dir):
     return edges.select("first_id", "second_id", F.round("weight", 6).alias("weight"))
 
 
-def _nation_segments(spark, sf_dir):
-    segment = F.pmod(F.crc32("c_mktsegment"), F.lit(1000)) + 1000
-    return table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").cast("long").alias("nation"), segment.cast("long").alias("segment")).agg(F.count("*").alias("n"))
-
-
 @query()
 def g1_communities(spark, sf_dir):
-    counts = _nation_segments(spark, sf_dir)
-    return graph.communities(counts.select(F.col("nation").alias("first_id"), F.col("segment").alias("second_id"), F.col("n").alias("weight")), 5.0)
+    vectors = table(spark, sf_dir, "embeddings")
+    edges = graph.similarity_edges(graph.nearest_of_all(vectors, "vec_id", "embedding", 45), vectors, "vec_id", "embedding")
+    return graph.communities(edges, 0.05)
 
 
 @query()
 def g6_greedy_matching(spark, sf_dir):
-    return graph.matched(_nation_segments(spark, sf_dir).select(F.col("nation").alias("a"), F.col("segment").alias("b"), F.col("n").alias("score")), 1)
+    pairs = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b")).agg(F.sum("l_quantity").alias("score"))
+    return graph.matched(pairs, 1.0)
 
 
 @query("""WITH x AS (SELECT label, unnest(embedding::DOUBLE[]) AS v, generate_subscripts(embedding, 1) AS pos FROM embeddings WHERE embedding IS NOT NULL),

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoints(spark: SparkSession) -> None:
@@ -15,3 +16,13 @@ def ensure_checkpoints(spark: SparkSession) -> None:
     if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+
+
+def cut(frame: DataFrame) -> DataFrame:
+    """The frame written to the folder of checkpoints and read back. Unlike a checkpoint it is computed once and is planned by its
+    own size: checkpoints keep the size guessed for their plan, which in a loop of joins doubles its digits with each round."""
+    ensure_checkpoints(frame.sparkSession)
+    root = frame.sparkSession.sparkContext.getCheckpointDir() or frame.sparkSession.conf.get("spark.checkpoint.dir")
+    path = f"{root}/cut-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from kelpie.functions import text as tx
 from kelpie.operators import analytics, graph, merge, search
+from kelpie.plans import knowledge_queries
 
 
 def edges_of(spark, rows):
@@ -104,3 +105,29 @@ def test_parsers(spark):
     row = spark.createDataFrame([("intro\nName: One \nSummary: two", 'say\n```json\n{"a": 1}\n```\nend', "30 MB", front)], "a string, b string, c string, d string")
     row = row.select(tx.labelled_line(F.col("a"), "Name"), tx.labelled_line(F.col("a"), "Other"), tx.fenced_json(F.col("b")), tx.human_size(F.lit("30MB")), tx.human_size(F.lit("x")), tx.frontmatter(F.col("d")), tx.frontmatter(F.lit("none")), tx.keywords(F.lit("The Q4 ledger a ledger"), ["the"])).first()
     assert tuple(row) == ("One", None, '{"a": 1}', 30 << 20, None, {"title": "A b", "kind": "y"}, {}, ["q4", "ledger"])
+
+
+def test_many_rounds_of_communities_end(spark):
+    """Sixty nodes in six groups with a few links between them: rounds stay cheap, and no two communities gain by joining."""
+    rng = np.random.default_rng(5)
+    weight = np.zeros((60, 60))
+    for a in range(60):
+        for b in range(a):
+            weight[a, b] = weight[b, a] = rng.random() if rng.random() < (0.7 if a % 6 == b % 6 else 0.05) else 0
+    found = groups_of(graph.communities(edges_of(spark, [(a, b, weight[a, b]) for a in range(60) for b in range(a)]), 0.2))
+    label = np.array([found.get(i, i) for i in range(60)])
+    for one in set(label.tolist()):
+        for two in set(label.tolist()) - {one}:
+            assert (weight - 0.2)[np.ix_(label == one, label == two)].sum() <= 1e-6
+    assert 1 < len(set(label.tolist())) < 30
+
+
+def test_graph_queries_read_the_whole_tables(spark, tmp_path):
+    """Communities are of all embeddings, and the matching is of all suppliers and parts of lineitem."""
+    rows = [(i, [1.0 if j == i % 3 else 0.01 * (i + j) / 9 for j in range(3)]) for i in range(9)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    lines = [(a, b, float(1 + (a * 7 + b) % 5)) for a in range(40) for b in range(a, a + 3)]
+    spark.createDataFrame(lines, "l_suppkey long, l_partkey long, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    assert {r["id"] for r in knowledge_queries.g1_communities(spark, str(tmp_path)).collect()} == set(range(9))
+    got = knowledge_queries.g6_greedy_matching(spark, str(tmp_path)).collect()
+    assert len(got) > 25 and len({r["a"] for r in got}) == len({r["b"] for r in got}) == len(got)
