@@ -3,8 +3,8 @@
 Tokens are words and one end. Each word has a class: frequent words one of their own, others one by their ending. Latent
 states emit classes, and a class emits its words by their counts in training texts, so the model's tables are of fixed size
 while the vocabulary, which is joined and never broadcast, grows with the corpus. Baum-Welch counts of all training texts,
-gathered from the partitions by a tree of sums, train the states; they start from a mixture fitted on `most_sampled`
-documents. A text's score is the exact likelihood of its sequence: the scaled forward recursion over the whole text, and the
+gathered from the partitions by a tree of sums, train the states over whole texts; they start from a mixture whose rounds also
+read all training texts, each dealt to its first part by its content, so that the model doesn't depend on the partitions. A text's score is the exact likelihood of its sequence: the scaled forward recursion over the whole text, and the
 chance of each word in its class.
 
 Texts are first stored in blocks with a dictionary of each block's own words, as 64-bit hashes, so a block meets the
@@ -28,7 +28,6 @@ from pyspark.sql import functions as F
 from kelpie.llm.common import columns_of, range_hashes, stored, word_spans
 
 END = 0  # no word has this hash
-_SPAN = 64  # tokens that training looks at together
 _BLOCK = 1 << 22  # bytes of text to a block
 BLOCKS = "seq long, words array<long>, endings array<int>, counts array<long>, doc_ids array<long>, held array<boolean>, lengths array<int>, tokens binary"
 
@@ -143,6 +142,44 @@ def expected(classes: np.ndarray, end: int, chain: Chain) -> tuple[np.ndarray, n
     return gamma[fresh & real].sum(0, dtype=np.float64), steps, emitted, float(np.log(scale[real].astype(np.float64) / chain.emits.shape[1]).sum())
 
 
+def expected_of_texts(texts: np.ndarray, lengths: np.ndarray, chain: Chain) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Baum-Welch counts of first states, steps and emissions over whole texts (their classes one after another, and their
+    lengths, none 0), and the log-likelihood. Texts run side by side, the longest first, and are laid out by position, so that a
+    step reads one slice and nothing is padded."""
+    states, number = chain.emits.shape
+    if not len(lengths):
+        return np.zeros(states), np.zeros((states, states)), np.zeros((states, number)), 0.0
+    order = np.argsort(-lengths, kind="stable")
+    ranked, begins = lengths[order], (np.cumsum(lengths) - lengths)[order]
+    active = len(ranked) - np.searchsorted(ranked[::-1], np.arange(ranked[0]), "right")  # texts longer than t
+    at = np.concatenate([[0], np.cumsum(active)])
+    place = np.arange(at[-1]) - np.repeat(at[:-1], active)
+    classes = texts[begins[place] + np.repeat(np.arange(ranked[0]), active)]
+    first, steps = chain.first.astype(np.float32), chain.steps.astype(np.float32)
+    emits = np.ascontiguousarray((chain.emits * number).T.astype(np.float32))[classes]
+    alpha, scale = np.empty_like(emits), np.empty(len(classes), np.float32)
+    bounds = at.tolist()
+    for t in range(len(bounds) - 1):
+        low, high = bounds[t], bounds[t + 1]
+        now = (alpha[bounds[t - 1] : bounds[t - 1] + high - low] @ steps if t else first) * emits[low:high]
+        scale[low:high] = total = now.sum(1)
+        alpha[low:high] = now / total[:, None]
+    emits /= scale[:, None]
+    back, backwards = np.zeros((bounds[1], states), np.float32), np.ascontiguousarray(steps.T)
+    counted, width = np.zeros((states, states)), 0
+    for t in range(len(bounds) - 2, -1, -1):
+        low, high = bounds[t], bounds[t + 1]
+        beta = np.ones((high - low, states), np.float32)  # of those that end here
+        if width:
+            counted += steps * (alpha[low : low + width].T @ back)
+            beta[:width] = back @ backwards
+        width = high - low
+        alpha[low:high] *= beta
+        back = emits[low:high] * beta
+    emitted = np.stack([np.bincount(classes, weights=alpha[:, k], minlength=number) for k in range(states)])
+    return alpha[: bounds[1]].sum(0, dtype=np.float64), counted, emitted, float(np.log(scale.astype(np.float64) / number).sum())
+
+
 def updated(first: np.ndarray, steps: np.ndarray, emits: np.ndarray, share: np.ndarray) -> Chain:
     """The chain of expected counts, emissions smoothed towards the shares of classes."""
     emits = emits + 5.0 * share + 1e-3 / emits.shape[1]
@@ -150,19 +187,23 @@ def updated(first: np.ndarray, steps: np.ndarray, emits: np.ndarray, share: np.n
     return Chain(first / first.sum(), steps / steps.sum(1, keepdims=True), emits / emits.sum(1, keepdims=True))
 
 
-def started(docs: list[np.ndarray], states: int, share: np.ndarray, rounds: int = 15) -> Chain:
-    """A chain whose states are the parts of a mixture over documents, and last for long."""
-    rng = np.random.default_rng(3)
-    counts = np.stack([np.bincount(d, minlength=len(share)) for d in docs]).astype(float) if docs else np.zeros((1, len(share)))
-    part = rng.dirichlet(np.ones(states), len(counts))
-    for _ in range(rounds):
-        emits = part.T @ counts + 50.0 * share
-        logs = counts @ np.log(emits / emits.sum(1, keepdims=True)).T + np.log(part.mean(0) + 1e-9)
-        logs -= logs.max(1, keepdims=True)
-        part = np.exp(logs / max(1.0, rounds / 5 - _))
+def mixed(texts: np.ndarray, lengths: np.ndarray, states: int, number: int, weights: np.ndarray | None, logs: np.ndarray | None, heat: float) -> np.ndarray:
+    """The sums of one round of a mixture over texts: the weight of each part, then its emissions. Without logs, chances of parts
+    are drawn by the text's content."""
+    sums = np.zeros(states + states * number)
+    if not len(lengths):
+        return sums
+    starts = np.cumsum(lengths) - lengths
+    if logs is None:
+        part = np.stack([np.random.default_rng(zlib.crc32(t.tobytes())).dirichlet(np.ones(states)) for t in np.split(texts, starts[1:])])
+    else:
+        part = np.add.reduceat(logs[texts], starts, axis=0) + weights
+        part = np.exp((part - part.max(1, keepdims=True)) / heat)
         part /= part.sum(1, keepdims=True)
-    steps = np.full((states, states), 0.1 / states) + 0.9 * np.eye(states)
-    return updated(part.sum(0), steps * 1000, part.T @ counts, share)
+    sums[:states] = part.sum(0)
+    for k in range(states):
+        sums[states + k * number : states + (k + 1) * number] = np.bincount(texts, weights=np.repeat(part[:, k], lengths), minlength=number)
+    return sums
 
 
 def log10_likelihoods(docs: list[np.ndarray], chain: Chain) -> np.ndarray:
@@ -222,41 +263,48 @@ def _summed(partial: DataFrame, size: int) -> np.ndarray:
     return np.sum([np.frombuffer(r["sums"]) for r in partial.collect()], axis=0)
 
 
-def trained(coded: DataFrame, classes: Classes, share: np.ndarray, end: int, states: int, rounds: int, most_sampled: int) -> Chain:
-    """The chain after so many rounds of Baum-Welch over all training texts of the coded blocks."""
+def trained(coded: DataFrame, classes: Classes, share: np.ndarray, states: int, rounds: int, start_rounds: int = 15) -> Chain:
+    """The chain after so many rounds of Baum-Welch over all training texts of the coded blocks, whole. It starts from states that
+    are the parts of a mixture over these texts, and last for long."""
     spark, number = coded.sparkSession, classes.number
+    rows = coded.select("coded", "lengths", "held")
 
-    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for tokens, lengths, held in columns_of(batches, "coded", "lengths", "held"):
-            for t, n, h in zip(tokens, lengths, held, strict=True):
-                parts = np.split(np.frombuffer(t, "<u2"), np.cumsum(n)[:-1])
-                chosen = [p.tobytes() for p, out in list(zip(parts, h, strict=True)) if not out]
-                step = max(1, len(chosen) // 16)
-                yield pa.RecordBatch.from_arrays([pa.array(chosen[::step], pa.binary())], ["doc"])
-
-    seeds = coded.mapInArrow(some, "doc binary").orderBy(F.xxhash64("doc")).limit(most_sampled).collect()
-    chain = started([np.frombuffer(r["doc"], "<u2").astype(np.int64) for r in seeds], states, share)
-    size = states + states * states + states * number
-    for _ in range(rounds):
-        shared = spark.sparkContext.broadcast(chain)  # states x classes
+    def summed(one, size: int, given) -> np.ndarray:
+        shared = spark.sparkContext.broadcast(given)  # states x classes
 
-        def count(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            first, steps, emits = np.zeros(states), np.zeros((states, states)), np.zeros((states, number))
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums = np.zeros(size)
             for tokens, lengths, held in columns_of(batches, "coded", "lengths", "held"):
                 for t, n, h in zip(tokens, lengths, held, strict=True):
-                    stream = np.frombuffer(t, "<u2").astype(np.int64)[np.repeat(~np.asarray(h, bool), n)]
-                    rows = np.append(stream, np.full(-len(stream) % _SPAN, -1)).reshape(-1, _SPAN)
-                    for low in range(0, len(rows), 1024):
-                        a, b, c, _ = expected(rows[low : low + 1024], end, shared.value)
-                        first, steps, emits = first + a, steps + b, emits + c
-            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([first, steps.ravel(), emits.ravel()]).tobytes()], pa.binary())], ["sums"])
-
-        total = _summed(coded.select("coded", "lengths", "held").mapInArrow(count, "sums binary"), size)
+                    n, kept = np.asarray(n, np.int64), ~np.asarray(h, bool)
+                    sums += one(np.frombuffer(t, "<u2")[np.repeat(kept, n)], n[kept], shared.value)
+            yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], ["sums"])
+
+        return _summed(rows.mapInArrow(count, "sums binary"), size)
+
+    def mixture(texts, lengths, given):
+        return mixed(texts, lengths, states, number, *given)
+
+    def baum_welch(texts, lengths, chain):
+        a, b, c, _ = expected_of_texts(texts, lengths, chain)
+        return np.concatenate([a, b.ravel(), c.ravel()])
+
+    given = (None, None, 1.0)
+    for k in range(start_rounds + 1):
+        total = summed(mixture, states + states * number, given)
+        first, emits = total[:states], total[states:].reshape(states, number)
+        likely = emits + 50.0 * share
+        likely = np.log(likely / likely.sum(1, keepdims=True))
+        given = (np.log(first / max(first.sum(), 1.0) + 1e-9), np.ascontiguousarray(likely.T), max(1.0, start_rounds / 5 - k))
+    lasting = np.full((states, states), 0.1 / states) + 0.9 * np.eye(states)
+    chain = updated(first, lasting * 1000, emits, share)
+    for _ in range(rounds):
+        total = summed(baum_welch, states + states * states + states * number, chain)
         chain = updated(total[:states], total[states : states + states**2].reshape(states, states), total[states + states**2 :].reshape(states, number), share)
     return chain
 
 
-def score(docs: DataFrame, states: int = 8, rounds: int = 3, frequent: int = 4096, tail: int = 1024, most_sampled: int = 1024, folds: int = 5, fold: int = 1) -> DataFrame:
+def score(docs: DataFrame, states: int = 8, rounds: int = 3, frequent: int = 4096, tail: int = 1024, folds: int = 5, fold: int = 1) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row."""
     spark = docs.sparkSession
     texts = blocks(docs, folds, fold, tail)
@@ -267,7 +315,7 @@ def score(docs: DataFrame, states: int = 8, rounds: int = 3, frequent: int = 409
     top = [r["word"] for r in vocabulary.orderBy(F.desc("c"), "word").limit(frequent).collect()]
     classes = Classes(np.array(sorted({END, *top}), np.int64), tail)
     known = spark.sparkContext.broadcast(classes)  # at most `frequent` words
-    end, number = int(np.searchsorted(classes.own, END)), classes.number
+    number = classes.number
 
     def class_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, size = np.zeros(number), np.zeros(number)
@@ -291,7 +339,7 @@ def score(docs: DataFrame, states: int = 8, rounds: int = 3, frequent: int = 409
     if number > 1 << 16:
         raise ValueError("at most 65536 classes")
     coded = stored(texts.select("tokens", "words", "endings", "lengths", "held").mapInArrow(to_classes, "coded binary, lengths array<int>, held array<boolean>"), "coded")
-    chain = spark.sparkContext.broadcast(trained(coded, classes, share, end, states, rounds, most_sampled))
+    chain = spark.sparkContext.broadcast(trained(coded, classes, share, states, rounds))
     room = count + 0.5 * (size + 1)
 
     found = words.select("block", "at", "words").join(vocabulary.select("word", "c"), F.col("words") == F.col("word")).groupBy("block").agg(F.collect_list(F.struct("at", "c")).alias("known"))  # a block's own words

@@ -331,3 +331,33 @@ def test_scores(docs, rows, empty):
     assert [tuple(map(float, x)) for x in mine] == [tuple(map(float, x)) for x in want]
     assert (got.score < 0).all() and (got.train_tokens == total).all()
     assert hmm.score(empty).count() == 0
+
+
+def test_whole_texts_are_trained():
+    """The counts are those of the plain recursions over each whole text: one first state a text, and all steps within it."""
+    rng = np.random.default_rng(9)
+    chain = hmm.Chain(rng.dirichlet(np.ones(3)), rng.dirichlet(np.ones(3), 3), rng.dirichlet(np.ones(5), 3))
+    docs = [rng.integers(0, 5, n) for n in (1, 150, 4, 300, 4, 65)]
+    first, steps, emits, logs = hmm.expected_of_texts(np.concatenate(docs).astype("<u2"), np.array([len(d) for d in docs]), chain)
+    want, moves, made, likely = np.zeros(3), np.zeros((3, 3)), np.zeros((3, 5)), 0.0
+    for d in docs:
+        a, b = [chain.first * chain.emits[:, d[0]]], [np.ones(3)]
+        for c in d[1:]:
+            a.append(a[-1] @ chain.steps * chain.emits[:, c])
+        for c in d[:0:-1]:
+            b.insert(0, chain.steps @ (chain.emits[:, c] * b[0]))
+        chance = a[-1].sum()
+        likely += math.log(chance)
+        want += a[0] * b[0] / chance
+        for t, c in enumerate(d):
+            made[:, c] += a[t] * b[t] / chance
+            if t:
+                moves += chain.steps * np.outer(a[t - 1], chain.emits[:, c] * b[t]) / chance
+    for got, right in ((first, want), (steps, moves), (emits, made), (logs, likely)):
+        assert np.allclose(got, right, rtol=1e-3, atol=1e-3)
+    assert abs(first.sum() - len(docs)) < 1e-3 and abs(steps.sum() - sum(len(d) - 1 for d in docs)) < 0.05
+
+
+def test_scores_do_not_depend_on_partitions(docs):
+    one, two = ({(r["doc_id"], r["n_tokens"]): r["score"] for r in hmm.score(docs.repartition(n), states=2, rounds=2, frequent=16, tail=8).collect()} for n in (1, 5))
+    assert one.keys() == two.keys() and all(abs(one[k] - two[k]) < 1e-3 * abs(one[k]) for k in one)
