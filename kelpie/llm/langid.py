@@ -4,8 +4,9 @@ Text: likelihoods of byte trigrams of letters, hashed to a table of fixed size,
 text counts as `weight_of_text` trigrams at most, since neighbours depend on each other. Declared language and address suffix:
 chances given the language, from grouped counts of what the text alone says. Host: a prior from the votes of the host's other
 documents, smoothed towards its suffix's, and that towards all. `und`, a language whose trigrams are all alike, stands for
-text in none of the languages. Only counts by language, declared value and suffix, and tables of fixed size, reach the driver;
-hosts are joined.
+text in none of the languages. Every language of the
+training rows has a model: trigram counts are a table (language, bucket, n), and the model takes 256 KB a language. Tables by host,
+suffix and declared value are joined.
 
 Cases: without letters the text says nothing and the other evidence decides; null declared values, suffixes and hosts say
 nothing; without any evidence the overall prior decides; repeated rows stay; without training rows all is `und`; an empty
@@ -25,10 +26,8 @@ from pyspark.sql import functions as F
 from kelpie.llm.common import columns_of, stored
 
 BITS = 16
-#: At most so many languages, those with most training texts.
-MOST_LANGUAGES = 64
-#: At most so many declared values and suffixes each have chances of their own, those with most rows; others say nothing.
-MOST_VALUES = 4096
+#: So many languages are counted and brought to the driver at a time.
+_AT_ONCE = 64
 UNKNOWN = "und"
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[:128] = [ord(c.lower()) if c.isalpha() else 0x20 for c in map(chr, range(128))]
@@ -53,24 +52,41 @@ class TextModel:
 def train_text(rows: DataFrame, text: str = "text", lang: str = "lang") -> TextModel:
     """Trigram counts of all rows that have text and language."""
     given = rows.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    languages = tuple(sorted(r[0] for r in given.groupBy(F.lower(lang).alias("l")).count().orderBy(F.desc("count"), "l").limit(MOST_LANGUAGES).collect()))
-    place = {x: k for k, x in enumerate(languages)}
+    languages = tuple(sorted(r[0] for r in given.select(F.lower(lang)).distinct().collect()))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros((len(languages), 1 << BITS), np.int64)
+        seen: dict[str, np.ndarray] = {}
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            for name, n in seen.items():
+                at = np.nonzero(n)[0]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at), pa.array(n[at])], ["l", "bucket", "n"])
+            seen.clear()
+
         for data, lang in columns_of(batches, "data", "l"):
             for x, name in zip(data, lang, strict=True):
-                if name in place:
-                    seen[place[name]] += np.bincount(trigrams(x), minlength=1 << BITS)
-        k, at = np.nonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(at), pa.array(seen[k, at])], ["k", "bucket", "n"])
-
-    got = given.select(F.col(text).cast("binary").alias("data"), F.lower(lang).alias("l")).mapInArrow(count, "k long, bucket long, n long").groupBy("k", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros((1 << BITS, len(languages) + 1))
-    counts[got["bucket"].to_numpy(), got["k"].to_numpy()] = got["n"].to_numpy()
-    counts[:, -1] = 1.0
-    smooth = counts + 0.5 * (counts.sum(1, keepdims=True) + 1) / (counts.sum() + len(counts)) * len(counts) * 0.01 + 0.01
-    return TextModel((*languages, UNKNOWN), np.log(smooth / smooth.sum(0)).astype(np.float32))
+                if name not in seen and len(seen) == _AT_ONCE:
+                    yield from counted()
+                found = seen.setdefault(name, np.zeros(1 << BITS, np.int64))
+                found += np.bincount(trigrams(x), minlength=1 << BITS)
+        yield from counted()
+
+    rows_of = given.select(F.col(text).cast("binary").alias("data"), F.lower(lang).alias("l")).mapInArrow(count, "l string, bucket long, n long")
+    table = stored(rows_of.groupBy("l", "bucket").agg(F.sum("n").alias("n")), "trigrams")
+    every = table.groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    in_bucket = np.ones(1 << BITS)  # UNKNOWN has one of each
+    in_bucket[every["bucket"].to_numpy()] += every["n"].to_numpy()
+    least = 0.5 * (in_bucket + 1) / (in_bucket.sum() + len(in_bucket)) * len(in_bucket) * 0.01 + 0.01
+    logs = np.empty((1 << BITS, len(languages) + 1), np.float32)
+    logs[:, -1] = np.log((1.0 + least) / (1.0 + least).sum())
+    for low in range(0, len(languages), _AT_ONCE):
+        some = languages[low : low + _AT_ONCE]
+        got = table.filter(F.col("l").between(some[0], some[-1])).toArrow()
+        counts, place = np.zeros((1 << BITS, len(some))), {x: k for k, x in enumerate(some)}
+        counts[got["bucket"].to_numpy(), [place[x] for x in got["l"].to_pylist()]] = got["n"].to_numpy()
+        smooth = counts + least[:, None]
+        logs[:, low : low + len(some)] = np.log(smooth / smooth.sum(0))
+    return TextModel((*languages, UNKNOWN), logs)
 
 
 def text_evidence(rows: DataFrame, model: TextModel, text: Column, weight_of_text: float) -> Column:
@@ -91,13 +107,10 @@ def text_evidence(rows: DataFrame, model: TextModel, text: Column, weight_of_tex
     return evidence(text.cast("binary"))
 
 
-def _shares(votes: DataFrame, by: str, k: int, least: np.ndarray, weight: float) -> dict[str, np.ndarray]:
-    """Chances of languages given the value, smoothed towards `least`."""
-    top = votes.filter(F.col(by).isNotNull()).groupBy(by).agg(F.sum("n").alias("__t")).orderBy(F.desc("__t"), by).limit(MOST_VALUES).select(by)
-    got: dict[str, np.ndarray] = {}
-    for r in votes.join(F.broadcast(top), by).groupBy(by, "vote").agg(F.sum("n").alias("n")).collect():
-        got.setdefault(r[by], np.zeros(k))[r["vote"]] = r["n"]
-    return {v: (n + weight * least) / (n.sum() + weight) for v, n in got.items()}
+def _by_key(votes: DataFrame, by: str, key: str, name: str) -> DataFrame:
+    """The votes of each value as a map from language to number."""
+    counts = votes.filter(F.col(by).isNotNull()).groupBy(by, "vote").agg(F.sum("n").alias("n"))
+    return counts.groupBy(F.col(by).alias(key)).agg(F.map_from_entries(F.collect_list(F.struct("vote", F.col("n").cast("double")))).alias(name))
 
 
 def identify(rows: DataFrame, model: TextModel, text: Column, declared: Column, suffix: Column, host: Column, weight_of_text: float = 60.0, weight_of_prior: float = 10.0) -> DataFrame:
@@ -112,26 +125,24 @@ def identify(rows: DataFrame, model: TextModel, text: Column, declared: Column,
     for r in votes.groupBy("vote").agg(F.sum("n").alias("n")).collect():
         total[r["vote"]] += r["n"]
     prior = total / total.sum()
-    by_suffix = _shares(votes, "__s", k, prior, weight_of_prior)
-    by_declared = _shares(votes, "declared", k, prior, weight_of_prior)
-
-    def column(table: dict[str, np.ndarray], key: Column, otherwise: np.ndarray) -> Column:
-        """The array for a key by a broadcast map of at most MOST_VALUES entries."""
-        if not table:
-            return F.array(*map(F.lit, otherwise.tolist()))
-        return F.coalesce(F.element_at(F.create_map(*(x for v, p in table.items() for x in (F.lit(v), F.array(*map(F.lit, p.tolist()))))), key), F.array(*map(F.lit, otherwise.tolist())))
-
-    hosts = votes.filter("__h is not null").groupBy("__h").agg(*(F.sum(F.when(F.col("vote") == j, F.col("n")).otherwise(0)).alias(f"__n{j}") for j in range(k))).select(F.col("__h").alias("__host"), F.array(*(F.col(f"__n{j}") for j in range(k))).alias("__n"))
-    joined = base.join(hosts, F.col("__h") == F.col("__host"), "left")
-    own = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: F.coalesce((j == F.col("__v")).cast("int"), F.lit(0)))
-    others = F.transform(F.sequence(F.lit(1), F.lit(k)), lambda j: F.greatest(F.coalesce(F.element_at("__n", j), F.lit(0)) - F.element_at(own, j), F.lit(0)))  # without the row's own vote
+    priors = F.array(*map(F.lit, prior.tolist()))
+
+    def chances(found: str) -> Column:
+        """Chances of languages given the value, smoothed towards the prior; without votes the prior."""
+        n = F.aggregate(F.map_values(found), F.lit(0.0), lambda s, x: s + x)
+        return F.when(F.col(found).isNull(), priors).otherwise(F.transform(priors, lambda p, j: (F.coalesce(F.element_at(found, j), F.lit(0.0)) + weight_of_prior * p) / (n + weight_of_prior)))
+
+    joined = base
+    for by, name in (("__h", "__hosts"), ("__s", "__suffixes"), ("declared", "__declareds")):
+        joined = joined.join(_by_key(votes, by, f"{name}_key", name), F.col(by) == F.col(f"{name}_key"), "left").drop(f"{name}_key")
+    others = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: F.greatest(F.coalesce(F.element_at("__hosts", j), F.lit(0.0)) - F.coalesce((j == F.col("__v")).cast("double"), F.lit(0.0)), F.lit(0.0)))  # without the row's own vote
     count = F.aggregate("__others", F.lit(0.0), lambda s, x: s + x)
     smoothed = F.zip_with("__others", "__suffix", lambda n, p: (n + weight_of_prior * p) / (F.col("__count") + weight_of_prior))
-    says = F.zip_with("__declares", F.array(*map(F.lit, prior.tolist())), lambda p, q: F.log(p / q))
+    says = F.zip_with("__declares", priors, lambda p, q: F.log(p / q))
     logs = F.zip_with(F.zip_with(F.transform("__prior", lambda p: F.log(p)), "__says", lambda a, b: a + b), F.coalesce("__e", F.array_repeat(F.lit(0.0), k)), lambda a, b: a + b)
     fused = (
         joined.withColumn("__others", others)
-        .withColumns({"__count": count, "__suffix": column(by_suffix, F.col("__s"), prior), "__declares": column(by_declared, F.col("declared"), prior)})
+        .withColumns({"__count": count, "__suffix": chances("__suffixes"), "__declares": chances("__declareds")})
         .withColumn("__prior", smoothed)
         .withColumn("__says", says)
         .withColumn("__logs", logs)
@@ -141,7 +152,7 @@ def identify(rows: DataFrame, model: TextModel, text: Column, declared: Column,
     names = F.array(*map(F.lit, model.languages))
     return fused.withColumns(
         {"language": F.element_at(names, F.array_position("__logs", F.col("__top")).cast("int")), "posterior": 1 / mass, "text_language": F.element_at(names, (F.col("__v") + 1).cast("int"))}
-    ).drop("__e", "__v", "__s", "__h", "__host", "__n", "__others", "__count", "__suffix", "__declares", "__prior", "__says", "__logs", "__top")
+    ).drop("__e", "__v", "__s", "__h", "__hosts", "__suffixes", "__declareds", "__others", "__count", "__suffix", "__declares", "__prior", "__says", "__logs", "__top")
 
 
 def accepted(least: float = 0.5) -> Column:

@@ -361,3 +361,22 @@ def test_whole_texts_are_trained():
 def test_scores_do_not_depend_on_partitions(docs):
     one, two = ({(r["doc_id"], r["n_tokens"]): r["score"] for r in hmm.score(docs.repartition(n), states=2, rounds=2, frequent=16, tail=8).collect()} for n in (1, 5))
     assert one.keys() == two.keys() and all(abs(one[k] - two[k]) < 1e-3 * abs(one[k]) for k in one)
+
+
+def test_rare_languages_and_suffixes_count(spark):
+    """The rarest of 70 declared languages has a model, and the rarest of over 4096 suffixes its chances."""
+    rng = random.Random(8)
+    said = {f"l{k:02d}": ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(6)] for k in range(70)}
+    rows = [(i, " ".join(rng.choices(said[x], k=30)), x) for i, x in enumerate([y for y in said for _ in range(1 if y == "l69" else 2)])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    none = F.lit(None).cast("string")
+    model = langid.train_text(frame)
+    assert len(model.languages) == 71
+    got = {r["doc_id"]: r["language"] for r in langid.identify(frame, model, F.col("text"), none, none, none).collect()}
+    assert all(got[i] == x for i, _, x in rows)
+    en, fr = "the and with that have from they this", "les des une dans pour avec sont nous"
+    model = langid.train_text(spark.createDataFrame([(en, "en"), (fr, "fr")], "text string, lang string"))
+    pages = [(i, en, f"s{i % 4200}") for i in range(8400)] + [(9000, fr, "zz"), (9001, None, "zz")]
+    pages = spark.createDataFrame(pages, "doc_id long, text string, suffix string")
+    found = langid.identify(pages, model, F.col("text"), none, F.col("suffix"), none, weight_of_prior=0.01)
+    assert {r["doc_id"]: r["language"] for r in found.filter("doc_id >= 9000").collect()} == {9000: "fr", 9001: "fr"}
