@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kelpie.plans.storage import cut, ensure_checkpoints
+from kelpie.plans.storage import cut
 
 
 def pair_weights(links: DataFrame, a: str, b: str) -> DataFrame:
@@ -45,15 +45,15 @@ def assigned(edges: DataFrame, members: DataFrame) -> DataFrame:
     return votes.filter("votes > 0").withColumn("place", F.row_number().over(place)).filter("place = 1").drop("place")
 
 
-def reachable(edges: DataFrame, seeds: DataFrame, most_steps: int = 64) -> DataFrame:
-    """Nodes that edges lead to from the seeds (id), seeds included; each step is checkpointed, and it ends when nothing is new."""
-    ensure_checkpoints(edges.sparkSession)
+def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Nodes that edges lead to from the seeds (id), seeds included; each step is a table of its own, and it ends when nothing is
+    new. Edges lead both ways, so a step meets nodes of the last two steps only, besides new ones."""
     steps = _ends(edges).select("id", "other")
-    seen = frontier = seeds.select("id").distinct().checkpoint()
-    for _ in range(most_steps):
-        frontier = steps.join(frontier, "id", "left_semi").select(F.col("other").alias("id")).distinct().join(seen, "id", "left_anti").checkpoint()
-        if frontier.isEmpty():
-            break
+    frontier = seen = cut(seeds.select("id").distinct())
+    last = frontier.limit(0)
+    while not frontier.isEmpty():
+        known = frontier.union(last)
+        last, frontier = frontier, cut(steps.join(frontier, "id", "left_semi").select(F.col("other").alias("id")).distinct().join(known, "id", "left_anti"))
         seen = seen.union(frontier)
     return seen
 

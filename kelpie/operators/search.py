@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kelpie.functions.text import terms
 from kelpie.functions.vectors import distance
+from kelpie.plans.storage import cut
 
 K1, B = 1.2, 0.75
 #: The least idf, and the weights of hybrid scores.
@@ -88,9 +89,15 @@ def merged_evidence(streams: list[DataFrame], keys: list[str]) -> DataFrame:
 
 
 def rolled_up(scores: DataFrame, parents: DataFrame) -> DataFrame:
-    """id and the best score of a row and its children (id, parent)."""
-    up = scores.join(parents, "id").select(F.col("parent").alias("id"), "score")
-    return scores.select("id", "score").union(up).groupBy("id").agg(F.max("score").alias("score"))
+    """id and the best score of a row and all its descendants (id, parent): scores climb a level a round, until none changes."""
+    best = cut(scores.groupBy("id").agg(F.max("score").alias("score")))
+    while True:
+        up = best.join(parents, "id").select(F.col("parent").alias("id"), "score")
+        higher = cut(best.union(up).groupBy("id").agg(F.max("score").alias("score")))
+        same = higher["id"].eqNullSafe(best["id"]) & higher["score"].eqNullSafe(best["score"])
+        if higher.join(best, same, "left_anti").isEmpty():
+            return higher
+        best = higher
 
 
 def resolved_links(links: DataFrame, target: str, aliases: DataFrame) -> DataFrame:

@@ -131,3 +131,13 @@ def test_graph_queries_read_the_whole_tables(spark, tmp_path):
     assert {r["id"] for r in knowledge_queries.g1_communities(spark, str(tmp_path)).collect()} == set(range(9))
     got = knowledge_queries.g6_greedy_matching(spark, str(tmp_path)).collect()
     assert len(got) > 25 and len({r["a"] for r in got}) == len({r["b"] for r in got}) == len(got)
+
+
+def test_far_nodes_and_descendants(spark):
+    """A chain of over 64 steps is reached to its end, and a grandchild's score gets to the top; an unscored level between passes it on."""
+    chain = edges_of(spark, [(i, i + 1, 1) for i in range(68)])
+    got = [r["id"] for r in graph.reachable(chain, spark.createDataFrame([(0,)], "id long")).collect()]
+    assert sorted(got) == list(range(69))
+    scores = spark.createDataFrame([("top", 1.0), ("leaf", 9.0), ("child", 3.0)], "id string, score double")
+    parents = spark.createDataFrame([("leaf", "mid"), ("mid", "top"), ("child", "top"), ("top", None)], "id string, parent string").filter("parent is not null")
+    assert {r["id"]: r["score"] for r in search.rolled_up(scores, parents).collect()} == {"top": 9.0, "mid": 9.0, "leaf": 9.0, "child": 3.0}
