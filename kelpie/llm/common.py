@@ -42,6 +42,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def rows_of(batches: Iterator, *names: str) -> Iterator[tuple]:
+    """The named columns row by row: one row's values are Python objects at a time."""
+    for batch in batches:
+        columns = [batch.column(batch.schema.get_field_index(n)) for n in names]
+        for k in range(batch.num_rows):
+            yield tuple(c[k].as_py() for c in columns)
+
+
 def columns_of(batches: Iterator, *names: str) -> Iterator[tuple[list, ...]]:
     """The named columns of each Arrow batch as Python lists."""
     for batch in batches:
@@ -53,22 +61,6 @@ def columns_of(batches: Iterator, *names: str) -> Iterator[tuple[list, ...]]:
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 2**64)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the hash base modulo 2^64, and of its inverse."""
-    if len(_powers[0]) < n:
-        size = max(n, 1 << 14)
-        for k, base in enumerate((_BASE, _INVERSE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers[0][:n], _powers[1][:n]
-
-
 def mixed(h: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit hashes."""
     h = h ^ (h >> np.uint64(33))
@@ -78,12 +70,37 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def range_hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each range of symbols, independent of where it lies."""
-    up, down = powers(len(symbols) + 1)
-    sums = np.zeros(len(symbols) + 1, np.uint64)
-    np.cumsum((symbols.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+_AT_ONCE = 1 << 20  # symbols that are hashed at a time, but for a longer range
+
+
+def placed(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums of the mixed symbols of the ranges, which don't overlap, and where each range begins in them. A symbol is mixed
+    with its place in its range, so that no power or other linear rule ties one symbol's part to another's."""
+    size = ends - starts
+    stop = np.cumsum(size)
+    first = stop - size
+    total = int(stop[-1]) if len(stop) else 0
+    order = np.arange(total)
+    place = order - np.repeat(first, size)
+    inside = symbols[order + np.repeat(starts - first, size)].astype(np.uint64)
+    sums = np.zeros(total + 1, np.uint64)
+    np.cumsum(mixed((inside + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + mixed(place.astype(np.uint64) + np.uint64(1))), out=sums[1:])
+    return sums, first
+
+
+def range_hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, beginnings: tuple[int, ...] = ()) -> np.ndarray:
+    """A 64-bit hash of each range of symbols, independent of where it lies; the ranges don't overlap and come in order. With
+    beginnings, a row for each: the whole range, and its first so many symbols."""
+    out, low = [np.zeros((1 + len(beginnings), 0), np.uint64)], 0
+    while low < len(starts):
+        high = max(low + 1, int(np.searchsorted(ends, starts[low] + _AT_ONCE, "right")))
+        sums, first = placed(symbols, starts[low:high], ends[low:high])
+        size = ends[low:high] - starts[low:high]
+        lengths = [size, *(np.minimum(size, n) for n in beginnings)]
+        out.append(np.stack([mixed(sums[first + n] - sums[first] + n.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) for n in lengths]))
+        low = high
+    found = np.concatenate(out, 1)
+    return found if beginnings else found[0]
 
 
 def word_spans(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -1,15 +1,18 @@
 """Byte-level BPE ids by the vocabulary of a public tokenizer file.
 
 The ids are those of the tokenizers library for the same file. Texts are cut into pre-tokens with NumPy, each distinct
-pre-token is encoded once, and the ids of a text are gathered from that cache; most pre-tokens repeat. Texts that hold
-characters outside the planes whose classes are tabulated go to the tokenizers library whole.
+pre-token is encoded once, and the ids of a text are gathered from that cache, which compares characters and not hashes alone;
+most pre-tokens repeat. Texts that hold characters outside the planes whose classes are tabulated go to the tokenizers library
+whole; it is loaded when the first such text comes.
 """
 
 from __future__ import annotations
 
+import json
 import sys
 import unicodedata
-from functools import lru_cache
+from functools import cached_property, lru_cache
+from itertools import chain
 
 import numpy as np
 
@@ -22,7 +25,7 @@ _CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 _BLANKS = {*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F}
 #: Characters up to here have had their classes for many Unicode versions, if they are assigned.
 _TABULATED = 0x2FFF
-_CACHE = 1 << 21
+_CACHE = 1 << 17
 
 
 @lru_cache(1)
@@ -66,23 +69,27 @@ class Encoder:
     """Encodes texts without special tokens; strings of special tokens in a text are ordinary text."""
 
     def __init__(self, path: str, cache: int = _CACHE) -> None:
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.path, self.limit = path, cache
         self.piece = self._pieces()
-        self.limit = cache
         self._forget()
 
+    @cached_property
+    def tokenizer(self):
+        from tokenizers import Tokenizer
+
+        whole = Tokenizer.from_file(self.path)
+        whole.encode_special_tokens = True
+        return whole
+
     def _pieces(self):
         """Encodes one pre-token: the same merges by tiktoken, whose ranks are the vocabulary's ids in order of merging."""
         import tiktoken
 
         to_byte = {c: b for b, c in self.byte_letters().items()}
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
-        ranks = {bytes(to_byte[c] for c in word): k for word, k in vocabulary.items() if all(c in to_byte for c in word)}
-        special = {x.content for x in self.tokenizer.get_added_tokens_decoder().values()}
-        ranks = {w: k for w, k in ranks.items() if w.decode("latin1") not in special}
+        with open(self.path, encoding="utf-8") as file:
+            said = json.load(file)
+        vocabulary, special = said["model"]["vocab"], {x["content"] for x in said.get("added_tokens") or []}
+        ranks = {bytes(to_byte[c] for c in word): k for word, k in vocabulary.items() if word not in special and all(c in to_byte for c in word)}
         core = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
         self.byte_length = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for word, k in ranks.items():
@@ -99,9 +106,9 @@ class Encoder:
     def _forget(self) -> None:
         self.slots = 2 * self.limit
         self.keys = np.zeros(self.slots, np.uint64)
-        self.where = np.zeros(self.slots, np.int64)
-        self.count = np.zeros(self.slots, np.int32)
-        self.used, self.pool, self.filled = 0, np.zeros(1 << 16, np.uint32), 0
+        self.where, self.spelled = (np.zeros(self.slots, np.int64) for _ in range(2))  # in the pools of ids and of characters
+        self.count, self.size = (np.zeros(self.slots, np.int32) for _ in range(2))
+        self.used, self.pools, self.filled = 0, [np.zeros(1 << 16, np.uint32) for _ in range(2)], [0, 0]
 
     def _find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The slot of each hash, its own or a free one, and whether it is its own: linear probing."""
@@ -115,18 +122,32 @@ class Encoder:
             open_ = open_[(key != hashes[open_]) & (key != 0)]
         return slot, found
 
-    def _learn(self, text: str, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
-        for h, s, e in zip(hashes.tolist(), starts.tolist(), ends.tolist(), strict=True):
-            ids = self.piece(text[s:e])
-            if self.filled + len(ids) > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(ids)), np.uint32)])
-            self.pool[self.filled : self.filled + len(ids)] = ids
-            slot = h % self.slots
-            while self.keys[slot] != 0:
-                slot = (slot + 1) % self.slots
-            self.keys[slot], self.where[slot], self.count[slot] = h, self.filled, len(ids)
-            self.filled += len(ids)
-            self.used += 1
+    def _put(self, pool: int, values: np.ndarray) -> int:
+        at, stop = self.filled[pool], self.filled[pool] + len(values)
+        if stop > len(self.pools[pool]):
+            self.pools[pool] = np.concatenate([self.pools[pool], np.zeros(max(len(self.pools[pool]), len(values)), np.uint32)])
+        self.pools[pool][at:stop] = values
+        self.filled[pool] = stop
+        return at
+
+    def _learn(self, text: str, points: np.ndarray, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        """Keep the ids and characters of pre-tokens whose hashes are distinct and not yet known."""
+        ids = [self.piece(text[s:e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+        count, size = np.fromiter(map(len, ids), np.int64, len(ids)), ends - starts
+        begin = np.cumsum(size) - size
+        where = self._put(0, np.fromiter(chain.from_iterable(ids), np.uint32, int(count.sum()))) + np.cumsum(count) - count
+        spelled = self._put(1, points[np.repeat(starts - begin, size) + np.arange(size.sum())]) + begin
+        left = np.arange(len(ids))
+        while len(left):  # of those that would take one free slot, the first does
+            slot, _ = self._find(hashes[left])
+            slot, first = np.unique(slot, return_index=True)
+            k = left[first]
+            self.keys[slot], self.count[slot], self.size[slot], self.where[slot], self.spelled[slot] = hashes[k], count[k], size[k], where[k], spelled[k]
+            left = np.delete(left, first)
+        self.used += len(ids)
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a text as unsigned 32-bit numbers."""
@@ -135,7 +156,7 @@ class Encoder:
         points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
         starts = pretoken_starts(text, points)
         if starts is None:
-            return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+            return self._whole(text)
         ends = np.append(starts[1:], len(points))
         hashes = range_hashes(points, starts, ends) | np.uint64(1 << 63)
         slot, found = self._find(hashes)
@@ -144,15 +165,19 @@ class Encoder:
             distinct, first = np.unique(hashes[missing], return_index=True)
             if self.used + len(distinct) > self.limit:
                 if len(distinct) > self.limit // 2:
-                    return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+                    return self._whole(text)
                 self._forget()
                 return self.encode(text)
-            self._learn(text, distinct, starts[missing[first]], ends[missing[first]])
+            self._learn(text, points, distinct, starts[missing[first]], ends[missing[first]])
             slot[missing], _ = self._find(hashes[missing])
+        size = ends - starts
+        spelled = np.repeat(self.spelled[slot] - starts, size) + np.arange(len(points))
+        if not np.array_equal(self.size[slot], size) or not np.array_equal(self.pools[1][spelled], points):  # equal hashes, other characters
+            return self._whole(text)
         count = self.count[slot].astype(np.int64)
         stop = np.cumsum(count)
         at = np.repeat(self.where[slot] - (stop - count), count) + np.arange(stop[-1])
-        return self.pool[at]
+        return self.pools[0][at]
 
 
 @lru_cache(2)

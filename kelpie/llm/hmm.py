@@ -1,14 +1,16 @@
 """Scores of texts by a hidden Markov language model.
 
-Tokens are words and one end. Each word has a class: frequent words one of their own, others one by their ending. Latent
-states emit classes, and a class emits its words by their counts in training texts, so the model's tables are of fixed size
-while the vocabulary, which is joined and never broadcast, grows with the corpus. Baum-Welch counts of all training texts,
-gathered from the partitions by a tree of sums, train the states over whole texts; they start from a mixture whose rounds also
-read all training texts, each dealt to its first part by its content, so that the model doesn't depend on the partitions. A text's score is the exact likelihood of its sequence: the scaled forward recursion over the whole text, and the
-chance of each word in its class.
-
-Texts are first stored in blocks with a dictionary of each block's own words, as 64-bit hashes, so a block meets the
-vocabulary by its distinct words only. The base score of the same text is that of single words.
+Tokens are words and one end. Each word has a class: frequent words and the end one of their own, others one by their ending.
+Latent states emit classes, and a class emits its words by their counts in training texts, so the model's tables are of fixed
+size while the vocabulary, which is never gathered, grows with the corpus. Baum-Welch counts of all training texts, gathered from
+the partitions by a tree of sums, train the states over whole texts. They start from what classes share texts: each text is a sum
+of fixed random directions, one a class, and classes are clustered by the mean of their texts' directions, which also is one sum
+over all training texts. So the model doesn't depend on the partitions. A text's score is the exact likelihood of its sequence: the
+scaled forward recursion over the whole text, and the chance of each word in its class.
+
+Texts are first stored in blocks, each with a dictionary of its own words as 64-bit hashes in order. The dictionaries are cut
+into ranges of the hash; a range of all blocks meets in one task, which counts its words and gives each block their counts in
+the block's own order. A word is there once a block, however frequent it is. The base score is that of single words.
 
 Cases: null and empty texts are an end alone; repeated rows stay and count as often; null ids are in training, since they are
 in no fold; without training texts all words are unknown and all scores come from the smoothing; an empty table gives no rows.
@@ -16,7 +18,6 @@ in no fold; without training texts all words are unknown and all scores come fro
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,11 +26,29 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kelpie.llm.common import columns_of, range_hashes, stored, word_spans
+from kelpie.llm.common import columns_of, mixed, range_hashes, rows_of, stored, word_spans
 
 END = 0  # no word has this hash
-_BLOCK = 1 << 22  # bytes of text to a block
-BLOCKS = "seq long, words array<long>, endings array<int>, counts array<long>, doc_ids array<long>, held array<boolean>, lengths array<int>, tokens binary"
+_BLOCK = 1 << 23  # bytes of text to a block
+_RANGE = 1 << 20  # dictionary entries to a range of the hash, about
+_DIRECTIONS = 16
+BLOCKS = "seq long, words binary, endings binary, counts binary, doc_ids array<long>, held array<boolean>, lengths array<int>, tokens binary"
+COUNTED = "block long, range int, counts binary, sums binary, top array<struct<word:long,c:long,ending:int>>"
+
+
+def planes(numbers: np.ndarray, kind: str) -> bytes:
+    """Numbers as unsigned of a kind, their lowest bytes first, then the next, and so on: high bytes are mostly zero and pack well."""
+    return numbers.astype(kind).view(np.uint8).reshape(len(numbers), -1).T.tobytes()
+
+
+def from_planes(data: bytes, kind: str) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel().astype(np.int64)
+
+
+def hash_range(words: np.ndarray, ranges: int) -> np.ndarray:
+    """The range of each hash among so many of even size; it grows with the hash."""
+    return ((words >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
 
 
 def held_out(doc_id: Column, folds: int = 5, fold: int = 1) -> Column:
@@ -40,7 +59,7 @@ def held_out(doc_id: Column, folds: int = 5, fold: int = 1) -> Column:
 class Classes:
     """The class of a word: its own if it is frequent, else one of `tail` by its last three bytes."""
 
-    own: np.ndarray  # hashes of the frequent words and of the end, in order
+    own: np.ndarray  # hashes of the end and of the frequent words, in order
     tail: int
 
     @property
@@ -48,6 +67,8 @@ class Classes:
         return len(self.own) + self.tail
 
     def of(self, words: np.ndarray, endings: np.ndarray) -> np.ndarray:
+        """Classes of the end and of a dictionary's words."""
+        words, endings = np.append(np.uint64(END), words), np.append(0, endings)
         at = np.minimum(np.searchsorted(self.own, words), len(self.own) - 1)
         return np.where(self.own[at] == words, at, len(self.own) + endings)
 
@@ -62,29 +83,26 @@ class Chain:
 
 
 def encoded(ids: list, held: list, texts: list[bytes | None], seq: int, tail: int) -> dict:
-    """A block: the hashes of its distinct words with their endings and counts in training texts, and each text as numbers of these
-    words. 64-bit hashes stand for words from here on."""
-    hashes, spans, lengths = [], [], []
+    """A block: the hashes of its distinct words in order, their endings and counts in training texts, and each text as numbers of
+    these words from 1 on; 0 is the end."""
+    hashes, endings, lengths = [], [], []
     for text in texts:
-        data = (text or b"").lower()
-        values, starts, ends = word_spans(data)
-        hashes.append(range_hashes(values, starts, ends) | np.uint64(1) if len(starts) else np.zeros(0, np.uint64))
-        hashes.append(np.full(1, END, np.uint64))
-        lengths.append(len(starts) + 1)
-        spans.append((data, starts, ends))
-    distinct, first, numbers = np.unique(np.concatenate(hashes).astype(np.int64), return_index=True, return_inverse=True)
-    bounds = np.cumsum([0, *lengths])
-    doc = np.searchsorted(bounds, first, "right") - 1
-    endings = []
-    for i, d in zip((first - bounds[doc]).tolist(), doc.tolist(), strict=True):
-        data, starts, ends = spans[d]
-        endings.append(zlib.crc32(data[max(starts[i], ends[i] - 3) : ends[i]]) % tail if i < len(starts) else 0)
-    counts = np.bincount(numbers[np.repeat(~np.asarray(held, bool), lengths)], minlength=len(distinct))
-    return {"seq": seq, "words": distinct, "endings": endings, "counts": counts, "doc_ids": ids, "held": held, "lengths": lengths, "tokens": numbers.astype("<i4").tobytes()}
+        values, starts, ends = word_spans((text or b"").lower())
+        hashes.append(range_hashes(values, starts, ends) | np.uint64(1))
+        last = [np.where(ends - k >= starts, values[np.maximum(ends - k, 0)], 0).astype(np.uint64) for k in (1, 2, 3)] if len(starts) else [np.zeros(0, np.uint64)] * 3
+        endings.append((mixed(last[0] | last[1] << np.uint64(8) | last[2] << np.uint64(16)) % np.uint64(tail)).astype(np.uint16))
+        lengths.append(len(starts))
+    words, first, numbers = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+    counts = np.bincount(numbers[np.repeat(~np.asarray(held, bool), lengths)], minlength=len(words))
+    tokens = np.insert(numbers + 1, np.cumsum(lengths), 0)  # an end after each text
+    return {
+        "seq": seq, "words": words.tobytes(), "endings": np.concatenate(endings)[first].tobytes(), "counts": planes(counts, "<u4"), "doc_ids": ids, "held": held,
+        "lengths": [n + 1 for n in lengths], "tokens": planes(tokens, "<u4"),
+    }
 
 
 def blocks(docs: DataFrame, folds: int = 5, fold: int = 1, tail: int = 1024) -> DataFrame:
-    kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary()]
+    kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary()]
     names = [x.split()[0] for x in BLOCKS.split(", ")]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,54 +112,63 @@ def blocks(docs: DataFrame, folds: int = 5, fold: int = 1, tail: int = 1024) ->
             b = encoded(*map(list, zip(*rows, strict=True)), seq, tail)
             return pa.RecordBatch.from_arrays([pa.array([b[n]], k) for n, k in zip(names, kinds, strict=True)], names)
 
-        for columns in columns_of(batches, "doc_id", "held", "data"):
-            for row in zip(*columns, strict=True):
-                rows.append(row)
-                size += len(row[2] or b"")
-                if size >= _BLOCK:
-                    yield block()
-                    seq, rows, size = seq + 1, [], 0
+        for row in rows_of(batches, "doc_id", "held", "data"):
+            rows.append(row)
+            size += len(row[2] or b"")
+            if size >= _BLOCK:
+                yield block()
+                seq, rows, size = seq + 1, [], 0
         if rows:
             yield block()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id"), folds, fold).alias("held"), F.col("text").cast("binary").alias("data"))
-    return stored(rows.mapInArrow(encode, BLOCKS).withColumn("block", F.struct(F.spark_partition_id().alias("part"), "seq")).drop("seq"), "blocks")
+    numbered = F.shiftleft(F.spark_partition_id().cast("long"), 32) + F.col("seq")
+    return stored(rows.mapInArrow(encode, BLOCKS).withColumn("block", numbered).drop("seq"), "blocks")
+
+
+def counted(texts: DataFrame, frequent: int, tail: int) -> DataFrame:
+    """Of each block and range of the hash the counts of its words in all training texts, in the block's order; and, with a null
+    block, of each range its words, distinct words, both by ending, and its most frequent words. Stored."""
+    entries = texts.agg(F.coalesce(F.sum(F.octet_length("words")), F.lit(0)).alias("n")).first()["n"] // 8
+    ranges = max(1, -(-entries // _RANGE))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, words, endings, counts in rows_of(batches, "block", "words", "endings", "counts"):
+            words, endings, counts = np.frombuffer(words, np.uint64), np.frombuffer(endings, np.uint16), from_planes(counts, "<u4")
+            edges = np.searchsorted(hash_range(words, ranges), np.arange(ranges + 1))
+            some = np.flatnonzero(np.diff(edges))
+            spans = [(k, edges[k], edges[k + 1]) for k in some.tolist()]
+            columns = [pa.array([block] * len(spans), pa.int64()), pa.array([k for k, *_ in spans], pa.int32())]
+            made = [[words[s:e].tobytes() for _, s, e in spans], [endings[s:e].tobytes() for _, s, e in spans], [planes(counts[s:e], "<u4") for _, s, e in spans]]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(x, pa.binary()) for x in made)], ["block", "range", "words", "endings", "counts"])
+
+    def count(table: pa.Table) -> pa.Table:
+        parts = [np.frombuffer(x, np.uint64) for x in table["words"].to_pylist()]
+        each = np.concatenate([from_planes(x, "<u4") for x in table["counts"].to_pylist()])
+        words, first, at = np.unique(np.concatenate(parts), return_index=True, return_inverse=True)
+        c = np.bincount(at, weights=each, minlength=len(words)).astype(np.int64)
+        endings = np.frombuffer(b"".join(table["endings"].to_pylist()), np.uint16)[first]
+        known = c > 0
+        sums = np.concatenate([[c.sum(), known.sum()], np.bincount(endings, weights=c, minlength=tail), np.bincount(endings[known], minlength=tail)])
+        top = np.lexsort((words.view(np.int64), -c))[:frequent]
+        top = top[c[top] > 0]
+        best = [{"word": w, "c": n, "ending": e} for w, n, e in zip(words.view(np.int64)[top].tolist(), c[top].tolist(), endings[top].tolist(), strict=True)]
+        answers = [planes(x, "<u8") for x in np.split(c[at], np.cumsum([len(p) for p in parts])[:-1])]
+        kind = pa.list_(pa.struct([("word", pa.int64()), ("c", pa.int64()), ("ending", pa.int32())]))
+        k = len(answers)
+        return pa.table(
+            [pa.array([*table["block"].to_pylist(), None], pa.int64()), pa.array([*table["range"].to_pylist(), table["range"][0].as_py()], pa.int32()),
+             pa.array([*answers, None], pa.binary()), pa.array([None] * k + [sums.astype(float).tobytes()], pa.binary()), pa.array([None] * k + [best], kind)],
+            names=["block", "range", "counts", "sums", "top"],
+        )
+
+    requests = texts.select("block", "words", "endings", "counts").mapInArrow(cut, "block long, range int, words binary, endings binary, counts binary")
+    return stored(requests.groupBy("range").applyInArrow(count, COUNTED), "counted")
 
 
 # --- the chain --------------------------------------------------------------------------------
 
 
-def expected(classes: np.ndarray, end: int, chain: Chain) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Baum-Welch counts of first states, steps and emissions over rows of classes, -1 for none, and the log-likelihood; the
-    state after an end is a first one."""
-    n, length = classes.shape
-    real = classes >= 0
-    chain = Chain(*(x.astype(np.float32) for x in (chain.first, chain.steps, chain.emits * chain.emits.shape[1])))
-    emits = np.ascontiguousarray(chain.emits.T)[np.maximum(classes, 0)]
-    emits[~real] = 1.0
-    fresh = np.zeros((n, length), bool)
-    fresh[:, 1:] = classes[:, :-1] == end
-    fresh[:, 0] = True
-    alpha, scale = np.empty_like(emits), np.empty((n, length), np.float32)
-    for t in range(length):
-        ahead = np.where(fresh[:, t, None], chain.first, alpha[:, t - 1] @ chain.steps) if t else np.broadcast_to(chain.first, (n, len(chain.first)))
-        now = ahead * emits[:, t]
-        scale[:, t] = now.sum(1)
-        alpha[:, t] = now / scale[:, t, None]
-    beta = np.ones((n, len(chain.first)), np.float32)
-    gamma, steps = alpha, np.zeros(chain.steps.shape)
-    for t in range(length - 2, -1, -1):
-        back = emits[:, t + 1] * beta / scale[:, t + 1, None]
-        on = (~fresh[:, t + 1] & real[:, t + 1])[:, None]
-        steps += chain.steps * (alpha[:, t].T @ np.where(on, back, np.float32(0)))
-        beta = np.where(fresh[:, t + 1, None], np.float32(1), back @ chain.steps.T)
-        gamma[:, t] = alpha[:, t] * beta
-    gamma[~real] = 0.0
-    flat = np.maximum(classes, 0).ravel()
-    emitted = np.stack([np.bincount(flat, weights=gamma[:, :, k].ravel(), minlength=chain.emits.shape[1]) for k in range(len(chain.first))])
-    return gamma[fresh & real].sum(0, dtype=np.float64), steps, emitted, float(np.log(scale[real].astype(np.float64) / chain.emits.shape[1]).sum())
-
-
 def expected_of_texts(texts: np.ndarray, lengths: np.ndarray, chain: Chain) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Baum-Welch counts of first states, steps and emissions over whole texts (their classes one after another, and their
     lengths, none 0), and the log-likelihood. Texts run side by side, the longest first, and are laid out by position, so that a
@@ -187,63 +214,33 @@ def updated(first: np.ndarray, steps: np.ndarray, emits: np.ndarray, share: np.n
     return Chain(first / first.sum(), steps / steps.sum(1, keepdims=True), emits / emits.sum(1, keepdims=True))
 
 
-def mixed(texts: np.ndarray, lengths: np.ndarray, states: int, number: int, weights: np.ndarray | None, logs: np.ndarray | None, heat: float) -> np.ndarray:
-    """The sums of one round of a mixture over texts: the weight of each part, then its emissions. Without logs, chances of parts
-    are drawn by the text's content."""
-    sums = np.zeros(states + states * number)
-    if not len(lengths):
-        return sums
-    starts = np.cumsum(lengths) - lengths
-    if logs is None:
-        part = np.stack([np.random.default_rng(zlib.crc32(t.tobytes())).dirichlet(np.ones(states)) for t in np.split(texts, starts[1:])])
-    else:
-        part = np.add.reduceat(logs[texts], starts, axis=0) + weights
-        part = np.exp((part - part.max(1, keepdims=True)) / heat)
-        part /= part.sum(1, keepdims=True)
-    sums[:states] = part.sum(0)
-    for k in range(states):
-        sums[states + k * number : states + (k + 1) * number] = np.bincount(texts, weights=np.repeat(part[:, k], lengths), minlength=number)
-    return sums
-
-
-def log10_likelihoods(docs: list[np.ndarray], chain: Chain) -> np.ndarray:
-    """log10 of the chance of each sequence of classes by the forward recursion, scaled at every eighth step and where
-    sequences end; they run side by side, the longest first."""
-    order = np.argsort([-len(d) for d in docs], kind="stable")
-    lengths = np.array([len(docs[i]) for i in order])
-    padded = [docs[i] for i in order]
-    logs, alpha = np.zeros(len(docs)), np.broadcast_to(chain.first, (len(docs), len(chain.first)))
-    emits, ends = np.ascontiguousarray(chain.emits.T), np.cumsum(lengths) - lengths
-    flat = np.concatenate(padded) if padded else np.zeros(0, np.int64)
-    active, steps = len(docs), np.ascontiguousarray(chain.steps)
+def log10_likelihoods(texts: np.ndarray, lengths: np.ndarray, chain: Chain) -> np.ndarray:
+    """log10 of the chance of each text (their classes one after another, and their lengths, none 0) by the forward recursion, scaled
+    at every eighth step and where texts end; they run side by side, the longest first."""
+    order = np.argsort(-lengths, kind="stable")
+    ranked, begins = lengths[order], (np.cumsum(lengths) - lengths)[order]
+    logs, alpha, active = np.zeros(len(lengths)), np.broadcast_to(chain.first, (len(lengths), len(chain.first))), len(lengths)
+    emits, steps = np.ascontiguousarray(chain.emits.T), np.ascontiguousarray(chain.steps)
 
     def scaled(alpha: np.ndarray) -> np.ndarray:
         scale = alpha.sum(1)
         logs[: len(alpha)] += np.log10(scale)
         return alpha / scale[:, None]
 
-    for t in range(int(lengths[0]) if len(lengths) else 0):
-        if lengths[active - 1] <= t:  # some end here
+    for t in range(int(ranked[0]) if len(ranked) else 0):
+        if ranked[active - 1] <= t:  # some end here
             alpha = scaled(alpha)
-            active = int(np.searchsorted(-lengths, -t, "left"))
-        alpha = (alpha[:active] @ steps if t else alpha) * emits[flat[ends[:active] + t]]
+            active = int(np.searchsorted(-ranked, -t, "left"))
+        alpha = (alpha[:active] @ steps if t else alpha) * emits[texts[begins[:active] + t]]
         if t % 8 == 7:
             alpha = scaled(alpha)
-    if len(docs):
+    if len(ranked):
         scaled(alpha)
-    out = np.zeros(len(docs))
+    out = np.zeros(len(lengths))
     out[order] = logs
     return out
 
 
-def _numbers(column: pa.Array, row: int, field: str | None = None) -> np.ndarray:
-    """The numbers of a list, or of a field of a list of structs, without Python objects."""
-    values = column[row].values
-    if values is None:
-        return np.zeros(0, np.int64)
-    return (values.field(field) if field else values).to_numpy(zero_copy_only=False)
-
-
 def _summed(partial: DataFrame, size: int) -> np.ndarray:
     """The sum of rows `sums` (packed doubles of one length) by a tree: 32 to 1 until few are left for the driver."""
 
@@ -263,41 +260,72 @@ def _summed(partial: DataFrame, size: int) -> np.ndarray:
     return np.sum([np.frombuffer(r["sums"]) for r in partial.collect()], axis=0)
 
 
-def trained(coded: DataFrame, classes: Classes, share: np.ndarray, states: int, rounds: int, start_rounds: int = 15) -> Chain:
-    """The chain after so many rounds of Baum-Welch over all training texts of the coded blocks, whole. It starts from states that
-    are the parts of a mixture over these texts, and last for long."""
-    spark, number = coded.sparkSession, classes.number
-    rows = coded.select("coded", "lengths", "held")
+def directions(number: int) -> np.ndarray:
+    """A fixed random direction for each class."""
+    return np.random.default_rng(21).normal(size=(number, _DIRECTIONS)).astype(np.float32)
+
+
+def contexts(texts: np.ndarray, lengths: np.ndarray, weighed: np.ndarray) -> np.ndarray:
+    """For each class the sum over its tokens of their texts' directions; the texts' are sums of their classes', of length 1."""
+    sums = np.zeros((_DIRECTIONS, len(weighed)))
+    if len(lengths):
+        of_text = np.add.reduceat(weighed[texts], np.cumsum(lengths) - lengths, axis=0)
+        of_text /= np.maximum(np.linalg.norm(of_text, axis=1, keepdims=True), 1e-9)
+        for k in range(_DIRECTIONS):
+            sums[k] = np.bincount(texts, weights=np.repeat(of_text[:, k], lengths), minlength=len(weighed))
+    return sums
+
+
+def start(means: np.ndarray, count: np.ndarray, states: int, rounds: int = 40) -> np.ndarray:
+    """Expected emissions (state x class): classes dealt to clusters of their mean directions, softly."""
+    weight = np.sqrt(count)
+    centre = means[[int(np.argmax(weight * np.linalg.norm(means, axis=1)))]]
+    while len(centre) < states:  # the farthest from those there are
+        far = ((means[:, None] - centre) ** 2).sum(2).min(1)
+        centre = np.concatenate([centre, means[[int(np.argmax(far * weight))]]])
+    for _ in range(rounds):
+        nearest = ((means[:, None] - centre) ** 2).sum(2).argmin(1)
+        sums = np.stack([np.bincount(nearest, weights=weight * means[:, j], minlength=states) for j in range(means.shape[1])], 1)
+        mass = np.bincount(nearest, weights=weight, minlength=states)
+        centre = np.where(mass[:, None] > 0, sums / np.maximum(mass, 1e-9)[:, None], centre)
+    apart = ((means[:, None] - centre) ** 2).sum(2)
+    wide = float((apart.min(1) * weight).sum() / max(weight.sum(), 1e-9)) + 1e-9
+    near = np.exp(-(apart - apart.min(1, keepdims=True)) / wide)
+    return (near / near.sum(1, keepdims=True) * count[:, None]).T
+
+
+def trained(texts: DataFrame, classes: Classes, count: np.ndarray, states: int, rounds: int) -> Chain:
+    """The chain after so many rounds of Baum-Welch over all training texts of the blocks, whole."""
+    spark, number = texts.sparkSession, classes.number
+    rows, known = texts.select("words", "endings", "tokens", "lengths", "held"), spark.sparkContext.broadcast(classes)
 
     def summed(one, size: int, given) -> np.ndarray:
         shared = spark.sparkContext.broadcast(given)  # states x classes
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums = np.zeros(size)
-            for tokens, lengths, held in columns_of(batches, "coded", "lengths", "held"):
-                for t, n, h in zip(tokens, lengths, held, strict=True):
-                    n, kept = np.asarray(n, np.int64), ~np.asarray(h, bool)
-                    sums += one(np.frombuffer(t, "<u2")[np.repeat(kept, n)], n[kept], shared.value)
+            for words, endings, tokens, lengths, held in rows_of(batches, "words", "endings", "tokens", "lengths", "held"):
+                kind = known.value.of(np.frombuffer(words, np.uint64), np.frombuffer(endings, np.uint16)).astype(np.uint16)
+                n, kept = np.asarray(lengths, np.int64), ~np.asarray(held, bool)
+                sums += one(kind[from_planes(tokens, "<u4")][np.repeat(kept, n)], n[kept], shared.value)
             yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], ["sums"])
 
-        return _summed(rows.mapInArrow(count, "sums binary"), size)
-
-    def mixture(texts, lengths, given):
-        return mixed(texts, lengths, states, number, *given)
+        total = _summed(rows.mapInArrow(count, "sums binary"), size)
+        shared.unpersist()
+        return total
 
     def baum_welch(texts, lengths, chain):
         a, b, c, _ = expected_of_texts(texts, lengths, chain)
         return np.concatenate([a, b.ravel(), c.ravel()])
 
-    given = (None, None, 1.0)
-    for k in range(start_rounds + 1):
-        total = summed(mixture, states + states * number, given)
-        first, emits = total[:states], total[states:].reshape(states, number)
-        likely = emits + 50.0 * share
-        likely = np.log(likely / likely.sum(1, keepdims=True))
-        given = (np.log(first / max(first.sum(), 1.0) + 1e-9), np.ascontiguousarray(likely.T), max(1.0, start_rounds / 5 - k))
+    share = (count + 0.5) / (count + 0.5).sum()
+    weighed = directions(number) * np.minimum(1.0, 1e-3 / share).astype(np.float32)[:, None]  # frequent classes say little of a text
+    total = summed(lambda t, n, given: contexts(t, n, given).ravel(), _DIRECTIONS * number, weighed).reshape(_DIRECTIONS, number).T
+    seen = count > 0
+    means = np.where(seen[:, None], total / np.maximum(count, 1)[:, None] - total.sum(0) / max(count.sum(), 1), 0.0)
+    emits = start(means, count, states)
     lasting = np.full((states, states), 0.1 / states) + 0.9 * np.eye(states)
-    chain = updated(first, lasting * 1000, emits, share)
+    chain = updated(emits.sum(1), lasting * 1000, emits, share)
     for _ in range(rounds):
         total = summed(baum_welch, states + states * states + states * number, chain)
         chain = updated(total[:states], total[states : states + states**2].reshape(states, states), total[states + states**2 :].reshape(states, number), share)
@@ -306,59 +334,47 @@ def trained(coded: DataFrame, classes: Classes, share: np.ndarray, states: int,
 
 def score(docs: DataFrame, states: int = 8, rounds: int = 3, frequent: int = 4096, tail: int = 1024, folds: int = 5, fold: int = 1) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row."""
+    if frequent + tail >= 1 << 16:
+        raise ValueError("fewer than 65536 classes")
     spark = docs.sparkSession
     texts = blocks(docs, folds, fold, tail)
-    words = texts.select("block", F.posexplode(F.arrays_zip("words", "endings", "counts")).alias("at", "w")).select("block", "at", "w.words", "w.endings", "w.counts")
-    vocabulary = stored(words.filter("counts > 0").groupBy(F.col("words").alias("word")).agg(F.sum("counts").alias("c"), F.min("endings").alias("ending")), "vocabulary")
-    sums = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    total, distinct = sums["n"], sums["v"]
-    top = [r["word"] for r in vocabulary.orderBy(F.desc("c"), "word").limit(frequent).collect()]
-    classes = Classes(np.array(sorted({END, *top}), np.int64), tail)
-    known = spark.sparkContext.broadcast(classes)  # at most `frequent` words
-    number = classes.number
-
-    def class_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, size = np.zeros(number), np.zeros(number)
-        for batch in batches:
-            word, c, ending = (batch.column(n).to_numpy() for n in ("word", "c", "ending"))
-            at = known.value.of(word, ending)
-            count += np.bincount(at, weights=c, minlength=number)
-            size += np.bincount(at, minlength=number)
-        yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([count, size]).tobytes()], pa.binary())], ["sums"])
-
-    in_class = _summed(vocabulary.select("word", "c", "ending").mapInArrow(class_sums, "sums binary"), 2 * number)
-    count, size = in_class[:number], in_class[number:]
-    share = (count + 0.5) / (count + 0.5).sum()
-
-    def to_classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found = counted(texts, frequent, tail)
+    in_ranges = _summed(found.filter("sums is not null").select("sums"), 2 + 2 * tail)
+    ends = int(texts.agg(F.coalesce(F.sum(F.size(F.filter("held", lambda h: ~h))), F.lit(0)).alias("n")).first()["n"])
+    total, distinct = int(in_ranges[0]) + ends, int(in_ranges[1]) + (ends > 0)
+    best = found.select(F.explode("top").alias("w")).select("w.*").orderBy(F.desc("c"), "word").limit(frequent).collect()
+    own = np.array([r["word"] for r in best], np.int64).view(np.uint64)
+    order = np.argsort(own)
+    classes = Classes(np.append(np.uint64(END), own[order]), tail)
+    c, ending = (np.array([r[n] for r in best], np.int64)[order] for n in ("c", "ending"))
+    count = np.concatenate([[ends], c, in_ranges[2 : 2 + tail] - np.bincount(ending, weights=c, minlength=tail)])
+    size = np.concatenate([[int(ends > 0)], np.ones(len(c)), in_ranges[2 + tail :] - np.bincount(ending, minlength=tail)])
+    chain = spark.sparkContext.broadcast(trained(texts, classes, count, states, rounds))
+    known, room = spark.sparkContext.broadcast(classes), count + 0.5 * (size + 1)  # at most `frequent` words
+
+    def with_kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own, endings, tokens = b.column("words"), b.column("endings"), b.column("tokens")
-            made = [known.value.of(_numbers(own, k), _numbers(endings, k))[np.frombuffer(tokens[k].as_py(), "<i4")].astype("<u2").tobytes() for k in range(b.num_rows)]
-            yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary()), b.column("lengths"), b.column("held")], ["coded", "lengths", "held"])
-
-    if number > 1 << 16:
-        raise ValueError("at most 65536 classes")
-    coded = stored(texts.select("tokens", "words", "endings", "lengths", "held").mapInArrow(to_classes, "coded binary, lengths array<int>, held array<boolean>"), "coded")
-    chain = spark.sparkContext.broadcast(trained(coded, classes, share, states, rounds))
-    room = count + 0.5 * (size + 1)
-
-    found = words.select("block", "at", "words").join(vocabulary.select("word", "c"), F.col("words") == F.col("word")).groupBy("block").agg(F.collect_list(F.struct("at", "c")).alias("known"))  # a block's own words
+            column = {n: b.column(b.schema.get_field_index(n)) for n in b.schema.names}
+            kinds = [planes(known.value.of(np.frombuffer(column["words"][k].as_py(), np.uint64), np.frombuffer(column["endings"][k].as_py(), np.uint16)), "<u2") for k in range(b.num_rows)]
+            yield pa.RecordBatch.from_arrays([column["block"], pa.array(kinds, pa.binary()), *(column[n] for n in _KEPT)], ["block", "kinds", *_KEPT])
 
     def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            column = {n: b.column(b.schema.get_field_index(n)) for n in b.schema.names}
-            for k in range(b.num_rows):
-                own, n = _numbers(column["words"], k), _numbers(column["lengths"], k)
-                i, h = column["doc_ids"][k].values, column["held"][k].values
-                c = np.zeros(len(own))
-                c[_numbers(column["known"], k, "at")] = _numbers(column["known"], k, "c")
-                at, kind, starts = np.frombuffer(column["tokens"][k].as_py(), "<i4"), known.value.of(own, _numbers(column["endings"], k)), np.cumsum(n) - n
-                base = np.log10((c + 0.5) / (total + 0.5 * (distinct + 1)))
-                inside = np.log10((c + 0.5) / room[kind])
-                sequences = np.split(kind[at], starts[1:])
-                one = log10_likelihoods(sequences, chain.value) + np.add.reduceat(inside[at], starts)
-                columns = [(n, pa.int64()), (np.add.reduceat((c > 0)[at].astype(np.int64), starts), pa.int64()), ([total] * len(i), pa.int64()), (np.add.reduceat(base[at], starts), pa.float64()), (one, pa.float64())]
-                yield pa.RecordBatch.from_arrays([i, h, *(pa.array(x, kind) for x, kind in columns)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    whole = texts.join(found, "block", "left").select("tokens", "words", "endings", "doc_ids", "held", "lengths", "known")
+        for kinds, ids, held, lengths, tokens, answers in rows_of(batches, "kinds", *_KEPT, "answers"):
+            c = np.concatenate([np.zeros(0, np.int64), *(from_planes(a["counts"], "<u8") for a in sorted(answers or [], key=lambda a: a["range"]))])
+            c, kind, at = np.append(ends, c), from_planes(kinds, "<u2"), from_planes(tokens, "<u4")
+            n = np.asarray(lengths, np.int64)
+            starts = np.cumsum(n) - n
+            base = np.log10((c + 0.5) / (total + 0.5 * (distinct + 1)))
+            inside = np.log10((c + 0.5) / room[kind])
+            one = log10_likelihoods(kind[at], n, chain.value) + np.add.reduceat(inside[at], starts)
+            columns = [(n, pa.int64()), (np.add.reduceat((c > 0)[at].astype(np.int64), starts), pa.int64()), ([total] * len(n), pa.int64()), (np.add.reduceat(base[at], starts), pa.float64()), (one, pa.float64())]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), *(pa.array(x, kind) for x, kind in columns)], _SCORED)
+
+    coded = texts.select("block", "words", "endings", *_KEPT).mapInArrow(with_kinds, "block long, kinds binary, doc_ids array<long>, held array<boolean>, lengths array<int>, tokens binary")
+    answers = found.filter("block is not null").groupBy("block").agg(F.collect_list(F.struct("range", "counts")).alias("answers"))  # a block's own words
+    whole = coded.join(answers, "block", "left").select("kinds", *_KEPT, "answers")
     return whole.mapInArrow(final, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+_KEPT = ("doc_ids", "held", "lengths", "tokens")
+_SCORED = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]

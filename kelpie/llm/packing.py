@@ -22,9 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kelpie.llm.common import columns_of, stored
+from kelpie.llm.common import rows_of, stored
 from kelpie.llm.encoder import encoder
 
+_HELD = 1 << 18  # ids to a batch
 PIECES = "doc_id long, start long, length long, doc_tokens long, ids_crc32 long, ids array<int>, rank_in_part long"
 
 
@@ -100,21 +101,27 @@ def pieces(docs: DataFrame, tokenizer: str, window: int, end_id: int = 0) -> Dat
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, seen = encoder(tokenizer).encode, Counter()
-        for ids, texts in columns_of(batches, "doc_id", "text"):
-            for low in range(0, len(ids), 256):
-                rows, parts = [], []
-                for doc_id, text in zip(ids[low : low + 256], texts[low : low + 256], strict=True):
-                    tokens = np.append(encode(text or ""), np.uint32(end_id)).astype("<u4")
-                    for start in range(0, len(tokens), window):
-                        part = tokens[start : start + window]
-                        rows.append((doc_id, start, len(part), len(tokens), zlib.crc32(part.tobytes()), seen[len(part)]))
-                        parts.append(part.view("<i4"))
-                        seen[len(part)] += 1
-                if rows:
-                    cols = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
-                    ends = np.cumsum([0, *map(len, parts)], dtype=np.int32)
-                    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts)))
-                    yield pa.RecordBatch.from_arrays([*cols[:5], lists, cols[5]], ["doc_id", "start", "length", "doc_tokens", "ids_crc32", "ids", "rank_in_part"])
+        rows, parts, held = [], [], 0
+
+        def batch() -> pa.RecordBatch:
+            cols = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
+            ends = np.cumsum([0, *map(len, parts)], dtype=np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts)))
+            return pa.RecordBatch.from_arrays([*cols[:5], lists, cols[5]], ["doc_id", "start", "length", "doc_tokens", "ids_crc32", "ids", "rank_in_part"])
+
+        for doc_id, text in rows_of(batches, "doc_id", "text"):
+            tokens = np.append(encode(text or ""), np.uint32(end_id)).astype("<u4")
+            for start in range(0, len(tokens), window):
+                part = tokens[start : start + window]
+                rows.append((doc_id, start, len(part), len(tokens), zlib.crc32(part.tobytes()), seen[len(part)]))
+                parts.append(part.view("<i4"))
+                seen[len(part)] += 1
+                held += len(part)
+                if held >= _HELD:
+                    yield batch()
+                    rows, parts, held = [], [], 0
+        if rows:
+            yield batch()
 
     cut_up = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(cut, PIECES)
     return stored(cut_up.withColumn("part", F.spark_partition_id()), "pieces")

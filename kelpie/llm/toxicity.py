@@ -46,8 +46,8 @@ def buckets(data: bytes | None) -> np.ndarray:
     if not data:
         return np.zeros((0, 1 + len(_BEGINNINGS)), np.int64)
     values, starts, ends = word_spans(data.lower().translate(_PARTS))
-    found = [range_hashes(values, starts, ends), *(range_hashes(values, starts, np.minimum(starts + n, ends)) ^ np.uint64(n) for n in _BEGINNINGS)]
-    return (np.stack(found, 1) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - BITS)).astype(np.int64)
+    found = range_hashes(values, starts, ends, _BEGINNINGS) ^ np.array([[0], *([n] for n in _BEGINNINGS)], np.uint64)
+    return (found.T * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
 def word_scores(scores: np.ndarray, at: np.ndarray) -> np.ndarray:
