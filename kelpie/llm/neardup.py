@@ -4,15 +4,18 @@ A document is the set of its distinct shingles of five words. Documents with equ
 one document of each class. Each is embedded in 64 minwise tokens. An independent tree branches them: every node picks one or
 two of the tokens not yet used on its path, by a hash of the path, four thirds on average, which is the inverse of the
 similarity sought; the node's documents part by the values of those tokens. Nodes of at most `node_limit` documents are
-compared exhaustively; larger ones branch on, and what is still larger at the last level is compared in blocks. A pair at the
-similarity sought stays together in a tree with a chance of about a half or more, so 16 trees miss one in 10**4 or fewer.
-Candidates pass an estimate by their tokens, five standard errors below the limit, and are confirmed on the full sets.
-
-Large groups of copies never part, so they are linked first: each document with the best of the pivots that its nodes have,
-which is linear. Nodes whose documents are then all in one component need no more; in the others only pairs across
-components are compared. Nodes give of their candidates only what connects groups that pivots don't connect yet; the components
-of both are clusters that hold all candidates, and within a cluster of several components all full sets are compared across
-components, in blocks. No step makes a row for each pair, and no link between components is lost, so the components are exact up to the recall of the trees.
+compared exhaustively. A larger node branches on, as deep as it takes, while that makes it smaller; a node that kept more than
+two thirds of its parent's documents holds near copies, which no branching parts, and is dense. A pair at the similarity sought
+stays together in a tree with a chance of about a half or more, so 16 trees miss one in 10**4 or fewer.
+
+Large groups of copies are linked first: each document with the pivot with which it shares most root nodes, which is linear.
+Nodes whose documents are then all in one component need no more; in the others only pairs across components are compared. The
+dense nodes of all trees that hold one group are compared as one, in blocks. Candidates are pairs whose tokens agree within five
+standard errors of the limit. Nodes give of them only what connects groups that pivots don't connect yet; the components of both
+are clusters that hold all candidates, and within a cluster of several components all full sets are compared across components,
+in blocks. No step makes a row for each pair, and no link between components is lost, so the components are exact up to the
+recall of the trees. Where k of a dense group's n documents aren't in its large components, a row is made for each of its n
+documents and each 256 of the k.
 
 Cases: null and empty texts and texts without words have no shingles and are linked with nothing; rows with null ids take no
 part, keep a null component and are kept; rows that share an id share a component; an empty table gives no rows. Columns of
@@ -22,6 +25,7 @@ the input other than id and text are not looked at, but kept by `without_near_du
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -125,42 +129,42 @@ def _matrix(tokens: list[bytes]) -> np.ndarray:
 
 
 def _grown(rows: DataFrame, trees: int | None = None) -> DataFrame:
-    """Children (path, used, doc_id) of rows with path, used, doc_id and tokens, or those of the roots of so many trees."""
+    """Children (path, used, doc_id, above: the documents of their parent) of rows with path, used, doc_id, n and tokens, or those of
+    the roots of so many trees."""
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, tokens, *at in columns_of(batches, "doc_id", "tokens", *([] if trees else ["path", "used"])):
+        for ids, tokens, *at in columns_of(batches, "doc_id", "tokens", *([] if trees else ["path", "used", "n"])):
             for low in range(0, len(ids), 4096):
                 own, matrix = np.asarray(ids[low : low + 4096], np.int64), _matrix(tokens[low : low + 4096])
                 if trees:
                     path, used = np.tile(np.arange(trees, dtype=np.uint64), len(own)), np.zeros(len(own) * trees, np.uint64)
-                    own, matrix = np.repeat(own, trees), np.repeat(matrix, trees, 0)
+                    own, matrix, above = np.repeat(own, trees), np.repeat(matrix, trees, 0), np.full(len(own) * trees, 2**60)
                 else:
-                    path, used = (np.asarray(x[low : low + 4096], np.int64).astype(np.uint64) for x in at)
-                row, path, used = branch(path, used, matrix)
-                yield pa.RecordBatch.from_arrays([pa.array(path.astype(np.int64)), pa.array(used.astype(np.int64)), pa.array(own[row])], ["path", "used", "doc_id"])
+                    path, used, above = (np.asarray(x[low : low + 4096], np.int64) for x in at)
+                row, path, used = branch(path.astype(np.uint64), used.astype(np.uint64), matrix)
+                yield pa.RecordBatch.from_arrays([pa.array(path.astype(np.int64)), pa.array(used.astype(np.int64)), pa.array(own[row]), pa.array(above[row])], ["path", "used", "doc_id", "above"])
 
-    return rows.mapInArrow(grow, "path long, used long, doc_id long")
+    return rows.mapInArrow(grow, "path long, used long, doc_id long, above long")
 
 
 # --- candidates and links ---------------------------------------------------------------------
 
 
-def _estimated(pairs: DataFrame, reps: DataFrame, least: int) -> DataFrame:
-    """Pairs a, b with the number of tokens they share, at least so many."""
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("data")).filter("data is not null")
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for a, b, x, y in columns_of(batches, "a", "b", "x", "y"):
-            same = (_matrix(x) == _matrix(y)).sum(1)
-            keep = np.flatnonzero(same >= least)
-            yield pa.RecordBatch.from_arrays([pa.array(np.asarray(a, np.int64)[keep]), pa.array(np.asarray(b, np.int64)[keep]), pa.array(same[keep])], ["a", "b", "same"])
 
-    one = reps.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x"))
-    two = reps.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, same long")
+#: Bits of the filter of wanted ids: a table of at most _FILTER / 64 rows, whatever their number.
+_FILTER = 1 << 24
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("data")).filter("data is not null")
+def _maybe_wanted(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The texts but for most of those whose doc_id isn't wanted, so that few of these are shuffled."""
+    place = lambda: F.pmod(F.xxhash64("doc_id"), F.lit(_FILTER))
+    bit = lambda: F.call_function("shiftleft", F.lit(1).cast("long"), (place() % 64).cast("int"))
+    bits = wanted.select(F.floor(place() / 64).alias("__word"), bit().alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
+    found = texts.withColumn("__word", F.floor(place() / 64)).join(F.broadcast(bits), "__word")  # at most _FILTER / 64 rows
+    return found.filter(F.col("__bits").bitwiseAND(bit()) != 0).drop("__word", "__bits")
 
 
 def _keyed_sets(docs: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
@@ -178,7 +182,8 @@ def _keyed_sets(docs: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFram
                     made.append(last[1])
                 yield pa.RecordBatch.from_arrays([*(pa.array(c[low : low + 512], pa.int64()) for c in rest), pa.array(made, pa.binary())], [*names, "shingles"])
 
-    sets = _texts(docs).join(wanted, "doc_id").select("data", *names).mapInArrow(look, ", ".join(f"{n} long" for n in names) + ", shingles binary")
+    wanted = stored(wanted.select(*names), "wanted")
+    sets = _maybe_wanted(_texts(docs), wanted).join(wanted, "doc_id").select("data", *names).mapInArrow(look, ", ".join(f"{n} long" for n in names) + ", shingles binary")
     return sets.repartition(*keys[:-1]).sortWithinPartitions(*keys)
 
 
@@ -281,14 +286,14 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: list[str], names: list[str
 
 
 def _block_pairs(rows: DataFrame, least: int, block: int = 256) -> DataFrame:
-    """Candidates of nodes that stayed large, by pairs of blocks of their documents."""
-    keys = ["path", "one", "two"]
+    """Candidates of groups of dense nodes (key, doc_id, comp, group, tokens), by pairs of blocks of their documents."""
+    keys = ["key", "one", "two"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _grouped(batches, keys, ["doc_id", "comp", "group", "tokens"]):
             yield _pair_batch(_likely_pairs(*map(list, zip(*group, strict=True)), least))
 
-    dealt = _blocked(rows.select("path", "doc_id", "comp", "group", "tokens"), "path", block)
+    dealt = _blocked(rows, "key", block)
     return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "a long, b long")
 
 
@@ -356,44 +361,52 @@ def _as_links(comps: DataFrame) -> DataFrame:
     return comps.select(F.col("doc_id").alias("a"), F.col(comps.columns[1]).alias("b"))
 
 
-def linked(docs: DataFrame, reps: DataFrame, percent: int = 75, trees: int = 16, node_limit: int = 32, levels: int = 3) -> DataFrame:
+def _best_pivots(members: DataFrame, trees: int) -> DataFrame:
+    """For each document b the pivot a with which it shares most root nodes, where these are two fifths of them or more. A group's
+    most central document is in large nodes more often than others: it is the pivot of those nodes."""
+    central = members.groupBy("doc_id").agg(F.sum("n").alias("weight"))
+    weighed = members.select("path", "doc_id").join(central, "doc_id")
+    pivots = weighed.groupBy("path").agg(F.max_by("doc_id", F.struct("weight", -F.col("doc_id"))).alias("a"))
+    stars = members.select("path", "doc_id").join(pivots, "path").select("a", F.col("doc_id").alias("b")).filter("a <> b")
+    shared = stars.groupBy("a", "b").agg(F.count("*").alias("n")).filter(F.col("n") >= trees * 4 / 3 * 2 / 5)
+    return shared.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a"))
+
+
+def linked(docs: DataFrame, reps: DataFrame, percent: int = 75, trees: int = 16, node_limit: int = 32, block: int = 256) -> DataFrame:
     """Components (doc_id, comp) of the representatives that have links; reps has doc_id and tokens."""
     likely = percent / 100
     least = int(TOKENS * likely - 5 * (TOKENS * likely * (1 - likely)) ** 0.5)
     roots = _grown(reps, trees)
     nodes = roots.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1")
     members = stored(roots.join(nodes, "path"), "members")
-    # A group's most central document is in large nodes more often than others: it is the pivot of those nodes.
-    central = members.groupBy("doc_id").agg(F.sum("n").alias("weight"))
-    weighed = members.select("path", "doc_id").join(central, "doc_id")
-    pivots = weighed.groupBy("path").agg(F.max_by("doc_id", F.struct("weight", -F.col("doc_id"))).alias("a"))
-    stars = members.select("path", "doc_id").join(pivots, "path").select("a", F.col("doc_id").alias("b")).filter("a <> b").distinct()
-    best = _estimated(stars, reps, least).groupBy("b").agg(F.min_by("a", F.struct(-F.col("same"), F.col("a"))).alias("a"))
-    best = stored(best, "best")
+    best = stored(_best_pivots(members, trees), "best")
     comps = components(_pivots_confirmed(best, docs, percent))
     groups = components(best.select("a", "b")).withColumnRenamed("comp", "group")
     current = members.drop("n").join(comps, "doc_id", "left").join(groups, "doc_id", "left").withColumns({"comp": F.coalesce("comp", "doc_id"), "group": F.coalesce("group", "doc_id")})
     found: list[DataFrame] = []
-    for level in range(1, levels + 1):
+    dense: list[DataFrame] = []
+    for level in range(1, TOKENS):
         info = current.groupBy("path").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("path", "n")
         open_ = stored(current.join(info, "path").join(reps.select("doc_id", "tokens"), "doc_id"), "nodes")
         found.append(_leaf_pairs(open_.filter(F.col("n") <= node_limit), least))
         large = open_.filter(F.col("n") > node_limit)
-        if level == levels:
-            found.append(_block_pairs(large, least))
-        elif large.isEmpty():
+        if large.isEmpty():
             break
-        else:
-            grown = _grown(large.select("path", "used", "doc_id", "tokens"))
-            current = stored(grown.join(large.select("doc_id", "comp", "group").distinct(), "doc_id"), "grown")
-    pairs = found[0]
-    for more in found[1:]:
-        pairs = pairs.union(more)
+        stays = (F.col("n") * 3 >= F.col("above") * 2) | F.lit(level == TOKENS - 1)
+        stuck = large.filter(stays)
+        keys = stuck.groupBy("path", "group").agg(F.count("*").alias("n")).groupBy("path").agg(F.max_by("group", F.struct("n", -F.col("group"))).alias("key"))
+        dense.append(stuck.join(keys, "path").select("key", "doc_id", "comp", "group").distinct())
+        on = large.filter(~stays)
+        grown = _grown(on.select("path", "used", "doc_id", "n", "tokens"))
+        current = stored(grown.join(on.select("doc_id", "comp", "group").distinct(), "doc_id"), "grown")
+    if dense:
+        every = stored(reduce(DataFrame.union, dense).distinct(), "dense")
+        found.append(_block_pairs(every.join(reps.select("doc_id", "tokens"), "doc_id"), least, block))
     # All pairs that may be linked lie within a component of pivots' and nodes' candidates; what they connect is confirmed there.
-    clusters = components(_as_links(groups).union(pairs)).withColumnRenamed("comp", "cluster")
+    clusters = components(_as_links(groups).union(reduce(DataFrame.union, found))).withColumnRenamed("comp", "cluster")
     named = clusters.join(comps, "doc_id", "left").select("cluster", "doc_id", F.coalesce("comp", "doc_id").alias("comp"))
     mixed_ones = named.groupBy("cluster").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("cluster")
-    second = _links_within(stored(named.join(mixed_ones, "cluster"), "clusters"), docs, percent)
+    second = _links_within(stored(named.join(mixed_ones, "cluster"), "clusters"), docs, percent, block)
     return components(_as_links(comps).union(second))
 
 
@@ -410,9 +423,13 @@ def near_duplicates(docs: DataFrame, **options: int) -> DataFrame:
 
 
 def without_near_duplicates(docs: DataFrame, **options: int) -> DataFrame:
-    """The rows whose id is the smallest of their component; of rows that repeat such an id, one stays."""
-    gone = near_duplicates(docs, **options).filter("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    """The rows whose id is the smallest of their component; of rows that repeat such an id, one stays. Rows with null ids stay."""
+    seen = near_duplicates(docs, **options).filter("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.bool_and("kept").alias("__kept"), F.count("*").alias("__n"))
+    marks = stored(seen.filter("not __kept or __n > 1"), "marks")
+    marked = docs.join(marks, docs["doc_id"] == F.col("__id"), "left").filter("__id is null or __kept")
+    if marks.filter("__kept").isEmpty():
+        return marked.select(docs["*"])
+    return marked.filter("__id is null").select(docs["*"]).union(marked.filter("__id is not null").dropDuplicates(["__id"]).select(docs["*"]))
 
 
 NEAR_SQL = r"""
