@@ -17,10 +17,11 @@ fewer candidates than k all are answers; an empty table gives no rows. Other col
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -76,30 +77,33 @@ def learn(sample: np.ndarray, k: int, bits: int = 256, cover: float = 0.985, pro
     return Codes(codes.rotation, int(np.quantile(apart, cover)))
 
 
+#: All differences of substrings, the smallest first, and how many are within each distance.
+_BALL = np.argsort(_ONES, kind="stable").astype(np.uint16)
+_WITHIN = np.cumsum(np.bincount(_ONES, minlength=_SUB + 1))
+
+
 class Block:
-    """A multi-index over codes: for each substring, its values in order and the rows that have each."""
+    """A multi-index over codes: for each substring a directory, in which a value is looked up in constant time."""
 
     def __init__(self, codes: np.ndarray) -> None:
         self.codes, self.parts = codes, codes.shape[1]
-        self.rows = [np.argsort(codes[:, j], kind="stable") for j in range(self.parts)]
-        self.values, self.starts = [], []
-        for j in range(self.parts):
-            values, starts = np.unique(codes[self.rows[j], j], return_index=True)
-            self.values.append(values)
-            self.starts.append(np.append(starts, len(codes)))
+        self.rows = [np.argsort(codes[:, j], kind="stable").astype(np.int32) for j in range(self.parts)]
+        self.starts = [np.concatenate([[0], np.cumsum(np.bincount(codes[:, j], minlength=1 << _SUB))]).astype(np.int32) for j in range(self.parts)]
 
     def within(self, code: np.ndarray, radius: int) -> np.ndarray:
         """All rows whose code is within the radius. With r = m * s + a, a + 1 substrings are probed to distance s and the others to
-        s - 1: a code that is farther in all of them is farther in sum."""
+        s - 1, each at all values so near: a code that is farther in all of them is farther in sum."""
         s, a = divmod(radius, self.parts)
         seen = np.zeros(len(self.codes), bool)
         for j in range(self.parts):
-            reach = s if j <= a else s - 1
+            reach = min(s if j <= a else s - 1, _SUB)
             if reach < 0:
                 continue
-            hit = np.flatnonzero(_ONES[self.values[j] ^ code[j]] <= reach)
-            starts, stops = self.starts[j][hit], self.starts[j][hit + 1]
-            count = stops - starts
+            probed = _BALL[: _WITHIN[reach]] ^ code[j]
+            starts = self.starts[j][probed]
+            count = self.starts[j][probed.astype(np.int64) + 1] - starts
+            hit = np.flatnonzero(count)
+            starts, count = starts[hit], count[hit]
             if len(hit):
                 at = np.repeat(starts - (np.cumsum(count) - count), count) + np.arange(count.sum())
                 seen[self.rows[j][at]] = True
@@ -112,15 +116,15 @@ def usable(vec: Column) -> Column:
     return F.coalesce(finite & (F.aggregate(vec, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")) > 0), F.lit(False))
 
 
-def search(index: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", most_sampled: int = 8192, block: int = 8192, query_block: int = 2048, bits: int = 256) -> DataFrame:
-    """query_id, rank, vec_id and score of the nearest found of each query."""
+def search(index: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", most_sampled: int = 8192, block: int = 8192, query_block: int = 1 << 18, bits: int = 256) -> DataFrame:
+    """query_id, rank, vec_id and score of the nearest found of each query. Each shard of the index, of about `block` rows, is built
+    once for each `query_block` queries, which then stream past it."""
 
     def real(rows: DataFrame) -> DataFrame:
-        kept = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"))
+        kept = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
         return kept.filter(F.col("id").isNotNull() & F.col("vec").isNotNull()).filter(usable(F.col("vec")))
 
     spark, rows, asked = index.sparkSession, real(index), real(queries)
-    out = "query_id long, vec_id long, score double"
     lengths = rows.groupBy(F.size("vec").alias("d")).agg(F.count("*").alias("n"))
     common = lengths.orderBy(F.desc("n"), "d").first()
     if common is None:
@@ -130,18 +134,13 @@ def search(index: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_
     codes = spark.sparkContext.broadcast(learn(sample, k, bits))  # dimensions x bits
     shards, parts = -(-common["n"] // block), -(-max(asked.count(), 1) // query_block)
     numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = rows.withColumn("shard", F.pmod(F.xxhash64("id", "vec"), F.lit(shards)).cast("int")).withColumn("part", numbers(parts))
-    right = asked.withColumn("part", F.pmod(F.xxhash64("id", "vec"), F.lit(parts)).cast("int")).withColumn("shard", numbers(shards))
-
-    def nearest(have: pd.DataFrame, want: pd.DataFrame) -> pd.DataFrame:
-        if not len(have) or not len(want):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
-        x, q = np.array(have.vec.tolist(), np.float64), np.array(want.vec.tolist(), np.float64)
-        ids, own, found = have.id.to_numpy(), want.id.to_numpy(), []
-        long_x, c = np.linalg.norm(x, axis=1), codes.value
-        index_ = Block(c.of(x))
-        for vector, code, query in zip(q, c.of(q), own, strict=True):
-            radius = c.radius
+    left = rows.withColumn("shard", F.pmod(F.xxhash64("id", "vec"), F.lit(shards)).cast("int")).withColumn("part", numbers(parts)).withColumn("asks", F.lit(False))
+    right = asked.withColumn("part", F.pmod(F.xxhash64("id", "vec"), F.lit(parts)).cast("int")).withColumn("shard", numbers(shards)).withColumn("asks", F.lit(True))
+
+    def answers(ids: np.ndarray, x: np.ndarray, long_x: np.ndarray, index_: Block, own: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
+        found = []
+        for vector, code, query in zip(q, codes.value.of(q), own.tolist(), strict=True):
+            radius = codes.value.radius
             while True:
                 near = index_.within(code, radius)
                 near = near[ids[near] != query]
@@ -151,8 +150,28 @@ def search(index: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_
             score = x[near] @ vector / (long_x[near] * np.linalg.norm(vector))
             top = np.lexsort((ids[near], -score))[:k]
             found += [(query, i, s) for i, s in zip(ids[near][top].tolist(), score[top].tolist(), strict=True)]
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-
-    found = left.groupBy("shard", "part").cogroup(right.groupBy("shard", "part")).applyInPandas(nearest, out)
+        return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.float64())], ["query_id", "vec_id", "score"])
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows come by shard and part, those of the index before the queries."""
+        at, have, built = None, [], None
+        for batch in batches:
+            shard, part, asks, ids = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("shard", "part", "asks", "id"))
+            vectors = batch.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            edges = np.flatnonzero(np.diff(shard) | np.diff(part) | np.diff(asks.astype(np.int8))) + 1
+            for low, high in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows], strict=True):
+                if (shard[low], part[low]) != at:
+                    at, have, built = (shard[low], part[low]), [], None
+                if not asks[low]:
+                    have.append((ids[low:high], vectors[low:high]))
+                elif have:
+                    if built is None:
+                        x = np.concatenate([v for _, v in have])
+                        built = (np.concatenate([i for i, _ in have]), x, np.linalg.norm(x, axis=1), Block(codes.value.of(x)))
+                    yield answers(*built, ids[low:high], vectors[low:high])
+
+    keys = ["shard", "part"]
+    dealt = left.unionByName(right).repartition(shards * parts, *keys).sortWithinPartitions(*keys, "asks")
+    found = dealt.select(*keys, "asks", "id", "vec").mapInArrow(nearest, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")  # k rows for each block of the index
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -50,6 +51,12 @@ def rows_of(batches: Iterator, *names: str) -> Iterator[tuple]:
             yield tuple(c[k].as_py() for c in columns)
 
 
+def chunked(rows: Iterator[tuple], size: int) -> Iterator[list[tuple]]:
+    """Lists of at most so many rows."""
+    while some := list(islice(rows, size)):
+        yield some
+
+
 def columns_of(batches: Iterator, *names: str) -> Iterator[tuple[list, ...]]:
     """The named columns of each Arrow batch as Python lists."""
     for batch in batches:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kelpie.llm.common import columns_of, stored
+from kelpie.llm.common import rows_of, stored
 
 BITS = 16
 #: So many languages are counted and brought to the driver at a time.
@@ -63,16 +63,16 @@ def train_text(rows: DataFrame, text: str = "text", lang: str = "lang") -> TextM
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at), pa.array(n[at])], ["l", "bucket", "n"])
             seen.clear()
 
-        for data, lang in columns_of(batches, "data", "l"):
-            for x, name in zip(data, lang, strict=True):
-                if name not in seen and len(seen) == _AT_ONCE:
+        for x, name in rows_of(batches, "data", "l"):
+            if name not in seen:
+                if len(seen) == _AT_ONCE:
                     yield from counted()
-                found = seen.setdefault(name, np.zeros(1 << BITS, np.int64))
-                found += np.bincount(trigrams(x), minlength=1 << BITS)
+                seen[name] = np.zeros(1 << BITS, np.int64)
+            seen[name] += np.bincount(trigrams(x), minlength=1 << BITS)
         yield from counted()
 
-    rows_of = given.select(F.col(text).cast("binary").alias("data"), F.lower(lang).alias("l")).mapInArrow(count, "l string, bucket long, n long")
-    table = stored(rows_of.groupBy("l", "bucket").agg(F.sum("n").alias("n")), "trigrams")
+    found = given.select(F.col(text).cast("binary").alias("data"), F.lower(lang).alias("l")).mapInArrow(count, "l string, bucket long, n long")
+    table = stored(found.groupBy("l", "bucket").agg(F.sum("n").alias("n")), "trigrams")
     every = table.groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     in_bucket = np.ones(1 << BITS)  # UNKNOWN has one of each
     in_bucket[every["bucket"].to_numpy()] += every["n"].to_numpy()
@@ -102,7 +102,7 @@ def text_evidence(rows: DataFrame, model: TextModel, text: Column, weight_of_tex
 
     @F.arrow_udf("array<double>")
     def evidence(texts: pa.Array) -> pa.Array:
-        return pa.array(map(one, texts.to_pylist()), pa.list_(pa.float64()))
+        return pa.array((one(x.as_py()) for x in texts), pa.list_(pa.float64()))
 
     return evidence(text.cast("binary"))
 
@@ -116,9 +116,9 @@ def _by_key(votes: DataFrame, by: str, key: str, name: str) -> DataFrame:
 def identify(rows: DataFrame, model: TextModel, text: Column, declared: Column, suffix: Column, host: Column, weight_of_text: float = 60.0, weight_of_prior: float = 10.0) -> DataFrame:
     """The rows with language, posterior (its chance), text_language (by the text alone) and declared (as read)."""
     k = len(model.languages)
-    base = rows.drop("language", "posterior", "text_language", "declared", "__e", "__v", "__s", "__h").withColumns(
-        {"__e": text_evidence(rows, model, text, weight_of_text), "declared": F.lower(F.substring_index(F.trim(declared), "-", 1)), "__s": F.lower(suffix), "__h": F.lower(host)}
-    ).withColumn("__v", F.when(F.col("__e").isNotNull(), F.array_position("__e", F.array_max("__e")) - 1))
+    base = rows.withColumns(
+        {"__e": text_evidence(rows, model, text, weight_of_text), "__d": F.lower(F.substring_index(F.trim(declared), "-", 1)), "__s": F.lower(suffix), "__h": F.lower(host)}
+    ).drop("language", "posterior", "text_language", "declared").withColumnRenamed("__d", "declared").withColumn("__v", F.when(F.col("__e").isNotNull(), F.array_position("__e", F.array_max("__e")) - 1))
     votes = stored(base.groupBy("__h", "__s", "declared", "__v").agg(F.count("*").alias("n")), "votes").filter("__v is not null").withColumnRenamed("__v", "vote").withColumn("vote", F.col("vote").cast("int"))
     total = np.full(k, 1.0)
     total[-1] = 0.01

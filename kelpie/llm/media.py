@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kelpie.llm.common import columns_of, stored
+from kelpie.llm.common import chunked, rows_of, stored
 
 UNIT, UNITS_A_CHUNK, RATE = 64, 64, 8000
 _PARENTS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta"}
@@ -87,10 +87,13 @@ def mux(payload: bytes) -> bytes:
     return head + moov + data if len(moov) + len(head) + inner == first else head + movie(len(head) + len(moov) + inner) + data
 
 
-def boxes(data: memoryview, start: int = 0, stop: int | None = None, path: tuple[bytes, ...] = ()) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
-    """Path, start and end of the content of each box, parents before what is nested in them."""
-    stop = len(data) if stop is None else stop
-    while start < stop:
+def boxes(data: memoryview) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
+    """Path, start and end of the content of each box, parents before what is nested in them; a stack, so any depth will do."""
+    open_: list[tuple[int, int, tuple[bytes, ...]]] = [(0, len(data), ())]
+    while open_:
+        start, stop, path = open_.pop()
+        if start == stop:
+            continue
         if stop - start < 8:
             raise ValueError("a box is cut short")
         size, kind = struct.unpack_from(">I4s", data, start)
@@ -103,10 +106,18 @@ def boxes(data: memoryview, start: int = 0, stop: int | None = None, path: tuple
             size = stop - start
         if size < inner - start or start + size > stop:
             raise ValueError("a box ends outside its parent")
-        yield (*path, kind), inner, start + size
+        open_.append((start + size, stop, path))
+        yield (*path[-8:], kind), inner, start + size  # the nearest parents say what a box is
         if kind in _PARENTS:
-            yield from boxes(data, inner, start + size, (*path, kind))
-        start += size
+            open_.append((inner, start + size, (*path[-8:], kind)))
+
+
+def _table(body: memoryview, kind: str, columns: int = 1, at: int = 4) -> np.ndarray:
+    """The entries of a table whose count stands at that byte; they must lie in the box."""
+    number = struct.unpack_from(">I", body, at)[0]
+    if at + 4 + number * columns * np.dtype(kind).itemsize > len(body):
+        raise ValueError("a table ends outside its box")
+    return np.frombuffer(body, kind, number * columns, at + 4).astype(np.int64).reshape((-1, columns) if columns > 1 else -1)
 
 
 def probe(data: bytes) -> list[dict]:
@@ -124,31 +135,37 @@ def probe(data: bytes) -> list[dict]:
         elif kind == b"stsd":
             track["codec"] = bytes(body[12:16]).decode("latin1")
         elif kind == b"stss":
-            track["sync"] = np.frombuffer(body, ">u4", struct.unpack_from(">I", body, 4)[0], 8).astype(np.int64) - 1
+            track["sync"] = _table(body, ">u4") - 1
         elif kind == b"stsz":
             size, number = struct.unpack_from(">II", body, 4)
-            track["sizes"] = np.full(number, size, np.int64) if size else np.frombuffer(body, ">u4", number, 12).astype(np.int64)
+            if size * number > len(data):
+                raise ValueError("samples are larger than the file")
+            track["sizes"] = np.full(number, size, np.int64) if size else _table(body, ">u4", at=8)
         elif kind in (b"stco", b"co64"):
-            track["chunks"] = np.frombuffer(body, ">u4" if kind == b"stco" else ">u8", struct.unpack_from(">I", body, 4)[0], 8).astype(np.int64)
+            track["chunks"] = _table(body, ">u4" if kind == b"stco" else ">u8")
         elif kind == b"stsc":
-            track["runs"] = np.frombuffer(body, ">u4", 3 * struct.unpack_from(">I", body, 4)[0], 8).astype(np.int64).reshape(-1, 3)
+            track["runs"] = _table(body, ">u4", 3)
         elif kind == b"stts":
-            track["times"] = np.frombuffer(body, ">u4", 2 * struct.unpack_from(">I", body, 4)[0], 8).astype(np.int64).reshape(-1, 2)
+            track["times"] = _table(body, ">u4", 2)
     for track in tracks:
         if missing := {"codec", "duration", "sizes", "chunks", "runs", "times"} - track.keys():
             raise ValueError(f"a track has no {', '.join(sorted(missing))}")
         chunks, runs, sizes = track["chunks"], track["runs"], track["sizes"]
         spans = np.diff(np.append(runs[:, 0] - 1, len(chunks)))
+        if (spans < 0).any() or int((spans * runs[:, 1]).sum()) != len(sizes):
+            raise ValueError("the sample tables don't agree")
         in_chunk = np.repeat(runs[:, 1], spans)
-        if in_chunk.sum() != len(sizes) or (track["times"][:, 0]).sum() != len(sizes):
+        if len(in_chunk) != len(chunks) or track["times"][:, 0].sum() != len(sizes):
             raise ValueError("the sample tables don't agree")
         before = np.cumsum(sizes) - sizes
         chunk = np.repeat(np.arange(len(chunks)), in_chunk)
         firsts = np.cumsum(in_chunk) - in_chunk
         track["places"] = chunks[chunk] + before - before[firsts[chunk]] if len(sizes) else before
-        if len(sizes) and (track["places"] + sizes).max() > len(data):
+        if len(sizes) and ((track["places"] + sizes).max() > len(data) or track["places"].min() < 0):
             raise ValueError("a sample ends outside the file")
         track["sync"] = track.get("sync", np.arange(len(sizes)))
+        if len(track["sync"]) and (track["sync"].min() < 0 or track["sync"].max() >= len(sizes)):
+            raise ValueError("a sync sample isn't there")
     return tracks
 
 
@@ -164,10 +181,9 @@ def store(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes and media: each text as a stored media file."""
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in columns_of(batches, "doc_id", "data"):
-            for low in range(0, len(ids), 256):
-                data = [x or b"" for x in texts[low : low + 256]]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[low : low + 256], pa.int64()), pa.array(map(len, data), pa.int64()), pa.array([mux(padded(x)) for x in data], pa.binary())], ["doc_id", "n_bytes", "media"])
+        for some in chunked(rows_of(batches, "doc_id", "data"), 64):
+            ids, data = [i for i, _ in some], [x or b"" for _, x in some]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(map(len, data), pa.int64()), pa.array([mux(padded(x)) for x in data], pa.binary())], ["doc_id", "n_bytes", "media"])
 
     return stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("data")).mapInArrow(fill, STORED), "media")
 
@@ -188,8 +204,8 @@ def features(files: DataFrame) -> DataFrame:
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64()] * 2 + [pa.string()] + [pa.int64()] * 4 + [pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))] + [pa.int64(), pa.string()] * 2 + [pa.int64(), pa.string()]
-        for rows in columns_of(batches, "doc_id", "n_bytes", "media"):
-            got = list(map(read, *rows))
+        for some in chunked(rows_of(batches, "doc_id", "n_bytes", "media"), 64):
+            got = [read(*row) for row in some]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*got, strict=True), kinds, strict=True)], names)
 
     return files.mapInArrow(look, PROBED)

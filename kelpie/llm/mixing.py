@@ -2,12 +2,13 @@
 
 Each source's target is its weight's share of all words, at most `most` times its own words; what a source can't take is
 shared again by weight. Every document gets the whole copies that the ratio of target to words makes certain. What is left
-is a sample: documents are ranked by their random odds divided by their odds of inclusion, which differ by source, and
-taken in that order while they fit the words left; one more document, the one that comes nearest to what then remains,
-rounds the sum. Random numbers are hashes of id and text, so reruns agree.
+is an unequal-probability sample: a document's chance is in proportion to its words. Documents whose chance would reach 1 are
+certain and get one more copy, the largest first, until no chance of the others does. These are ranked by their random odds
+divided by their odds of inclusion and taken in that order while they fit the words left; one more document, the one that comes
+nearest to what then remains, rounds the sum. Random numbers are hashes of id and text, so reruns agree.
 
-Ranks come from two rounds of histograms of the random number, so no source's rows meet in a task. Only sums by source meet
-in one, a row for each source.
+The place where the words are used up comes from two rounds of histograms of the ranks, so no source's rows meet in a task; chances
+come from a source's distinct sizes, which the longest document bounds. Only sums by source meet in one task, a row for each.
 
 Cases: null text has no words; null source is a source, after all others; documents without words take nothing; rows equal in
 id and text are ties and are all in or all out; an empty table gives no rows. Columns of the input named like those added
@@ -58,50 +59,70 @@ def targets(rows: DataFrame, weights: tuple[float, ...], most: int) -> DataFrame
     ).withColumn("left", F.col("target") - F.col("whole") * F.col("source_size"))
 
 
+_BY = ["__source", "__no_source"]
+
+
+def chances(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """The plan with __most, the largest size that isn't certain, __slope, the chance for each word of a document, and __room, the
+    words left for the sample once larger documents have their certain copy."""
+    open_ = plan.filter("left > 0 and source_size > 0").select(*_BY, "left")
+    sizes = rows.filter("size > 0").groupBy(*_BY, "size").agg(F.count("*").alias("__n")).join(open_, _BY)
+    down = Window.partitionBy(*_BY).orderBy(F.desc("size"))  # a row for each distinct size
+    larger = F.coalesce(F.sum(F.col("__n") * F.col("size")).over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    wide = F.lit(0).cast("decimal(38,0)") + F.col("size")
+    squares = F.sum((wide * F.col("size") * F.col("__n")).cast("decimal(38,0)")).over(down.rowsBetween(0, Window.unboundedFollowing))
+    at = sizes.withColumn("__room", F.col("left") - larger).withColumn("__slope", F.col("__room") / squares.cast("double"))
+    first = at.filter(F.col("__slope") * F.col("size") < 1).groupBy(*_BY).agg(F.max_by(F.struct(F.col("size").alias("__most"), "__slope", "__room"), "size").alias("__c"))
+    return plan.join(first.select(*_BY, "__c.*"), _BY, "left")
+
+
 def pareto_rank(u: Column, chance: Column) -> Column:
-    """Random odds divided by the odds of inclusion; grows with u, so u orders the documents of one chance alike."""
+    """Random odds divided by the odds of inclusion."""
     return (u / (1 - u)) / (chance / (1 - chance))
 
 
-_BY = ["__source", "__no_source"]
+def _rank() -> Column:
+    return pareto_rank(F.col("__u"), F.col("__slope") * F.col("size"))
 
 
 def cuts(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """The plan with each source's place in the order where its words are used up: __cut (rank, key), __words before it, and
     the key __round of the document that rounds the sum."""
-    chance = F.col("left") / F.col("source_size")
-    ranked = rows.join(plan.filter("left > 0 and source_size > 0"), _BY).withColumn("__rank", pareto_rank(F.col("__u"), chance))
-    # Documents of a source have one chance, so equal steps of u are steps of rank that hold about as many rows.
+    ranked = rows.join(plan.filter("__slope > 0"), _BY).filter("size > 0 and size <= __most").withColumn("__rank", _rank())
     bound, edges = ranked.withColumns({"__done": F.lit(0).cast("long"), "__step0": F.lit(0).cast("long")}), 1
-    for level in (1, 2):
+    for _ in range(2):
         edges *= _FINE
-        step = F.floor(F.col("__u") * edges).cast("long")
+        step = F.floor(F.col("__rank") / (F.col("__rank") + 1) * edges).cast("long")
         inside = bound.withColumn("__step", step)
-        sums = inside.groupBy(*_BY, "left", "__done", "__step").agg(F.sum("size").alias("__n"))
+        sums = inside.groupBy(*_BY, "__room", "__done", "__step").agg(F.sum("size").alias("__n"))
         upto = Window.partitionBy(*_BY).orderBy("__step")  # at most _FINE rows a source
-        run = sums.withColumn("__end", F.col("__done") + F.sum("__n").over(upto)).filter(F.col("__end") > F.col("left"))
+        run = sums.withColumn("__end", F.col("__done") + F.sum("__n").over(upto)).filter(F.col("__end") > F.col("__room"))
         first = run.groupBy(*_BY).agg(F.min_by(F.struct("__step", (F.col("__end") - F.col("__n")).alias("__done")), "__step").alias("__at"))
         first = first.select(*_BY, F.col("__at.__step").alias("__step"), F.col("__at.__done").alias("__done"))
         bound = inside.drop("__done").join(first, [*_BY, "__step"]).drop("__step")
     upto = Window.partitionBy(*_BY).orderBy("__rank", "__key")  # the frame has all ties; rows of one of 16 million steps
     last = bound.withColumn("__end", F.col("__done") + F.sum("size").over(upto)).groupBy(*_BY).agg(
-        F.min(F.when(F.col("__end") > F.col("left"), F.struct("__rank", "__key"))).alias("__cut"),
-        F.coalesce(F.max(F.when(F.col("__end") <= F.col("left"), F.col("__end"))), F.max("__done")).alias("__words"),
+        F.min(F.when(F.col("__end") > F.col("__room"), F.struct("__rank", "__key"))).alias("__cut"),
+        F.coalesce(F.max(F.when(F.col("__end") <= F.col("__room"), F.col("__end"))), F.max("__done")).alias("__words"),
     )
     last = stored(last, "cuts")  # a row for each source, as the plan: Spark then knows that it is small and broadcasts it
-    beyond = ranked.join(last, _BY).filter(F.struct("__rank", "__key") >= F.col("__cut")).withColumn("__miss", F.abs(F.col("size") - (F.col("left") - F.col("__words"))))
-    nearer = beyond.filter(F.col("__miss") < F.col("left") - F.col("__words"))
+    beyond = ranked.join(last, _BY).filter(F.struct("__rank", "__key") >= F.col("__cut")).withColumn("__miss", F.abs(F.col("size") - (F.col("__room") - F.col("__words"))))
+    nearer = beyond.filter(F.col("__miss") < F.col("__room") - F.col("__words"))
     rounding = nearer.groupBy(*_BY).agg(F.min_by("__key", F.struct("__miss", "__rank", "__key")).alias("__round"))
     return plan.join(last.join(rounding, _BY, "left"), _BY, "left")
 
 
 def applied(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """The drawn rows with source_size, target, copies and taken."""
-    rank = pareto_rank(F.col("__u"), F.col("left") / F.col("source_size"))
-    extra = F.coalesce((F.struct(rank.alias("__rank"), F.col("__key")) < F.col("__cut")) | (F.col("__key") == F.col("__round")), F.lit(False))
-    copies = F.col("whole") + F.when(F.col("left") > 0, extra.cast("int")).otherwise(0)
-    chosen = rows.join(plan, _BY).withColumn("copies", copies).withColumn("taken", F.col("size") * F.col("copies"))
-    return chosen.drop(*_BY, "__key", "__u", "whole", "left", "__cut", "__words", "__round")
+    sampled = (F.col("size") > 0) & (F.col("size") <= F.col("__most")) & ((F.struct(_rank().alias("__rank"), F.col("__key")) < F.col("__cut")) | (F.col("__key") == F.col("__round")))
+    extra = F.when(F.col("size") > 0, F.coalesce((F.col("size") > F.col("__most")) | sampled, F.lit(False)).cast("int")).otherwise(0)
+    chosen = rows.join(plan, _BY).withColumn("copies", F.col("whole") + extra).withColumn("taken", F.col("size") * F.col("copies"))
+    return chosen.drop(*_BY, "__key", "__u", "whole", "left", "__most", "__slope", "__room", "__cut", "__words", "__round")
+
+
+def _planned(slim: DataFrame, weights: tuple[float, ...], most: int) -> DataFrame:
+    plan = stored(targets(slim, weights, most), "targets")
+    return stored(cuts(slim, stored(chances(slim, plan), "chances")), "mix")
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: int = 3) -> DataFrame:
@@ -109,13 +130,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: int
     have the weights in turn. `most` bounds the copies of a document and each target."""
     rows = drawn(docs)
     slim = stored(rows.select(*_BY, "__key", "__u", "size"), "drawn")
-    return applied(rows, stored(cuts(slim, stored(targets(slim, weights, most), "targets")), "mix"))
+    return applied(rows, _planned(slim, weights, most))
 
 
 def digest(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: int = 3) -> DataFrame:
     """The same decisions without the texts, which are read once."""
     slim = stored(drawn(docs).select(*_BY, "__key", "__u", "size", "doc_id", "source"), "drawn")
-    return applied(slim, stored(cuts(slim, stored(targets(slim, weights, most), "targets")), "mix"))
+    return applied(slim, _planned(slim, weights, most))
 
 
 MIX_SQL = r"""
@@ -131,12 +152,18 @@ l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap
 t AS (SELECT source, source_size, coalesce(least(cap::DOUBLE, (SELECT max(lev) FROM l WHERE cap / w >= lev) * w), 0.0) AS target FROM l),
 p AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS INTEGER) ELSE 0 END AS whole FROM t),
 r AS (SELECT u.*, p.source_size, p.target, p.whole, p.target - p.whole * p.source_size AS lft FROM u JOIN p ON u.source IS NOT DISTINCT FROM p.source),
-c AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY u, k RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM r),
-b AS (SELECT source, coalesce(max(CASE WHEN upto <= lft THEN upto END), 0) AS words FROM c WHERE lft > 0 GROUP BY source),
-m AS (SELECT c.source, arg_min(c.k, {'a': abs(size - (lft - words)), 'u': u, 'k': k}) AS rk
+z AS (SELECT source, size, max(lft) AS lft, count(*) * size AS words, count(*) * size::HUGEINT * size AS sq FROM r WHERE lft > 0 AND size > 0 GROUP BY source, size),
+g AS (SELECT source, size, (lft - coalesce(sum(words) OVER (PARTITION BY source ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE AS room,
+        sum(sq) OVER (PARTITION BY source ORDER BY size DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::DOUBLE AS squares FROM z),
+y AS (SELECT source, max(size) AS most, arg_max(room / squares, size) AS slope, arg_max(room, size) AS room FROM g WHERE room / squares * size < 1 GROUP BY source),
+q AS (SELECT r.*, y.most, y.room, CASE WHEN size > 0 AND size <= y.most THEN (u / (1 - u)) / ((slope * size) / (1 - slope * size)) END AS rank
+      FROM r LEFT JOIN y ON r.source IS NOT DISTINCT FROM y.source),
+c AS (SELECT *, CASE WHEN rank IS NOT NULL THEN sum(size) OVER (PARTITION BY source, rank IS NULL ORDER BY rank, k RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END AS upto FROM q),
+b AS (SELECT source, coalesce(max(CASE WHEN upto <= room THEN upto END), 0) AS words FROM c WHERE rank IS NOT NULL GROUP BY source),
+m AS (SELECT c.source, arg_min(c.k, {'a': abs(size - (room - words)), 'r': rank, 'k': k}) AS rk
       FROM c JOIN b ON c.source IS NOT DISTINCT FROM b.source
-      WHERE upto > lft AND abs(size - (lft - words)) < lft - words GROUP BY c.source)
+      WHERE upto > room AND abs(size - (room - words)) < room - words GROUP BY c.source)
 SELECT c.doc_id, c.size::BIGINT AS size, c.source_size, c.target,
-       (c.size * (c.whole + CASE WHEN c.lft > 0 AND (c.upto <= c.lft OR c.k = coalesce(m.rk, '')) THEN 1 ELSE 0 END))::BIGINT AS taken
+       (c.size * (c.whole + CASE WHEN c.size > 0 AND (c.size > c.most OR c.upto <= c.room OR (c.rank IS NOT NULL AND c.k = coalesce(m.rk, ''))) THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM c LEFT JOIN m ON c.source IS NOT DISTINCT FROM m.source
 """

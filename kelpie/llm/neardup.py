@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kelpie.llm.common import columns_of, mixed, range_hashes, stored, word_hashes
+from kelpie.llm.common import chunked, columns_of, mixed, range_hashes, rows_of, stored, word_hashes
 
 TOKENS = 64
 SHINGLE = 5
@@ -78,16 +78,13 @@ def prepared(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, the class of its set (two numbers) and tokens; stored."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, data in columns_of(batches, "doc_id", "data"):
-            for low in range(0, len(ids), 1024):
-                sizes, one, two, tokens = [], [], [], []
-                for x in data[low : low + 1024]:
-                    s = shingle_set(x)
-                    sizes.append(len(s))
-                    one.append(int(mixed(s).sum(dtype=np.uint64).astype(np.int64)))
-                    two.append(int(mixed(s ^ _STRANGE).sum(dtype=np.uint64).astype(np.int64)))
-                    tokens.append(minwise(s).tobytes() if len(s) else None)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in ((ids[low : low + 1024], pa.int64()), (sizes, pa.int64()), (one, pa.int64()), (two, pa.int64()), (tokens, pa.binary()))], ["doc_id", "n_shingles", "set_one", "set_two", "tokens"])
+        for some in chunked(rows_of(batches, "doc_id", "data"), 1024):
+            made = []
+            for doc_id, x in some:
+                s = shingle_set(x)
+                one, two = (int(mixed(s ^ salt).sum(dtype=np.uint64).astype(np.int64)) for salt in (np.uint64(0), _STRANGE))
+                made.append((doc_id, len(s), one, two, minwise(s).tobytes() if len(s) else None))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k == 4 else pa.int64()) for k, c in enumerate(zip(*made, strict=True))], ["doc_id", "n_shingles", "set_one", "set_two", "tokens"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("data"))
     return stored(rows.mapInArrow(look, "doc_id long, n_shingles long, set_one long, set_two long, tokens binary"), "prepared")
@@ -172,15 +169,15 @@ def _keyed_sets(docs: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFram
     names = ["doc_id", *keys]
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple = (None, b"")
-        for data, *rest in columns_of(batches, "data", *names):
-            for low in range(0, len(data), 512):
-                made = []
-                for x in data[low : low + 512]:
-                    if x is not last[0]:
-                        last = (x, shingle_set(x).tobytes())
-                    made.append(last[1])
-                yield pa.RecordBatch.from_arrays([*(pa.array(c[low : low + 512], pa.int64()) for c in rest), pa.array(made, pa.binary())], [*names, "shingles"])
+        last: tuple = (None, b"")  # a document's rows come one after another
+        for some in chunked(rows_of(batches, "data", *names), 64):
+            made = []
+            for x, *_ in some:
+                if x != last[0]:
+                    last = (x, shingle_set(x).tobytes())
+                made.append(last[1])
+            rest = zip(*(r[1:] for r in some), strict=True)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in rest), pa.array(made, pa.binary())], [*names, "shingles"])
 
     wanted = stored(wanted.select(*names), "wanted")
     sets = _maybe_wanted(_texts(docs), wanted).join(wanted, "doc_id").select("data", *names).mapInArrow(look, ", ".join(f"{n} long" for n in names) + ", shingles binary")

@@ -55,7 +55,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = toxicity.scored(docs.select("doc_id", "text"), model)
-    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "toxicity.score", "toxicity.predicted", F.size("toxicity.passages").alias("n_passages"))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "toxicity.score", "toxicity.predicted", F.size("toxicity.passages").alias("n_passages"), "toxicity.passages")
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

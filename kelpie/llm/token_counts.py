@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kelpie.llm.common import columns_of
+from kelpie.llm.common import chunked, rows_of
 from kelpie.llm.encoder import encoder
 
 COUNTS = "doc_id long, section long, char_start long, char_end long, n_tokens long, token_share double, n_crossing long, doc_tokens long"
@@ -55,17 +55,16 @@ def token_counts(docs: DataFrame, tokenizer: str, spans: str | None = None) -> D
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        for ids, texts, given in columns_of(batches, "doc_id", "text", "spans"):
-            for low in range(0, len(ids), 512):
-                out = []
-                for doc_id, text, own in zip(ids[low : low + 512], texts[low : low + 512], given[low : low + 512], strict=True):
-                    text = text or ""
-                    at = line_spans(text) if spans is None else [tuple(x.values())[:2] for x in own or [] if x and None not in tuple(x.values())[:2]]
-                    tokens = enc.encode(text)
-                    out += [(doc_id, k, s, e, n, share, cross, len(tokens)) for k, ((s, e), n, share, cross) in enumerate(zip(at, *(x.tolist() for x in attributed(text, at, tokens, enc.byte_length)), strict=True))]
-                if out:
-                    cols = list(zip(*out, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if k == 5 else pa.int64()) for k, c in enumerate(cols)], [x.split()[0] for x in COUNTS.split(", ")])
+        for some in chunked(rows_of(batches, "doc_id", "text", "spans"), 256):
+            out = []
+            for doc_id, text, own in some:
+                text = text or ""
+                at = line_spans(text) if spans is None else [tuple(x.values())[:2] for x in own or [] if x and None not in tuple(x.values())[:2]]
+                tokens = enc.encode(text)
+                out += [(doc_id, k, s, e, n, share, cross, len(tokens)) for k, ((s, e), n, share, cross) in enumerate(zip(at, *(x.tolist() for x in attributed(text, at, tokens, enc.byte_length)), strict=True))]
+            if out:
+                cols = list(zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if k == 5 else pa.int64()) for k, c in enumerate(cols)], [x.split()[0] for x in COUNTS.split(", ")])
 
     wanted = F.lit(None).cast("string") if spans is None else F.col(spans)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), wanted.alias("spans")).mapInArrow(count, COUNTS)

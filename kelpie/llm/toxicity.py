@@ -1,16 +1,19 @@
 """Toxic passages by maximum-scoring segments.
 
 Words and their beginnings, which inflected forms share, have log-odds of toxic against clean documents under a Dirichlet
-prior, less some standard errors towards zero; a word takes the most decided of its own. The model holds them by hash bucket, so its size is fixed. A linear scan over a document's words finds the segment with the
-highest sum; where that is significant, a second linear scan finds all significant segments. The highest sum of n words
-follows an extreme-value law under the words of clean documents; its evidence, minus the log of the expected number of
-segments that good, is turned into a chance by a logistic curve fitted on the training rows.
+prior, less some standard errors towards zero; a word takes the most decided of its own. The model holds them by hash bucket, so
+its size is fixed. One linear scan over a document's words finds all its maximal segments. The highest sum of n words follows an
+extreme-value law under the words of clean documents, whose decay is fitted on their words and whose scale on the highest sums of
+clean documents. A document's evidence adds up its r best segments by the law of such sums, for the r that says most, at a price
+for each further segment; a logistic curve fitted on the training rows makes a chance of it. Segments that clean words
+would hardly give are its passages.
 
 Training reads at most `most_labelled` labelled documents, those with the smallest hashes of their ids.
 
 Cases: null and empty texts have no words and get the score of no evidence; null labels are left out, a document with several
 labels is toxic if one says so; if one class has no training rows, each row gets the share of toxic labels; repeated rows
-stay; null ids are held out like any id whose remainder is 0; an empty table gives no rows.
+stay; null ids are held out like any id whose remainder is 0; an empty table gives no rows. A column of the input named toxicity is
+replaced.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kelpie.llm.common import columns_of, range_hashes, word_spans
+from kelpie.llm.common import range_hashes, rows_of, word_spans
 
 BITS = 20
 BUCKETS = 1 << BITS
@@ -76,10 +79,25 @@ class Model:
     def words(self, data: bytes | None) -> np.ndarray:
         return word_scores(self.scores, buckets(data)) - self.drift
 
-    def evidence(self, highest: float, words: int) -> float:
-        if highest <= 0:  # no segment, which is sure to be
+    def evidence(self, sums: np.ndarray, words: int) -> float:
+        """Minus the log of the chance that clean words give segments with such sums, over the number of the best ones that says
+        most; each further segment costs the log of 2."""
+        if not len(sums):  # no segment, which is sure to be
             return _NOTHING
-        return self.decay * highest - float(np.log(self.scale * max(words, 1)))
+        each = self.decay * np.sort(sums)[::-1] - float(np.log(self.scale * max(words, 1)))
+        together = np.cumsum(each[: max(1, int((each > 0).sum()))])
+        r = np.arange(1, len(together) + 1)
+        log_factorial = np.cumsum(np.log(r))
+        several = together - (r - 1) * np.log(2 * np.maximum(together, 1e-9)) + 2 * log_factorial - np.log(r)
+        return float(several[(r == 1) | (together >= r * (r - 1))].max())  # beyond that the law of sums doesn't hold
+
+    def evidence_of(self, scores: np.ndarray) -> float:
+        return self.evidence(np.array([x[2] for x in maximal_segments(scores)]), len(scores))
+
+    def passages(self, segments: list[tuple[int, int, float]], words: int) -> list[tuple[int, int, float]]:
+        """The segments that are significant among so many words."""
+        least = (self.significant + float(np.log(self.scale * max(words, 1)))) / self.decay
+        return [x for x in segments if x[2] >= max(least, 0.0)]
 
     def chance(self, evidence: np.ndarray | float) -> np.ndarray | float:
         return self.fixed if self.fixed is not None else 1 / (1 + np.exp(-np.clip(self.slope * evidence + self.offset, -40, 40)))
@@ -93,26 +111,24 @@ def highest_segment(scores: np.ndarray) -> float:
     return max(0.0, float((sums - np.minimum(np.minimum.accumulate(np.concatenate([[0.0], sums[:-1]])), 0)).max()))
 
 
-def maximal_segments(scores: np.ndarray, least: float) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments of at least so much, as first, last and sum: one pass with a stack of candidates, each
-    with the running sums before and at its end."""
-    stack: list[tuple[int, int, float, float]] = []
-    total = 0.0
-    for i, s in enumerate(scores.tolist()):
-        before, total = total, total + s
-        if s <= 0:
-            continue
-        first, left, right = i, before, total
-        while True:
-            j = len(stack) - 1
-            while j >= 0 and stack[j][2] >= left:
-                j -= 1
-            if j < 0 or stack[j][3] >= right:
-                break
-            first, left = stack[j][0], stack[j][2]
-            del stack[j:]
-        stack.append((first, i, left, right))
-    return [(a, b, r - lo) for a, b, lo, r in stack if r - lo >= least]
+def maximal_segments(scores: np.ndarray, least: float = 0.0) -> list[tuple[int, int, float]]:
+    """All maximal scoring segments of at least so much, as first, last and sum, in linear time: a stack of candidates with the
+    running sums before and at the end of each, and its link to the nearest one before it whose sum before is less."""
+    sums = np.cumsum(scores)
+    firsts, lasts, lefts, rights, links = [], [], [], [], []
+    at = np.flatnonzero(np.asarray(scores) > 0)
+    for i, left, right in zip(at.tolist(), (sums[at] - scores[at]).tolist(), sums[at].tolist(), strict=True):
+        first, j = i, len(lefts) - 1
+        while j >= 0 and lefts[j] >= left:
+            j = links[j]
+        while j >= 0 and rights[j] < right:  # it grows back over that candidate and what came after it
+            first, left, link = firsts[j], lefts[j], links[j]
+            for x in (firsts, lasts, lefts, rights, links):
+                del x[j:]
+            j = link
+        for x, value in zip((firsts, lasts, lefts, rights, links), (first, i, left, right, j), strict=True):
+            x.append(value)
+    return [(a, b, r - lo) for a, b, lo, r in zip(firsts, lasts, lefts, rights, strict=True) if r - lo >= least]
 
 
 def fit_words(toxic: np.ndarray, clean: np.ndarray, prior: float = 500.0) -> Model:
@@ -140,6 +156,12 @@ def fit_law(model: Model, scores: np.ndarray, counts: np.ndarray) -> Model:
     return replace(model, drift=drift, decay=low or 1.0)
 
 
+def fit_scale(model: Model, segments: float, expected: float) -> Model:
+    """The scale at which the highest sums of clean documents are likeliest, from the number of those that have a segment and the
+    sum over all of words times exp(-decay * highest sum)."""
+    return replace(model, scale=float(np.clip(segments / expected, 1e-6, 1.0)) if segments and expected else 0.1)
+
+
 def fit_curve(model: Model, evidence: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> Model:
     """The logistic curve from evidence to chance by Newton's steps on binned rows, with a weak prior."""
     n = toxic + clean
@@ -174,10 +196,9 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 65536) -> Mod
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, n = np.zeros((2, BUCKETS), np.int32), np.zeros(2, np.int64)
-        for data, toxic in columns_of(batches, "data", "__toxic"):
-            for x, t in zip(data, toxic, strict=True):
-                seen[t, np.unique(buckets(x))] += 1
-                n[t] += 1
+        for x, t in rows_of(batches, "data", "__toxic"):
+            seen[t, np.unique(buckets(x))] += 1
+            n[t] += 1
         at = np.flatnonzero(seen.any(0))
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(seen[0, at], n[0]).astype(np.int64)), pa.array(np.append(seen[1, at], n[1]).astype(np.int64))], _NAMES)
 
@@ -190,10 +211,28 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 65536) -> Mod
     model = fit_words(full[1], full[0])
     bins, clean, _ = _sums(rows, _histogram(rows, model, lambda m, x: word_scores(m.scores, buckets(x)), _FINE))
     model = fit_law(model, bins / _FINE, clean)
-    bins, clean, toxic = _sums(rows, _histogram(rows, model, lambda m, x: [m.evidence(highest_segment(s := m.words(x)), len(s))], 1 / _STEP))
+    model = _with_scale(rows, model)
+    bins, clean, toxic = _sums(rows, _histogram(rows, model, lambda m, x: [m.evidence_of(m.words(x))], 1 / _STEP))
     return fit_curve(model, bins * _STEP, toxic, clean)
 
 
+def _with_scale(rows: DataFrame, model: Model) -> Model:
+    shared = rows.sparkSession.sparkContext.broadcast(model)  # fixed size
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        segments, expected = 0.0, 0.0
+        for data, toxic in rows_of(batches, "data", "__toxic"):
+            if not toxic:
+                words = shared.value.words(data)
+                highest = highest_segment(words)
+                segments += highest > 0
+                expected += len(words) * float(np.exp(-shared.value.decay * highest))
+        yield pa.RecordBatch.from_arrays([pa.array([segments]), pa.array([expected])], ["segments", "expected"])
+
+    found = rows.select("data", "__toxic").mapInArrow(count, "segments double, expected double").agg(F.sum("segments"), F.sum("expected")).first()
+    return fit_scale(model, found[0] or 0.0, found[1] or 0.0)
+
+
 _NAMES = ["bucket", "clean", "toxic"]
 
 
@@ -203,10 +242,9 @@ def _histogram(rows: DataFrame, model: Model, values: Callable, steps: float) ->
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros((2, 2 * _BINS + 1), np.int64)
-        for data, toxic in columns_of(batches, "data", "__toxic"):
-            for x, t in zip(data, toxic, strict=True):
-                at = np.clip(np.rint(np.asarray(values(shared.value, x)) * steps).astype(np.int64) + _BINS, 0, 2 * _BINS)
-                seen[t] += np.bincount(at, minlength=2 * _BINS + 1)
+        for x, t in rows_of(batches, "data", "__toxic"):
+            at = np.clip(np.rint(np.asarray(values(shared.value, x)) * steps).astype(np.int64) + _BINS, 0, 2 * _BINS)
+            seen[t] += np.bincount(at, minlength=2 * _BINS + 1)
         at = np.flatnonzero(seen.any(0))
         yield pa.RecordBatch.from_arrays([pa.array(at - _BINS), pa.array(seen[0, at]), pa.array(seen[1, at])], _NAMES)
 
@@ -227,16 +265,15 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     def one(data: bytes | None) -> dict:
         m = shared.value
         scores = m.words(data)
-        highest = highest_segment(scores)
-        evidence = m.evidence(highest, len(scores))
-        score, found = float(m.chance(evidence)), []
-        if evidence >= m.significant:
-            least = (m.significant + float(np.log(m.scale * max(len(scores), 1)))) / m.decay
-            found = [{"first_word": a, "last_word": b, "score": s} for a, b, s in maximal_segments(scores, least)]
-        return {"score": score, "predicted": int(score >= 0.5), "max_score": highest, "evidence": evidence, "n_words": len(scores), "passages": found}
+        segments = maximal_segments(scores)
+        sums = np.array([x[2] for x in segments])
+        evidence = m.evidence(sums, len(scores))
+        score = float(m.chance(evidence))
+        found = [{"first_word": a, "last_word": b, "score": s} for a, b, s in m.passages(segments, len(scores))]
+        return {"score": score, "predicted": int(score >= 0.5), "max_score": float(sums.max()) if len(sums) else 0.0, "evidence": evidence, "n_words": len(scores), "passages": found}
 
     @F.arrow_udf(SCORED)
     def score(texts: pa.Array) -> pa.Array:
-        return pa.array(map(one, texts.to_pylist()), kind)
+        return pa.array((one(x.as_py()) for x in texts), kind)
 
     return docs.withColumn("toxicity", score(F.col("text").cast("binary")))

@@ -310,6 +310,7 @@ def test_nearest_neighbours(spark):
         mine = got[got.query_id == q].sort_values("rank")
         assert list(mine["rank"]) == [1, 2, 3, 4, 5] and (np.diff(mine.score) <= 0).all()
         hit += len(set(ids[order]) & set(mine.vec_id))
+        assert np.allclose(mine.score, [s[np.searchsorted(ids, i)] for i in mine.vec_id], rtol=0, atol=1e-12)
     assert hit / (5 * len(asked)) >= 0.9 and set(got.query_id) == set(asked)
     few = frame.filter("vec_id in (0, 50, 3)")
     assert ann.search(few, few.filter("vec_id % 50 = 0")).count() == 4
