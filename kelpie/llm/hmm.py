@@ -38,7 +38,7 @@ COUNTED = "block long, range int, counts binary, sums binary, top array<struct<w
 
 def planes(numbers: np.ndarray, kind: str) -> bytes:
     """Numbers as unsigned of a kind, their lowest bytes first, then the next, and so on: high bytes are mostly zero and pack well."""
-    return numbers.astype(kind).view(np.uint8).reshape(len(numbers), -1).T.tobytes()
+    return numbers.astype(kind).view(np.uint8).reshape(len(numbers), np.dtype(kind).itemsize).T.tobytes()
 
 
 def from_planes(data: bytes, kind: str) -> np.ndarray:

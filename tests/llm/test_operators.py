@@ -106,6 +106,28 @@ def test_media_round_trip(docs, rows, empty):
     assert media.features(media.store(empty)).count() == 0
 
 
+def test_media_digests_are_the_plain_ones(spark):
+    texts = ["", "abc", "x" * 64, "y" * 5000, None]
+    got = {r["doc_id"]: r for r in media.features(media.store(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()}
+    for i, t in enumerate(texts):
+        data = (t or "").encode()
+        payload = data + bytes(-len(data) % 64 or (0 if data else 64))
+        file, r = media.mux(payload), got[i]
+        assert (r["tail_crc32"], r["media_bytes"], r["media_sha256"]) == (zlib.crc32(payload[-64:]), len(file), hashlib.sha256(file).hexdigest())
+        first = file.index(payload)
+        assert [(k["first"], k["last"]) for k in r["keyframes"]] == [(first + c * 4096, first + c * 4096 + 63) for c in range(-(-len(payload) // 4096))]
+
+
+def test_crafted_media(spark):
+    deep = b""
+    for _ in range(1500):
+        deep = media._box(b"moov", deep)
+    huge = media._box(b"moov", media._box(b"trak", media._box(b"mdia", media._box(b"minf", media._box(b"stbl", media._full(b"stsz", (2**32 - 1).to_bytes(4, "big") * 2), media._full(b"stco", b"\xff" * 8))))))
+    wrong = media.mux(media.padded(b"z" * 700)).replace(b"stss\0\0\0\0\0\0\0\1\0\0\0\1", b"stss\0\0\0\0\0\0\0\1\0\0\0\0")
+    got = media.features(spark.createDataFrame([(1, 1, deep), (2, 1, huge), (3, 1, wrong)], "doc_id long, n_bytes long, media binary")).collect()
+    assert len(got) == 3 and all(r["fault"] and r["payload_bytes"] is None for r in got)
+
+
 def test_faulty_media(spark):
     good = media.mux(media.padded(b"x" * 9000))
     files = [(1, 1, good), (2, 1, good[:-1]), (3, 1, b""), (4, 1, good[:100]), (5, 1, b"\0\0\0\4moov")]
@@ -124,11 +146,14 @@ def test_token_counts(spark, docs, rows, empty):
     text = "Ünï two\nthree, four"
     spans = spark.createDataFrame([(1, text, [(0, 2), (2, 7), (5, 99), (4, 4), None])], "doc_id long, text string, s array<struct<a:int,b:int>>")
     out = token_counts.token_counts(spans, tokenizer_path(), "s").orderBy("section").collect()
-    offsets = enc.tokenizer.encode(text, add_special_tokens=False).offsets
+    pieces = [enc.tokenizer.id_to_token(i) for i in enc.encode(text).tolist()]
+    edges = np.cumsum([0, *map(len, pieces)])  # a letter of a byte-level vocabulary is a byte
     for r in out:
-        s, e = r["char_start"], min(r["char_end"], len(text))
-        share = sum(max(0, min(e, y) - max(s, x)) / (y - x) for x, y in offsets) if text[:5].isascii() else None
-        assert share is None or abs(share - r["token_share"]) < 1e-9
+        s, e = (len(text[: min(x, len(text))].encode()) for x in (r["char_start"], r["char_end"]))
+        share = sum(max(0, min(e, y) - max(s, x)) / (y - x) for x, y in zip(edges, edges[1:], strict=False))
+        begun = sum(s <= x < e for x in edges[:-1])
+        crossing = sum(any(x < end < y for end in {s, e}) for x, y in zip(edges, edges[1:], strict=False)) if e > s else 0
+        assert abs(share - r["token_share"]) < 1e-9 and (begun, crossing) == (r["n_tokens"], r["n_crossing"])
     assert len(out) == 4 and token_counts.token_counts(empty, tokenizer_path()).count() == 0
 
 
@@ -159,6 +184,15 @@ def test_mixing_is_its_sql(spark, docs, rows, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_mixing_has_unequal_chances(spark):
+    """Over sources alike but for their names, longer documents are taken more often, the longest of all always."""
+    rows = [(100 * k + i, " ".join(["w"] * n), f"s{k:03d}") for k in range(150) for i, n in enumerate([1, 4, 4, 16, 16, 60, 400])]
+    got = mixing.digest(spark.createDataFrame(rows, "doc_id long, text string, source string")).toPandas()
+    odd = got[(got.target % got.source_size > 0.45 * got.source_size)]
+    extra = (odd.taken - odd["size"] * (odd.target // odd.source_size)).clip(upper=1).groupby(odd["size"]).mean()
+    assert (got.taken <= 3 * got["size"]).all() and extra[60] > extra[4] + 0.1
+
+
 def test_mixing_comes_near_targets(spark):
     rng = random.Random(4)
     rows = [(i, " ".join(["w"] * rng.randint(1, 40)), "s%d" % min(rng.randint(0, 9), 4)) for i in range(2000)]
@@ -275,6 +309,103 @@ def test_toxicity(spark, empty):
     assert toxicity.scored(empty, toxicity.train(empty, known)).count() == 0
 
 
+def test_toxicity_is_the_plain_rule(spark):
+    """Score, passages and prediction of each document by a plain version of segments, sums and curve over the same model."""
+    rng = random.Random(15)
+    texts = [" ".join(rng.choices([*WORDS, "vileness", "vilest"], [1] * len(WORDS) + [0.4 if i % 3 == 0 else 0.0] * 2, k=rng.randint(0, 90))) for i in range(240)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(i, int("vile" in t)) for i, t in enumerate(texts)], "doc_id long, toxic int"))
+
+    def plain(text):
+        scores = model.words(text.encode())
+        spans = []
+
+        def cut(low, high):  # the best segment, then what lies on either side of it
+            best = max(((scores[i:j].sum(), -(j - i), -i, i, j) for i in range(low, high) for j in range(i + 1, high + 1)), default=(0,))
+            if best[0] > 0:
+                spans.append((best[3], best[4] - 1, best[0]))
+                cut(low, best[3])
+                cut(best[4], high)
+
+        cut(0, len(scores))
+        if not spans:
+            return 1 / (1 + math.exp(10.0 * model.slope - model.offset)), []
+        floor = math.log(model.scale * len(scores))
+        each = sorted((model.decay * x - floor for *_, x in spans), reverse=True)
+        found = [each[0]]
+        for r in range(2, len(each) + 1):
+            t = sum(each[:r])
+            if each[r - 1] > 0 and t >= r * (r - 1):
+                found.append(t - (r - 1) * math.log(t) + math.lgamma(r + 1) + math.lgamma(r) - (r - 1) * math.log(2))
+        passages = sorted((a, b) for a, b, x in spans if model.decay * x - floor >= math.log(100))
+        return 1 / (1 + math.exp(-max(-40, min(40, model.slope * max(found) + model.offset)))), passages
+
+    got = toxicity.scored(docs.limit(80), model).select("doc_id", "toxicity.*").collect()
+    for r in got:
+        score, passages = plain(texts[r["doc_id"]])
+        assert abs(score - r["score"]) < 1e-6 and r["predicted"] == int(score >= 0.5)
+        assert sorted((p["first_word"], p["last_word"]) for p in r["passages"]) == passages
+    assert any(r["passages"] for r in got)
+
+
+def test_segments_take_linear_time():
+    import time
+
+    def took(n):
+        x = np.tile([1.0, -1.5, 2.0, -2.5], n // 4) - np.linspace(0, 1e-3, n)
+        begun = time.perf_counter()
+        toxicity.maximal_segments(x)
+        return time.perf_counter() - begun
+
+    took(4000)
+    assert took(64000) < 40 * max(took(8000), 1e-3)
+
+
+def test_language_id_is_the_plain_rule(spark):
+    rng = random.Random(12)
+    said = {"en": "the and with that have from they this".split(), "fr": "les des une dans pour avec sont nous".split()}
+    rows = [(i, " ".join(rng.choices(said[x], k=rng.randint(0, 6))), rng.choice([x, "en-GB", None, "xx"]), rng.choice(["a", "b", None]), f"h{rng.randint(0, 5)}") for i, x in enumerate(rng.choices(["en", "fr"], k=90))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, declared string, suffix string, host string")
+    model = langid.train_text(spark.createDataFrame([(" ".join(v), k) for k, v in said.items()], "text string, lang string"))
+    found = {r["doc_id"]: r for r in langid.identify(frame, model, F.col("text"), F.col("declared"), F.col("suffix"), F.col("host")).collect()}
+    k, say = len(model.languages), lambda d: None if d is None else d.split("-")[0].lower()
+    texts = {}
+    for i, text, *_ in rows:
+        at = langid.trigrams(text.encode())
+        sums = model.logs[at].sum(0, dtype=float) * min(1, 60 / len(at)) if len(at) else None
+        texts[i] = None if sums is None else sums - sums.max()
+    votes = {i: None if t is None else int(t.argmax()) for i, t in texts.items()}
+    prior = np.array([1.0] * (k - 1) + [0.01]) + np.bincount([v for v in votes.values() if v is not None], minlength=k)
+    prior /= prior.sum()
+
+    def by(place, value, but=None):
+        return np.bincount([votes[r[0]] for r in rows if place(r) == value and votes[r[0]] is not None and r[0] != but], minlength=k).astype(float)
+
+    for i, _, declared, suffix, host in rows:
+        smooth = lambda n, p: (n + 10 * p) / (n.sum() + 10)
+        of_suffix = prior if suffix is None else smooth(by(lambda r: r[3], suffix), prior)
+        first = smooth(by(lambda r: r[4], host, i), of_suffix)
+        says = np.zeros(k) if declared is None else np.log(smooth(by(lambda r: say(r[2]), say(declared)), prior) / prior)
+        logs = np.log(first) + says + (0 if texts[i] is None else texts[i])
+        chance = np.exp(logs - logs.max())
+        assert found[i]["language"] == model.languages[int(logs.argmax())] and abs(found[i]["posterior"] - 1 / chance.sum()) < 1e-9
+        assert found[i]["declared"] == say(declared)
+
+
+def test_places_are_the_plain_ones(spark):
+    """Each shard takes its next free slot in turns; a row goes to the slot of its key's hash."""
+    names, slots = ["a", "b", "c"], 13
+    owner, places = {}, {n: [(sharding._number(n, "offset") + t * (sharding._number(n, "skip") % 12 + 1)) % slots for t in range(slots)] for n in names}
+    while len(owner) < slots:
+        for n in names:
+            if len(owner) < slots:
+                owner[next(p for p in places[n] if p not in owner)] = n
+    rows = spark.range(200).select("id", F.concat(F.lit("t"), F.col("id")).alias("text"))
+    want = {r["id"]: r["h"] for r in rows.select("id", F.xxhash64(F.col("id").cast("string"), F.lit(False)).alias("h")).collect()}
+    got = sharding.place(rows, F.col("id"), F.col("text"), names, slots).collect()
+    assert len(got) == 200 and all(r["slot"] == want[r["id"]] % slots and r["shard_name"] == owner[r["slot"]] for r in got)
+
+
 def test_lookup_table_and_places(spark, docs, rows, empty):
     names = [f"s{k}" for k in range(7)]
     table = sharding.lookup_table(names, 1009)
@@ -389,6 +520,32 @@ def test_whole_texts_are_trained():
     assert abs(first.sum() - len(docs)) < 1e-3 and abs(steps.sum() - sum(len(d) - 1 for d in docs)) < 0.05
 
 
+def test_score_is_the_plain_rule(spark, monkeypatch):
+    """The score is the likelihood of the classes under the trained chain, and of each word in its class."""
+    kept = {}
+    whole = hmm.trained
+    monkeypatch.setattr(hmm, "trained", lambda texts, classes, *a: kept.setdefault("chain", whole(kept.setdefault("texts", texts), kept.setdefault("classes", classes), *a)))
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices([*WORDS, "ox", "emu"], k=rng.randint(0, 30))) for _ in range(40)]
+    got = {r["doc_id"]: r["score"] for r in hmm.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), states=3, rounds=2, frequent=6, tail=4).collect()}
+    chain, classes = kept["chain"], kept["classes"]
+    counts = Counter(w for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 5 != 1 for w in [*t.split(), ""])
+
+    def kind(word):
+        block = hmm.encoded([0], [False], [word.encode()], 0, 4)
+        return int(classes.of(np.frombuffer(block["words"], np.uint64), np.frombuffer(block["endings"], np.uint16))[1 if word else 0])
+
+    kinds = {w: kind(w) for w in [*WORDS, "ox", "emu", ""]}
+    room = {k: sum(counts[w] for w in counts if kinds[w] == k) + 0.5 * (sum(kinds[w] == k for w in counts) + 1) for k in range(classes.number)}
+    for i, t in enumerate(texts):
+        words = [*t.split(), ""]
+        a = chain.first * chain.emits[:, kinds[words[0]]]
+        for w in words[1:]:
+            a = a @ chain.steps * chain.emits[:, kinds[w]]
+        want = math.log10(a.sum()) + sum(math.log10((counts[w] + 0.5) / room[kinds[w]]) for w in words)
+        assert abs(want - got[i]) < 1e-6
+
+
 def test_scores_do_not_depend_on_partitions(docs):
     one, two = ({(r["doc_id"], r["n_tokens"]): r["score"] for r in hmm.score(docs.repartition(n), states=2, rounds=2, frequent=16, tail=8).collect()} for n in (1, 5))
     assert one.keys() == two.keys() and all(abs(one[k] - two[k]) < 1e-3 * abs(one[k]) for k in one)
