@@ -59,8 +59,9 @@ def compacted(activities: DataFrame, shortest: int = 30) -> DataFrame:
     return runs.groupBy("user_id", "island").agg(F.min("start_time").alias("start_time"), first("id"), first("application"), F.count("*").alias("merged"))
 
 
-def nearest_rank(value: Column, share: float) -> Column:
-    return F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY {value._jc.toString()})")
+def nearest_rank(column: str, share: float) -> Column:
+    """The smallest value of a column that at least such a share of the rows doesn't exceed."""
+    return F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY `{column}`)")
 
 
 def timeline(activities: DataFrame, group: str) -> DataFrame:
@@ -93,3 +94,9 @@ def day_tag_maps(per_day: DataFrame, label: Column) -> DataFrame:
 def valid_on(tags: DataFrame, day: Column) -> DataFrame:
     """Rows created by a day and not deleted before it."""
     return tags.filter((F.col("create_date") <= day) & (F.col("delete_date").isNull() | (F.col("delete_date") >= day)))
+
+
+def by_first_start(activities: DataFrame, group: str) -> DataFrame:
+    """The groups with the start of their first activity and their place in that order, ties by group; a row a group meets in one task."""
+    firsts = activities.groupBy(group).agg(F.min("start_time").alias("first_start"))
+    return firsts.withColumn("place", F.row_number().over(Window.orderBy("first_start", group)))

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kelpie.functions.vectors import cosine_distance
 from kelpie.plans.storage import cut
 
 
@@ -197,3 +198,32 @@ def folders(paths: DataFrame, path: str) -> DataFrame:
     each = parts.select("p", F.explode(F.when(F.size("p") > 1, F.sequence(F.lit(1), F.size("p") - 1))).alias("depth"))
     named = each.select(F.array_join(F.slice("p", 1, F.col("depth")), "/").alias("folder"), "depth", F.array_join(F.slice("p", 1, F.col("depth") - 1), "/").alias("parent"))
     return named.groupBy("folder", "depth", "parent").agg(F.count("*").alias("files"))
+
+
+def pairs_of(vectors: DataFrame, id_col: str, vec_col: str, ids: list[int]) -> DataFrame:
+    """All unordered pairs of the given ids with the cosine of their vectors; as many rows as the list asks for."""
+    some = vectors.filter(F.col(id_col).isin(ids))
+    one, two = some.select(F.col(id_col).alias("first_id"), F.col(vec_col).alias("x")), some.select(F.col(id_col).alias("second_id"), F.col(vec_col).alias("y"))
+    return one.join(two, F.col("first_id") < F.col("second_id")).select("first_id", "second_id", (1 - cosine_distance(F.col("x"), F.col("y"))).alias("weight"))
+
+
+def with_fallback(rows: DataFrame, by_edge: DataFrame, by_centroid: DataFrame) -> DataFrame:
+    """id, cluster and by: the cluster by edges (id, cluster), or else by centroids; null where neither says."""
+    both = rows.join(by_edge.select("id", F.col("cluster").alias("__e")), "id", "left").join(by_centroid.select("id", F.col("cluster").alias("__c")), "id", "left")
+    said = F.when(F.col("__e").isNotNull(), "edge").when(F.col("__c").isNotNull(), "centroid")
+    return both.select("id", F.coalesce("__e", "__c").alias("cluster"), said.alias("by"))
+
+
+def community_inputs(edges: DataFrame, members: DataFrame, claims: DataFrame) -> DataFrame:
+    """Of each community (members: id, community) the weight and number of edges within it and the number of its nodes' claims."""
+    first = members.select(F.col("id").alias("first_id"), "community")
+    second = members.select(F.col("id").alias("second_id"), F.col("community").alias("__other"))
+    inside = edges.join(first, "first_id").join(second, "second_id").filter("community = __other").groupBy("community").agg(F.sum("weight").alias("weight"), F.count("*").alias("edges"))
+    told = claims.groupBy("id").agg(F.count("*").alias("n")).join(members, "id").groupBy("community").agg(F.sum("n").alias("claims"))
+    return inside.join(told, "community")
+
+
+def dimension_bounds(vectors: DataFrame, vec_col: str) -> DataFrame:
+    """dim, low, high and signed, whether a number is negative, of each dimension."""
+    each = vectors.select(F.posexplode(vec_col).alias("dim", "v")).select("dim", F.col("v").cast("double").alias("v"))
+    return each.groupBy("dim").agg(F.min("v").alias("low"), F.max("v").alias("high"), (F.min("v") < 0).alias("signed"))

@@ -75,3 +75,88 @@ def first_wins(passes: list[DataFrame], key: str, order: list[Column]) -> DataFr
     for p in marked[1:]:
         every = every.unionByName(p)
     return latest(every, [key], [F.col("pass"), *order])
+
+
+def overwritten(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """New rows whole, nulls too, over old ones of the same key. Each side has a key once."""
+    return new.select(*old.columns).unionByName(old.join(new.select(*keys), keys, "left_anti"))
+
+
+def canonical(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """first_id and second_id in order instead of a and b."""
+    return edges.withColumns({"first_id": F.least(a, b), "second_id": F.greatest(a, b)}).drop(*{a, b} - {"first_id", "second_id"})
+
+
+def reset_on_change(rows: DataFrame, new: DataFrame, key: str, watched: str, derived: list[str]) -> DataFrame:
+    """Rows with the given values of `watched` (a null one clears it); where it differs, the derived columns become null."""
+    given = new.select(key, F.col(watched).alias("__new"), F.lit(True).alias("__given"))
+    joined = rows.join(given, key, "left")
+    differs = F.coalesce(F.col("__given") & ~F.col("__new").eqNullSafe(F.col(watched)), F.lit(False))
+    cleared = {c: F.when(~differs, F.col(c)) for c in derived}
+    return joined.withColumns({**cleared, watched: F.when(F.col("__given"), F.col("__new")).otherwise(F.col(watched))}).select(*rows.columns)
+
+
+def published_assignments(rows: DataFrame, run: DataFrame, key: str, owner: str) -> DataFrame:
+    """Rows with cluster, tag and tag_source of a run (key, cluster, tag): all clusters are set anew, tags of that owner are cleared
+    and set from the run, tags of others stay."""
+    joined = rows.drop("cluster").join(run.select(key, "cluster", F.col("tag").alias("__tag")), key, "left")
+    own = F.col("tag").isNull() | F.coalesce(F.col("tag_source") == owner, F.lit(False))
+    tags = {"tag": F.when(own, F.col("__tag")).otherwise(F.col("tag")), "tag_source": F.when(own & F.col("__tag").isNotNull(), owner).when(~own, F.col("tag_source"))}
+    return joined.withColumns(tags).drop("__tag")
+
+
+def published_communities(nodes: DataFrame, communities: DataFrame, run: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes with the run's community (node_id, community_id), null if it names none, and the communities that have a node."""
+    set_ = nodes.drop("community_id").join(run.select("node_id", "community_id"), "node_id", "left")
+    return set_, communities.join(set_.select("community_id"), "community_id", "left_semi")
+
+
+def ensured_bindings(bindings: DataFrame, wanted: DataFrame, used: DataFrame) -> DataFrame:
+    """Bindings (day, tag, overview_id, source) with one for each wanted (day, tag): there are those kept, and new ones that get
+    the next ids in order of day and tag. Of those made automatically, what no used (day, tag) needs goes. New keys meet in one
+    task to be numbered."""
+    last = bindings.agg(F.coalesce(F.max("overview_id"), F.lit(0)).alias("__last"))
+    new = wanted.select("day", "tag").distinct().join(bindings.select("day", "tag"), ["day", "tag"], "left_anti").crossJoin(F.broadcast(last))  # one row
+    numbered = new.withColumn("overview_id", F.col("__last") + F.row_number().over(Window.orderBy("day", "tag"))).select("day", "tag", "overview_id", F.lit("auto").alias("source"))
+    every = bindings.select("day", "tag", "overview_id", "source").union(numbered)
+    needed = used.select("day", "tag", F.lit(True).alias("__used")).distinct()
+    return every.join(needed, ["day", "tag"], "left").filter("source = 'manual' or __used").drop("__used")
+
+
+def retagged(bindings: DataFrame, moves: DataFrame) -> DataFrame:
+    """Bindings of overviews that get a new tag (overview_id, new_tag): their days go with them, but where another overview has
+    that day and tag already, it stays and theirs goes."""
+    moved = bindings.join(moves, "overview_id", "left").withColumn("__moves", F.col("new_tag").isNotNull()).withColumn("tag", F.coalesce("new_tag", "tag")).drop("new_tag")
+    return latest(moved, ["day", "tag"], [F.col("__moves"), F.col("overview_id")]).drop("__moves")
+
+
+def without_file(links: DataFrame, file_column: str, files: list) -> DataFrame:
+    """Links (of nodes or edges to their sources) that don't come from the files."""
+    return links.filter(~F.col(file_column).isin(files)) if files else links
+
+
+def leased(jobs: DataFrame, now: Column, seconds: int) -> DataFrame:
+    """All jobs, with the lease of those that are due set until so many seconds from now, and whether each was claimed."""
+    free = F.col("lease_until").isNull() | (F.col("lease_until") <= now)
+    passed = F.col("last_success_at").isNull() | (F.unix_timestamp(now) - F.unix_timestamp("last_success_at") >= F.col("interval_seconds"))
+    claimed = F.col("enabled") & free & passed
+    return jobs.withColumn("claimed", claimed).withColumn("lease_until", F.when(F.col("claimed"), now + F.make_dt_interval(secs=F.lit(seconds))).otherwise(F.col("lease_until")))
+
+
+def finished(jobs: DataFrame, outcomes: DataFrame, now: Column) -> DataFrame:
+    """Jobs after outcomes (job_id, outcome): a success sets last_success_at and clears failures, a failure counts, a job put off
+    only gives its lease back; each clears the lease."""
+    joined = jobs.join(outcomes, "job_id", "left")
+    said = lambda x: F.coalesce(F.col("outcome") == x, F.lit(False))
+    return joined.withColumns({
+        "last_success_at": F.when(said("success"), now).otherwise(F.col("last_success_at")),
+        "failures": F.when(said("success"), 0).when(said("fail"), F.col("failures") + 1).otherwise(F.col("failures")),
+        "lease_until": F.when(F.col("outcome").isNull(), F.col("lease_until")),
+    }).drop("outcome")
+
+
+def saved_children(old: DataFrame, saved: DataFrame, parents: DataFrame) -> DataFrame:
+    """Children (parent_id, child_id, image, note) after their parents (parent_id) were saved with the children given: those are
+    upserted, an image only where none is stored; other children of these parents go; those of other parents stay."""
+    both = saved.alias("n").join(old.alias("o"), ["parent_id", "child_id"], "left").select("parent_id", "child_id", F.coalesce("o.image", "n.image").alias("image"), F.col("n.note").alias("note"))
+    return both.union(old.join(parents, "parent_id", "left_anti").select("parent_id", "child_id", "image", "note"))

@@ -111,3 +111,17 @@ def resolved_links(links: DataFrame, target: str, aliases: DataFrame) -> DataFra
     keys = links.select(F.col(target).alias("__target")).distinct().select("__target", F.posexplode(tried).alias("turn", "key"))
     found = keys.join(named, "key").groupBy("__target").agg(F.min_by("file_id", "turn").alias("file_id"))
     return links.join(found, links[target].eqNullSafe(F.col("__target")), "left").drop("__target")
+
+
+def ordered(rows: DataFrame, order: list[Column], k: int) -> DataFrame:
+    """The first k rows in the order, with their place; only they meet in one task."""
+    return rows.orderBy(*order).limit(k).withColumn("place", F.row_number().over(Window.orderBy(*order)))
+
+
+def flat_document(parts: dict[str, DataFrame]) -> DataFrame:
+    """One row with a JSON document of lists, each the value `v` of a frame of one row."""
+    whole = None
+    for name, one in parts.items():
+        named = one.select(F.col("v").alias(name))
+        whole = named if whole is None else whole.crossJoin(named)  # one row each
+    return whole.select(F.to_json(F.struct(*parts)).alias("document"))

@@ -99,7 +99,7 @@ def a25_percentiles(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     return e.groupBy("event_type").agg(
         F.round(F.percentile("value", 0.95), 6).alias("p95"), F.round(F.percentile("value", 0.5), 6).alias("p50"),
-        F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)").alias("nearest"), F.round(F.avg("value"), 6).alias("mean"),
+        analytics.nearest_rank("value", 0.95).alias("nearest"), F.round(F.avg("value"), 6).alias("mean"),
     )
 
 
