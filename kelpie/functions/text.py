@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Combining marks that folding removes after decomposition are reached by this translation of Latin letters.
-_FOLD_FROM = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-_FOLD_TO = "aaaaaaceeeeiiiinooooouuuuyy"
-
-
 def normalized_name(name: Column) -> Column:
-    """White space collapsed, case and Latin accents folded."""
-    return F.translate(F.lower(F.trim(F.regexp_replace(name, r"\s+", " "))), _FOLD_FROM, _FOLD_TO)
+    """White space collapsed; case, accents and width folded."""
+    return folded(F.trim(F.regexp_replace(name, r"\s+", " ")))
 
 
 def slug(heading: Column) -> Column:
@@ -62,15 +61,55 @@ def wiki_links(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(r"\[\[([^\]|]+)(?:\|[^\]]*)?\]\]"), 1), F.trim)
 
 
+#: What a term is made of. All characters beyond ASCII belong to terms.
+TERM = r"a-z0-9\x{80}-\x{10FFFF}"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def ascii_lower(text: Column) -> Column:
+    """A-Z lower-cased, all other characters as they are."""
+    return F.translate(text, _UPPER, _LOWER)
+
+
 def terms(text: Column) -> Column:
-    """Lower-case ASCII alphanumeric terms in order."""
-    return F.array_remove(F.split(F.lower(text), r"[^a-z0-9]+"), "")
+    """The terms in order: runs of ASCII letters and digits, lower-cased, and of all characters beyond ASCII."""
+    return F.array_remove(F.split(ascii_lower(text), f"[^{TERM}]+"), "")
+
+
+def term_count(lowered: Column) -> Column:
+    """How many terms a lower-cased text has."""
+    return F.regexp_count(lowered, F.lit(f"[{TERM}]+"))
+
+
+def times(lowered: Column, word: str) -> Column:
+    """How often a lower-cased text has the word as a term; words with other characters never are terms."""
+    if not re.fullmatch(r"[a-z0-9\x80-\U0010FFFF]+", word):
+        return F.lit(0)
+    return F.regexp_count(lowered, F.lit(f"(?<![{TERM}]){word}(?![{TERM}])"))
+
+
+def _fold(text: str | None) -> str | None:
+    if text is None or text.isascii():
+        return text and text.lower()
+    wide = "".join(unicodedata.normalize("NFKC", c) if "\uff00" <= c <= "\uffef" else c for c in text.lower())
+    return unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFD", wide) if unicodedata.category(c) != "Mn"))
+
+
+def folded(text: Column) -> Column:
+    """Case, accents and width folded, by full decomposition."""
+
+    @F.pandas_udf("string")
+    def fold(texts: pd.Series) -> pd.Series:
+        return texts.map(_fold, na_action="ignore")
+
+    return fold(text)
 
 
 def keywords(text: Column, stop: list[str], most: int = 12) -> Column:
-    """The first distinct terms of two characters or more that aren't stop words; none if nothing else is left."""
-    bare = F.array_distinct(F.filter(terms(text), lambda t: (F.length(t) > 1) & ~t.isin(stop) if stop else F.length(t) > 1))
-    return F.slice(bare, 1, most)
+    """The first distinct folded words of two characters or more that aren't stop words; if all are, the first of those."""
+    words = F.array_distinct(F.filter(F.split(folded(text), r"[^\p{L}\p{N}]+"), lambda t: F.length(t) > 1))
+    said = F.filter(words, lambda t: ~t.isin(stop)) if stop else words
+    return F.slice(F.when(F.size(said) == 0, words).otherwise(said), 1, most)
 
 
 def labelled_line(text: Column, label: str) -> Column:
@@ -98,3 +137,47 @@ def frontmatter(text: Column) -> Column:
     pairs = F.transform(lines, lambda x: F.struct(F.regexp_extract(x, r"^([\w-]+):", 1).alias("k"), F.regexp_replace(F.trim(F.regexp_replace(x, r"^[\w-]+:", "")), r"""^(["'])(.*)\1$""", "$2").alias("v")))
     last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"]))
     return F.map_from_entries(last)
+
+
+#: What narrations begin with.
+NARRATION = ("the user is", "the user was", "the user", "user is", "user was", "i am", "i'm", "i was")
+
+
+def without_narration(text: Column) -> Column:
+    """Without narrating beginnings, however many, and with a capital first letter."""
+    said = "|".join(re.escape(x) for x in sorted(NARRATION, key=len, reverse=True))
+    bare = F.trim(F.regexp_replace(F.trim(text), rf"(?i)^(?:(?:{said})\s+)+", ""))
+    return F.concat(F.upper(F.substring(bare, 1, 1)), F.substring(bare, 2, 1 << 30))
+
+
+def clipped_join(prefix: str, text: Column, most: int = 12000) -> Column:
+    return F.substring(F.concat(F.lit(prefix), F.coalesce(text, F.lit(""))), 1, most)
+
+
+def resolved_path(folder: Column, target: Column) -> Column:
+    """A link's target from a folder: '.' and '..' resolved, what follows '#' left out, null for other sites and bare anchors."""
+    bare = F.trim(F.split_part(target, F.lit("#"), F.lit(1)))
+    parts = F.split(F.when(bare.startswith("/"), bare).otherwise(F.concat(folder, F.lit("/"), bare)), "/")
+    walked = F.aggregate(parts, F.array().cast("array<string>"), lambda done, p: F.when(p.isin("", "."), done).when(p == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(p))))
+    return F.when((bare != "") & ~bare.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:|^//"), F.array_join(walked, "/"))
+
+
+def lookup_key(target: Column) -> Column:
+    """How a link's target is looked up: trimmed, lower-cased, without leading './' and anchor."""
+    return F.regexp_replace(F.lower(F.trim(F.split_part(target, F.lit("#"), F.lit(1)))), r"^(\./)+", "")
+
+
+def transcript_delta(before: Column, now: Column) -> Column:
+    """What a transcript adds: all after the one before if it begins with that, else all after the last blank of what they share."""
+    shared = F.aggregate(F.sequence(F.lit(1), F.greatest(F.least(F.length(before), F.length(now)), F.lit(1))), F.lit(0), lambda n, i: F.when((n == i - 1) & (F.substring(before, 1, i) == F.substring(now, 1, i)) & (i <= F.length(before)) & (i <= F.length(now)), i).otherwise(n))
+    edge = F.length(F.regexp_extract(F.substring(now, 1, shared), r"^(?s:.*)\s", 0))
+    return F.trim(F.substring(now, F.when(now.startswith(before), F.length(before)).otherwise(edge) + 1, 1 << 30))
+
+
+def prefixed_id(kind: str, id_: Column) -> Column:
+    return F.concat(F.lit(f"{kind}_"), id_.cast("string"))
+
+
+def without_prefix(kind: str, value: Column) -> Column:
+    """The number in a prefixed id of that kind; null for others."""
+    return F.nullif(F.regexp_extract(value, rf"^{kind}_(\d+)$", 1), F.lit("")).cast("long")

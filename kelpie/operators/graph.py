@@ -227,3 +227,50 @@ def dimension_bounds(vectors: DataFrame, vec_col: str) -> DataFrame:
     """dim, low, high and signed, whether a number is negative, of each dimension."""
     each = vectors.select(F.posexplode(vec_col).alias("dim", "v")).select("dim", F.col("v").cast("double").alias("v"))
     return each.groupBy("dim").agg(F.min("v").alias("low"), F.max("v").alias("high"), (F.min("v") < 0).alias("signed"))
+
+
+def context(nodes: DataFrame, edges: DataFrame, claims: DataFrame, seeds: DataFrame, communities: list, most: tuple[int, int, int] = (18, 24, 24)) -> DataFrame:
+    """kind, id and other of the context of seeds (id) and communities: their nodes (id, community, weight), seeds first and then the
+    heaviest; the heaviest edges with both ends among these; and their claims (claim_id, id), the smallest ids first."""
+    mine = nodes.join(seeds.select("id").distinct().withColumn("__seed", F.lit(1)), "id", "left").filter(F.col("__seed").isNotNull() | (F.col("community").isin(communities) if communities else F.lit(False)))
+    chosen = cut(mine.orderBy(F.col("__seed").desc_nulls_last(), F.desc("weight"), "id").limit(most[0]).select("id"))
+    links = induced(edges, chosen).orderBy(F.desc("weight"), "first_id", "second_id").limit(most[1])
+    told = claims.join(F.broadcast(chosen), "id", "left_semi").orderBy("claim_id").limit(most[2])  # at most most[0] rows
+    parts = [chosen.select(F.lit("node").alias("kind"), "id", F.lit(None).cast("long").alias("other")), links.select(F.lit("edge"), "first_id", "second_id"), told.select(F.lit("claim"), "claim_id", "id")]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+def neighbours_of(vectors: DataFrame, id_col: str, vec_col: str, asked: int, k: int) -> DataFrame:
+    """other and distance of the k nearest of one row, itself left out, ties by id."""
+    one = vectors.filter(F.col(id_col) == asked).select(F.col(vec_col).alias("__q"))
+    far = vectors.filter(F.col(id_col) != asked).crossJoin(F.broadcast(one)).select(F.col(id_col).alias("other"), cosine_distance(F.col(vec_col), F.col("__q")).alias("distance"))  # one row
+    return far.orderBy("distance", "other").limit(k)
+
+
+def continuity(old: DataFrame, new: DataFrame, vectors: DataFrame, vec_col: str) -> DataFrame:
+    """a, b and score of the pairs of old and new clusters (id, cluster) that share members: 0.7 of the members they share among those of
+    the smaller, and 0.3 of the cosine of their centroids, 0 at least."""
+    both = old.select("id", F.col("cluster").alias("a")).join(new.select("id", F.col("cluster").alias("b")), "id").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    middle = lambda c, name: centroids(c.join(vectors.select("id", vec_col), "id"), "cluster", vec_col).select(F.col("cluster").alias(name), F.col("centroid").alias(f"c{name}"), F.col("members").alias(f"n{name}"))
+    pairs = both.join(middle(old, "a"), "a").join(middle(new, "b"), "b")
+    alike = F.greatest(1 - cosine_distance(F.col("ca"), F.col("cb")), F.lit(0.0))
+    return pairs.select("a", "b", (0.7 * F.col("shared") / F.least("na", "nb") + 0.3 * alike).alias("score"))
+
+
+def similarity_matrix(left: DataFrame, right: DataFrame, vec_col: str) -> DataFrame:
+    """a, b and cosine of every row of one small set (id, vector) with every row of the other: as many rows as the matrix has."""
+    one, two = left.select(F.col("id").alias("a"), F.col(vec_col).alias("x")), right.select(F.col("id").alias("b"), F.col(vec_col).alias("y"))
+    return one.crossJoin(two).select("a", "b", (1 - cosine_distance(F.col("x"), F.col("y"))).alias("cosine"))
+
+
+def overlay_links(links: DataFrame, shown: DataFrame) -> DataFrame:
+    """Distinct links (owner, node_id) to nodes that are shown (node_id), with the number of the owner's links."""
+    there = links.select("owner", "node_id").distinct().join(shown.select("node_id"), "node_id", "left_semi")
+    return there.join(there.groupBy("owner").agg(F.count("*").alias("links")), "owner")
+
+
+def leaf_weights(leaves: DataFrame, title: str, text: str, kind: str, rerank: str) -> DataFrame:
+    """The leaves with weight: a base by kind, parts of the lengths of title and text, and up to twice that by the rerank score."""
+    base = F.when(F.col(kind) == "overview", 42.0).when(F.col(kind) == "activity", 34.0).otherwise(22.0)
+    size = base + 0.65 * F.least(F.length(title), F.lit(80)) + 0.18 * F.least(F.length(text), F.lit(260))
+    return leaves.withColumn("weight", size * (1 + F.greatest(F.least(F.coalesce(F.col(rerank), F.lit(0.0)), F.lit(1.0)), F.lit(0.0))))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kelpie.functions.text import terms
+from kelpie.functions.text import ascii_lower, term_count, terms, times
 from kelpie.functions.vectors import distance
+from kelpie.operators.selection import candidates_for
 from kelpie.plans.storage import cut
 
 K1, B = 1.2, 0.75
@@ -20,27 +21,94 @@ def postings(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.posexplode(terms(F.coalesce(text, F.lit("")))).alias("pos", "term"))
 
 
-def _times(found: str, word: str) -> Column:
-    return F.size(found) - F.size(F.array_remove(found, word))
+def indexed(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
+    """An index to store and search often: term, id, c (how often the row has the term) and n (terms of the row)."""
+    each = postings(docs, id_col, text)
+    sizes = docs.select(F.col(id_col).alias("id"), term_count(ascii_lower(F.coalesce(text, F.lit("")))).alias("n"))
+    return each.groupBy("term", "id").agg(F.count("*").alias("c")).join(sizes, "id").select("term", "id", "c", "n")
 
 
-def bm25(docs: DataFrame, id_col: str, text: Column, words: list[str]) -> DataFrame:
-    """id and rank of the rows that hold a word; rank is negative, smaller is better."""
+def _bm25_part(f: Column, d: Column, rows: Column, n: Column, mean: Column) -> Column:
+    idf = F.greatest(F.log((rows - d + 0.5) / (d + 0.5)), F.lit(LEAST_IDF))
+    return idf * f * (K1 + 1) / (f + K1 * (1 - B + B * n / mean))
+
+
+def bm25_indexed(index: DataFrame, words: list[str], rows: int, mean: float) -> DataFrame:
+    """id and rank from an index; only the postings of the words are read, if it is stored by term."""
     asked = list(dict.fromkeys(w.lower() for w in words))
-    each = docs.select(F.col(id_col).alias("id"), terms(F.coalesce(text, F.lit(""))).alias("t"))
-    counted = each.select("id", F.size("t").alias("n"), *(_times("t", w).alias(f"f{k}") for k, w in enumerate(asked)))
-    stats = counted.agg(F.count("*").alias("rows"), F.avg("n").alias("mean"), *(F.sum((F.col(f"f{k}") > 0).cast("long")).alias(f"d{k}") for k in range(len(asked))))
+    found = index.filter(F.col("term").isin(asked))
+    held = found.groupBy("term").agg(F.count("*").alias("d"))
+    each = found.join(F.broadcast(held), "term")  # a row a word
+    part = _bm25_part(F.col("c"), F.col("d"), F.lit(rows), F.col("n"), F.lit(mean))
+    return each.withColumn("part", part).groupBy("id").agg((-F.sum("part")).alias("rank"))
 
-    def part(k: int) -> Column:
-        f, d = F.col(f"f{k}"), F.col(f"d{k}")
-        idf = F.greatest(F.log((F.col("rows") - d + 0.5) / (d + 0.5)), F.lit(LEAST_IDF))
-        return idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("n") / F.col("mean")))
 
-    total = part(0)
-    for k in range(1, len(asked)):
-        total = total + part(k)
+def bm25(docs: DataFrame, id_col: str, text: Column, words: list[str]) -> DataFrame:
+    """id and rank of the rows that hold a word; rank is negative, smaller is better. One pass counts the words in each text, which
+    is kept, as both the ranks and the sums they need come from it."""
+    asked = list(dict.fromkeys(w.lower() for w in words))
+    lowered = docs.select(F.col(id_col).alias("id"), ascii_lower(F.coalesce(text, F.lit(""))).alias("t"))
+    counted = cut(lowered.select("id", term_count(F.col("t")).alias("n"), *(times(F.col("t"), w).alias(f"f{k}") for k, w in enumerate(asked))))
+    stats = counted.agg(F.count("*").alias("rows"), F.avg("n").alias("mean"), *(F.sum((F.col(f"f{k}") > 0).cast("long")).alias(f"d{k}") for k in range(len(asked))))
+    parts = [_bm25_part(F.col(f"f{k}"), F.col(f"d{k}"), F.col("rows"), F.col("n"), F.col("mean")) for k in range(len(asked))]
     hit = F.greatest(*(F.col(f"f{k}") for k in range(len(asked))), F.lit(0)) > 0
-    return counted.filter(hit).crossJoin(F.broadcast(stats)).select("id", (-total).alias("rank"))  # one row of sums
+    return counted.filter(hit).crossJoin(F.broadcast(stats)).select("id", (-sum(parts[1:], parts[0])).alias("rank"))  # one row of sums
+
+
+def relevant(hits: DataFrame, limit: int, floor: float | None = -3.0, order: tuple[str, ...] = ("rank", "id")) -> DataFrame:
+    """The best hits: those at the floor or below, then as many as a search for `limit` results asks of a source."""
+    kept = hits if floor is None else hits.filter(F.col("rank") <= floor)
+    return kept.orderBy(*order).limit(candidates_for(limit))
+
+
+def tree_search(overviews: DataFrame, activities: DataFrame, shots: DataFrame, limit: int, floor: float | None = -3.0) -> DataFrame:
+    """The best overviews with their best activities and shots: overview, place, best, activity, activity_place, shot, shot_place.
+
+    Hits are overviews (overview, rank), activities (activity, overview, start, rank) and shots (shot, activity, overview, start, ts,
+    rank); each source gives its best. An overview ranks by its best hit of any kind; rows without an overview fall out. Of an
+    overview, the three best activities that match or hold a matching shot, by rank, start and id; of each the three best shots."""
+    o = relevant(overviews, limit, floor, ("rank", "overview"))
+    a = relevant(activities.filter("activity is not null"), limit, floor, ("rank", "activity"))
+    s = relevant(shots, limit, floor, ("rank", "shot"))
+    every = o.select("overview", "rank").union(a.select("overview", "rank")).union(s.select("overview", "rank")).filter("overview is not null")
+    top = ordered(every.groupBy("overview").agg(F.min("rank").alias("best")), [F.col("best"), F.col("overview")], limit)
+    held = a.select("overview", "activity", "start", "rank").union(s.select("overview", "activity", "start", "rank")).groupBy("overview", "activity").agg(F.min("start").alias("start"), F.min("rank").alias("rank"))
+    three = best_per_group(held, "overview", [F.col("rank"), F.col("start"), F.col("activity")]).select("overview", "activity", F.col("place").alias("activity_place"))
+    shown = best_per_group(s, "activity", [F.col("rank"), F.col("ts"), F.col("shot")]).select("activity", "shot", F.col("place").alias("shot_place"))
+    return top.join(three, "overview", "left").join(shown, "activity", "left").select("overview", "place", "best", "activity", "activity_place", "shot", "shot_place")
+
+
+def expanded(docs: DataFrame, id_col: str, text: str, words: list[str], stop: list[str], limit: int, more: int = 5) -> DataFrame:
+    """id, rank and pass: the best rows for the words, then those for the commonest other terms of these rows' texts that aren't
+    among them. The few terms pass through the driver."""
+    first = cut(bm25(docs, id_col, F.col(text), words).withColumn("rank", F.round("rank", 7)).orderBy("rank", "id").limit(limit))
+    texts = docs.join(F.broadcast(first.select(F.col("id").alias(id_col))), id_col, "left_semi")  # `limit` rows
+    found = texts.select(F.explode(terms(F.coalesce(text, F.lit("")))).alias("term")).filter((F.length("term") > 3) & ~F.col("term").isin([*words, *stop]))
+    said = [r["term"] for r in found.groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(more).collect()]
+    if not said:
+        return first.withColumn("pass", F.lit(0))
+    second = bm25(docs, id_col, F.col(text), said).withColumn("rank", F.round("rank", 7)).orderBy("rank", "id").limit(limit)
+    new = second.join(F.broadcast(first.select("id")), "id", "left_anti")  # `limit` rows
+    return first.withColumn("pass", F.lit(0)).unionByName(new.withColumn("pass", F.lit(1)))
+
+
+def normalised(rows: DataFrame, score: str) -> DataFrame:
+    """The rows with `normalised`: the score from 0 for the least to 1 for the greatest; all alike give 1."""
+    bounds = rows.agg(F.min(score).alias("__lo"), F.max(score).alias("__hi"))
+    return rows.crossJoin(F.broadcast(bounds)).withColumn("normalised", min_max(F.col(score), F.col("__lo"), F.col("__hi"), False)).drop("__lo", "__hi")  # one row
+
+
+def graph_candidates(sources: dict[str, tuple[DataFrame, DataFrame]], per_source: int = 10, total: int = 30) -> DataFrame:
+    """type, id and score of the best candidates of each type, from hits by text (id, rank) and vector (id, distance): of each list the
+    best `per_source`, normed over them, the best evidence for each candidate, then the hybrid score, type and id."""
+    streams = []
+    for kind, (by_text, by_vector) in sources.items():
+        for hits, of, name in ((by_text, "rank", "text_score"), (by_vector, "distance", "vector_score")):
+            few = hits.orderBy(of, "id").limit(per_source)
+            bounds = few.agg(F.min(of).alias("__lo"), F.max(of).alias("__hi"))
+            normed = few.crossJoin(F.broadcast(bounds)).withColumn(name, min_max(F.col(of), F.col("__lo"), F.col("__hi"), True))  # one row
+            streams.append(normed.select(F.lit(kind).alias("type"), "id", name))
+    return ordered(merged_evidence(streams, ["type", "id"]), [F.desc("score"), F.col("type"), F.col("id")], total)
 
 
 def top_k(vectors: DataFrame, id_col: str, vec_col: str, query: list[float], k: int, name: str = "cosine") -> DataFrame:

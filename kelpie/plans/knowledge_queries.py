@@ -86,11 +86,11 @@ def a22_day_tag_maps(spark, sf_dir):
 
 
 _NEAR = """n AS (SELECT a.vec_id AS id, b.vec_id AS other, round(1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS distance
-  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY round(1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9), b.vec_id) <= 5)"""
+  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY round(1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9), b.vec_id) <= 45)"""
 
 
 def _near(spark, sf_dir):
-    return graph.nearest_of_all(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 5)
+    return graph.nearest_of_all(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 45)
 
 
 @query(f"""WITH {_NEAR} SELECT id, other, round(distance, 6) AS distance FROM n""")
@@ -143,8 +143,9 @@ def t2_phrases(spark, sf_dir):
     return search.phrase_hits(table(spark, sf_dir, "documents"), "doc_id", F.col("text"), _PHRASES)
 
 
-@query(f"""WITH {_TERMS}, k AS (SELECT id, list_filter(t, lambda x: length(x) > 1 AND x NOT IN ('the', 'and', 'of')) AS t FROM w)
-SELECT id, array_to_string(array_slice(list_filter(t, lambda x, i: list_position(t, x) = i), 1, 12), ' ') AS keywords FROM k""")
+@query(r"""WITH k AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(strip_accents(lower(coalesce(text, ''))), '[^\p{L}\p{N}]+'), lambda x: length(x) > 1) AS a FROM documents),
+d AS (SELECT id, list_filter(a, lambda x, i: list_position(a, x) = i) AS a FROM k), f AS (SELECT id, a, list_filter(a, lambda x: x NOT IN ('the', 'and', 'of')) AS t FROM d)
+SELECT id, array_to_string(array_slice(CASE WHEN len(t) = 0 THEN a ELSE t END, 1, 12), ' ') AS keywords FROM f""")
 def t6_keywords(spark, sf_dir):
     words = tx.keywords(F.coalesce("text", F.lit("")), ["the", "and", "of"])
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.array_join(words, " ").alias("keywords"))
