@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kelpie.functions.text import paragraphs, slug
 
 
+#: Folders that count as one file each, and the folder that the vault's own notes go to.
+PACKAGES = r"(?i)\.(app|bundle|framework|photoslibrary|rtfd)$"
+VAULT = "Vault"
+
+
 def scan(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
-    """path, modified, length and checksum of all files below the folder, hidden ones left out."""
+    """path, modified, length and checksum of all files below the folder; what is hidden or in a hidden folder, a package or the
+    vault's own folder is left out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(folder)
-    name = F.element_at(F.split("path", "/"), -1)
-    return files.filter(~name.startswith(".")).select("path", F.col("modificationTime").alias("modified"), "length", F.sha2("content", 256).alias("checksum"), "content")
+    below = F.substring("path", F.length(F.regexp_extract("path", rf"^.*?{re.escape(folder.rstrip('/'))}/", 0)) + 1, 1 << 30)
+    skipped = F.exists(F.split(below, "/"), lambda x: x.startswith(".") | x.rlike(PACKAGES) | (x == VAULT))
+    return files.filter(~skipped).select("path", F.col("modificationTime").alias("modified"), "length", F.sha2("content", 256).alias("checksum"), "content")
 
 
 def changes(scanned: DataFrame, known: DataFrame) -> DataFrame:
@@ -26,7 +35,11 @@ def changes(scanned: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def preview(content: Column, most: int = 4096) -> Column:
-    return F.coalesce(F.try_validate_utf8(F.substring(content, 1, most).cast("string")), F.lit("[binary]"))
+    """The first bytes as text, cut back to whole characters; '[binary]' for what isn't UTF-8."""
+    head = F.substring(content, 1, most)
+    cuts = [F.try_validate_utf8(F.substring(head, F.lit(1), F.octet_length(head) - k).cast("string")) for k in range(4)]
+    whole = F.octet_length(content) <= most
+    return F.coalesce(cuts[0], *(F.when(~whole, c) for c in cuts[1:]), F.lit("[binary]"))
 
 
 def anchors(texts: DataFrame, id_col: str, text: Column) -> DataFrame:
