@@ -76,16 +76,16 @@ def terms(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(text), f"[^{TERM}]+"), "")
 
 
-def term_count(lowered: Column) -> Column:
-    """How many terms a lower-cased text has."""
-    return F.regexp_count(lowered, F.lit(f"[{TERM}]+"))
+def term_count(text: Column) -> Column:
+    """How many terms a text has."""
+    return F.regexp_count(text, F.lit(f"[A-Z{TERM}]+"))
 
 
-def times(lowered: Column, word: str) -> Column:
-    """How often a lower-cased text has the word as a term; words with other characters never are terms."""
+def times(text: Column, word: str) -> Column:
+    """How often a text has the word, in lower case, as a term; words with other characters never are terms."""
     if not re.fullmatch(r"[a-z0-9\x80-\U0010FFFF]+", word):
         return F.lit(0)
-    return F.regexp_count(lowered, F.lit(f"(?<![{TERM}]){word}(?![{TERM}])"))
+    return F.regexp_count(text, F.lit(f"(?i)(?<![A-Z{TERM}]){word}(?![A-Z{TERM}])"))  # the flag means ASCII letters alone
 
 
 def _fold(text: str | None) -> str | None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kelpie.functions.text import ascii_lower, term_count, terms, times
+from kelpie.functions.text import term_count, terms, times
 from kelpie.functions.vectors import distance
 from kelpie.operators.selection import candidates_for
 from kelpie.plans.storage import cut
@@ -24,7 +24,7 @@ def postings(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
 def indexed(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
     """An index to store and search often: term, id, c (how often the row has the term) and n (terms of the row)."""
     each = postings(docs, id_col, text)
-    sizes = docs.select(F.col(id_col).alias("id"), term_count(ascii_lower(F.coalesce(text, F.lit("")))).alias("n"))
+    sizes = docs.select(F.col(id_col).alias("id"), term_count(F.coalesce(text, F.lit(""))).alias("n"))
     return each.groupBy("term", "id").agg(F.count("*").alias("c")).join(sizes, "id").select("term", "id", "c", "n")
 
 
@@ -47,8 +47,8 @@ def bm25(docs: DataFrame, id_col: str, text: Column, words: list[str]) -> DataFr
     """id and rank of the rows that hold a word; rank is negative, smaller is better. One pass counts the words in each text, which
     is kept, as both the ranks and the sums they need come from it."""
     asked = list(dict.fromkeys(w.lower() for w in words))
-    lowered = docs.select(F.col(id_col).alias("id"), ascii_lower(F.coalesce(text, F.lit(""))).alias("t"))
-    counted = cut(lowered.select("id", term_count(F.col("t")).alias("n"), *(times(F.col("t"), w).alias(f"f{k}") for k, w in enumerate(asked))))
+    each = docs.select(F.col(id_col).alias("id"), F.coalesce(text, F.lit("")).alias("t"))
+    counted = cut(each.select("id", term_count(F.col("t")).alias("n"), *(times(F.col("t"), w).alias(f"f{k}") for k, w in enumerate(asked))))
     stats = counted.agg(F.count("*").alias("rows"), F.avg("n").alias("mean"), *(F.sum((F.col(f"f{k}") > 0).cast("long")).alias(f"d{k}") for k in range(len(asked))))
     parts = [_bm25_part(F.col(f"f{k}"), F.col(f"d{k}"), F.col("rows"), F.col("n"), F.col("mean")) for k in range(len(asked))]
     hit = F.greatest(*(F.col(f"f{k}") for k in range(len(asked))), F.lit(0)) > 0
