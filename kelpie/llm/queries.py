@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpie.llm import ann, hmm, langid, media, mixing, neardup, packing, sharding, token_counts, toxicity
+from kelpie.llm import ann, fim, hmm, langid, media, mixing, neardup, packing, resampling, sharding, token_counts, toxicity, vectorjoin
 from kelpie.llm.common import documents
 
 SHARDS = [f"shard-{k:04d}" for k in range(64)]
@@ -73,10 +73,23 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score(documents(spark, sf_dir)).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorjoin.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return resampling.resample(documents(spark, sf_dir), target).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digest(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    listed = (op1_packing, op2_media_columns, op3_token_counts, op4_language_id, op5_mixing, op6_near_dedup, op7_toxicity, op8_sharding, op9_nearest_neighbours, op10_lm_scoring)
+    listed = (op1_packing, op2_media_columns, op3_token_counts, op4_language_id, op5_mixing, op6_near_dedup, op7_toxicity, op8_sharding, op9_nearest_neighbours, op10_lm_scoring, op11_embedding_near_dedup, op12_resampling, op13_fill_in_middle)
     return {f.__name__: f for f in listed}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": mixing.MIX_SQL, "op6_near_dedup": neardup.NEAR_SQL}
+    return {"op5_mixing": mixing.MIX_SQL, "op6_near_dedup": neardup.NEAR_SQL, "op11_embedding_near_dedup": vectorjoin.VECTOR_SQL, "op12_resampling": resampling.RESAMPLE_SQL, "op13_fill_in_middle": fim.FIM_SQL}
