@@ -77,8 +77,10 @@ def moved(doc_id: int | None, text: str, rate: int, spm: int, salt: str) -> tupl
 def fill_in_middle(docs: DataFrame, rate: int = 50, spm: int = 80, salt: str = "42:", batch_bytes: int = 1 << 24) -> DataFrame:
     """The documents with n (units), form (plain, psm or spm), prefix_chars, middle_chars and output. `rate` percent of the documents
     are moved, `spm` percent of these with their suffix first."""
-    others = [F.col(f"`{c.replace('`', '``')}`") for c in docs.columns if c.lower() not in (*_ADDED, "doc_id", "text")]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *others)
+    others = [c for c in docs.columns if c.lower() not in (*_ADDED, "doc_id", "text")]
+    # in one column, as mapInArrow takes no names with dots or backticks
+    held = F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in others), F.lit(0).alias("__")).alias("held")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held)
 
     def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,7 +97,8 @@ def fill_in_middle(docs: DataFrame, rate: int = 50, spm: int = 80, salt: str = "
                     made, begun, size = [], k + 1, 0
 
     kinds = (LongType(), StringType(), LongType(), LongType(), StringType())
-    return rows.mapInArrow(move, StructType([*rows.schema.fields, *map(StructField, _ADDED, kinds)]))
+    found = rows.mapInArrow(move, StructType([*rows.schema.fields, *map(StructField, _ADDED, kinds)]))
+    return found.select("doc_id", "text", *(F.col("held").getField(c).alias(c) for c in others), *_ADDED)
 
 
 def restored(output: Column, form: Column) -> Column:

@@ -200,9 +200,9 @@ def test_unit_ends_equal_matches(window):
 def test_fill_in_middle_equals_plain(spark):
     texts = ["", None, " ", "one", "one two  three", "a <P> b", "<S", "<M>", "x<", "<P <S < M>", "日本 é \U0001f600 fin\n", "w " * 3000, "Q" * 5000, "< <P< S>< M"]
     docs = [(k, texts[k % len(texts)]) for k in range(600)] + [(None, "a b c d"), (3, "one"), (-5, "minus five is an id"), (2**40, "a large id too")]
-    frame = spark.createDataFrame(docs, "doc_id long, text string").withColumn("form", F.lit(1)).withColumn("Output", F.lit("x")).withColumn("a`b c", F.lit(2)).withColumn("units", F.array(F.lit(1)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string").withColumn("form", F.lit(1)).withColumn("Output", F.lit("x")).withColumn("a.b`c", F.lit(2)).withColumn("held", F.lit(3)).withColumn("units", F.array(F.lit(1)))
     found = fim.fill_in_middle(frame, batch_bytes=4000)
-    assert found.columns == ["doc_id", "text", "a`b c", "units", "n", "form", "prefix_chars", "middle_chars", "output"]
+    assert found.columns == ["doc_id", "text", "a.b`c", "held", "units", "n", "form", "prefix_chars", "middle_chars", "output"]
 
     def plain(doc_id, text):
         text = text or ""
