@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kelpie.functions.vectors import cosine_distance
@@ -134,62 +136,141 @@ def matched(pairs: DataFrame, floor: float) -> DataFrame:
     return out
 
 
-def _moves(nodes: DataFrame, both: DataFrame, resolution: float, least: float) -> DataFrame:
-    """id and target of moves that together raise the quality.
+def unit_choice(id_: Column) -> Column:
+    """A number from 0 to 1 that only an id decides: a linear congruence of it as 64 bits without sign, in millionths."""
+    whole = F.lit(Decimal(2**64))
+    bits = id_.cast("decimal(20,0)") + F.when(id_ < 0, whole).otherwise(Decimal(0))
+    return ((bits.cast("decimal(20,0)") * F.lit(Decimal(2862933555777941757)) + F.lit(Decimal(3037000493))) % whole % F.lit(Decimal(1000000))).cast("double") / 1000000
 
-    Each node asks for its best move. A community gives if the best move out of it is above the best into it, else it takes, so the
-    best move of all is always made. Of the moves of one community, each has to gain after the sizes of those before it are
-    charged, as if they weren't linked to it; so the sum of the charged gains is a lower bound, and no round need be put back."""
-    total = nodes.groupBy("comm").agg(F.sum("size").alias("total"))
-    other = nodes.select(F.col("id").alias("other"), F.col("comm").alias("target"))
-    pull = both.join(other, "other").groupBy("id", "target").agg(F.sum("weight").alias("w"))
-    own = nodes.join(total, "comm").join(pull.select("id", F.col("target").alias("comm"), F.col("w").alias("w0")), ["id", "comm"], "left")
-    stays = own.select("id", "size", "comm", (F.coalesce("w0", F.lit(0.0)) - resolution * F.col("size") * (F.col("total") - F.col("size"))).alias("stay"))
-    goes = pull.join(stays, "id").filter("target <> comm").join(total.withColumnRenamed("comm", "target"), "target")
-    gain = F.col("w") - resolution * F.col("size") * F.col("total") - F.col("stay")
-    better = goes.withColumn("gain", gain).filter(F.col("gain") > least)
-    best = better.groupBy("id", "comm", "size").agg(F.max_by("target", F.struct("gain", -F.col("target"))).alias("target"), F.max("gain").alias("gain"))
+
+#: Up to so many links a level of communities is kept in one partition, where its joins need no shuffles.
+_FEW_LINKS = 1 << 16
+
+
+def _kept(frame: DataFrame, small: bool) -> DataFrame:
+    """The frame as a stored table, of a small level in one partition."""
+    return cut(frame.coalesce(1)).coalesce(1) if small else cut(frame)
+
+
+def _pulls(nodes: DataFrame, both: DataFrame, group: str) -> DataFrame:
+    """id, target and w: the weight of a node's links into each group that it has links into."""
+    other = nodes.select(F.col("id").alias("other"), F.col(group).alias("target"))
+    return both.hint("merge").join(other, "other").groupBy("id", "target").agg(F.sum("weight").alias("w"))
+
+
+def _settled(best: DataFrame, resolution: float, least: float) -> DataFrame:
+    """id and target of those moves (id, own, size, target, gain) that can be made at once, so that together they raise the quality.
+
+    A group gives if the best move out of it is above the best into it, else it takes, so the best move of all is always made. Of
+    the moves of one group, each has to gain after the sizes of those before it are charged, as if they weren't linked to it; so the
+    sum of the charged gains is a lower bound, and no round need be put back."""
     key = F.struct("gain", -F.col("id"))
-    sides = best.select(key.alias("key"), F.posexplode(F.array("comm", "target")).alias("into", "side"))
+    sides = best.select(key.alias("key"), F.posexplode(F.array("own", "target")).alias("into", "side"))
     ends = sides.groupBy("side").agg(*(F.max(F.when(F.col("into") == k, F.col("key"))).alias(name) for k, name in enumerate(("out", "in"))))
     roles = ends.select("side", F.coalesce(F.col("out") > F.col("in"), F.col("in").isNull()).alias("gives"))
-    chosen = best.join(roles.filter("gives").select(F.col("side").alias("comm")), "comm", "left_semi").join(roles.filter("not gives").select(F.col("side").alias("target")), "target", "left_semi")
-    before = [F.coalesce(F.sum("size").over(Window.partitionBy(c).orderBy(F.desc("gain"), "id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) for c in ("comm", "target")]
+    chosen = best.hint("merge").join(roles.filter("gives").select(F.col("side").alias("own")), "own", "left_semi").hint("merge").join(roles.filter("not gives").select(F.col("side").alias("target")), "target", "left_semi")
+    before = [F.coalesce(F.sum("size").over(Window.partitionBy(c).orderBy(F.desc("gain"), "id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) for c in ("own", "target")]
     return chosen.withColumn("before", before[0] + before[1]).filter(F.col("gain") - resolution * F.col("size") * F.col("before") > least).select("id", "target")
 
 
-def _moved(nodes: DataFrame, moves: DataFrame) -> DataFrame:
-    return nodes.join(moves, "id", "left").select("id", "size", F.coalesce("target", "comm").alias("comm"), F.col("target").isNotNull().alias("moved"))
-
-
-def communities(edges: DataFrame, resolution: float = 0.05, least: float = 1e-7, most_levels: int = 64) -> DataFrame:
+def _moves(nodes: DataFrame, both: DataFrame, resolution: float, least: float) -> DataFrame:
+    """id and target of moves of nodes to the community of a neighbour, each node's best, that together raise the quality."""
+    total = nodes.groupBy("comm").agg(F.sum("size").alias("total"))
+    pull = _pulls(nodes, both, "comm")
+    own = nodes.hint("merge").join(total, "comm").hint("merge").join(pull.select("id", F.col("target").alias("comm"), F.col("w").alias("w0")), ["id", "comm"], "left")
+    stays = own.select("id", "size", "comm", (F.coalesce("w0", F.lit(0.0)) - resolution * F.col("size") * (F.col("total") - F.col("size"))).alias("stay"))
+    goes = pull.hint("merge").join(stays, "id").filter("target <> comm").hint("merge").join(total.withColumnRenamed("comm", "target"), "target")
+    gain = F.col("w") - resolution * F.col("size") * F.col("total") - F.col("stay")
+    better = goes.withColumn("gain", gain).filter(F.col("gain") > least)
+    best = better.groupBy("id", "comm", "size").agg(F.max_by("target", F.struct("gain", -F.col("target"))).alias("target"), F.max("gain").alias("gain"))
+    return _settled(best.withColumnRenamed("comm", "own"), resolution, least)
+
+
+def _drawn(candidates: DataFrame, theta: float) -> DataFrame:
+    """id, target and gain of one candidate (id, target, gain) of each id, with odds exp(gain / theta), by the number its id decides."""
+    odds = candidates.withColumn("odds", F.exp(F.col("gain") / max(theta, 1e-6)))
+    running = F.sum("odds").over(Window.partitionBy("id").orderBy("target").rowsBetween(Window.unboundedPreceding, 0))
+    seen = odds.withColumn("running", running).hint("merge").join(odds.groupBy("id").agg(F.sum("odds").alias("all")), "id")
+    reached = F.col("running") >= unit_choice(F.col("id")) * F.col("all")
+    pick = F.coalesce(F.min(F.when(reached, F.struct("target", "gain"))), F.max(F.struct("target", "gain")))
+    return seen.groupBy("id").agg(pick.alias("pick")).select("id", "pick.target", "pick.gain")
+
+
+def _mergers(nodes: DataFrame, inside: DataFrame, members: DataFrame, resolution: float, theta: float, least: float) -> DataFrame:
+    """id and target of single nodes that join a part of their community: nodes (id, size, comm, part) and their links within communities.
+    Both have to be linked well enough to the rest of the community, and the target is drawn."""
+    parts = nodes.groupBy("part").agg(F.sum("size").alias("total"), F.count("*").alias("n"), F.first("comm").alias("comm"))
+    degree = inside.groupBy("id").agg(F.sum("weight").alias("links"))
+    single = nodes.hint("merge").join(parts.filter("n = 1").select("part"), "part", "left_semi").hint("merge").join(members, "comm").hint("merge").join(degree, "id")
+    asks = single.filter(F.col("links") + least >= resolution * F.col("size") * (F.col("all") - 1)).select("id", "size")
+    ends = inside.hint("merge").join(nodes.select("id", F.col("part").alias("one")), "id").hint("merge").join(nodes.select(F.col("id").alias("other"), F.col("part").alias("two")), "other")
+    border = ends.filter("one <> two").groupBy(F.col("one").alias("part")).agg((F.sum("weight") / 2).alias("border"))
+    takes = parts.hint("merge").join(members, "comm").hint("merge").join(border, "part").filter(F.col("border") + least >= resolution * F.col("total") * (F.col("all") - F.col("n")))
+    pull = _pulls(nodes, inside, "part").filter("id <> target").hint("merge").join(asks, "id").hint("merge").join(takes.select(F.col("part").alias("target"), "total"), "target")
+    gains = pull.withColumn("gain", F.col("w") - resolution * F.col("size") * F.col("total")).filter(F.col("gain") > least)
+    best = _drawn(gains.select("id", "target", "gain"), theta).hint("merge").join(nodes.select("id", "size"), "id")
+    return _settled(best.withColumn("own", F.col("id")), resolution, least)
+
+
+def _refined(nodes: DataFrame, both: DataFrame, resolution: float, theta: float, least: float, small: bool) -> DataFrame:
+    """id, size, comm and part: within each community, nodes start alone and single ones join parts, until none does."""
+    ends = both.hint("merge").join(nodes.select("id", "comm"), "id").hint("merge").join(nodes.select(F.col("id").alias("other"), F.col("comm").alias("far")), "other")
+    inside = _kept(ends.filter("comm = far").select("id", "other", "weight"), small)
+    members = _kept(nodes.groupBy("comm").agg(F.count("*").alias("all")), small)
+    parts = nodes.withColumn("part", F.col("id"))
+    while True:
+        joined = _mergers(parts, inside, members, resolution, theta, least)
+        changed = _kept(parts.hint("merge").join(joined, "id", "left").select("id", "size", "comm", F.coalesce("target", "part").alias("part"), F.col("target").isNotNull().alias("moved")), small)
+        if changed.filter("moved").isEmpty():
+            return parts
+        parts = changed.drop("moved")
+
+
+def _all_moved(nodes: DataFrame, both: DataFrame, resolution: float, least: float, small: bool) -> tuple[DataFrame, bool]:
+    """The nodes after rounds of moves, until none gains, and whether any moved."""
+    any_moved = False
+    while True:
+        moves = _moves(nodes, both, resolution, least)
+        changed = _kept(nodes.hint("merge").join(moves, "id", "left").select("id", "size", F.coalesce("target", "comm").alias("comm"), F.col("target").isNotNull().alias("moved")), small)
+        if changed.filter("moved").isEmpty():
+            return nodes, any_moved
+        nodes, any_moved = changed.drop("moved"), True
+
+
+def communities(edges: DataFrame, resolution: float = 0.05, theta: float = 0.01, least: float = 1e-7, most_levels: int = 64) -> DataFrame:
     """id and community_id (its smallest member) of nodes in communities of two or more, under the constant Potts model.
 
     Nodes move to the community of a neighbour that raises the quality most, many in a round, and a round is one table, so that
-    quality only rises and the rounds end. Then communities become nodes and move as wholes, until none does. Parallel edges
-    count together, self-links and those without positive weight are left out. Moves start from single nodes and only join linked
-    ones; results can differ from those of sequential sweeps where several partitions are stable, and there is no step that refines
-    a community within itself."""
+    quality only rises and the rounds end. Within each community nodes then start alone and join parts drawn by their gains; the
+    parts are the nodes of the next level, in the communities found, and move as wholes, until refining joins nothing. All levels
+    are gone through again from the communities found, until no single node gains by moving, so that neither a node nor a part of the
+    last level does in the end. Parallel edges count together, self-links and those without positive weight are left out. Results can
+    differ from those of sequential sweeps where several partitions are stable."""
     plain = edges.filter("first_id <> second_id and weight > 0").select(F.least("first_id", "second_id").alias("first_id"), F.greatest("first_id", "second_id").alias("second_id"), F.col("weight").cast("double").alias("weight"))
-    both = cut(_ends(plain).groupBy("id", "other").agg(F.sum("weight").alias("weight")))
-    nodes = cut(both.select("id").distinct().select("id", F.lit(1).cast("long").alias("size"), F.col("id").alias("comm")))
-    members = nodes.select(F.col("id").alias("member"), F.col("comm").alias("id"))
-    for _ in range(most_levels):
-        moved = False
-        while True:
-            changed = cut(_moved(nodes, _moves(nodes, both, resolution, least)))
-            if changed.filter("moved").isEmpty():
-                break
-            nodes, moved = changed.drop("moved"), True
+    links = cut(_ends(plain).groupBy("id", "other").agg(F.sum("weight").alias("weight")))
+    small = links.count() <= _FEW_LINKS
+    links = links.coalesce(1) if small else links
+    found = _kept(links.select("id").distinct().select("id", F.lit(1).cast("long").alias("size"), F.col("id").alias("comm")), small)
+    while True:
+        nodes, moved = _all_moved(found, links, resolution, least, small)
         if not moved:
             break
-        place = nodes.select("id", "comm")
-        members = cut(members.join(place, "id").select("member", F.col("comm").alias("id")))
-        ends = both.join(place, "id").join(place.select(F.col("id").alias("other"), F.col("comm").alias("far")), "other").filter("comm <> far")
-        both = cut(ends.groupBy(F.col("comm").alias("id"), F.col("far").alias("other")).agg(F.sum("weight").alias("weight")))
-        nodes = cut(nodes.groupBy("comm").agg(F.sum("size").alias("size")).select(F.col("comm").alias("id"), "size", "comm"))
-    named = members.groupBy("id").agg(F.min("member").alias("community_id"), F.count("*").alias("n")).filter("n > 1")
-    return members.join(named, "id").select(F.col("member").alias("id"), "community_id")
+        members, both, few = nodes.select(F.col("id").alias("member"), "id"), links, small
+        for _ in range(most_levels):
+            parts = _refined(nodes, both, resolution, theta, least, few)
+            if parts.filter("part <> id").isEmpty():
+                break
+            place = parts.select("id", "part")
+            members = _kept(members.hint("merge").join(place, "id").select("member", F.col("part").alias("id")), small)
+            ends = both.hint("merge").join(place, "id").hint("merge").join(place.select(F.col("id").alias("other"), F.col("part").alias("far")), "other").filter("part <> far")
+            both = _kept(ends.groupBy(F.col("part").alias("id"), F.col("far").alias("other")).agg(F.sum("weight").alias("weight")), few)
+            few = few or both.count() <= _FEW_LINKS
+            both = both.coalesce(1) if few else both
+            nodes = _kept(parts.groupBy("part").agg(F.sum("size").alias("size"), F.first("comm").alias("comm")).select(F.col("part").alias("id"), "size", "comm"), few)
+            nodes, _ = _all_moved(nodes, both, resolution, least, few)
+        found = _kept(members.hint("merge").join(nodes.select("id", "comm"), "id").select(F.col("member").alias("id"), F.lit(1).cast("long").alias("size"), "comm"), small)
+    named = found.groupBy("comm").agg(F.min("id").alias("community_id"), F.count("*").alias("n")).filter("n > 1")
+    return found.join(named, "comm").select("id", "community_id")
 
 
 def folders(paths: DataFrame, path: str) -> DataFrame:

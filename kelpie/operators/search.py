@@ -21,36 +21,21 @@ def postings(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.posexplode(terms(F.coalesce(text, F.lit("")))).alias("pos", "term"))
 
 
-def indexed(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
-    """An index to store and search often: term, id, c (how often the row has the term) and n (terms of the row)."""
-    each = postings(docs, id_col, text)
-    sizes = docs.select(F.col(id_col).alias("id"), term_count(F.coalesce(text, F.lit(""))).alias("n"))
-    return each.groupBy("term", "id").agg(F.count("*").alias("c")).join(sizes, "id").select("term", "id", "c", "n")
-
-
-def _bm25_part(f: Column, d: Column, rows: Column, n: Column, mean: Column) -> Column:
+def bm25_part(f: Column, d: Column, rows: Column, n: Column, mean: Column) -> Column:
     idf = F.greatest(F.log((rows - d + 0.5) / (d + 0.5)), F.lit(LEAST_IDF))
     return idf * f * (K1 + 1) / (f + K1 * (1 - B + B * n / mean))
 
 
-def bm25_indexed(index: DataFrame, words: list[str], rows: int, mean: float) -> DataFrame:
-    """id and rank from an index; only the postings of the words are read, if it is stored by term."""
-    asked = list(dict.fromkeys(w.lower() for w in words))
-    found = index.filter(F.col("term").isin(asked))
-    held = found.groupBy("term").agg(F.count("*").alias("d"))
-    each = found.join(F.broadcast(held), "term")  # a row a word
-    part = _bm25_part(F.col("c"), F.col("d"), F.lit(rows), F.col("n"), F.lit(mean))
-    return each.withColumn("part", part).groupBy("id").agg((-F.sum("part")).alias("rank"))
-
-
 def bm25(docs: DataFrame, id_col: str, text: Column, words: list[str]) -> DataFrame:
-    """id and rank of the rows that hold a word; rank is negative, smaller is better. One pass counts the words in each text, which
-    is kept, as both the ranks and the sums they need come from it."""
+    """id and rank of the rows that hold a word as it stands, without an index; rank is negative, smaller is better. One pass counts
+    the words in each text, which is kept, as both the ranks and the sums they need come from it. No word gives no rows."""
     asked = list(dict.fromkeys(w.lower() for w in words))
+    if not asked:
+        return docs.select(F.col(id_col).alias("id"), F.lit(0.0).alias("rank")).limit(0)
     each = docs.select(F.col(id_col).alias("id"), F.coalesce(text, F.lit("")).alias("t"))
     counted = cut(each.select("id", term_count(F.col("t")).alias("n"), *(times(F.col("t"), w).alias(f"f{k}") for k, w in enumerate(asked))))
     stats = counted.agg(F.count("*").alias("rows"), F.avg("n").alias("mean"), *(F.sum((F.col(f"f{k}") > 0).cast("long")).alias(f"d{k}") for k in range(len(asked))))
-    parts = [_bm25_part(F.col(f"f{k}"), F.col(f"d{k}"), F.col("rows"), F.col("n"), F.col("mean")) for k in range(len(asked))]
+    parts = [bm25_part(F.col(f"f{k}"), F.col(f"d{k}"), F.col("rows"), F.col("n"), F.col("mean")) for k in range(len(asked))]
     hit = F.greatest(*(F.col(f"f{k}") for k in range(len(asked))), F.lit(0)) > 0
     return counted.filter(hit).crossJoin(F.broadcast(stats)).select("id", (-sum(parts[1:], parts[0])).alias("rank"))  # one row of sums
 
@@ -78,18 +63,15 @@ def tree_search(overviews: DataFrame, activities: DataFrame, shots: DataFrame, l
     return top.join(three, "overview", "left").join(shown, "activity", "left").select("overview", "place", "best", "activity", "activity_place", "shot", "shot_place")
 
 
-def expanded(docs: DataFrame, id_col: str, text: str, words: list[str], stop: list[str], limit: int, more: int = 5) -> DataFrame:
-    """id, rank and pass: the best rows for the words, then those for the commonest other terms of these rows' texts that aren't
-    among them. The few terms pass through the driver."""
-    first = cut(bm25(docs, id_col, F.col(text), words).withColumn("rank", F.round("rank", 7)).orderBy("rank", "id").limit(limit))
-    texts = docs.join(F.broadcast(first.select(F.col("id").alias(id_col))), id_col, "left_semi")  # `limit` rows
-    found = texts.select(F.explode(terms(F.coalesce(text, F.lit("")))).alias("term")).filter((F.length("term") > 3) & ~F.col("term").isin([*words, *stop]))
-    said = [r["term"] for r in found.groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(more).collect()]
-    if not said:
-        return first.withColumn("pass", F.lit(0))
-    second = bm25(docs, id_col, F.col(text), said).withColumn("rank", F.round("rank", 7)).orderBy("rank", "id").limit(limit)
-    new = second.join(F.broadcast(first.select("id")), "id", "left_anti")  # `limit` rows
-    return first.withColumn("pass", F.lit(0)).unionByName(new.withColumn("pass", F.lit(1)))
+def expanded(index, docs: DataFrame, id_col: str, text: Column, words: list[str], stop: list[str], limit: int, more: int = 5) -> DataFrame:
+    """id, rank and pass: the best rows of an index for the words, then those for the commonest other stems of these rows' texts that
+    aren't among them. The few ids and stems pass through the driver."""
+    best = lambda asked: index.ranked(asked).withColumn("rank", F.round("rank", 7)).orderBy("rank", "id").limit(limit)
+    first = cut(best(words).withColumn("pass", F.lit(0)))
+    ids = [r["id"] for r in first.select("id").collect()]  # `limit` of them
+    said = index.commonest(docs.filter(F.col(id_col).isin(ids)), id_col, text, [*words, *stop], more) if ids else []
+    second = best(said).filter(~F.col("id").isin(ids)).withColumn("pass", F.lit(1))
+    return first.unionByName(second)
 
 
 def normalised(rows: DataFrame, score: str) -> DataFrame:
@@ -140,7 +122,10 @@ def best_per_group(rows: DataFrame, group: str, order: list[Column], k: int = 3)
 
 
 def phrase_hits(docs: DataFrame, id_col: str, text: Column, phrases: list[str]) -> DataFrame:
-    """id and number of the phrases that a row holds as consecutive terms, rows with none left out."""
+    """id and number of the phrases that a row holds as consecutive terms, rows with none left out. No phrase gives no rows."""
+    phrases = [p for p in phrases if p.strip()]
+    if not phrases:
+        return docs.select(F.col(id_col).alias("id"), F.lit(0).alias("phrases")).limit(0)
     joined = docs.select(F.col(id_col).alias("id"), F.concat(F.lit(" "), F.array_join(terms(F.coalesce(text, F.lit(""))), " "), F.lit(" ")).alias("t"))
     held = [F.col("t").contains(f" {' '.join(p.lower().split())} ").cast("int") for p in phrases]
     return joined.select("id", sum(held[1:], held[0]).alias("phrases")).filter("phrases > 0")

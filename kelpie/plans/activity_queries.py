@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from kelpie.functions import text as tx
 from kelpie.functions import vectors as vx
 from kelpie.operators import analytics, graph, merge, search
+from kelpie.plans.indexes import kept_index, postings_sql, ranked_sql
 from kelpie.sources import files, html
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -285,15 +286,12 @@ _WORDS = ["the", "and", "erth"]
 _TERM = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _TERMS = f"w AS (SELECT doc_id AS id, list_filter(regexp_split_to_array({_LOWERED}, '{_TERM}'), lambda t: t <> '') AS t FROM documents)"
-_BM25 = f"""WITH {_TERMS}, c AS (SELECT id, len(t) AS n, {", ".join(f"len(list_filter(t, lambda x: x = '{w}')) AS f{k}" for k, w in enumerate(_WORDS))} FROM w),
-s AS (SELECT count(*) AS rows, avg(n) AS mean, {", ".join(f"sum(CASE WHEN f{k} > 0 THEN 1 ELSE 0 END) AS d{k}" for k in range(3))} FROM c),
-h AS (SELECT id, -({" + ".join(f"greatest(ln((rows - d{k} + 0.5) / (d{k} + 0.5)), 1e-6) * f{k} * 2.2 / (f{k} + 1.2 * (0.25 + 0.75 * n / mean))" for k in range(3))}) AS rank FROM c, s WHERE f0 + f1 + f2 > 0)"""
 
 
-@query(f"{_BM25} SELECT id, round(rank, 7) AS rank FROM h ORDER BY h.rank, id LIMIT 45")
+@query(f"""WITH {postings_sql("documents")}, {ranked_sql("documents", _WORDS)} SELECT id, rank FROM h_documents ORDER BY rank, id LIMIT 45""")
 def t3_bm25_top(spark, sf_dir):
-    hits = search.bm25(table(spark, sf_dir, "documents"), "doc_id", F.col("text"), _WORDS)
-    return hits.orderBy("rank", "id").limit(45).select("id", F.round("rank", 7).alias("rank"))
+    hits = kept_index(spark, sf_dir, "documents").ranked(_WORDS).withColumn("rank", F.round("rank", 7))
+    return hits.orderBy("rank", "id").limit(45)
 
 
 @query(f"""WITH {_TERMS}, u AS (SELECT id, unnest(t) AS term FROM w) SELECT term, count(*) AS n, count(DISTINCT id) AS docs FROM u GROUP BY term""")
@@ -303,14 +301,14 @@ def t1_term_statistics(spark, sf_dir):
     return per_doc.groupBy("term").agg(F.sum("c").alias("n"), F.count("*").alias("docs"))
 
 
-@query(f"""{_BM25}, x AS (SELECT id, round(rank, 9) AS rank FROM h),
+@query(f"""WITH {postings_sql("documents")}, {ranked_sql("documents", _WORDS, digits=9)}, x AS (SELECT id, rank FROM h_documents),
 y AS (SELECT vec_id AS id, round(1 - list_cosine_similarity(embedding::DOUBLE[], q), 9) AS distance FROM embeddings, {_QUERY}),
 b AS (SELECT (SELECT min(rank) FROM x) AS r0, (SELECT max(rank) FROM x) AS r1, (SELECT min(distance) FROM y) AS d0, (SELECT max(distance) FROM y) AS d1),
 z AS (SELECT id, CASE WHEN rank IS NULL THEN 0.0::DOUBLE WHEN r0 = r1 THEN 1.0 ELSE (r1 - rank) / (r1 - r0) END AS f, CASE WHEN distance IS NULL THEN 0.0::DOUBLE WHEN d0 = d1 THEN 1.0 ELSE (d1 - distance) / (d1 - d0) END AS v FROM x FULL JOIN y USING (id), b)
 SELECT id, round(0.55::DOUBLE * v + 0.45::DOUBLE * f + CASE WHEN v > 0 AND f > 0 THEN 0.10::DOUBLE ELSE 0 END, 6) AS score FROM z WHERE 0.55::DOUBLE * v + 0.45::DOUBLE * f + CASE WHEN v > 0 AND f > 0 THEN 0.10::DOUBLE ELSE 0 END >= 0.42""")
 def h1_hybrid_search(spark, sf_dir):
     """All rows that match by text and all vectors are normed; only the floor of the score leaves rows out."""
-    text = search.bm25(table(spark, sf_dir, "documents"), "doc_id", F.col("text"), _WORDS).withColumn("rank", F.round("rank", 9))
+    text = kept_index(spark, sf_dir, "documents").ranked(_WORDS).withColumn("rank", F.round("rank", 9))
     vectors, query = table(spark, sf_dir, "embeddings"), F.array(*map(F.lit, _first_vector(spark, sf_dir)))
     near = vectors.select(F.col("vec_id").alias("id"), F.round(vx.distance(F.col("embedding"), query), 9).alias("distance"))
     return search.hybrid(text, near).select("id", F.round("score", 6).alias("score"))

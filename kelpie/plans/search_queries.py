@@ -9,28 +9,19 @@ from pyspark.sql import functions as F
 
 from kelpie.functions import text as tx
 from kelpie.functions import vectors as vx
+from kelpie.functions.stemming import stem
 from kelpie.operators import graph, search
-from kelpie.plans.activity_queries import _BM25, _LOWERED, _QUERY, _TERM, _WORDS, QUERIES, SQL, _first_vector, query, table
+from kelpie.plans.activity_queries import _QUERY, _WORDS, QUERIES, SQL, _first_vector, query, table
+from kelpie.plans.indexes import kept_index, postings_sql, ranked_sql
 
 __all__ = ["QUERIES", "SQL"]
 
 
-def _bm25_sql(name: str, rows: str, words: list[str]) -> str:
-    """CTE h_name with id and rank of the rows (id, text) that hold a word."""
-    counts = ", ".join(f"len(list_filter(t, lambda x: x = '{w}')) AS f{k}" for k, w in enumerate(words))
-    held = ", ".join(f"sum(CASE WHEN f{k} > 0 THEN 1 ELSE 0 END) AS d{k}" for k in range(len(words)))
-    score = " + ".join(f"greatest(ln((rows - d{k} + 0.5) / (d{k} + 0.5)), 1e-6) * f{k} * 2.2 / (f{k} + 1.2 * (0.25 + 0.75 * n / mean))" for k in range(len(words)))
-    hit = " + ".join(f"f{k}" for k in range(len(words)))
-    return f"""t_{name} AS (SELECT id, list_filter(regexp_split_to_array({_LOWERED}, '{_TERM}'), lambda t: t <> '') AS t FROM ({rows})),
-c_{name} AS (SELECT id, len(t) AS n, {counts} FROM t_{name}), s_{name} AS (SELECT count(*) AS rows, avg(n) AS mean, {held} FROM c_{name}),
-h_{name} AS (SELECT id, round(-({score}), 7) AS rank FROM c_{name}, s_{name} WHERE {hit} > 0)"""
+def _hits(spark, sf_dir, name):
+    return kept_index(spark, sf_dir, name).ranked(_WORDS).withColumn("rank", F.round("rank", 7))
 
 
-def _hits(rows, words):
-    return search.bm25(rows, "id", F.col("text"), words).withColumn("rank", F.round("rank", 7))
-
-
-_TALK = "SELECT conv_id * 1000 + turn AS id, text FROM conversations"
+_RANKED = f"{postings_sql('documents')}, {ranked_sql('documents', _WORDS)}"
 _FLOOR, _LIMIT = -0.2, 6
 
 
@@ -38,20 +29,18 @@ def _turns(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text", F.when(F.col("conv_id") % 9 > 0, F.col("conv_id")).alias("overview"), F.col("turn").alias("start"))
 
 
-@query(f"""WITH {_BM25} SELECT id, round(rank, 7) AS rank FROM h WHERE round(rank, 7) <= -0.2 ORDER BY round(rank, 7), id LIMIT 18""".replace("WITH WITH", "WITH"))
+@query(f"""WITH {_RANKED} SELECT id, rank FROM h_documents WHERE rank <= -0.2 ORDER BY rank, id LIMIT 18""")
 def k1_relevant(spark, sf_dir):
-    hits = search.bm25(table(spark, sf_dir, "documents"), "doc_id", F.col("text"), _WORDS).withColumn("rank", F.round("rank", 7))
-    return search.relevant(hits, 6, -0.2)
+    return search.relevant(_hits(spark, sf_dir, "documents"), 6, -0.2)
 
 
-@query(f"""{_BM25} SELECT h.id, source, n_chars, round(rank, 7) AS rank FROM h JOIN documents ON doc_id = h.id""")
+@query(f"""WITH {_RANKED} SELECT h.id, source, n_chars, rank FROM h_documents h JOIN documents ON doc_id = h.id""")
 def j1_hits_with_content(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    hits = search.bm25(docs, "doc_id", F.col("text"), _WORDS)
-    return docs.select(F.col("doc_id").alias("id"), "source", "n_chars").join(hits, "id").select("id", "source", "n_chars", F.round("rank", 7).alias("rank"))
+    content = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", "n_chars")
+    return content.join(_hits(spark, sf_dir, "documents"), "id").select("id", "source", "n_chars", "rank")
 
 
-@query(f"""WITH {_bm25_sql("o", _TALK.replace("conv_id * 1000 + turn", "conv_id") + " WHERE turn = 0", _WORDS)}, {_bm25_sql("a", _TALK, _WORDS)}, {_bm25_sql("s", "SELECT doc_id AS id, text FROM documents", _WORDS)},
+@query(f"""WITH {postings_sql("openings", "turns", "documents")}, {ranked_sql("openings", _WORDS, "o")}, {ranked_sql("turns", _WORDS, "a")}, {ranked_sql("documents", _WORDS, "s")},
 v AS (SELECT conv_id * 1000 + turn AS activity, CASE WHEN conv_id % 9 > 0 THEN conv_id END AS overview, turn AS start FROM conversations),
 o AS (SELECT id AS overview, rank FROM h_o WHERE rank <= {_FLOOR} ORDER BY rank, overview LIMIT 18), a AS (SELECT activity, overview, start, rank FROM h_a JOIN v ON activity = id WHERE rank <= {_FLOOR} ORDER BY rank, activity LIMIT 18),
 s AS (SELECT id AS shot, activity, overview, start, id % 97 AS ts, rank FROM h_s LEFT JOIN v ON activity = id % 50 * 1000 WHERE rank <= {_FLOOR} ORDER BY rank, shot LIMIT 18),
@@ -63,21 +52,19 @@ y AS (SELECT activity, shot, row_number() OVER (PARTITION BY activity ORDER BY r
 SELECT overview, place, best, x.activity, activity_place, shot, shot_place FROM p LEFT JOIN x USING (overview) LEFT JOIN y ON y.activity = x.activity""")
 def t4_tree_search(spark, sf_dir):
     turns = _turns(spark, sf_dir)
-    overviews = _hits(turns.filter("start = 0").select((F.floor(F.col("id") / 1000)).alias("id"), "text"), _WORDS).withColumnRenamed("id", "overview")
+    overviews = _hits(spark, sf_dir, "openings").withColumnRenamed("id", "overview")
     own = turns.select(F.col("id").alias("activity"), "overview", "start")
-    activities = _hits(turns, _WORDS).join(own, F.col("id") == F.col("activity"))
-    shots = _hits(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), _WORDS)
-    shots = shots.join(own, F.col("id") % 50 * 1000 == F.col("activity"), "left").select(F.col("id").alias("shot"), "activity", "overview", "start", (F.col("id") % 97).alias("ts"), "rank")
+    activities = _hits(spark, sf_dir, "turns").join(own, F.col("id") == F.col("activity"))
+    shots = _hits(spark, sf_dir, "documents").join(own, F.col("id") % 50 * 1000 == F.col("activity"), "left").select(F.col("id").alias("shot"), "activity", "overview", "start", (F.col("id") % 97).alias("ts"), "rank")
     return search.tree_search(overviews, activities, shots, _LIMIT, _FLOOR)
 
 
-@query(f"""WITH {_bm25_sql("one", "SELECT doc_id AS id, text FROM documents", _WORDS)}, p AS (SELECT id, rank FROM h_one ORDER BY rank, id LIMIT 8),
-e AS (SELECT unnest(t) AS term FROM t_one WHERE id IN (SELECT id FROM p)), q AS (SELECT term FROM e WHERE length(term) > 3 AND term NOT IN ('the', 'and', 'erth') GROUP BY 1 ORDER BY count(*) DESC, term LIMIT 5),
-f AS (SELECT id, term, count(*) AS f FROM (SELECT id, unnest(t) AS term FROM t_one) WHERE term IN (SELECT term FROM q) GROUP BY ALL), d AS (SELECT term, count(*) AS d FROM f GROUP BY 1),
-z AS (SELECT f.id, round(-sum(greatest(ln((rows - d + 0.5) / (d + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * n / mean))), 7) AS rank FROM f JOIN d USING (term) JOIN c_one ON c_one.id = f.id, s_one GROUP BY f.id),
-k AS (SELECT id, rank FROM z ORDER BY rank, id LIMIT 8) SELECT id, rank, 0 AS pass FROM p UNION ALL SELECT id, rank, 1 FROM k WHERE id NOT IN (SELECT id FROM p)""")
+@query(f"""WITH {postings_sql("documents")}, {ranked_sql("documents", _WORDS, "one")}, p AS (SELECT id, rank FROM h_one ORDER BY rank, id LIMIT 8),
+q AS (SELECT stem FROM p_documents WHERE id IN (SELECT id FROM p) AND length(stem) > 3 AND stem NOT IN ({", ".join(f"'{stem(w)}'" for w in _WORDS)}) GROUP BY 1 ORDER BY count(*) DESC, stem LIMIT 5),
+{ranked_sql("documents", "SELECT stem FROM q", "two")}, k AS (SELECT id, rank FROM h_two ORDER BY rank, id LIMIT 8)
+SELECT id, rank, 0 AS pass FROM p UNION ALL SELECT id, rank, 1 FROM k WHERE id NOT IN (SELECT id FROM p)""")
 def t5_expanded(spark, sf_dir):
-    return search.expanded(table(spark, sf_dir, "documents"), "doc_id", "text", _WORDS, [], 8)
+    return search.expanded(kept_index(spark, sf_dir, "documents"), table(spark, sf_dir, "documents"), "doc_id", F.col("text"), _WORDS, [], 8)
 
 
 @query("""SELECT p_partkey, CASE WHEN hi = lo THEN 1.0 ELSE (s - lo) / (hi - lo) END AS normalised FROM (SELECT p_partkey, p_retailprice AS s, min(p_retailprice) OVER () AS lo, max(p_retailprice) OVER () AS hi FROM part)""")
@@ -92,31 +79,27 @@ def t10_ranked_list(spark, sf_dir):
     return best.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", line.alias("l")))), lambda x: x["l"]), "\n").alias("listed"))
 
 
-_KINDS = {"claim": ("SELECT item_id AS id, text FROM benchmark", 2), "community": ("SELECT conv_id AS id, text FROM conversations WHERE turn = 0", 0), "node": ("SELECT doc_id AS id, text FROM documents", 1)}
+_KINDS = {"claim": ("benchmark", 2), "community": ("openings", 0), "node": ("documents", 1)}
 
 
 def _graph_sql() -> str:
-    parts, streams = [], []
-    for kind, (rows, label) in _KINDS.items():
-        parts.append(_bm25_sql(kind, rows, _WORDS))
+    parts, streams = [postings_sql(*(name for name, _ in _KINDS.values()))], []
+    for kind, (name, label) in _KINDS.items():
+        parts.append(ranked_sql(name, _WORDS, kind))
         parts.append(f"x_{kind} AS (SELECT id, rank AS v FROM h_{kind} ORDER BY rank, id LIMIT 10)")
         parts.append(f"y_{kind} AS (SELECT vec_id AS id, round(1 - list_cosine_similarity(embedding::DOUBLE[], q), 9) AS v FROM embeddings, {_QUERY} WHERE label % 3 = {label} ORDER BY v, id LIMIT 10)")
-        for name, column in (("x", "t"), ("y", "v")):
+        for of, column in (("x", "t"), ("y", "v")):
             normed = f"CASE WHEN max(v) OVER () = min(v) OVER () THEN 1.0 ELSE (max(v) OVER () - v) / (max(v) OVER () - min(v) OVER ()) END"
-            streams.append(f"SELECT '{kind}' AS type, id, {normed if column == 't' else 'NULL::DOUBLE'} AS t, {normed if column == 'v' else 'NULL::DOUBLE'} AS v FROM {name}_{kind}")
+            streams.append(f"SELECT '{kind}' AS type, id, {normed if column == 't' else 'NULL::DOUBLE'} AS t, {normed if column == 'v' else 'NULL::DOUBLE'} AS v FROM {of}_{kind}")
     return f"""WITH {", ".join(parts)}, e AS ({" UNION ALL ".join(streams)}), b AS (SELECT type, id, coalesce(max(t), 0)::DOUBLE AS t, coalesce(max(v), 0)::DOUBLE AS v FROM e GROUP BY ALL),
 z AS (SELECT type, id, round(0.55::DOUBLE * v + 0.45::DOUBLE * t + CASE WHEN t > 0 AND v > 0 THEN 0.10::DOUBLE ELSE 0 END, 6) AS score FROM b) SELECT type, id, score FROM z"""
 
 
 @query(_graph_sql() + " ORDER BY score DESC, type, id LIMIT 30")
 def h2_graph_candidates(spark, sf_dir):
-    rows = {
-        "claim": table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text"), "node": table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"),
-        "community": table(spark, sf_dir, "conversations").filter("turn = 0").select(F.col("conv_id").alias("id"), "text"),
-    }
     vectors, asked = table(spark, sf_dir, "embeddings"), _first_vector(spark, sf_dir)
     near = lambda k: search.top_k(vectors.filter(F.col("label") % 3 == k), "vec_id", "embedding", asked, 10).withColumn("distance", F.round("distance", 9))
-    found = search.graph_candidates({kind: (_hits(rows[kind], _WORDS), near(label)) for kind, (_, label) in _KINDS.items()})
+    found = search.graph_candidates({kind: (_hits(spark, sf_dir, name), near(label)) for kind, (name, label) in _KINDS.items()})
     return found.select("type", "id", F.round("score", 6).alias("score"))
 
 

@@ -18,11 +18,15 @@ def ensure_checkpoints(spark: SparkSession) -> None:
     context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder of checkpoints."""
+    ensure_checkpoints(spark)
+    return (spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir")).rstrip("/")
+
+
 def cut(frame: DataFrame) -> DataFrame:
     """The frame written to the folder of checkpoints and read back. Unlike a checkpoint it is computed once and is planned by its
     own size: checkpoints keep the size guessed for their plan, which in a loop of joins doubles its digits with each round."""
-    ensure_checkpoints(frame.sparkSession)
-    root = frame.sparkSession.sparkContext.getCheckpointDir() or frame.sparkSession.conf.get("spark.checkpoint.dir")
-    path = f"{root}/cut-{uuid.uuid4().hex}"
+    path = f"{shared_root(frame.sparkSession)}/cut-{uuid.uuid4().hex}"
     frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)

@@ -87,10 +87,6 @@ def test_terms_keep_other_scripts(spark):
     docs = spark.createDataFrame([(1, "Été à la МОРЕ, naïve"), (2, "море été"), (3, None), (4, "mor")], "id long, text string")
     assert [r["t"] for r in docs.filter("id < 3").orderBy("id").select(tx.terms(F.col("text")).alias("t")).collect()] == [["Été", "à", "la", "МОРЕ", "naïve"], ["море", "été"]]
     assert {r["id"] for r in search.bm25(docs, "id", F.col("text"), ["море", "mor"]).collect()} == {2, 4}
-    index = search.indexed(docs, "id", F.col("text"))
-    plain = {r["id"]: r["rank"] for r in search.bm25(docs, "id", F.col("text"), ["la", "море"]).collect()}
-    by_index = {r["id"]: r["rank"] for r in search.bm25_indexed(index, ["la", "море"], 4, 8 / 4).collect()}
-    assert plain.keys() == by_index.keys() and all(abs(plain[k] - by_index[k]) < 1e-9 for k in plain)
 
 
 def test_bindings_are_numbered_on(spark):
