@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kelpie.functions.vectors import cosine_distance
+from kelpie.operators.neighbours import unit_rows
 from kelpie.plans.storage import cut
 
 
@@ -79,9 +80,9 @@ def centroids(members: DataFrame, group: str, vector: str) -> DataFrame:
 def nearest_of_all(vectors: DataFrame, id_col: str, vec_col: str, k: int, block: int = 2048) -> DataFrame:
     """id, other, distance and place of the k nearest others of each vector by cosine distance to nine places, ties by id.
 
-    Exact: rows are dealt to blocks of about `block`, and a task compares two blocks and gives k rows for each of the first. Null
-    and zero vectors take no part."""
-    kept = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v")).filter(F.exists("v", lambda x: x != 0))
+    Exact, with blocks times rows of work: rows are dealt to blocks of about `block`, and a task compares two blocks and gives k rows
+    for each of the first. `neighbours.VectorIndex` sends each row to few lists instead. Vectors that can't be compared take no part."""
+    kept = unit_rows(vectors, id_col, vec_col)
     ways = F.greatest(F.ceil(F.count("*") / block), F.lit(1)).alias("ways")
     dealt = kept.crossJoin(F.broadcast(kept.agg(ways))).withColumn("own", F.pmod(F.xxhash64("id"), "ways"))  # one row
     met = F.explode(F.sequence(F.lit(0).cast("long"), F.col("ways") - 1))
@@ -173,17 +174,16 @@ def _settled(best: DataFrame, resolution: float, least: float) -> DataFrame:
     return chosen.withColumn("before", before[0] + before[1]).filter(F.col("gain") - resolution * F.col("size") * F.col("before") > least).select("id", "target")
 
 
-def _moves(nodes: DataFrame, both: DataFrame, resolution: float, least: float) -> DataFrame:
+def _moves(nodes: DataFrame, both: DataFrame, resolution: float, least: float, small: bool) -> DataFrame:
     """id and target of moves of nodes to the community of a neighbour, each node's best, that together raise the quality."""
     total = nodes.groupBy("comm").agg(F.sum("size").alias("total"))
-    pull = _pulls(nodes, both, "comm")
-    own = nodes.hint("merge").join(total, "comm").hint("merge").join(pull.select("id", F.col("target").alias("comm"), F.col("w").alias("w0")), ["id", "comm"], "left")
-    stays = own.select("id", "size", "comm", (F.coalesce("w0", F.lit(0.0)) - resolution * F.col("size") * (F.col("total") - F.col("size"))).alias("stay"))
-    goes = pull.hint("merge").join(stays, "id").filter("target <> comm").hint("merge").join(total.withColumnRenamed("comm", "target"), "target")
-    gain = F.col("w") - resolution * F.col("size") * F.col("total") - F.col("stay")
-    better = goes.withColumn("gain", gain).filter(F.col("gain") > least)
+    own = nodes.hint("merge").join(total.withColumnRenamed("total", "own_total"), "comm")
+    pull = _pulls(nodes, both, "comm").hint("merge").join(own, "id").hint("merge").join(total.withColumnRenamed("comm", "target"), "target")
+    within = F.coalesce(F.max(F.when(F.col("target") == F.col("comm"), F.col("w"))).over(Window.partitionBy("id")), F.lit(0.0))
+    gain = F.col("w") - within - resolution * F.col("size") * (F.col("total") - F.col("own_total") + F.col("size"))
+    better = pull.withColumn("gain", gain).filter((F.col("target") != F.col("comm")) & (F.col("gain") > least))
     best = better.groupBy("id", "comm", "size").agg(F.max_by("target", F.struct("gain", -F.col("target"))).alias("target"), F.max("gain").alias("gain"))
-    return _settled(best.withColumnRenamed("comm", "own"), resolution, least)
+    return _settled(_kept(best.withColumnRenamed("comm", "own"), small), resolution, least)
 
 
 def _drawn(candidates: DataFrame, theta: float) -> DataFrame:
@@ -196,7 +196,7 @@ def _drawn(candidates: DataFrame, theta: float) -> DataFrame:
     return seen.groupBy("id").agg(pick.alias("pick")).select("id", "pick.target", "pick.gain")
 
 
-def _mergers(nodes: DataFrame, inside: DataFrame, members: DataFrame, resolution: float, theta: float, least: float) -> DataFrame:
+def _mergers(nodes: DataFrame, inside: DataFrame, members: DataFrame, resolution: float, theta: float, least: float, small: bool) -> DataFrame:
     """id and target of single nodes that join a part of their community: nodes (id, size, comm, part) and their links within communities.
     Both have to be linked well enough to the rest of the community, and the target is drawn."""
     parts = nodes.groupBy("part").agg(F.sum("size").alias("total"), F.count("*").alias("n"), F.first("comm").alias("comm"))
@@ -209,7 +209,7 @@ def _mergers(nodes: DataFrame, inside: DataFrame, members: DataFrame, resolution
     pull = _pulls(nodes, inside, "part").filter("id <> target").hint("merge").join(asks, "id").hint("merge").join(takes.select(F.col("part").alias("target"), "total"), "target")
     gains = pull.withColumn("gain", F.col("w") - resolution * F.col("size") * F.col("total")).filter(F.col("gain") > least)
     best = _drawn(gains.select("id", "target", "gain"), theta).hint("merge").join(nodes.select("id", "size"), "id")
-    return _settled(best.withColumn("own", F.col("id")), resolution, least)
+    return _settled(_kept(best.withColumn("own", F.col("id")), small), resolution, least)
 
 
 def _refined(nodes: DataFrame, both: DataFrame, resolution: float, theta: float, least: float, small: bool) -> DataFrame:
@@ -219,7 +219,7 @@ def _refined(nodes: DataFrame, both: DataFrame, resolution: float, theta: float,
     members = _kept(nodes.groupBy("comm").agg(F.count("*").alias("all")), small)
     parts = nodes.withColumn("part", F.col("id"))
     while True:
-        joined = _mergers(parts, inside, members, resolution, theta, least)
+        joined = _mergers(parts, inside, members, resolution, theta, least, small)
         changed = _kept(parts.hint("merge").join(joined, "id", "left").select("id", "size", "comm", F.coalesce("target", "part").alias("part"), F.col("target").isNotNull().alias("moved")), small)
         if changed.filter("moved").isEmpty():
             return parts
@@ -230,7 +230,7 @@ def _all_moved(nodes: DataFrame, both: DataFrame, resolution: float, least: floa
     """The nodes after rounds of moves, until none gains, and whether any moved."""
     any_moved = False
     while True:
-        moves = _moves(nodes, both, resolution, least)
+        moves = _moves(nodes, both, resolution, least, small)
         changed = _kept(nodes.hint("merge").join(moves, "id", "left").select("id", "size", F.coalesce("target", "comm").alias("comm"), F.col("target").isNotNull().alias("moved")), small)
         if changed.filter("moved").isEmpty():
             return nodes, any_moved

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from kelpie.functions.stemming import stem
 from kelpie.operators.search import bm25_part
+from kelpie.plans.storage import stored_at
 
 _TERM = re.compile(r"[a-z0-9\x80-\U0010ffff]+")
 _POSTING = "id long, term string, places array<int>, n int"
@@ -73,9 +74,7 @@ class TextIndex:
         return self._read("sums", "rows long, terms long, gen int")
 
     def exists(self) -> bool:
-        jvm = self.spark.sparkContext._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/sums/gen=0/_SUCCESS")
-        return folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+        return stored_at(self.spark, f"{self.path}/sums/gen=0/_SUCCESS")
 
     def shard(self, term: Column) -> Column:
         return F.pmod(F.xxhash64(term), F.lit(self.shards)).cast("int")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kelpie.functions.stemming import stem, stems_sql
+from kelpie.operators.neighbours import VectorIndex
 from kelpie.operators.textindex import TextIndex
 from kelpie.plans.storage import shared_root
 
@@ -37,6 +38,15 @@ def kept_index(spark: SparkSession, sf_dir: str, name: str) -> TextIndex:
     return index
 
 
+def kept_vectors(spark: SparkSession, sf_dir: str) -> VectorIndex:
+    """The index of the embeddings for the table's files as they are now."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    index = VectorIndex(spark, f"{shared_root(spark)}/vector-index-{version_of(vectors)}")
+    if not index.exists():
+        index.build(vectors, "vec_id", "embedding")
+    return index
+
+
 def _terms_sql(text: str = "text") -> str:
     lowered = f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     return rf"list_filter(regexp_split_to_array({lowered}, '[^a-z0-9\x{{80}}-\x{{10FFFF}}]+'), lambda t: t <> '')"

@@ -11,7 +11,7 @@ from kelpie.functions.stemming import stem
 from kelpie.operators import analytics, graph, merge, search
 from kelpie.operators.textindex import TextIndex
 from kelpie.plans.activity_queries import ACTIVITIES, QUERIES, SPANS, SQL, activities, query, table
-from kelpie.plans.indexes import kept_index, postings_sql
+from kelpie.plans.indexes import kept_index, kept_vectors, postings_sql
 from kelpie.plans.storage import shared_root
 
 __all__ = ["QUERIES", "SQL"]  # those of both modules
@@ -104,18 +104,24 @@ def k4_nearest_of_all(spark, sf_dir):
     return _near(spark, sf_dir).select("id", "other", F.round("distance", 6).alias("distance"))
 
 
+@query(f"""WITH {_NEAR} SELECT id, other, round(distance, 6) AS distance FROM n""")
+def k4_indexed_neighbours(spark, sf_dir):
+    """Through the index; while all lists are looked through, the same as comparing all."""
+    return kept_vectors(spark, sf_dir).nearest_of_all(45).select("id", "other", F.round("distance", 6).alias("distance"))
+
+
 @query(f"""WITH {_NEAR}, m AS (SELECT id, other FROM n UNION SELECT DISTINCT id, id FROM n),
 p AS (SELECT DISTINCT x.other AS first_id, y.other AS second_id FROM m x JOIN m y ON x.id = y.id AND x.other < y.other)
 SELECT first_id, second_id, round(greatest(0, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])), 6) AS weight FROM p JOIN embeddings a ON a.vec_id = first_id JOIN embeddings b ON b.vec_id = second_id""")
 def g3_similarity_edges(spark, sf_dir):
-    edges = graph.similarity_edges(_near(spark, sf_dir), table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    edges = graph.similarity_edges(kept_vectors(spark, sf_dir).nearest_of_all(45), table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
     return edges.select("first_id", "second_id", F.round("weight", 6).alias("weight"))
 
 
 @query()
 def g1_communities(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
-    edges = graph.similarity_edges(graph.nearest_of_all(vectors, "vec_id", "embedding", 45), vectors, "vec_id", "embedding")
+    edges = graph.similarity_edges(kept_vectors(spark, sf_dir).nearest_of_all(45), vectors, "vec_id", "embedding")
     return graph.communities(edges, 0.05)
 
 

@@ -12,7 +12,7 @@ from kelpie.functions import vectors as vx
 from kelpie.functions.stemming import stem
 from kelpie.operators import graph, search
 from kelpie.plans.activity_queries import _QUERY, _WORDS, QUERIES, SQL, _first_vector, query, table
-from kelpie.plans.indexes import kept_index, postings_sql, ranked_sql
+from kelpie.plans.indexes import kept_index, kept_vectors, postings_sql, ranked_sql
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -173,11 +173,12 @@ def k3_neighbours_of_one(spark, sf_dir):
     return graph.neighbours_of(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 7, 45).select("other", F.round("distance", 6).alias("distance"))
 
 
-@query("""WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 7), n AS (SELECT vec_id FROM embeddings, q WHERE vec_id <> 7 ORDER BY 1 - list_cosine_similarity(embedding::DOUBLE[], q), vec_id LIMIT 12),
+@query("""WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 7), n AS (SELECT vec_id FROM embeddings, q WHERE vec_id <> 7 ORDER BY 1 - list_cosine_similarity(embedding::DOUBLE[], q), vec_id LIMIT 45),
 v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = 7 OR vec_id IN (SELECT vec_id FROM n)) SELECT a.vec_id AS first_id, b.vec_id AS second_id, round(greatest(list_cosine_similarity(a.e, b.e), 0), 6) AS weight FROM v a JOIN v b ON a.vec_id < b.vec_id""")
 def g4_edges_of_one(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    near = [r["other"] for r in graph.neighbours_of(e, "vec_id", "embedding", 7, 12).collect()]  # 12 rows
+    asked = e.filter("vec_id = 7").first()["embedding"]
+    near = [r["other"] for r in kept_vectors(spark, sf_dir).nearest_to(asked, 45, F.col("id") == 7).collect()]  # 45 rows
     return graph.pairs_of(e, "vec_id", "embedding", [7, *near]).select("first_id", "second_id", F.round(F.greatest("weight", F.lit(0.0)), 6).alias("weight"))
 
 

@@ -24,6 +24,12 @@ def shared_root(spark: SparkSession) -> str:
     return (spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir")).rstrip("/")
 
 
+def stored_at(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder of that path."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there)
+
+
 def cut(frame: DataFrame) -> DataFrame:
     """The frame written to the folder of checkpoints and read back. Unlike a checkpoint it is computed once and is planned by its
     own size: checkpoints keep the size guessed for their plan, which in a loop of joins doubles its digits with each round."""
