@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 
 from kelpie.functions import text as tx
 from kelpie.functions.stemming import stem
-from kelpie.operators import analytics, graph, merge, search
+from kelpie.operators import analytics, graph, merge, ontology, reduction, search, views
+from kelpie.operators.neighbours import VectorIndex
 from kelpie.operators.textindex import TextIndex
 from kelpie.plans.activity_queries import ACTIVITIES, QUERIES, SPANS, SQL, activities, query, table
 from kelpie.plans.indexes import kept_index, kept_vectors, postings_sql
-from kelpie.plans.storage import shared_root
+from kelpie.plans.storage import cut, shared_root
+from kelpie.streaming import online
 
 __all__ = ["QUERIES", "SQL"]  # those of both modules
 
@@ -125,6 +127,55 @@ def g1_communities(spark, sf_dir):
     return graph.communities(edges, 0.05)
 
 
+_CENTRE = "SELECT label AS cluster, list(v ORDER BY pos) AS c FROM (SELECT label, pos, avg(v) AS v FROM (SELECT label, unnest(embedding::DOUBLE[]) AS v, generate_subscripts(embedding, 1) AS pos FROM r) GROUP BY ALL) GROUP BY 1"
+
+
+@query(f"""WITH r AS (SELECT * FROM embeddings WHERE vec_id % 5 <> 0), a AS (SELECT * FROM embeddings WHERE vec_id % 5 = 0),
+n AS (SELECT a.vec_id AS id, r.label AS cluster, round(1 - list_cosine_similarity(a.embedding::DOUBLE[], r.embedding::DOUBLE[]), 9) AS distance, r.vec_id AS other FROM a, r QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY distance, other) <= 45),
+v AS (SELECT id, cluster, round(sum(greatest(1 - distance, 0)), 9) AS votes FROM n GROUP BY ALL HAVING votes > 0), e AS (SELECT id, arg_max(cluster, struct_pack(votes, k := -cluster)) AS cluster FROM v GROUP BY id),
+c AS ({_CENTRE}), z AS (SELECT vec_id AS id, arg_min(cluster, struct_pack(d := round(1 - list_cosine_similarity(embedding::DOUBLE[], c), 9), cluster)) AS cluster FROM a, c GROUP BY vec_id)
+SELECT z.id, coalesce(e.cluster, z.cluster)::BIGINT AS cluster, CASE WHEN e.cluster IS NULL THEN 'centroid' ELSE 'edge' END AS "by" FROM z LEFT JOIN e USING (id)""")
+def g10_online_assignment(spark, sf_dir):
+    """A fifth of the embeddings comes as a stream and is assigned to the labels of the others."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("long").alias("cluster"), F.col("embedding").alias("vector"))
+    run, path = vectors.filter("id % 5 <> 0"), f"{shared_root(spark)}/online-{uuid.uuid4().hex}"
+    index = VectorIndex(spark, f"{path}/run").build(run, "id", "vector")
+    centres = VectorIndex(spark, f"{path}/centres").build(graph.centroids(run, "cluster", "vector"), "cluster", "centroid", 1, cover=1.0)
+    arriving = online.arriving(spark, sf_dir, "embeddings").filter("vec_id % 5 = 0")
+    work = lambda b: ontology.assigned(b, index, centres, run.select("id", "cluster"))
+    online.started(arriving.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), path, work).awaitTermination()
+    return online.state(spark, f"{path}/results", "id", "id long, cluster long, by string")
+
+
+@query()
+def g9_ontology_run(spark, sf_dir):
+    """Tags of all embeddings, carried over from a run before that had their labels as tags; a resolution of 0.3 gives many small clusters."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.col("label").cast("long").alias("tag"))
+    edges = graph.similarity_edges(kept_vectors(spark, sf_dir).nearest_of_all(45), vectors, "id", "vector")
+    run = ontology.refreshed(edges, vectors.select("id", "vector"), vectors.select("id", "tag"), resolution=0.3, floor=0.2)
+    return run.members
+
+
+def _fit(spark, sf_dir):
+    return reduction.fitted(table(spark, sf_dir, "embeddings"), kept_vectors(spark, sf_dir).nearest_of_all(45), "vec_id", "embedding", rounds=10)
+
+
+@query()
+def g11_fitted_reduction(spark, sf_dir):
+    return _fit(spark, sf_dir).model.select("id", *(F.col("reduced")[k].alias(name) for k, name in enumerate("xyz")))
+
+
+@query()
+def g13_reduced_online(spark, sf_dir):
+    """All embeddings, as they come in a stream, reduced by the model fitted on the first of them by a hash of the id."""
+    path, vectors = f"{shared_root(spark)}/reduced-{uuid.uuid4().hex}", table(spark, sf_dir, "embeddings")
+    known = vectors.orderBy(F.xxhash64("vec_id")).limit(1024)
+    model = cut(reduction.fitted(known, graph.nearest_of_all(known, "vec_id", "embedding", 45), "vec_id", "embedding", rounds=5).model)
+    online.started(online.arriving(spark, sf_dir, "embeddings"), path, lambda b: views.reduced_by_model(b, model, "vec_id", "embedding")).awaitTermination()
+    low = online.state(spark, f"{path}/results", "id", "id long, reduced array<double>")
+    return low.select("id", *(F.col("reduced")[k].alias(name) for k, name in enumerate("xyz")))
+
+
 @query()
 def g6_greedy_matching(spark, sf_dir):
     pairs = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b")).agg(F.sum("l_quantity").alias("score"))

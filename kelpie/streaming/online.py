@@ -20,6 +20,12 @@ def by_batch(path: str, work: Callable[[DataFrame], DataFrame]) -> Callable[[Dat
     return step
 
 
+def arriving(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table of a folder as a stream of its files. A pattern as path takes a single file as well as a folder of them."""
+    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
+    return spark.readStream.schema(schema).parquet(f"{folder}/{name}.parque[t]")
+
+
 def state(spark: SparkSession, path: str, key: str, schema: str) -> DataFrame:
     """The last result of each key; rows of one batch that share a key are told apart by nothing, so a batch should have one."""
     if not stored_at(spark, path):
