@@ -8,7 +8,8 @@ from collections.abc import Iterator
 from itertools import islice
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch are read by column name; these are the input's columns inside the operators.
 ID, TEXT = "doc_id", "text"
@@ -43,6 +44,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def apart(rows: DataFrame, **named: Column) -> DataFrame:
+    """The named columns, and `row`: all columns of the rows in one, so that none of their names meets one of an operator's own."""
+    whole = F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in rows.columns)).alias("row")
+    return rows.select(*(c.alias(name) for name, c in named.items()), whole)
+
+
+def together(frame: DataFrame, columns: list[str], *added: str) -> DataFrame:
+    """The columns of the rows that `apart` took together, but those that are added."""
+    new = {c.lower() for c in added}
+    return frame.select(*(F.col("row").getField(c).alias(c) for c in columns if c.lower() not in new), *added)
+
+
 def rows_of(batches: Iterator, *names: str) -> Iterator[tuple]:
     """The named columns row by row: one row's values are Python objects at a time."""
     for batch in batches:

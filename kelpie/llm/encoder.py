@@ -41,12 +41,24 @@ def is_plain(text: str) -> bool:
     return int(np.diff(np.concatenate([[-1], other, [len(points)]])).max()) <= _LONGEST_BLANK
 
 
+def byte_level(said: dict) -> bool:
+    """Whether a tokenizer file changes nothing of the text, cuts it by PRETOKENS and merges bytes: what tiktoken does with its vocabulary."""
+    cut, model = said.get("pre_tokenizer") or {}, said["model"]
+    by_pattern = cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True)
+    other = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")
+    own_tokens = all(x.get("special") for x in said.get("added_tokens") or [])
+    return said.get("normalizer") is None and by_pattern and model.get("type", "BPE") == "BPE" and not any(model.get(k) for k in other) and own_tokens
+
+
 class Encoder:
     """Encodes texts without special tokens; strings of special tokens in a text are ordinary text."""
 
     def __init__(self, path: str) -> None:
         self.path = path
-        self.plain = self._plain()
+        with open(path, encoding="utf-8") as file:
+            said = json.load(file)
+        #: None for files that cut or merge by other rules than those of PRETOKENS: all their texts go to the tokenizers library.
+        self.plain = self._plain(said) if byte_level(said) else None
 
     @cached_property
     def tokenizer(self):
@@ -56,13 +68,11 @@ class Encoder:
         whole.encode_special_tokens = True
         return whole
 
-    def _plain(self):
+    def _plain(self, said: dict):
         """The same merges by tiktoken, whose ranks are the vocabulary's ids in order of merging."""
         import tiktoken
 
         to_byte = {c: b for b, c in self.byte_letters().items()}
-        with open(self.path, encoding="utf-8") as file:
-            said = json.load(file)
         vocabulary, special = said["model"]["vocab"], {x["content"] for x in said.get("added_tokens") or []}
         ranks = {bytes(to_byte[c] for c in word): k for word, k in vocabulary.items() if word not in special and all(c in to_byte for c in word)}
         core = tiktoken.Encoding("plain", pat_str=PRETOKENS, mergeable_ranks=ranks, special_tokens={})
@@ -82,7 +92,7 @@ class Encoder:
         """The ids of a text as unsigned 32-bit numbers."""
         if not text:
             return np.zeros(0, np.uint32)
-        ids = self.plain(text) if is_plain(text) else self.tokenizer.encode(text, add_special_tokens=False).ids
+        ids = self.plain(text) if self.plain and is_plain(text) else self.tokenizer.encode(text, add_special_tokens=False).ids
         return np.array(ids, np.uint32)
 
 

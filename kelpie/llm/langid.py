@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kelpie.llm.common import rows_of, stored
+from kelpie.llm.common import apart, rows_of, stored, together
 
 BITS = 16
 #: So many languages are counted and brought to the driver at a time.
@@ -116,9 +116,9 @@ def _by_key(votes: DataFrame, by: str, key: str, name: str) -> DataFrame:
 def identify(rows: DataFrame, model: TextModel, text: Column, declared: Column, suffix: Column, host: Column, weight_of_text: float = 60.0, weight_of_prior: float = 10.0) -> DataFrame:
     """The rows with language, posterior (its chance), text_language (by the text alone) and declared (as read)."""
     k = len(model.languages)
-    base = rows.withColumns(
-        {"__e": text_evidence(rows, model, text, weight_of_text), "__d": F.lower(F.substring_index(F.trim(declared), "-", 1)), "__s": F.lower(suffix), "__h": F.lower(host)}
-    ).drop("language", "posterior", "text_language", "declared").withColumnRenamed("__d", "declared").withColumn("__v", F.when(F.col("__e").isNotNull(), F.array_position("__e", F.array_max("__e")) - 1))
+    base = apart(
+        rows, __e=text_evidence(rows, model, text, weight_of_text), declared=F.lower(F.substring_index(F.trim(declared), "-", 1)), __s=F.lower(suffix), __h=F.lower(host)
+    ).withColumn("__v", F.when(F.col("__e").isNotNull(), F.array_position("__e", F.array_max("__e")) - 1))
     votes = stored(base.groupBy("__h", "__s", "declared", "__v").agg(F.count("*").alias("n")), "votes").filter("__v is not null").withColumnRenamed("__v", "vote").withColumn("vote", F.col("vote").cast("int"))
     total = np.full(k, 1.0)
     total[-1] = 0.01
@@ -150,9 +150,10 @@ def identify(rows: DataFrame, model: TextModel, text: Column, declared: Column,
     )
     mass = F.aggregate("__logs", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("__top")))
     names = F.array(*map(F.lit, model.languages))
-    return fused.withColumns(
+    fused = fused.withColumns(
         {"language": F.element_at(names, F.array_position("__logs", F.col("__top")).cast("int")), "posterior": 1 / mass, "text_language": F.element_at(names, (F.col("__v") + 1).cast("int"))}
-    ).drop("__e", "__v", "__s", "__h", "__hosts", "__suffixes", "__declareds", "__others", "__count", "__suffix", "__declares", "__prior", "__says", "__logs", "__top")
+    )
+    return together(fused, rows.columns, "declared", "language", "posterior", "text_language")
 
 
 def accepted(least: float = 0.5) -> Column:

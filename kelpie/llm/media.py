@@ -131,7 +131,10 @@ def probe(data: bytes) -> list[dict]:
             continue
         track = tracks[-1]
         if kind == b"mdhd":
-            track["timescale"], track["duration"] = struct.unpack_from(">IQ", body, 20) if body[0] == 1 else struct.unpack_from(">II", body, 12)
+            track["timescale"], duration = struct.unpack_from(">IQ", body, 20) if body[0] == 1 else struct.unpack_from(">II", body, 12)
+            track["duration"] = None if duration == (2**64 - 1 if body[0] == 1 else 2**32 - 1) else duration  # all ones: unknown
+            if (duration if track["duration"] is not None else 0) >= 2**63:
+                raise ValueError("a duration is beyond all bounds")
         elif kind == b"stsd":
             track["codec"] = bytes(body[12:16]).decode("latin1")
         elif kind == b"stss":
@@ -161,7 +164,7 @@ def probe(data: bytes) -> list[dict]:
         chunk = np.repeat(np.arange(len(chunks)), in_chunk)
         firsts = np.cumsum(in_chunk) - in_chunk
         track["places"] = chunks[chunk] + before - before[firsts[chunk]] if len(sizes) else before
-        if len(sizes) and ((track["places"] + sizes).max() > len(data) or track["places"].min() < 0):
+        if len(sizes) and ((track["places"] > len(data) - sizes).any() or track["places"].min() < 0):
             raise ValueError("a sample ends outside the file")
         track["sync"] = track.get("sync", np.arange(len(sizes)))
         if len(track["sync"]) and (track["sync"].min() < 0 or track["sync"].max() >= len(sizes)):
@@ -192,7 +195,9 @@ def features(files: DataFrame) -> DataFrame:
     """What the boxes of column media say, and digests of the payload read back through them."""
     names = [x.split()[0] for x in PROBED.replace("array<struct<first:long,last:long>>", "list").split(", ")]
 
-    def read(doc_id: int | None, n_bytes: int, data: bytes) -> tuple:
+    def read(doc_id: int | None, n_bytes: int, data: bytes | None) -> tuple:
+        if data is None:
+            return (doc_id, n_bytes, *[None] * 11, "there is no file")
         stored_as = (len(data), hashlib.sha256(data).hexdigest())
         try:
             track = probe(data)[0]

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kelpie.llm.common import stored
+from kelpie.llm.common import apart, stored, together
 
 WORD = r"[^\x20\x09-\x0D]+"
 _FINE = 4096
@@ -31,8 +31,7 @@ def drawn(docs: DataFrame) -> DataFrame:
     """The rows with size and the columns that sampling goes by: __source, __no_source, __key and __u, uniform in [0, 1)."""
     text = F.coalesce("text", F.lit(""))
     key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(text.cast("binary")))
-    rows = docs.drop(*_ADDED, "__source", "__no_source", "__key", "__u")
-    return rows.withColumns(
+    return docs.withColumns(
         {"size": F.regexp_count(text, F.lit(WORD)).cast("long"), "__source": F.coalesce("source", F.lit("")), "__no_source": F.col("source").isNull(), "__key": key}
     ).withColumn("__u", F.conv(F.substring(F.md5(F.col("__key").cast("binary")), 1, 12), 16, 10).cast("double") / float(2**48))
 
@@ -128,14 +127,24 @@ def _planned(slim: DataFrame, weights: tuple[float, ...], most: int) -> DataFram
 def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: int = 3) -> DataFrame:
     """The documents with size, source_size, target, copies and taken (words, repeats counted); sources in code-point order
     have the weights in turn. `most` bounds the copies of a document and each target."""
-    rows = drawn(docs)
+    return together(_mixed(docs, weights, most), docs.columns, *_ADDED)
+
+
+def repeated(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: int = 3) -> DataFrame:
+    """The documents as they are, each as often as the mix takes it."""
+    taken = _mixed(docs, weights, most).filter("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")
+
+
+def _mixed(docs: DataFrame, weights: tuple[float, ...], most: int) -> DataFrame:
+    rows = drawn(apart(docs, doc_id=F.col("doc_id"), text=F.col("text"), source=F.col("source")))
     slim = stored(rows.select(*_BY, "__key", "__u", "size"), "drawn")
     return applied(rows, _planned(slim, weights, most))
 
 
 def digest(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: int = 3) -> DataFrame:
     """The same decisions without the texts, which are read once."""
-    slim = stored(drawn(docs).select(*_BY, "__key", "__u", "size", "doc_id", "source"), "drawn")
+    slim = stored(drawn(docs.select("doc_id", "text", "source")).select(*_BY, "__key", "__u", "size", "doc_id", "source"), "drawn")
     return applied(slim, _planned(slim, weights, most))
 
 

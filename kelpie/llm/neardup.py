@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kelpie.llm.common import chunked, columns_of, mixed, range_hashes, rows_of, stored, word_hashes
+from kelpie.llm.common import apart, chunked, columns_of, mixed, range_hashes, rows_of, stored, word_hashes
 
 TOKENS = 64
 SHINGLE = 5
@@ -423,10 +423,10 @@ def without_near_duplicates(docs: DataFrame, **options: int) -> DataFrame:
     """The rows whose id is the smallest of their component; of rows that repeat such an id, one stays. Rows with null ids stay."""
     seen = near_duplicates(docs, **options).filter("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.bool_and("kept").alias("__kept"), F.count("*").alias("__n"))
     marks = stored(seen.filter("not __kept or __n > 1"), "marks")
-    marked = docs.join(marks, docs["doc_id"] == F.col("__id"), "left").filter("__id is null or __kept")
-    if marks.filter("__kept").isEmpty():
-        return marked.select(docs["*"])
-    return marked.filter("__id is null").select(docs["*"]).union(marked.filter("__id is not null").dropDuplicates(["__id"]).select(docs["*"]))
+    marked = apart(docs, id=F.col("doc_id").cast("long")).join(marks, F.col("id") == F.col("__id"), "left").filter("__id is null or __kept")
+    if not marks.filter("__kept").isEmpty():
+        marked = marked.filter("__id is null").select("row").union(marked.filter("__id is not null").dropDuplicates(["__id"]).select("row"))
+    return marked.select("row.*")
 
 
 NEAR_SQL = r"""

@@ -17,6 +17,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kelpie.llm.common import apart, together
+
 #: The most slots a table may have: about 16 MB when broadcast.
 MOST_SLOTS = 1 << 20
 
@@ -55,7 +57,7 @@ def place(rows: DataFrame, key: Column, payload: Column, shards: list[str], slot
     A key that has more than `share` of a shard's even part of the rows is spread over as many slots as bring it below
     that. There are at most len(shards) / share such keys, so they are broadcast.
     """
-    keyed = rows.drop("slot", "shard", "shard_name").withColumns({"__key": F.xxhash64(key.cast("string"), key.isNull()), "__payload": F.xxhash64(payload), "__null": key.isNull()})
+    keyed = apart(rows, __key=F.xxhash64(key.cast("string"), key.isNull()), __payload=F.xxhash64(payload), __null=key.isNull())
     counts = keyed.filter("not __null").groupBy("__key").agg(F.count("*").alias("__n"))
     total = keyed.agg(F.count("*").alias("__total"))
     part = F.col("__total") * share / len(shards)
@@ -63,4 +65,4 @@ def place(rows: DataFrame, key: Column, payload: Column, shards: list[str], slot
     spread = keyed.join(F.broadcast(hot), F.col("__key") == F.col("__hot"), "left")  # one row of totals; hot keys are few
     turn = F.when(F.col("__null"), F.xxhash64("__payload", F.lit(1))).when(F.col("__ways").isNotNull(), F.xxhash64("__key", F.pmod("__payload", "__ways"))).otherwise(F.col("__key"))
     placed = spread.withColumn("slot", F.pmod(turn, F.lit(slots)).cast("int")).join(F.broadcast(table_frame(rows.sparkSession, shards, slots)), "slot")
-    return placed.drop("__key", "__payload", "__null", "__hot", "__ways")
+    return together(placed, rows.columns, "slot", "shard", "shard_name")

@@ -55,6 +55,8 @@ def token_counts(docs: DataFrame, tokenizer: str, spans: str | None = None) -> D
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
+        if enc.plain is None:
+            raise ValueError("tokens of this tokenizer file don't say which bytes they stand for")
         for some in chunked(rows_of(batches, "doc_id", "text", "spans"), 256):
             out = []
             for doc_id, text, own in some:

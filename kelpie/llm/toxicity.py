@@ -10,8 +10,8 @@ would hardly give are its passages.
 
 Training reads at most `most_labelled` labelled documents, those with the smallest hashes of their ids.
 
-Cases: null and empty texts have no words and get the score of no evidence; null labels are left out, a document with several
-labels is toxic if one says so; if one class has no training rows, each row gets the share of toxic labels; repeated rows
+Cases: null and empty texts have no words and get the score of no evidence; null labels are left out, a label says toxic if it is
+above 0, a document with several labels is toxic if one says so; if one class has no training rows, each row gets the share of toxic labels; repeated rows
 stay; null ids are held out like any id whose remainder is 0; an empty table gives no rows. A column of the input named toxicity is
 replaced.
 """
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kelpie.llm.common import range_hashes, rows_of, word_spans
+from kelpie.llm.common import range_hashes, rows_of, stored, word_spans
 
 BITS = 20
 BUCKETS = 1 << BITS
@@ -184,15 +184,16 @@ def fit_curve(model: Model, evidence: np.ndarray, toxic: np.ndarray, clean: np.n
 
 
 def training_labels(labels: DataFrame, most_labelled: int, folds: int = 5) -> DataFrame:
-    """doc_id and toxic of at most so many documents outside the held-out fold."""
-    one = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), folds)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    """doc_id and toxic (1 if a label of the document is above 0, else 0) of at most so many documents outside the held-out fold."""
+    one = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), folds)).groupBy("doc_id").agg(F.max((F.col("toxic").cast("double") > 0).cast("int")).alias("toxic"))
     return one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled)
 
 
 def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 65536) -> Model:
     """A model from the documents that have labels; what comes to the driver is bounded by buckets and bins."""
     chosen = training_labels(labels, most_labelled).select(F.col("doc_id").alias("__id"), F.col("toxic").alias("__toxic"))
-    rows = docs.select(F.col("doc_id"), F.col("text").cast("binary").alias("data")).join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
+    labelled = docs.select(F.col("doc_id"), F.col("text").cast("binary").alias("data")).join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
+    rows = stored(labelled.select("data", "__toxic"), "labelled")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, n = np.zeros((2, BUCKETS), np.int32), np.zeros(2, np.int64)

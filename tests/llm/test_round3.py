@@ -12,7 +12,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kelpie.llm import fim, resampling, vectorjoin
+from kelpie.llm import fim, langid, media, mixing, neardup, resampling, sharding, toxicity, vectorjoin
+from kelpie.llm.encoder import Encoder
+from kelpie.llm.queries import tokenizer_path
 
 SPACE = r"\x20\x09-\x0D"
 
@@ -225,3 +227,82 @@ def test_fill_in_middle_equals_plain(spark):
     assert all(r["back"] == (r["text"] or "") for r in rows)
     assert {r["form"] for r in rows} == {"plain", "spm", "psm"}
     assert fim.digest(frame.limit(0)).collect() == []
+
+
+# --- columns of any name, and files that say strange things ------------------------------------
+
+
+INNER = ("whole", "left", "row", "__cut", "__hot", "__id", "__e", "__key", "__source", "__kept", "__n", "copies", "size", "declared", "language", "posterior", "toxicity", "copy", "slot", "shard")
+
+
+def named_docs(spark):
+    rows = [(i, f"the river runs by house {i % 7} and more words stand here", "en" if i % 3 else None, "ab"[i % 2]) for i in range(30)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumns({c: F.lit(f"kept {c}") for c in INNER}).withColumn("a.b", F.lit(1))
+
+
+def kept_of(frame, replaced=()):
+    first = frame.first()
+    assert all(first[c] == f"kept {c}" for c in INNER if c not in replaced)
+
+
+def test_no_inner_name_is_met(spark):
+    docs = named_docs(spark)
+    mixed = mixing.mix(docs)
+    assert mixed.count() == 30
+    kept_of(mixed, ("copies", "size"))
+    again = mixing.repeated(docs)
+    assert again.columns == docs.columns
+    kept_of(again)
+    kept_of(sharding.place(docs, F.col("doc_id"), F.col("text"), ["x", "y"], 101), ("slot", "shard"))
+    alone = neardup.without_near_duplicates(docs)
+    assert alone.columns == docs.columns
+    kept_of(alone)
+    found = langid.identify(docs, langid.train_text(docs), F.col("text"), F.col("lang"), F.lit(None).cast("string"), F.col("source"))
+    kept_of(found, ("declared", "language", "posterior"))
+
+
+def test_the_pipeline_keeps_columns_of_any_name(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs = named_docs(spark)
+    spark.createDataFrame([(i, 0, int(i % 9 == 0)) for i in range(30)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for _, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        if out.count():
+            kept_of(out)
+
+
+def test_labels_above_0_are_toxic(spark):
+    rows = [(i, "clean words of the day" if i % 2 else "vile words of spite") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, [2, -1, 0, 7][i % 4] if i % 2 == 0 else -(i % 3)) for i in range(40)], "doc_id long, toxic int")
+    chosen = {r["doc_id"]: r["toxic"] for r in toxicity.training_labels(labels, 100).collect()}
+    assert chosen and all(t == int(i % 2 == 0 and [2, -1, 0, 7][i % 4] > 0) for i, t in chosen.items())
+    assert toxicity.scored(docs, toxicity.train(docs, labels)).count() == 40
+
+
+def changed(data: bytes, mark: bytes, at: int, new: bytes) -> bytes:
+    place = data.index(mark) + 4 + at
+    return data[:place] + new + data[place + len(new) :]
+
+
+def test_media_that_say_strange_things(spark):
+    good = media.mux(media.padded(b"hello " * 50))
+    version = good[good.index(b"mdhd") + 4]
+    unknown = changed(good, b"mdhd", 24 if version == 1 else 16, b"\xff" * (8 if version == 1 else 4))
+    rows = [(1, 300, good), (2, 300, None), (3, 300, unknown), (4, 300, b""), (5, 300, good[:50])]
+    if b"co64" in good:
+        rows.append((6, 300, changed(good, b"co64", 8, (2**63 - 1).to_bytes(8, "big"))))
+    seen = {r["doc_id"]: r for r in media.features(spark.createDataFrame(rows, "doc_id long, n_bytes long, media binary")).collect()}
+    assert len(seen) == len(rows)
+    assert seen[1]["payload_sha256"] == seen[3]["payload_sha256"] is not None
+    assert seen[3]["duration"] is None and seen[1]["duration"] is not None
+    assert all(seen[k]["payload_sha256"] is None for k in seen if k not in (1, 3))
+
+
+def test_other_tokenizer_files_give_the_library_s_ids():
+    other = Encoder(tokenizer_path("word_bpe_49k.json"))
+    assert other.plain is None
+    for text in ("Hello  World's é 123", "", "two\n\nlines"):
+        assert other.encode(text).tolist() == other.tokenizer.encode(text, add_special_tokens=False).ids
+    assert Encoder(tokenizer_path()).plain is not None
