@@ -10,21 +10,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kelpie.llm import langid, mixing, neardup, packing, toxicity
-from kelpie.llm.common import documents, stored
+from kelpie.llm.common import apart, documents, stored
 from kelpie.llm.queries import tokenizer_path
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that aren't predicted to be toxic."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.scored(docs, model).filter("toxicity.predicted = 0").select(*docs.columns)
+    return toxicity.scored(apart(docs, text=F.col("text")), model).filter("toxicity.predicted = 0").select("row.*")
 
 
 def in_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents in a language that the corpus declares, by text, declared language and source."""
     model = langid.train_text(docs)
-    found = langid.identify(docs, model, F.col("text"), F.col("lang"), F.lit(None).cast("string"), F.col("source"))
-    return found.filter(langid.accepted()).select(*docs.columns)
+    rows = apart(docs, text=F.col("text"), lang=F.col("lang"), source=F.col("source"))
+    found = langid.identify(rows, model, F.col("text"), F.col("lang"), F.lit(None).cast("string"), F.col("source"))
+    return found.filter(langid.accepted()).select("row.*")
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +35,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as often as the mix takes them."""
-    return mixing.mix(docs).filter("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    return mixing.repeated(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
