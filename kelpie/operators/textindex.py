@@ -12,10 +12,10 @@ indexed; a null text has no terms but counts as a row, and each id has one row.
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,37 +24,100 @@ from kelpie.functions.stemming import stem
 from kelpie.operators.search import bm25_part
 from kelpie.plans.storage import stored_at
 
-_TERM = re.compile(r"[a-z0-9\x80-\U0010ffff]+")
+_TERM = re.compile(rb"[a-z0-9\x80-\xff]+")
+#: Postings of a term in some rows: their ids, numbers of terms, and places, those of the k-th row up to ends[k]. Without a term: the rows.
+_PACKED = "term string, ids array<long>, ns array<int>, ends array<int>, places array<int>"
 _POSTING = "id long, term string, places array<int>, n int"
-_UPPER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
 
 def terms_of(text: str) -> list[str]:
     """The stems of a text in order."""
-    return [stem(t) for t in _TERM.findall(text.translate(_UPPER))]
+    return [stem(t.decode(errors="replace")) for t in _TERM.findall(text.encode().lower())]
 
 
-def analysed(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
-    """id, term, places and n (terms of the row) for each term of each row; a row with neither term nor places for each row of the
-    table. A row's text is counted where it was read."""
+class _Codes(dict):
+    """Numbers for words as they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = len(self)
+        return self[word]
+
+
+def _lists(values: np.ndarray, starts: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(starts, len(values)), pa.int32()), pa.array(values, kind))
+
+
+def _packed(ids: list[int], ns: list[int], codes: list[np.ndarray], words: list[bytes]) -> pa.RecordBatch:
+    """The postings of some rows by term, and a row without a term that has all of these rows."""
+    key, size = np.array(ids, np.int64), np.array(ns, np.int32)
+    stems, of = np.unique(np.array([stem(w.decode(errors="replace")) for w in words], object), return_inverse=True)
+    term = of[np.concatenate(codes)] if len(words) else np.zeros(0, np.int64)
+    row = np.repeat(np.arange(len(ns)), size)
+    place = np.arange(len(term)) - np.repeat(np.cumsum(size) - size, size)
+    order = np.argsort(term, kind="stable")
+    term, row, place = term[order], row[order], place[order]
+    new_term = np.flatnonzero(np.diff(term, prepend=-1))
+    new_row = np.flatnonzero((np.diff(term, prepend=-1) != 0) | (np.diff(row, prepend=-1) != 0))
+    at = np.searchsorted(new_row, new_term)  # where a term's rows begin
+    ends = np.append(new_row[1:], len(term))[: len(new_row)] - np.repeat(new_term, np.diff(np.append(at, len(new_row))))
+    every = len(new_row) + np.arange(2)[:1]  # the rows themselves come last
+    columns = [
+        pa.array([*stems[term[new_term]].tolist(), None], pa.string()),
+        _lists(np.concatenate([key[row[new_row]], key]), np.concatenate([at, every]), pa.int64()),
+        _lists(np.concatenate([size[row[new_row]], size]), np.concatenate([at, every]), pa.int32()),
+        _lists(ends, np.concatenate([at, every]), pa.int32()),
+        _lists(place, np.append(new_term, len(place)), pa.int32()),
+    ]
+    return pa.RecordBatch.from_arrays(columns, ["term", "ids", "ns", "ends", "places"])
+
+
+def analysed(docs: DataFrame, id_col: str, text: Column, at_once: int = 1 << 19) -> DataFrame:
+    """Packed postings of the rows, those of so many words at once, where the rows were read: no row a posting is shuffled."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, ids, ns, codes, total = _Codes(), [], [], [], 0
         for batch in batches:
-            made: list[tuple] = []
             for k in range(batch.num_rows):
-                found, at = terms_of(batch.column(1)[k].as_py()), defaultdict(list)
-                for place, term in enumerate(found):
-                    at[term].append(place)
-                key = batch.column(0)[k].as_py()
-                made.append((key, None, None, len(found)))
-                made += [(key, term, places, len(found)) for term, places in at.items()]
-                if len(made) >= 1 << 15 or k + 1 == batch.num_rows:
-                    kinds = (pa.int64(), pa.string(), pa.list_(pa.int32()), pa.int32())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), kinds, strict=True)], ["id", "term", "places", "n"])
-                    made = []
-
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text, F.lit("")).alias("text")).filter("id is not null")
-    return rows.mapInArrow(count, _POSTING)
+                found = _TERM.findall(batch.column(1)[k].as_py().lower())
+                codes.append(np.array([seen[w] for w in found], np.int64))
+                ids.append(batch.column(0)[k].as_py())
+                ns.append(len(found))
+                total += len(found)
+                if total >= at_once:
+                    yield _packed(ids, ns, codes, list(seen))
+                    seen, ids, ns, codes, total = _Codes(), [], [], [], 0
+        if ids:
+            yield _packed(ids, ns, codes, list(seen))
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text, F.lit("")).cast("binary").alias("text")).filter("id is not null")
+    return rows.mapInArrow(count, _PACKED)
+
+
+def _repacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed postings of rows (term, id, n, places) that come by term."""
+    for batch in batches:
+        names, places = batch.column("term").to_pylist(), batch.column("places")
+        if not names:
+            continue
+        starts = np.array([k for k, t in enumerate(names) if not k or t != names[k - 1]], np.int64)
+        stop = np.cumsum(places.value_lengths().to_numpy(zero_copy_only=False))
+        begin = np.where(starts > 0, stop[starts - 1], 0)
+        ends = stop - np.repeat(begin, np.diff(np.append(starts, len(names))))
+        columns = [pa.array([names[k] for k in starts.tolist()], pa.string()), *(_lists(batch.column(c).to_numpy(zero_copy_only=False), starts, t) for c, t in (("id", pa.int64()), ("n", pa.int32()))), _lists(ends, starts, pa.int32()), _lists(places.flatten().to_numpy(zero_copy_only=False), begin, pa.int32())]
+        yield pa.RecordBatch.from_arrays(columns, ["term", "ids", "ns", "ends", "places"])
+
+
+def unpacked(packed: DataFrame, *kept: str) -> DataFrame:
+    """id, term, places and n of packed postings, and the columns kept."""
+    before = lambda k: F.coalesce(F.get("ends", k - 1), F.lit(0))
+    each = F.transform("ids", lambda x, k: F.struct(x.alias("id"), F.get("ns", k).alias("n"), F.slice("places", before(k) + 1, F.get("ends", k) - before(k)).alias("places")))
+    return packed.select("term", *kept, F.explode(each).alias("p")).select("p.id", "term", "p.places", "p.n", *kept)
+
+
+def _rows(packed: DataFrame, *kept: str) -> DataFrame:
+    """id and n of the rows in packed rows without a term."""
+    each = F.transform("ids", lambda x, k: F.struct(x.alias("id"), F.get("ns", k).alias("n")))
+    return packed.filter("shard = -1").select(*kept, F.explode(each).alias("p")).select("p.id", "p.n", *kept)
 
 
 @dataclass(frozen=True)
@@ -79,12 +142,12 @@ class TextIndex:
     def shard(self, term: Column) -> Column:
         return F.pmod(F.xxhash64(term), F.lit(self.shards)).cast("int")
 
-    def _write(self, found: DataFrame, gen: int) -> None:
+    def _write(self, packed: DataFrame, gen: int) -> None:
         """Postings by shard and the rows they are of; one pass over the texts writes both."""
-        placed = found.withColumn("shard", F.when(F.col("term").isNotNull(), self.shard(F.col("term"))).otherwise(-1))
+        placed = packed.withColumn("shard", F.when(F.col("term").isNotNull(), self.shard(F.col("term"))).otherwise(-1))
         salts = F.when(F.col("shard") < 0, self.shards * self.salts).otherwise(self.salts)
-        dealt = placed.repartition("shard", F.pmod(F.xxhash64("id"), salts)).sortWithinPartitions("shard", "term", "id")
-        dealt.write.mode("overwrite").option("parquet.block.size", 8 << 20).partitionBy("shard").parquet(f"{self.path}/postings/gen={gen}")
+        dealt = placed.repartition("shard", F.pmod(F.xxhash64(F.get("ids", F.lit(0))), salts)).sortWithinPartitions("shard", "term")
+        dealt.write.mode("overwrite").option("parquet.block.size", 8 << 20).option("compression", "zstd").partitionBy("shard").parquet(f"{self.path}/postings/gen={gen}")
 
     def _live(self, rows: DataFrame, last: int, whole: bool = False) -> DataFrame:
         """Those of the rows that no later generation has made out of date."""
@@ -94,7 +157,7 @@ class TextIndex:
         return rows.join(gone, "id", "left").filter("gone is null or gone <= gen").drop("gone")
 
     def _postings(self, last: int) -> DataFrame:
-        return self._read("postings", f"{_POSTING}, gen int, shard int").filter(F.col("gen") <= last)
+        return self._read("postings", f"{_PACKED}, gen int, shard int").filter(F.col("gen") <= last)
 
     def last(self) -> int:
         return self.sums().agg(F.max("gen")).first()[0]
@@ -102,8 +165,7 @@ class TextIndex:
     def build(self, docs: DataFrame, id_col: str, text: Column) -> TextIndex:
         """Write the first generation."""
         self._write(analysed(docs, id_col, text), 0)
-        rows = self._postings(0).filter("shard = -1")
-        rows.agg(F.count("*").alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("terms")).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/sums/gen=0")
+        _rows(self._postings(0)).agg(F.count("*").alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("terms")).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/sums/gen=0")
         return self
 
     def update(self, dirty: DataFrame, docs: DataFrame, id_col: str, text: Column) -> TextIndex:
@@ -115,16 +177,23 @@ class TextIndex:
         changed = docs.join(ids, docs[id_col].cast("long") == ids["id"], "left_semi")
         self._write(analysed(changed, id_col, text), gen)
         size = (F.count("*").alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("terms"))
-        old = self._live(self._postings(gen - 1).filter("shard = -1"), gen - 1).join(ids, "id", "left_semi").agg(*size).first()
-        new = self._postings(gen).filter(f"shard = -1 and gen = {gen}").agg(*size).first()
+        old = self._live(_rows(self._postings(gen - 1), "gen"), gen - 1).join(ids, "id", "left_semi").agg(*size).first()
+        new = _rows(self._postings(gen).filter(F.col("gen") == gen)).agg(*size).first()
         now = [(before[k] - old[k] + new[k]) for k in ("rows", "terms")]
         self.spark.createDataFrame([now], "rows long, terms long").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/sums/gen={gen}")
         return self
 
     def compact(self, path: str) -> TextIndex:
-        """The index in one generation, in another folder."""
+        """The index in one generation, in another folder. Postings are unpacked, and packed anew by term and a hash of the id."""
         last, other = self.last(), TextIndex(self.spark, path, self.shards, self.salts)
-        other._write(self._live(self._postings(last), last).drop("gen", "shard"), 0)
+        kept = self._live(unpacked(self._postings(last).filter("shard >= 0"), "gen"), last)
+        dealt = kept.repartition("term", F.pmod(F.xxhash64("id"), F.lit(self.salts))).sortWithinPartitions("term", "id")
+        terms = dealt.select("term", "id", "n", "places").mapInArrow(_repacked, _PACKED)
+        parts = F.lit(1 + self.size()[0] // 65536)
+        rows = self._live(_rows(self._postings(last), "gen"), last).groupBy(F.pmod(F.xxhash64("id"), parts)).agg(F.collect_list(F.struct("id", "n")).alias("each"))
+        none, part = F.array().cast("array<int>"), lambda name: F.transform("each", lambda x: x[name])
+        packed = terms.union(rows.select(F.lit(None).cast("string"), part("id"), part("n"), none, none))
+        other._write(packed, 0)
         self.sums().filter(F.col("gen") == last).select("rows", "terms").coalesce(1).write.mode("overwrite").parquet(f"{path}/sums/gen=0")
         return other
 
@@ -136,7 +205,7 @@ class TextIndex:
             rows = self.spark.createDataFrame([(t,) for t in terms], "term string")
             shards = [r["shard"] for r in rows.select(self.shard(F.col("term")).alias("shard")).distinct().collect()]
             found = found.filter(F.col("shard").isin(shards) & F.col("term").isin(terms))
-        return self._live(found, last).select("id", "term", "places", "n")
+        return self._live(unpacked(found, "gen"), last).select("id", "term", "places", "n")
 
     def size(self) -> tuple[int, int]:
         """Rows and terms of the index."""
@@ -169,5 +238,5 @@ class TextIndex:
     def commonest(self, docs: DataFrame, id_col: str, text: Column, left_out: list[str], most: int = 5, longer: int = 3) -> list[str]:
         """The commonest stems of a few rows that are longer than `longer` and not among the stems of the words left out."""
         stems = [t for w in left_out for t in terms_of(w)]
-        found = analysed(docs, id_col, text).filter((F.length("term") > longer) & ~F.col("term").isin(stems))
+        found = unpacked(analysed(docs, id_col, text).filter("term is not null")).filter((F.length("term") > longer) & ~F.col("term").isin(stems))
         return [r["term"] for r in found.groupBy("term").agg(F.sum(F.size("places")).alias("c")).orderBy(F.desc("c"), "term").limit(most).collect()]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from kelpie.functions.stemming import stem, stemmed
 from kelpie.operators import search
-from kelpie.operators.textindex import TextIndex, terms_of
+from kelpie.operators.textindex import TextIndex, analysed, terms_of, unpacked
 
 #: Words and stems from the description of the algorithm.
 STEMS = """caresses caress ponies poni ties ti caress caress cats cat feed feed agreed agre plastered plaster bled bled motoring motor sing sing
@@ -73,7 +73,7 @@ def test_ranks_equal_counting_after_build_updates_and_compaction(spark, tmp_path
     for words in (["invoice", "exporting"], ["approval", "billing"]):
         assert found(index, words) == pytest.approx(plain_ranks(rows, words))
     # the new generation holds the dirty rows' postings alone, and nothing older is written anew
-    new = spark.read.parquet(f"{index.path}/postings/gen=1").filter("term is not null").select("id").distinct()
+    new = spark.read.parquet(f"{index.path}/postings/gen=1").filter("term is not null").select(F.explode("ids").alias("id")).distinct()
     assert {r["id"] for r in new.collect()} == {2, 100, 90}
 
     # the same ids again change nothing but the generation
@@ -126,3 +126,13 @@ def test_expansion_takes_stems_of_the_first_hits(spark, tmp_path):
     seen = [(r["id"], r["pass"]) for r in search.expanded(index, docs, "id", F.col("text"), ["billing"], [], 5).collect()]
     assert sorted(seen) == [(1, 0), (2, 1), (3, 1)]
     assert search.expanded(index, docs, "id", F.col("text"), ["nowhere"], [], 5).collect() == []
+
+
+def test_packed_postings_hold_each_place_once(spark):
+    want = {(k, t, tuple(p for p, x in enumerate(terms_of(text)) if x == t), len(terms_of(text))) for k, text in ROWS.items() if text for t in terms_of(text)}
+    for at_once in (1, 25, 1 << 19):
+        packed = analysed(frame_of(spark, ROWS).repartition(2), "id", F.col("text"), at_once)
+        got = [(r["id"], r["term"], tuple(r["places"]), r["n"]) for r in unpacked(packed.filter("term is not null")).collect()]
+        assert len(got) == len(want) and set(got) == want
+        rows = packed.filter("term is null").select(F.explode(F.arrays_zip("ids", "ns")).alias("x")).select("x.*").collect()
+        assert {r["ids"]: r["ns"] for r in rows} == {k: len(terms_of(t or "")) for k, t in ROWS.items()}
