@@ -140,14 +140,23 @@ def frontmatter(text: Column) -> Column:
 
 
 #: What narrations begin with.
-NARRATION = ("the user is", "the user was", "the user", "user is", "user was", "i am", "i'm", "i was")
+NARRATION = (
+    "the user was ", "the user is ", "the user appears to be ", "this screenshot shows ", "the screenshot shows ", "this image shows ",
+    "the image shows ", "a screenshot of ", "an image of ",
+)
+#: Words that make no keyword of a search.
+STOP_WORDS = ("a", "an", "and", "as", "at", "for", "from", "in", "into", "of", "on", "or", "the", "to", "with")
+GENERIC_TERMS = (
+    "application", "app", "browser", "click", "code", "content", "current", "currently", "desktop", "dialog", "display", "field", "file", "icon",
+    "image", "input", "interface", "menu", "modal", "open", "opened", "panel", "page", "screen", "screenshot", "section", "selected", "shows",
+    "showing", "sidebar", "tab", "text", "toolbar", "user", "using", "view", "visible", "website", "window", "show", "use", "work",
+)
 
 
 def without_narration(text: Column) -> Column:
-    """Without narrating beginnings, however many, and with a capital first letter."""
-    said = "|".join(re.escape(x) for x in sorted(NARRATION, key=len, reverse=True))
-    bare = F.trim(F.regexp_replace(F.trim(text), rf"(?i)^(?:(?:{said})\s+)+", ""))
-    return F.concat(F.upper(F.substring(bare, 1, 1)), F.substring(bare, 2, 1 << 30))
+    """Without narrating beginnings, however many, and with a capital first letter; the text itself if nothing else is in it."""
+    bare = F.regexp_replace(text, rf"(?i)\A(?:{'|'.join(NARRATION)})+", "")
+    return F.when(bare == "", text).otherwise(F.concat(F.upper(F.substring(bare, 1, 1)), F.substring(bare, 2, 1 << 30)))
 
 
 def clipped_join(prefix: str, text: Column, most: int = 12000) -> Column:

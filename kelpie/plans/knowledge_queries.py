@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from kelpie.functions import text as tx
 from kelpie.functions.stemming import stem
-from kelpie.operators import analytics, graph, merge, ontology, reduction, search, views
+from kelpie.operators import analytics, graph, merge, ontology, reduction, rounds, search, views
 from kelpie.operators.neighbours import VectorIndex
 from kelpie.operators.textindex import TextIndex
 from kelpie.plans.activity_queries import ACTIVITIES, QUERIES, SPANS, SQL, activities, query, table
@@ -233,13 +233,31 @@ def m26_index_in_step(spark, sf_dir):
 
 
 @query(r"""WITH k AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(strip_accents(lower(coalesce(text, ''))), '[^\p{L}\p{N}]+'), lambda x: length(x) > 1) AS a FROM documents),
-d AS (SELECT id, list_filter(a, lambda x, i: list_position(a, x) = i) AS a FROM k), f AS (SELECT id, a, list_filter(a, lambda x: x NOT IN ('the', 'and', 'of')) AS t FROM d)
-SELECT id, array_to_string(array_slice(CASE WHEN len(t) = 0 THEN a ELSE t END, 1, 12), ' ') AS keywords FROM f""")
+d AS (SELECT id, list_filter(a, lambda x, i: list_position(a, x) = i) AS a FROM k), f AS (SELECT id, a, list_filter(a, lambda x: x NOT IN (__WORDS__)) AS t FROM d)
+SELECT id, array_to_string(array_slice(CASE WHEN len(t) = 0 THEN a ELSE t END, 1, 12), ' ') AS keywords FROM f""".replace("__WORDS__", ", ".join(f"'{w}'" for w in (*tx.STOP_WORDS, *tx.GENERIC_TERMS))))
 def t6_keywords(spark, sf_dir):
-    words = tx.keywords(F.coalesce("text", F.lit("")), ["the", "and", "of"])
+    words = tx.keywords(F.coalesce("text", F.lit("")), [*tx.STOP_WORDS, *tx.GENERIC_TERMS])
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.array_join(words, " ").alias("keywords"))
 
 
+_SAID = "CASE doc_id % 4 WHEN 0 THEN 'The user is ' || left(coalesce(text, ''), 40) WHEN 1 THEN 'this screenshot shows THE USER WAS ' || left(coalesce(text, ''), 40) WHEN 2 THEN 'an image of ' ELSE left(coalesce(text, ''), 40) END"
+
+
+@query(f"""WITH s AS (SELECT doc_id, {_SAID} AS t FROM documents), b AS (SELECT doc_id, t, regexp_replace(t, '\\A({"|".join(tx.NARRATION)})+', '', 'i') AS b FROM s)
+SELECT doc_id, CASE WHEN b = '' THEN t ELSE upper(left(b, 1)) || substr(b, 2) END AS said FROM b""")
+def s6_without_narration(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", tx.without_narration(F.expr(_SAID)).alias("said"))
+
+
+@query()
+def d9_reduced_in_rounds(spark, sf_dir):
+    """All turns of each role, reduced to what fits a prompt of 400 tokens; a prompt's answer is its first and last words."""
+    turns = table(spark, sf_dir, "conversations").select(F.concat_ws("-", "role", (F.col("conv_id") % 50).cast("string")).alias("grp"), (F.col("conv_id") * 1000 + F.col("turn")).alias("place"), "text")
+    answer = lambda p: p.select("grp", "part", F.concat(F.substring("prompt", 1, 60), F.lit(" ... "), F.expr("right(prompt, 60)")).alias("response"))
+    prompts = rounds.Prompts("Everything said", "Sum it up.", "A part of what was said", "Be brief.")
+    return rounds.reduced(turns, prompts, answer, 400, 350).finals
+
+
 @query("""WITH e AS (SELECT l_suppkey AS id, l_discount * 10 AS t, NULL::DOUBLE AS v FROM lineitem WHERE l_quantity > 45 UNION ALL SELECT o_custkey, NULL, o_totalprice / 600000 FROM orders),
 b AS (SELECT id, coalesce(max(t), 0) AS t, coalesce(max(v), 0) AS v FROM e GROUP BY id)
 SELECT id, round(0.55::DOUBLE * v + 0.45::DOUBLE * t + CASE WHEN t > 0 AND v > 0 THEN 0.10::DOUBLE ELSE 0 END, 6) AS score FROM b""")

@@ -64,7 +64,10 @@ def test_text_functions(spark):
     rows = [("The user is I am reading", "a/b", "../c.md#x", "one two three", "one two four five"), ("the USER was on", "a", "./d", "ab", "ab cd"), ("plain", "a", "http://x.y/z", "", "new"), ("Ｗｉｄｅ Éä ß", "a/b/c", "../../e", "same", "same"), (None, "a", "#top", "abc", "xyz")]
     frame = spark.createDataFrame(rows, "t string, folder string, target string, old string, new string")
     got = frame.select(tx.without_narration(F.col("t")), tx.normalized_name(F.col("t")), tx.resolved_path(F.col("folder"), F.col("target")), tx.lookup_key(F.col("target")), tx.transcript_delta(F.col("old"), F.col("new"))).collect()
-    assert [r[0] for r in got[:3]] == ["Reading", "On", "Plain"]
+    assert [r[0] for r in got[:3]] == ["I am reading", "On", "Plain"]
+    said = [("The user manual lists",), ("this screenshot shows The user is typing",), ("an image of ",), ("THE USER APPEARS TO BE the user was asleep",), ("",), ("éa",)]
+    bare = [r[0] for r in spark.createDataFrame(said, "t string").select(tx.without_narration(F.col("t"))).collect()]
+    assert bare == ["The user manual lists", "Typing", "an image of ", "Asleep", "", "Éa"]
     assert got[3][1] == "wide ea ß"
     assert [r[2] for r in got] == ["a/c.md", "a/d", None, "a/e", None]
     assert [r[3] for r in got] == ["../c.md", "d", "http://x.y/z", "../../e", ""]
