@@ -174,8 +174,8 @@ def _settled(best: DataFrame, resolution: float, least: float) -> DataFrame:
     return chosen.withColumn("before", before[0] + before[1]).filter(F.col("gain") - resolution * F.col("size") * F.col("before") > least).select("id", "target")
 
 
-def _moves(nodes: DataFrame, both: DataFrame, resolution: float, least: float, small: bool) -> DataFrame:
-    """id and target of moves of nodes to the community of a neighbour, each node's best, that together raise the quality."""
+def _best_moves(nodes: DataFrame, both: DataFrame, resolution: float, least: float) -> DataFrame:
+    """Each node's best move (id, own, size, target, gain) to the community of a neighbour, where it gains by one."""
     total = nodes.groupBy("comm").agg(F.sum("size").alias("total"))
     own = nodes.hint("merge").join(total.withColumnRenamed("total", "own_total"), "comm")
     pull = _pulls(nodes, both, "comm").hint("merge").join(own, "id").hint("merge").join(total.withColumnRenamed("comm", "target"), "target")
@@ -183,7 +183,15 @@ def _moves(nodes: DataFrame, both: DataFrame, resolution: float, least: float, s
     gain = F.col("w") - within - resolution * F.col("size") * (F.col("total") - F.col("own_total") + F.col("size"))
     better = pull.withColumn("gain", gain).filter((F.col("target") != F.col("comm")) & (F.col("gain") > least))
     best = better.groupBy("id", "comm", "size").agg(F.max_by("target", F.struct("gain", -F.col("target"))).alias("target"), F.max("gain").alias("gain"))
-    return _settled(_kept(best.withColumnRenamed("comm", "own"), small), resolution, least)
+    return best.withColumnRenamed("comm", "own")
+
+
+def _quality(nodes: DataFrame, both: DataFrame, resolution: float) -> float:
+    """The weight within communities less the resolution times the pairs of sizes in them, the sizes' own squares included."""
+    ends = both.hint("merge").join(nodes.select("id", "comm"), "id").hint("merge").join(nodes.select(F.col("id").alias("other"), F.col("comm").alias("far")), "other")
+    within = ends.filter("comm = far").agg((F.coalesce(F.sum("weight"), F.lit(0.0)) / 2).alias("v"))
+    pairs = nodes.groupBy("comm").agg(F.sum("size").cast("double").alias("total")).agg((F.coalesce(F.sum(F.col("total") * F.col("total")), F.lit(0.0)) * (-resolution / 2)).alias("v"))
+    return sum(r["v"] for r in within.union(pairs).collect())
 
 
 def _drawn(candidates: DataFrame, theta: float) -> DataFrame:
@@ -227,14 +235,27 @@ def _refined(nodes: DataFrame, both: DataFrame, resolution: float, theta: float,
 
 
 def _all_moved(nodes: DataFrame, both: DataFrame, resolution: float, least: float, small: bool) -> tuple[DataFrame, bool]:
-    """The nodes after rounds of moves, until none gains, and whether any moved."""
-    any_moved = False
+    """The nodes after rounds of moves, until none gains, and whether any moved.
+
+    Of the nodes that gain a share by hash moves at once. Moves at once may hinder each other, so such a round counts only if the quality
+    rose; else the share is halved, and below an eighth those moves are made that can't hinder each other."""
+    any_moved, share, turn, before = False, 2, 0, None
     while True:
-        moves = _moves(nodes, both, resolution, least, small)
-        changed = _kept(nodes.hint("merge").join(moves, "id", "left").select("id", "size", F.coalesce("target", "comm").alias("comm"), F.col("target").isNotNull().alias("moved")), small)
-        if changed.filter("moved").isEmpty():
+        best = _kept(_best_moves(nodes, both, resolution, least), small)
+        if best.isEmpty():
             return nodes, any_moved
-        nodes, any_moved = changed.drop("moved"), True
+        before = _quality(nodes, both, resolution) if before is None else before
+        while True:
+            turn += 1
+            bold = share <= 8
+            moves = best.filter(F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(share)) == 0).select("id", "target") if bold else _settled(best, resolution, least)
+            changed = _kept(nodes.hint("merge").join(moves, "id", "left").select("id", "size", F.coalesce("target", "comm").alias("comm")), small)
+            after = _quality(changed, both, resolution)
+            if not bold or after > before + least:
+                share = 4 if not bold else max(share // 2, 2)
+                break
+            share *= 2
+        nodes, any_moved, before = changed, True, after
 
 
 def communities(edges: DataFrame, resolution: float = 0.05, theta: float = 0.01, least: float = 1e-7, most_levels: int = 64) -> DataFrame:
