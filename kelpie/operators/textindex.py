@@ -51,9 +51,9 @@ def _packed(ids: list[int], ns: list[int], codes: list[np.ndarray], words: list[
     """The postings of some rows by term, and a row without a term that has all of these rows."""
     key, size = np.array(ids, np.int64), np.array(ns, np.int32)
     stems, of = np.unique(np.array([stem(w.decode(errors="replace")) for w in words], object), return_inverse=True)
-    term = of[np.concatenate(codes)] if len(words) else np.zeros(0, np.int64)
-    row = np.repeat(np.arange(len(ns)), size)
-    place = np.arange(len(term)) - np.repeat(np.cumsum(size) - size, size)
+    term = of.astype(np.int32)[np.concatenate(codes)] if len(words) else np.zeros(0, np.int32)
+    row = np.repeat(np.arange(len(ns), dtype=np.int32), size)
+    place = np.arange(len(term), dtype=np.int32) - np.repeat((np.cumsum(size) - size).astype(np.int32), size)
     order = np.argsort(term, kind="stable")
     term, row, place = term[order], row[order], place[order]
     new_term = np.flatnonzero(np.diff(term, prepend=-1))
@@ -71,7 +71,7 @@ def _packed(ids: list[int], ns: list[int], codes: list[np.ndarray], words: list[
     return pa.RecordBatch.from_arrays(columns, ["term", "ids", "ns", "ends", "places"])
 
 
-def analysed(docs: DataFrame, id_col: str, text: Column, at_once: int = 1 << 19) -> DataFrame:
+def analysed(docs: DataFrame, id_col: str, text: Column, at_once: int = 1 << 21) -> DataFrame:
     """Packed postings of the rows, those of so many words at once, where the rows were read: no row a posting is shuffled."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,7 +79,7 @@ def analysed(docs: DataFrame, id_col: str, text: Column, at_once: int = 1 << 19)
         for batch in batches:
             for k in range(batch.num_rows):
                 found = _TERM.findall(batch.column(1)[k].as_py().lower())
-                codes.append(np.array([seen[w] for w in found], np.int64))
+                codes.append(np.array([seen[w] for w in found], np.int32))
                 ids.append(batch.column(0)[k].as_py())
                 ns.append(len(found))
                 total += len(found)
