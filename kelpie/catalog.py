@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kelpie.plans import knowledge_queries, merge_queries, record_queries, search_queries, selection_queries, stream_queries, view_queries  # noqa: F401  the modules share one list
+from kelpie.plans import knowledge_queries, merge_queries, note_queries, record_queries, search_queries, selection_queries, stream_queries, view_queries  # noqa: F401  the modules share one list
 
 FLAGSHIP = "a1_time_per_tag_day"
 
