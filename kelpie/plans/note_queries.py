@@ -1,11 +1,11 @@
-"""Documents as markdown notes: a note a document with front matter, a heading for each line but the first, and a link to the next."""
+"""Documents as markdown notes (with front matter, a heading for each line but the first, and a link to the next) and as printed lines."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from kelpie.plans.activity_queries import QUERIES, SQL, query, table
-from kelpie.sources import vault
+from kelpie.sources import layout, vault
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -65,3 +65,36 @@ def s16_note_links(spark, sf_dir):
 '{"aliases":["d' || doc_id || '","' || source || '"],"title":["Document ' || doc_id || '"]}' AS metadata FROM d""")
 def io6_note_files(spark, sf_dir):
     return _notes(spark, sf_dir).files().withColumn("aliases", F.array_join("aliases", "|"))
+
+
+_STRIP = r"regexp_replace({}, '^[\s\x0b]+|[\s\x0b]+$', '', 'g')"
+_BLOCKS = rf"""WITH l AS (SELECT doc_id, unnest(x) AS raw, unnest(range(len(x))) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)),
+t AS (SELECT doc_id, pos, v, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n, coalesce(sum(length(v) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - 1 AS before FROM (SELECT doc_id, pos, {_STRIP.format('raw')} AS v FROM l) WHERE v <> ''),
+z AS (SELECT *, max(CAST(n > 4 OR before > 140 OR regexp_matches(v, '[@†]|^[0-9*]') OR lower(v) = 'abstract' OR n > 1 AND regexp_matches(v, '(?:^|[^0-9A-Za-z_])[0-9]+(?:$|[^0-9A-Za-z_])') AS INT)) OVER (PARTITION BY doc_id ORDER BY n) AS past FROM t),
+k AS (SELECT *, CASE WHEN past = 0 THEN 'title' WHEN lower(v) = 'abstract' OR regexp_matches(v, '^[0-9]+(?:\.[0-9]+)*\s+[A-Z]') OR length(v) < 80 AND len(string_split_regex(v, '[\s\x0b]+')) <= 8 AND right(v, 1) NOT IN ('.', ',', ';') AND v NOT LIKE '%@%' THEN 'heading' ELSE 'paragraph' END AS kind FROM z),
+o AS (SELECT *, sum(CASE WHEN kind = 'title' OR kind = 'paragraph' AND before_kind = 'paragraph' THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY n) AS block FROM (SELECT *, lag(kind) OVER (PARTITION BY doc_id ORDER BY n) AS before_kind, lead(kind) OVER (PARTITION BY doc_id ORDER BY n) AS next_kind FROM k)),
+b AS (SELECT doc_id, CAST(block AS BIGINT) AS block, kind, {_STRIP.format("string_agg(CASE WHEN kind = 'paragraph' AND next_kind = 'paragraph' AND right(v, 1) = '-' THEN left(v, -1) ELSE v || ' ' END, '' ORDER BY n)")} AS text FROM o GROUP BY doc_id, block, kind)
+"""  # noqa: E501
+
+
+def _blocks(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    return layout.blocks(d, "doc_id", "at", "line")
+
+
+@query(_BLOCKS + "SELECT * FROM b")
+def io13_blocks(spark, sf_dir):
+    return _blocks(spark, sf_dir)
+
+
+@query(_BLOCKS + "SELECT doc_id, string_agg(CASE kind WHEN 'title' THEN '# ' WHEN 'heading' THEN '## ' ELSE '' END || text, chr(10) || chr(10) ORDER BY block) AS markdown FROM b GROUP BY doc_id")
+def io13_markdown(spark, sf_dir):
+    return layout.markdown(_blocks(spark, sf_dir), "doc_id")
+
+
+@query(r"""WITH f AS (SELECT conv_id, turn, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t, coalesce(sum(CAST(role = 'assistant' AS INT)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS l FROM conversations),
+g AS (SELECT conv_id, l, trim(string_agg(CASE WHEN regexp_matches(t, '^[),.:;?]') THEN t ELSE ' ' || t END, '' ORDER BY turn)) AS text FROM f WHERE t <> '' GROUP BY conv_id, l)
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY l) - 1 AS line, text FROM g""")
+def io13_lines(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations")
+    return layout.lines(turns, "conv_id", ["turn"], "text", F.col("role") == "assistant")
