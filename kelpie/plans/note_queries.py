@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kelpie.plans.activity_queries import QUERIES, SQL, query, table
-from kelpie.sources import layout, vault
+from kelpie.sources import articles, layout, vault
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -98,3 +98,13 @@ SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY l) - 1 AS line,
 def io13_lines(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations")
     return layout.lines(turns, "conv_id", ["turn"], "text", F.col("role") == "assistant")
+
+
+@query()
+def s22_content_scores(spark, sf_dir):
+    return articles.content_scores(table(spark, sf_dir, "pages"), "page_id", F.col("html")).withColumnRenamed("id", "page_id")
+
+
+@query()
+def s25_articles(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", articles.article(F.col("html"), F.col("url")).alias("markdown"))
