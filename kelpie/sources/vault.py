@@ -135,7 +135,7 @@ class Vault:
         marked = marked.select("path", "section", F.lit("markdown").alias("type"), F.regexp_extract("raw", LINK, 1).alias("text"), F.regexp_extract("raw", LINK, 2).alias("to"))
         own = F.when(~F.col("to").rlike(OUTSIDE), F.coalesce(F.when(F.col("to").startswith("#"), F.col("path")), F.nullif(tx.resolved_path(F.regexp_replace("path", r"/?[^/]*$", ""), F.col("to")), F.lit(""))))
         hint = F.when(~F.col("to").rlike(OUTSIDE), F.nullif(F.regexp_extract("to", r"(?s)^[^#]*#(.*)\z", 1), F.lit("")))
-        found = wiki.unionByName(marked).select("path", "section", "type", "text", own.alias("to_path"), hint.alias("to_anchor")).distinct()
+        found = wiki.unionByName(marked).distinct().select("path", "section", "type", "text", own.alias("to_path"), hint.alias("to_anchor"))
         owned = found.join(self.keys().drop("heading"), ["path", "section"], "left")
         return owned.select("path", F.coalesce("key", F.lit("document")).alias("key"), "type", "text", "to_path", "to_anchor").distinct()
 
@@ -153,16 +153,17 @@ class Vault:
             F.sha2("content", 256).alias("checksum"), F.octet_length("content").cast("long").alias("length"), kind.alias("metadata"),
         )
 
-    def targets(self) -> DataFrame:
-        """to_path and to_file of all that links lead to: the file of that path, alias, name or title, then of the last part's name, then
+    def targets(self, links: DataFrame) -> DataFrame:
+        """to_path and to_file of all that these links lead to: the file of that path, alias, name or title, then of the last part's name, then
         with .md or .markdown added. Of several files with a key the one with the smallest path counts; null if there is none."""
         names = self.files().select("path", F.explode(F.array_union("aliases", F.array("path", "title"))).alias("name"))
         known = names.groupBy(sought_key(F.col("name")).alias("sought")).agg(F.min("path").alias("to_file"))
-        wanted = self.links().select("to_path").filter("to_path is not null").distinct()
+        wanted = links.select("to_path").filter("to_path is not null").distinct()
         key = sought_key(F.col("to_path"))
         tried = wanted.select("to_path", F.posexplode(F.array(key, sought_key(stem(F.col("to_path"))), F.concat(key, F.lit(".md")), F.concat(key, F.lit(".markdown")))).alias("nth", "sought"))
         return tried.join(known, "sought", "left").groupBy("to_path").agg(F.min_by("to_file", F.when(F.col("to_file").isNotNull(), F.col("nth"))).alias("to_file"))
 
     def resolved_links(self) -> DataFrame:
-        """The links with to_file; those that lead to no known file have none."""
-        return self.links().join(self.targets(), "to_path", "left")
+        """The links, written once, with to_file; those that lead to no known file have none."""
+        links = cut(self.links())
+        return links.join(self.targets(links), "to_path", "left")
