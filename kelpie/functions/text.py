@@ -153,10 +153,22 @@ GENERIC_TERMS = (
 )
 
 
+#: Letters whose upper case is several letters, and the single letter that stands for it: ß's own, a title letter, or else the letter itself.
+_EXPANDING = [c for c in map(chr, (*range(1, 0xD800), *range(0xE000, 0x110000))) if len(c.upper()) > 1]
+_SINGLE = ["ẞ" if c == "ß" else c.title() if len(c.title()) == 1 else c for c in _EXPANDING]
+
+
+def upper_letter(letter: Column) -> Column:
+    """The upper case of one letter as one letter."""
+    upper = F.upper(letter)
+    return F.when(F.length(upper) > 1, F.translate(letter, "".join(_EXPANDING), "".join(_SINGLE))).otherwise(upper)
+
+
 def without_narration(text: Column) -> Column:
     """Without narrating beginnings, however many, and with a capital first letter; the text itself if nothing else is in it."""
-    bare = F.regexp_replace(text, rf"(?i)\A(?:{'|'.join(NARRATION)})+", "")
-    return F.when(bare == "", text).otherwise(F.concat(F.upper(F.substring(bare, 1, 1)), F.substring(bare, 2, 1 << 30)))
+    told = "|".join(NARRATION).replace("s", "[sſ]")  # a long s is an s in any case
+    bare = F.regexp_replace(text, rf"(?i)\A(?:{told})+", "")
+    return F.when(bare == "", text).otherwise(F.concat(upper_letter(F.substring(bare, 1, 1)), F.substring(bare, 2, 1 << 30)))
 
 
 def clipped_join(prefix: str, text: Column, most: int = 12000) -> Column:

@@ -2,6 +2,7 @@
 
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -97,3 +98,13 @@ def test_bindings_are_numbered_on(spark):
     wanted = spark.createDataFrame([("d2", 1), ("d1", 3), ("d1", 1)], "day string, tag long")
     got = {(r["day"], r["tag"]): r["overview_id"] for r in merge.ensured_bindings(old, wanted, wanted).collect()}
     assert got == {("d1", 1): 5, ("d1", 3): 7, ("d2", 1): 8}
+
+
+def test_first_letters_as_the_sql_has_them(spark):
+    """Every letter with an upper case of its own or of several letters, against DuckDB."""
+    letters = [chr(i) for i in (*range(32, 0xD800), *range(0xE000, 0x1F000)) if chr(i).upper() != chr(i)]
+    want = dict(duckdb.sql(f"SELECT c, upper(c) FROM (SELECT unnest([{', '.join(f'{chr(39)}{c}{chr(39)}' for c in letters)}]) AS c)").fetchall())
+    frame = spark.createDataFrame([(c,) for c in letters], "c string")
+    said = {r["c"]: r["t"] for r in frame.select("c", tx.without_narration(F.concat(F.lit("The uſer is "), "c", F.lit("x"))).alias("t")).collect()}
+    assert said == {c: f"{u}x" for c, u in want.items()}
+    assert said["ß"] == "ẞx"
