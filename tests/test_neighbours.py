@@ -82,3 +82,25 @@ def test_exact_neighbours_of_mixed_lengths(spark):
     vectors = np.random.default_rng(6).normal(size=(30, 8))
     frame = frame_of(spark, vectors, STRANGE)
     assert {(r["id"], r["other"]) for r in graph.nearest_of_all(frame, "i", "v", 3).collect()} == plain(vectors, 3)
+
+
+def test_one_vector_finds_exactly_its_nearest_whatever_lists_are_probed(spark, tmp_path):
+    """A sample's probes don't hold all neighbours; other lists are opened as long as they may hold a nearer one."""
+    vectors = np.random.default_rng(8).normal(size=(400, 8))
+    index = VectorIndex(spark, str(tmp_path / "x")).build(frame_of(spark, vectors), "i", "v", 5, per_list=20, cover=0.01)
+    want, (learned, probes) = plain(vectors, 5), index.learned()
+    assert probes < len(learned) == 20
+    for one in (3, 77, 200):
+        found = index.nearest_to(vectors[one].tolist(), 5, F.col("id") == one).collect()
+        assert {(one, r["other"]) for r in found} == {(a, b) for a, b in want if a == one}
+    asked = spark.createDataFrame([(i, (2 * vectors[i]).tolist()) for i in range(0, 400, 7)], "id long, v array<double>")
+    assert {(r["id"], r["other"]) for r in index.nearest_of(asked, 5).collect()} == {(a, b) for a, b in want if a % 7 == 0}
+
+
+def test_groups_and_slices_give_the_same_neighbours(spark):
+    vectors = np.random.default_rng(9).normal(size=(130, 8))
+    vectors[40:60] = vectors[3]
+    for block in (130, 6):
+        found = graph.nearest_of_all(frame_of(spark, vectors), "i", "v", 4, block).collect()
+        assert {(r["id"], r["other"]) for r in found} == plain(vectors, 4)
+        assert sorted(r["place"] for r in found if r["id"] == 50) == [1, 2, 3, 4]
