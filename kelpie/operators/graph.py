@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from decimal import Decimal
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,16 +88,40 @@ def nearest_of_all(vectors: DataFrame, id_col: str, vec_col: str, k: int, block:
 
 
 def similarity_edges(near: DataFrame, vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """Edges between all of a row and its neighbours (id, other: a bounded number for each id), weighed by similarity, none below 0."""
-    from kelpie.functions.vectors import distance
-
-    groups = near.groupBy("id").agg(F.collect_list("other").alias("others")).select(F.array_append("others", F.col("id")).alias("g"))
-    one = groups.select("g", F.explode("g").alias("first_id"))
-    pairs = one.select("first_id", F.explode("g").alias("second_id")).filter("first_id < second_id").distinct()
-    a = vectors.select(F.col(id_col).alias("first_id"), F.col(vec_col).alias("x"))
-    b = vectors.select(F.col(id_col).alias("second_id"), F.col(vec_col).alias("y"))
-    weight = F.greatest(F.lit(0.0), 1 - distance(F.col("x"), F.col("y"), "cosine"))
-    return pairs.join(a, "first_id").join(b, "second_id").select("first_id", "second_id", weight.alias("weight"))
+    """Edges between all of a row and its neighbours (id, other: a bounded number for each id), weighed by similarity, none below 0.
+
+    A row's vector goes to the groups it is in, where a group's products are made at once; pairs meet again by their first id, to which a
+    group sends its other ids and weights in one row."""
+    kind = near.schema["id"].dataType.simpleString()
+
+    def as_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in batches:
+            unit = [None if v is None else _unit_or_zero(v) for v in some.column("v").to_pylist()]
+            yield pa.RecordBatch.from_arrays([some.column("other"), pa.array([None if u is None else u.tobytes() for u in unit], pa.binary())], names=["other", "v"])
+
+    def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for some in batches:
+            for size, alike in some.groupby(some.g.map(len)):
+                if size < 2:
+                    continue
+                ids = np.array([[m["other"] for m in g] for g in alike.g])
+                x = np.frombuffer(b"".join(m["v"] for g in alike.g for m in g)).reshape(len(ids), size, -1)
+                weight = np.maximum(np.minimum(x @ x.transpose(0, 2, 1), 1.0), 0.0)
+                for at in range(size - 1):
+                    yield pd.DataFrame({"first_id": ids[:, at], "others": list(ids[:, at + 1 :]), "weights": list(weight[:, at, at + 1 :])})
+
+    members = near.select("id", "other").union(near.select("id", F.col("id").alias("other")).distinct())
+    named = vectors.select(F.col(id_col).cast(kind).alias("other"), F.col(vec_col).cast("array<double>").alias("v")).filter("other is not null and v is not null").mapInArrow(as_bytes, f"other {kind}, v binary")
+    groups = members.join(named, "other").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("other", "v"))).alias("g")).select("g")
+    sent = groups.mapInPandas(multiply, f"first_id {kind}, others array<{kind}>, weights array<double>").repartition("first_id")
+    each = sent.select("first_id", F.explode(F.arrays_zip("others", "weights")).alias("e")).select("first_id", F.col("e.others").alias("second_id"), F.col("e.weights").alias("weight"))
+    return each.groupBy("first_id", "second_id").agg(F.max("weight").alias("weight"))
+
+
+def _unit_or_zero(vector: list[float]) -> np.ndarray:
+    x = np.array(vector, float)
+    length = np.linalg.norm(x)
+    return x / length if length > 0 else x
 
 
 def matched(pairs: DataFrame, floor: float) -> DataFrame:

@@ -84,3 +84,19 @@ def test_any_split_into_batches_and_replays_give_the_batch_result(spark, tmp_pat
         again = online.state(spark, f"{path}/results", "id", schema)
         assert {r["id"]: (r["cluster"], r["by"]) for r in again.collect()} == whole
     assert online.state(spark, f"{tmp_path}/nowhere", "id", schema).collect() == []
+
+
+def test_edges_of_groups_send_no_vector_for_each_pair(spark):
+    """Vectors go to groups, so that the plan joins them once, and weights are those of the plain cosines."""
+    frame = vectors_of(spark, made(30))
+    near = graph.nearest_of_all(frame, "id", "vector", 3)
+    edges = graph.similarity_edges(near, frame, "id", "vector")
+    unit = {i: v / np.linalg.norm(v) for i, v in made(30)}
+    group = {}
+    for r in near.collect():
+        group.setdefault(r["id"], {r["id"]}).add(r["other"])
+    want = {(a, b): max(0.0, float(unit[a] @ unit[b])) for g in group.values() for a in g for b in g if a < b}
+    got = {(r["first_id"], r["second_id"]): r["weight"] for r in edges.collect()}
+    assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-9
+    plan = edges._jdf.queryExecution().executedPlan().toString()
+    assert sum(plan.count(f"{join} ") for join in ("SortMergeJoin", "BroadcastHashJoin", "ShuffledHashJoin")) <= 2  # shown once or twice
