@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -225,15 +226,19 @@ class TextIndex:
         return each.withColumn("part", part).groupBy("id").agg((-F.sum("part")).alias("rank"))
 
     def phrases(self, phrases: list[str]) -> DataFrame:
-        """id and number of the phrases that a row holds as consecutive stems, rows with none left out. Of a phrase, the places of
-        each word less its place in the phrase meet by row."""
+        """id and number of the phrases that a row holds as consecutive stems, rows with none left out. A row's postings of the
+        words meet as they are, and of a phrase the places of each word less its place in the phrase are intersected."""
         asked = [p for p in (terms_of(x) for x in phrases) if p]
         if not asked:
             return self.spark.createDataFrame([], "id long, phrases int")
-        words = self.spark.createDataFrame([(number, at, term, len(p)) for number, p in enumerate(asked) for at, term in enumerate(p)], "phrase int, at int, term string, size int")
-        met = self.postings(sorted({t for p in asked for t in p})).join(F.broadcast(words), "term")  # a row a word of a phrase
-        begins = met.select("id", "phrase", "size", F.explode("places").alias("place"), "at").groupBy("id", "phrase", "size", F.col("place") - F.col("at")).agg(F.count("*").alias("k"))
-        return begins.filter("k = size").select("id", "phrase").distinct().groupBy("id").agg(F.count("*").cast("int").alias("phrases"))
+        met = self.postings(sorted({t for p in asked for t in p})).groupBy("id").agg(F.collect_list(F.struct("term", "places")).alias("held"))  # a row's posting of each word
+        places = lambda term: F.flatten(F.transform(F.filter("held", lambda x: x["term"] == term), lambda x: x["places"]))
+
+        def held(phrase: list[str]) -> Column:
+            begins = [F.transform(places(t), lambda p: p - k) for k, t in enumerate(phrase)]
+            return (F.size(reduce(F.array_intersect, begins)) > 0).cast("int")
+
+        return met.select("id", sum((held(p) for p in asked), F.lit(0)).cast("int").alias("phrases")).filter("phrases > 0")
 
     def commonest(self, docs: DataFrame, id_col: str, text: Column, left_out: list[str], most: int = 5, longer: int = 3) -> list[str]:
         """The commonest stems of a few rows that are longer than `longer` and not among the stems of the words left out."""

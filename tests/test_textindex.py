@@ -136,3 +136,11 @@ def test_packed_postings_hold_each_place_once(spark):
         assert len(got) == len(want) and set(got) == want
         rows = packed.filter("term is null").select(F.explode(F.arrays_zip("ids", "ns")).alias("x")).select("x.*").collect()
         assert {r["ids"]: r["ns"] for r in rows} == {k: len(terms_of(t or "")) for k, t in ROWS.items()}
+
+
+def test_phrases_send_postings_and_not_places(spark, tmp_path):
+    """What is shuffled is a row a posting, not a row a place."""
+    index = TextIndex(spark, str(tmp_path / "x")).build(spark.createDataFrame([(1, "of the " * 50), (2, "the of")], "id long, text string"), "id", F.col("text"))
+    found = index.phrases(["of the", "the of", "the the"])
+    assert {r["id"]: r["phrases"] for r in found.collect()} == {1: 2, 2: 1}
+    assert found._jdf.queryExecution().executedPlan().toString().lower().count("explode(places") == 0
