@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from kelpie.functions import text as tx
 from kelpie.functions import vectors as vx
 from kelpie.operators import merge, search
-from kelpie.sources import files, html
+from kelpie.sources import articles, files, html
 from kelpie.streaming import ingest
 
 
@@ -108,3 +108,13 @@ def test_first_letters_as_the_sql_has_them(spark):
     said = {r["c"]: r["t"] for r in frame.select("c", tx.without_narration(F.concat(F.lit("The uſer is "), "c", F.lit("x"))).alias("t")).collect()}
     assert said == {c: f"{u}x" for c, u in want.items()}
     assert said["ß"] == "ẞx"
+
+
+def test_pages_go_to_python_some_at_a_time(spark):
+    """Not in batches of thousands, in which a worker's memory would grow with its rows."""
+    frame = spark.createDataFrame([(f"<article><p>{i}</p></article>", "http://a.b") for i in range(250)], "h string, u string").coalesce(1)
+    for made in (html.markdown(F.col("h")), articles.article(F.col("h"), F.col("u"))):
+        some = frame.select(made.alias("m"))
+        assert sorted(int(r["m"]) for r in some.collect()) == list(range(250))
+        plan = some._jdf.queryExecution().executedPlan().toString()
+        assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
