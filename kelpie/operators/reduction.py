@@ -63,13 +63,43 @@ def principal_axes(vectors: DataFrame, dims: int) -> tuple[np.ndarray, np.ndarra
 def pair_sums(y: np.ndarray, z: np.ndarray, p: np.ndarray, same: bool, total: float, least: float = LEAST) -> tuple[np.ndarray, np.ndarray, float, float]:
     """Of points y against z with affinities p: for each of y the sums over z of G N^2 (y - z) and N^2 (y - z), and over all pairs the sum
     of G N and the loss. N is the kernel, G the loss's slope by the share N / total."""
-    kernel = _kernel(y, z, same, least)
-    p, q = p + least, np.clip(kernel / total + least, least, 1 - least)
-    slope = np.where(kernel > 0, -p / q + (1 - p) / (1 - q + least), 0.0)
-    loss = -(p * np.log(q) + (1 - p) * np.log(1 - q + least)).sum()
-    square = kernel * kernel
-    pull = slope * square
-    return (y * pull.sum(1)[:, None] - pull @ z), (y * square.sum(1)[:, None] - square @ z), float((slope * kernel).sum()), float(loss)
+    i, j = np.nonzero(p)
+    mine, _, share, loss = both_sums(y, z, i, j, p[i, j], same, total, least)
+    return mine[:, : y.shape[1]], mine[:, y.shape[1] :], share, loss
+
+
+def both_sums(y: np.ndarray, z: np.ndarray, i: np.ndarray, j: np.ndarray, a: np.ndarray, same: bool, total: float, least: float = LEAST, step: int = 128) -> tuple[np.ndarray, np.ndarray, float, float]:
+    """The sums of `pair_sums` for each of y, and for each of z against y, side by side. Affinities a of the pairs (i, j), each once, are added
+    to what pairs without any give. Some points of y are looked at at once, so that their products stay in the processor's cache."""
+    d = y.shape[1]
+    order = np.argsort(i, kind="stable")
+    i, j, a = i[order], j[order], a[order]
+    mine, theirs, share, loss = np.zeros((len(y), 2 * d)), np.zeros((len(z), 2 * d)), 0.0, 0.0
+    for at in range(0, len(y), step):
+        some = y[at : at + step]
+        kernel = _kernel(some, z, False, least)
+        own = (np.arange(len(some)), np.arange(at, at + len(some)))
+        if same:
+            kernel[own] = 0
+        q = kernel / total
+        q += least
+        np.clip(q, least, 1 - least, out=q)
+        rest = 1 + least - q
+        slope = (1 - least) / rest - least / q
+        loss -= least * np.log(q).sum() + (1 - least) * np.log(rest).sum()
+        of = slice(*np.searchsorted(i, [at, at + len(some)]))
+        pair, more = (i[of] - at, j[of]), a[of]
+        slope[pair] -= more * (1 / q[pair] + 1 / rest[pair])
+        loss -= (more * (np.log(q[pair]) - np.log(rest[pair]))).sum()
+        if same:
+            slope[own] = 0
+        share += np.vdot(slope, kernel)
+        square = kernel * kernel
+        for k, force in enumerate((slope * square, square)):
+            side = slice(k * d, (k + 1) * d)
+            mine[at : at + step, side] = some * force.sum(1)[:, None] - force @ z
+            theirs[:, side] += z * force.sum(0)[:, None] - force.T @ some
+    return mine, theirs, float(share), float(loss)
 
 
 def _kernel(y: np.ndarray, z: np.ndarray, same: bool, least: float) -> np.ndarray:
@@ -98,24 +128,25 @@ def _packed(points: DataFrame) -> DataFrame:
 
 
 def _rounds(points: DataFrame, pairs: DataFrame, dims: int, rounds: int, rate: float, patience: int) -> tuple[DataFrame, list[float]]:
-    """Points after the rounds, and the losses; pairs (one, two, i, j, p) are packed edges between blocks, all pairs of blocks being there."""
-    sums = ", ".join(f"{name}{k} double" for name in "ab" for k in range(dims))
+    """Points after the rounds, and the losses; pairs (one, two, i, j, p) are packed edges between blocks, each two blocks being there once, and
+    each block with itself. Affinities and kernel are symmetric, so that two blocks' sums are made at once for both."""
+    names = [f"{n}{k}" for n in "ab" for k in range(dims)]
+    sums = ", ".join(f"{name} double" for name in names)
 
     def kernels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for some in batches:
-            found = [_kernel(y, z, one == two, LEAST).sum() for y, z, one, two in zip(_stacked(some.y), _stacked(some.z), some.one, some.two, strict=True)]
+            found = [_kernel(y, z, one == two, LEAST).sum() * (1 if one == two else 2) for y, z, one, two in zip(_stacked(some.y), _stacked(some.z), some.one, some.two, strict=True)]
             yield pd.DataFrame({"total": found})
 
     def slopes(total: float):  # noqa: ANN202
         def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for some in batches:
                 for row, y, z in zip(some.itertuples(), _stacked(some.y), _stacked(some.z), strict=True):
-                    p = np.zeros((len(y), len(z)))
-                    p[np.asarray(row.i, int), np.asarray(row.j, int)] = row.p
-                    pull, push, share, loss = pair_sums(y, z, p, row.one == row.two, total)
-                    found = pd.DataFrame(np.hstack([pull, push]), columns=[f"{n}{k}" for n in "ab" for k in range(dims)])
-                    one_row = np.arange(len(y)) == 0
-                    yield found.assign(id=np.asarray(row.ids), share=np.where(one_row, share, 0.0), loss=np.where(one_row, loss, 0.0))
+                    same = row.one == row.two
+                    mine, theirs, share, loss = both_sums(y, z, np.asarray(row.i, int), np.asarray(row.j, int), np.asarray(row.p, float), same, total)
+                    for ids, found in ((row.ids, mine),) if same else ((row.ids, mine), (row.others, theirs)):
+                        one_row = np.arange(len(found)) == 0
+                        yield pd.DataFrame(found, columns=names).assign(id=np.asarray(ids), share=np.where(one_row, share, 0.0), loss=np.where(one_row, loss, 0.0))
 
         return look
 
@@ -124,10 +155,9 @@ def _rounds(points: DataFrame, pairs: DataFrame, dims: int, rounds: int, rate: f
         packed = _packed(points)
         y = F.transform("points", lambda x: x["y"])
         left = packed.select(F.col("block").alias("one"), y.alias("y"), F.transform("points", lambda x: x["id"]).alias("ids"))
-        met = pairs.join(left, "one").join(packed.select(F.col("block").alias("two"), y.alias("z")), "two")
+        met = pairs.join(left, "one").join(packed.select(F.col("block").alias("two"), y.alias("z"), F.transform("points", lambda x: x["id"]).alias("others")), "two")
         total = max(met.select("one", "two", "y", "z").mapInPandas(kernels, "total double").agg(F.sum("total")).first()[0], LEAST)
         by_pair = met.mapInPandas(slopes(total), f"{sums}, id long, share double, loss double")
-        names = [f"{n}{k}" for n in "ab" for k in range(dims)]
         each = cut(by_pair.groupBy("id").agg(*(F.sum(c).alias(c) for c in (*names, "share", "loss"))))
         share, loss = each.agg(F.sum("share"), F.sum("loss")).first()
         losses.append(loss)
@@ -164,9 +194,9 @@ def fitted(vectors: DataFrame, near: DataFrame, id_col: str, vec_col: str, dims:
     edges = affinities(near)
     at = lambda side, name: points.select(F.col("id").alias(side), F.col("block").alias(name), F.col("at").alias(f"{side}_at"))
     placed = edges.join(at("i", "one"), "i").join(at("j", "two"), "j")
-    listed = placed.groupBy("one", "two").agg(F.collect_list(F.struct("i_at", "j_at", "p")).alias("e"))  # a point has few neighbours
+    listed = placed.filter("one <= two").groupBy("one", "two").agg(F.collect_list(F.struct("i_at", "j_at", "p")).alias("e"))  # a point has few neighbours
     numbers = points.sparkSession.range(blocks).select(F.col("id").cast("int").alias("one"))
-    every = numbers.select("one", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("two")).join(listed, ["one", "two"], "left")
+    every = numbers.select("one", F.explode(F.sequence("one", F.lit(blocks - 1))).alias("two")).join(listed, ["one", "two"], "left")
     part = lambda name: F.coalesce(F.transform("e", lambda x: x[name]), F.array())
     pairs = cut(every.select("one", "two", part("i_at").cast("array<int>").alias("i"), part("j_at").cast("array<int>").alias("j"), part("p").cast("array<double>").alias("p")).repartition("one", "two"))
     points, losses = _rounds(points, pairs, dims, rounds, rate, patience)

@@ -101,3 +101,21 @@ def test_few_vectors_and_early_stop(spark):
     fit = reduction.fitted(same, graph.nearest_of_all(same, "i", "v", 3), "i", "v", patience=2)
     assert len(fit.losses) == 3  # nothing can get better
     assert fit.model.filter(F.size("reduced") == 3).count() == 4
+
+
+def test_sums_of_two_blocks_are_made_at_once():
+    """Those of both blocks equal the plain sums over all pairs from either side, in tiles that end anywhere."""
+    rng, least, total = np.random.default_rng(4), reduction.LEAST, 500.0
+    y, z = rng.normal(size=(37, 3)), rng.normal(size=(29, 3))
+    p = np.where(rng.random((37, 29)) < 0.1, rng.random((37, 29)) * 1e-2, 0.0)
+    i, j = np.nonzero(p)
+    mine, theirs, share, loss = reduction.both_sums(y, z, i[::-1], j[::-1], p[i, j][::-1], False, total, step=8)
+    kernel = 1 / (1 + ((y[:, None] - z[None]) ** 2).sum(2) + least)
+    q = kernel / total + least
+    slope = -(p + least) / q + (1 - p - least) / (1 - q + least)
+    apart = y[:, None] - z[None]
+    for k, force in enumerate((slope * kernel**2, kernel**2)):
+        assert np.allclose(mine[:, 3 * k : 3 * k + 3], (force[..., None] * apart).sum(1), rtol=1e-9, atol=1e-12)
+        assert np.allclose(theirs[:, 3 * k : 3 * k + 3], -(force[..., None] * apart).sum(0), rtol=1e-9, atol=1e-12)
+    assert np.isclose(share, (slope * kernel).sum())
+    assert np.isclose(loss, -((p + least) * np.log(q) + (1 - p - least) * np.log(1 - q + least)).sum())
