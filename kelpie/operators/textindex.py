@@ -115,6 +115,13 @@ def unpacked(packed: DataFrame, *kept: str) -> DataFrame:
     return packed.select("term", *kept, F.explode(each).alias("p")).select("p.id", "term", "p.places", "p.n", *kept)
 
 
+def counted(packed: DataFrame, *kept: str) -> DataFrame:
+    """id, term, c (how often a row has the term) and n of packed postings, and the columns kept; places aren't read."""
+    before = lambda k: F.coalesce(F.get("ends", k - 1), F.lit(0))
+    each = F.transform("ids", lambda x, k: F.struct(x.alias("id"), F.get("ns", k).alias("n"), (F.get("ends", k) - before(k)).alias("c")))
+    return packed.select("term", *kept, F.explode(each).alias("p")).select("p.id", "term", "p.c", "p.n", *kept)
+
+
 def _rows(packed: DataFrame, *kept: str) -> DataFrame:
     """id and n of the rows in packed rows without a term."""
     each = F.transform("ids", lambda x, k: F.struct(x.alias("id"), F.get("ns", k).alias("n")))
@@ -123,7 +130,7 @@ def _rows(packed: DataFrame, *kept: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class TextIndex:
-    """An index in a folder. `shards` and `salts` are fixed when it is built: a term's postings are dealt to so many tasks."""
+    """An index in a folder. `shards` are fixed when it is built; in a compaction a term's postings are dealt to `salts` tasks."""
 
     spark: SparkSession
     path: str
@@ -144,11 +151,9 @@ class TextIndex:
         return F.pmod(F.xxhash64(term), F.lit(self.shards)).cast("int")
 
     def _write(self, packed: DataFrame, gen: int) -> None:
-        """Postings by shard and the rows they are of; one pass over the texts writes both."""
+        """Postings by shard and the rows they are of; one pass over the texts writes both, each task a file for each shard: nothing is shuffled."""
         placed = packed.withColumn("shard", F.when(F.col("term").isNotNull(), self.shard(F.col("term"))).otherwise(-1))
-        salts = F.when(F.col("shard") < 0, self.shards * self.salts).otherwise(self.salts)
-        dealt = placed.repartition("shard", F.pmod(F.xxhash64(F.get("ids", F.lit(0))), salts)).sortWithinPartitions("shard", "term")
-        dealt.write.mode("overwrite").option("parquet.block.size", 8 << 20).option("compression", "zstd").partitionBy("shard").parquet(f"{self.path}/postings/gen={gen}")
+        placed.sortWithinPartitions("shard", "term").write.mode("overwrite").option("parquet.block.size", 8 << 20).option("compression", "zstd").partitionBy("shard").parquet(f"{self.path}/postings/gen={gen}")
 
     def _live(self, rows: DataFrame, last: int, whole: bool = False) -> DataFrame:
         """Those of the rows that no later generation has made out of date."""
@@ -198,15 +203,24 @@ class TextIndex:
         self.sums().filter(F.col("gen") == last).select("rows", "terms").coalesce(1).write.mode("overwrite").parquet(f"{path}/sums/gen=0")
         return other
 
+    def _of(self, terms: list[str] | None, last: int) -> DataFrame:
+        """Packed postings of the given stems, or of all."""
+        found = self._postings(last).filter("shard >= 0")
+        if terms is None:
+            return found
+        rows = self.spark.createDataFrame([(t,) for t in terms], "term string")
+        shards = [r["shard"] for r in rows.select(self.shard(F.col("term")).alias("shard")).distinct().collect()]
+        return found.filter(F.col("shard").isin(shards) & F.col("term").isin(terms))
+
     def postings(self, terms: list[str] | None = None) -> DataFrame:
         """id, term, places and n: of the given stems only their shards are read."""
         last = self.last()
-        found = self._postings(last).filter("shard >= 0")
-        if terms is not None:
-            rows = self.spark.createDataFrame([(t,) for t in terms], "term string")
-            shards = [r["shard"] for r in rows.select(self.shard(F.col("term")).alias("shard")).distinct().collect()]
-            found = found.filter(F.col("shard").isin(shards) & F.col("term").isin(terms))
-        return self._live(unpacked(found, "gen"), last).select("id", "term", "places", "n")
+        return self._live(unpacked(self._of(terms, last), "gen"), last).select("id", "term", "places", "n")
+
+    def counts(self, terms: list[str] | None = None) -> DataFrame:
+        """id, term, c (how often the row has it) and n, without reading places."""
+        last = self.last()
+        return self._live(counted(self._of(terms, last), "gen"), last).select("id", "term", "c", "n")
 
     def size(self) -> tuple[int, int]:
         """Rows and terms of the index."""
@@ -219,9 +233,9 @@ class TextIndex:
         if not asked:
             return self.spark.createDataFrame([], "id long, rank double")
         rows, terms = self.size()
-        found = self.postings(asked)
+        found = self.counts(asked)
         held = found.groupBy("term").agg(F.count("*").alias("d"))
-        each = found.select("id", "term", F.size("places").alias("c"), "n").join(F.broadcast(held), "term")  # a row a word
+        each = found.join(F.broadcast(held), "term")  # a row a word
         part = bm25_part(F.col("c"), F.col("d"), F.lit(rows), F.col("n"), F.lit(terms / rows))
         return each.withColumn("part", part).groupBy("id").agg((-F.sum("part")).alias("rank"))
 

@@ -228,7 +228,7 @@ def m26_index_in_step(spark, sf_dir):
     dirty = now.filter((key % 100).isin(1, 2, 3)).select(key.alias("id")).union(gone.select(key))
     index.update(dirty, now, "doc_id", F.col("text"))
     rows, terms = index.size()
-    found = index.postings().groupBy("term").agg(F.count("*").alias("docs"), F.sum(F.size("places")).alias("n"))
+    found = index.counts().groupBy("term").agg(F.count("*").alias("docs"), F.sum("c").alias("n"))
     return found.select("term", "docs", "n", F.lit(rows).alias("rows"), F.lit(terms).alias("terms"))
 
 

@@ -144,3 +144,15 @@ def test_phrases_send_postings_and_not_places(spark, tmp_path):
     found = index.phrases(["of the", "the of", "the the"])
     assert {r["id"]: r["phrases"] for r in found.collect()} == {1: 2, 2: 1}
     assert found._jdf.queryExecution().executedPlan().toString().lower().count("explode(places") == 0
+
+
+def test_building_shuffles_no_postings(spark, tmp_path):
+    """A task writes the postings of the texts it reads itself, each shard's in one file, by term; ranking and counting read no places."""
+    index = TextIndex(spark, str(tmp_path / "x"), shards=4).build(frame_of(spark, ROWS).repartition(3), "id", F.col("text"))
+    files = index._read("postings", "term string, ids array<long>, gen int, shard int").filter("shard >= 0").select("shard", F.input_file_name().alias("f"), F.explode("ids").alias("id"))
+    writers = files.select("id", F.regexp_extract("f", r"part-(\d+)", 1).alias("task")).groupBy("id").agg(F.count_distinct("task").alias("n"))
+    assert {r["n"] for r in writers.collect()} == {1}
+    for found in (index.ranked(["invoice", "billing"]), index.counts()):
+        assert "places" not in found._jdf.queryExecution().executedPlan().toString()
+    want = {(k, t): c for k, text in ROWS.items() for t, c in Counter(terms_of(text or "")).items()}
+    assert {(r["id"], r["term"]): r["c"] for r in index.counts().collect()} == want
