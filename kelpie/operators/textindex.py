@@ -55,8 +55,10 @@ def _packed(ids: list[int], ns: list[int], codes: list[np.ndarray], words: list[
     term = of.astype(np.int32)[np.concatenate(codes)] if len(words) else np.zeros(0, np.int32)
     row = np.repeat(np.arange(len(ns), dtype=np.int32), size)
     place = np.arange(len(term), dtype=np.int32) - np.repeat((np.cumsum(size) - size).astype(np.int32), size)
-    order = np.argsort(term, kind="stable")
+    order = np.argsort(term, kind="stable").astype(np.int32)
+    codes.clear()
     term, row, place = term[order], row[order], place[order]
+    del order
     new_term = np.flatnonzero(np.diff(term, prepend=-1))
     new_row = np.flatnonzero((np.diff(term, prepend=-1) != 0) | (np.diff(row, prepend=-1) != 0))
     at = np.searchsorted(new_row, new_term)  # where a term's rows begin
@@ -72,7 +74,7 @@ def _packed(ids: list[int], ns: list[int], codes: list[np.ndarray], words: list[
     return pa.RecordBatch.from_arrays(columns, ["term", "ids", "ns", "ends", "places"])
 
 
-def analysed(docs: DataFrame, id_col: str, text: Column, at_once: int = 1 << 21) -> DataFrame:
+def analysed(docs: DataFrame, id_col: str, text: Column, at_once: int = 1 << 20) -> DataFrame:
     """Packed postings of the rows, those of so many words at once, where the rows were read: no row a posting is shuffled."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,6 +89,7 @@ def analysed(docs: DataFrame, id_col: str, text: Column, at_once: int = 1 << 21)
                 if total >= at_once:
                     yield _packed(ids, ns, codes, list(seen))
                     seen, ids, ns, codes, total = _Codes(), [], [], [], 0
+            del batch  # before the next one is read
         if ids:
             yield _packed(ids, ns, codes, list(seen))
 

@@ -156,3 +156,11 @@ def test_building_shuffles_no_postings(spark, tmp_path):
         assert "places" not in found._jdf.queryExecution().executedPlan().toString()
     want = {(k, t): c for k, text in ROWS.items() for t, c in Counter(terms_of(text or "")).items()}
     assert {(r["id"], r["term"]): r["c"] for r in index.counts().collect()} == want
+
+
+def test_a_worker_packs_a_bounded_number_of_words(spark):
+    """As long as no single text is longer, a pack has about a million words, however many a task reads."""
+    docs = spark.range(1100).coalesce(1).select("id", F.repeat(F.lit("of the "), 500).alias("text"))
+    packs = analysed(docs, "id", F.col("text")).filter("term is null").select(F.aggregate("ns", F.lit(0).cast("long"), lambda s, n: s + n).alias("words")).collect()
+    assert sum(r["words"] for r in packs) == 1_100_000
+    assert max(r["words"] for r in packs) < (1 << 20) + 1000
