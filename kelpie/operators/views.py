@@ -108,13 +108,13 @@ def synchronised(index: DataFrame, rows: DataFrame, changes: DataFrame, key: str
 
 
 def deleted_below(chain: list[tuple[DataFrame, str, str]], gone: DataFrame) -> list[DataFrame]:
-    """Each table of a chain (rows, their id, their parent's id) without what hangs on the ids gone, level by level."""
+    """Each table of a chain (rows, their id, their parent's id) without what hangs on the ids gone, level by level. A row that goes by its
+    parent's id is met with the ids gone once; other tables meet the ids that they lose, each once."""
     left = []
     for rows, key, parent in chain:
-        name = gone.columns[0]
-        lost = rows.join(gone.select(F.col(name).alias(parent)).distinct(), parent, "left_semi")
-        left.append(rows.join(lost.select(key), key, "left_anti").select(*rows.columns))
-        gone = lost.select(key)
+        above = gone.select(F.col(gone.columns[0]).alias(parent)).distinct()
+        gone = rows.join(above, parent, "left_semi").select(key).distinct()
+        left.append(rows.join(above if key == parent else gone, key, "left_anti").select(*rows.columns))
     return left
 
 

@@ -148,3 +148,15 @@ def test_updates_and_links(spark):
     links = spark.createDataFrame([("edge", "a", "b", 1.0), ("edge", "b", "c", 1.0)], "kind string, source string, target string, weight double")
     assert views.links_of(links, None).count() == 0 and views.links_of(links, "b").count() == 2
     assert [r["target"] for r in views.links_of(links, "b", spark.createDataFrame([("b",), ("c",)], "id string")).collect()] == ["c"]
+
+
+def test_rows_that_go_by_their_parents_id_meet_the_ids_gone_once(spark):
+    """Lines have no id but their order's: one join says which stay, and rows without an id stay."""
+    orders = spark.createDataFrame([(1, 10), (2, 20), (2, 30), (3, 30), (None, 10), (4, None)], "order_id long, customer long")
+    lines = spark.createDataFrame([(1,), (1,), (2,), (3,), (3,), (4,), (9,), (None,)], "order_id long")
+    gone = spark.createDataFrame([(10,), (20,), (20,), (None,)], "customer long")
+    kept = views.deleted_below([(orders, "order_id", "customer"), (lines, "order_id", "order_id")], gone)
+    assert sorted(tuple(r) for r in kept[0].select("order_id", "customer").na.fill(-1).collect()) == [(-1, 10), (3, 30), (4, -1)]
+    assert sorted(r[0] for r in kept[1].na.fill(-1).collect()) == [-1, 3, 3, 4, 9]
+    one = views.deleted_below([(lines, "order_id", "order_id")], gone.withColumnRenamed("customer", "order_id"))[0]
+    assert one._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
