@@ -26,6 +26,8 @@ from kelpie.operators.search import bm25_part
 from kelpie.plans.storage import stored_at
 
 _TERM = re.compile(rb"[a-z0-9\x80-\xff]+")
+#: Bytes of terms in lower case, all others as blanks.
+_AS_TERMS = bytes(b if _TERM.match(bytes([b])) else ord(" ") for b in bytes(range(256)).lower())
 #: Postings of a term in some rows: their ids, numbers of terms, and places, those of the k-th row up to ends[k]. Without a term: the rows.
 _PACKED = "term string, ids array<long>, ns array<int>, ends array<int>, places array<int>"
 _POSTING = "id long, term string, places array<int>, n int"
@@ -36,27 +38,33 @@ def terms_of(text: str) -> list[str]:
     return [stem(t.decode(errors="replace")) for t in _TERM.findall(text.encode().lower())]
 
 
-class _Codes(dict):
-    """Numbers for words as they come."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = len(self)
-        return self[word]
+def _words(texts: list[bytes]) -> tuple[np.ndarray, pa.DictionaryArray]:
+    """How many terms each of the texts has that _AS_TERMS has been through, and all terms in order, told apart."""
+    data = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
+    held = data != ord(" ")
+    edges = np.flatnonzero(np.diff(held, prepend=False))
+    begins, ends = edges[::2], edges[1::2]
+    ns = np.diff(np.searchsorted(begins, np.cumsum([len(t) + 1 for t in texts])), prepend=0)
+    offsets = np.concatenate([[0], np.cumsum(ends - begins)]).astype(np.int64)
+    found = pa.Array.from_buffers(pa.large_binary(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(data[held])])
+    return ns, found.dictionary_encode()
 
 
 def _lists(values: np.ndarray, starts: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.append(starts, len(values)), pa.int32()), pa.array(values, kind))
 
 
-def _packed(ids: list[int], ns: list[int], codes: list[np.ndarray], words: list[bytes]) -> pa.RecordBatch:
+def _packed(ids: list[int], texts: list[bytes]) -> pa.RecordBatch:
     """The postings of some rows by term, and a row without a term that has all of these rows."""
-    key, size = np.array(ids, np.int64), np.array(ns, np.int32)
-    stems, of = np.unique(np.array([stem(w.decode(errors="replace")) for w in words], object), return_inverse=True)
-    term = of.astype(np.int32)[np.concatenate(codes)] if len(words) else np.zeros(0, np.int32)
+    ns, words = _words(texts)
+    texts.clear()
+    key, size = np.array(ids, np.int64), ns.astype(np.int32)
+    stems = pa.array([stem(w.decode(errors="replace")) for w in words.dictionary.to_pylist()], pa.string()).dictionary_encode()
+    term = stems.indices.to_numpy()[words.indices.to_numpy()]
+    del words
     row = np.repeat(np.arange(len(ns), dtype=np.int32), size)
     place = np.arange(len(term), dtype=np.int32) - np.repeat((np.cumsum(size) - size).astype(np.int32), size)
     order = np.argsort(term, kind="stable").astype(np.int32)
-    codes.clear()
     term, row, place = term[order], row[order], place[order]
     del order
     new_term = np.flatnonzero(np.diff(term, prepend=-1))
@@ -65,7 +73,7 @@ def _packed(ids: list[int], ns: list[int], codes: list[np.ndarray], words: list[
     ends = np.append(new_row[1:], len(term))[: len(new_row)] - np.repeat(new_term, np.diff(np.append(at, len(new_row))))
     every = len(new_row) + np.arange(2)[:1]  # the rows themselves come last
     columns = [
-        pa.array([*stems[term[new_term]].tolist(), None], pa.string()),
+        pa.concat_arrays([stems.dictionary, pa.nulls(1, pa.string())]),  # each is there
         _lists(np.concatenate([key[row[new_row]], key]), np.concatenate([at, every]), pa.int64()),
         _lists(np.concatenate([size[row[new_row]], size]), np.concatenate([at, every]), pa.int32()),
         _lists(ends, np.concatenate([at, every]), pa.int32()),
@@ -75,23 +83,22 @@ def _packed(ids: list[int], ns: list[int], codes: list[np.ndarray], words: list[
 
 
 def analysed(docs: DataFrame, id_col: str, text: Column, at_once: int = 1 << 20) -> DataFrame:
-    """Packed postings of the rows, those of so many words at once, where the rows were read: no row a posting is shuffled."""
+    """Packed postings of the rows, those of at most so many words and one text more at once, where the rows were read: no row a posting is shuffled."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, ids, ns, codes, total = _Codes(), [], [], [], 0
+        ids, texts, total = [], [], 0
         for batch in batches:
             for k in range(batch.num_rows):
-                found = _TERM.findall(batch.column(1)[k].as_py().lower())
-                codes.append(np.array([seen[w] for w in found], np.int32))
                 ids.append(batch.column(0)[k].as_py())
-                ns.append(len(found))
-                total += len(found)
+                texts.append(batch.column(1)[k].as_py().translate(_AS_TERMS))
+                blank = np.frombuffer(texts[-1], np.uint8) == ord(" ")
+                total += np.count_nonzero(np.diff(blank, prepend=True, append=True)) // 2 + len(texts[-1]) // 128  # words; very long ones are more
                 if total >= at_once:
-                    yield _packed(ids, ns, codes, list(seen))
-                    seen, ids, ns, codes, total = _Codes(), [], [], [], 0
+                    yield _packed(ids, texts)
+                    ids, texts, total = [], [], 0
             del batch  # before the next one is read
         if ids:
-            yield _packed(ids, ns, codes, list(seen))
+            yield _packed(ids, texts)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text, F.lit("")).cast("binary").alias("text")).filter("id is not null")
     return rows.mapInArrow(count, _PACKED)
@@ -120,9 +127,9 @@ def unpacked(packed: DataFrame, *kept: str) -> DataFrame:
 
 def counted(packed: DataFrame, *kept: str) -> DataFrame:
     """id, term, c (how often a row has the term) and n of packed postings, and the columns kept; places aren't read."""
-    before = lambda k: F.coalesce(F.get("ends", k - 1), F.lit(0))
-    each = F.transform("ids", lambda x, k: F.struct(x.alias("id"), F.get("ns", k).alias("n"), (F.get("ends", k) - before(k)).alias("c")))
-    return packed.select("term", *kept, F.explode(each).alias("p")).select("p.id", "term", "p.c", "p.n", *kept)
+    each = F.arrays_zip("ids", "ns", "ends", F.concat(F.array(F.lit(0)), "ends").alias("before"))  # the last has no id
+    found = packed.select("term", *kept, F.explode(each).alias("p")).filter("p.ids is not null")
+    return found.select(F.col("p.ids").alias("id"), "term", (F.col("p.ends") - F.col("p.before")).alias("c"), F.col("p.ns").alias("n"), *kept)
 
 
 def _rows(packed: DataFrame, *kept: str) -> DataFrame:

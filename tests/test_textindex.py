@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import math
+import random
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from kelpie.functions import stemming
 from kelpie.functions.stemming import stem, stemmed
-from kelpie.operators import search
+from kelpie.operators import search, textindex
 from kelpie.operators.textindex import TextIndex, analysed, terms_of, unpacked
 
 #: Words and stems from the description of the algorithm.
@@ -164,3 +166,23 @@ def test_a_worker_packs_a_bounded_number_of_words(spark):
     packs = analysed(docs, "id", F.col("text")).filter("term is null").select(F.aggregate("ns", F.lit(0).cast("long"), lambda s, n: s + n).alias("words")).collect()
     assert sum(r["words"] for r in packs) == 1_100_000
     assert max(r["words"] for r in packs) < (1 << 20) + 1000
+
+
+def test_terms_are_told_apart_at_once():
+    """All terms of many texts in one pass, as the pattern finds them one by one; a word that no rule changes isn't worked out."""
+    draw = random.Random(5)
+    texts = [bytes(draw.choices(b"aZ9 .\x00\xc3\xa9\n", k=draw.randint(0, 40))) for _ in range(300)]
+    ns, found = textindex._words([t.translate(textindex._AS_TERMS) for t in texts])
+    want = [textindex._TERM.findall(t.lower()) for t in texts]
+    assert ns.tolist() == [len(w) for w in want]
+    assert found.to_pylist() == [x for w in want for x in w]
+    assert textindex._words([b"", b" "])[0].tolist() == [0, 0]
+    before = stemming._stem.cache_info()
+    assert [stem(w) for w in ("panda", "x9", "море", "")] == ["panda", "x9", "море", ""]
+    assert stemming._stem.cache_info() == before
+
+
+def test_counting_all_postings_is_compiled(spark, tmp_path):
+    """No lambda for each posting: these aren't compiled."""
+    index = TextIndex(spark, str(tmp_path / "x"), shards=2).build(frame_of(spark, ROWS), "id", F.col("text"))
+    assert "lambda" not in index.counts()._jdf.queryExecution().executedPlan().toString()
