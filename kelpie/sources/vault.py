@@ -12,6 +12,7 @@ content is a binary file without checksum; a null path is left out.
 from __future__ import annotations
 
 import re
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -61,19 +62,40 @@ def plain_line(line: Column) -> Column:
     return F.when(line.rlike(r"^\s*#"), "").otherwise(ps.stripped(text))
 
 
-def _lines(notes: DataFrame) -> DataFrame:
-    """path, line, value, code, heading and section: the line of the heading that owns it, 0 before the first."""
-    each = notes.select("path", "front", F.posexplode(F.split("body", r"\r\n|\n|\r")).alias("at", "value"))
-    each = each.select("path", (F.col("at") + 1 + F.size(F.split("front", "\n")) - 1).alias("line"), "value")
+def _lines(notes: DataFrame, marked_only: bool = False) -> DataFrame:
+    """path, line, value, code, heading and section: the line of the heading that owns it, 0 before the first. Of all lines, or of those
+    that are headings or hold a link. Lines are looked at once, before they are put in order."""
+    parts = F.split(F.when(F.contains("body", F.lit("\r")), F.regexp_replace("body", r"\r\n?", "\n")).otherwise(F.col("body")), "\n")
+    each = notes.select("path", F.size(F.split("front", "\n")).alias("before"), F.posexplode(parts).alias("at", "value"))
+    fence = F.when(F.contains("value", F.lit("```")) | F.contains("value", F.lit("~~~")), F.col("value").rlike(FENCE)).otherwise(False)
+    named = F.when(F.contains("value", F.lit("#")) & F.col("value").rlike(HEADING), F.regexp_replace(F.regexp_extract("value", HEADING, 1), r"[*`]+", ""))
+    seen = each.select("path", (F.col("at") + F.col("before")).alias("line"), "value", fence.alias("fence"), named.alias("named"))
+    linked = F.contains("value", F.lit("[[")) | F.contains("value", F.lit("]("))
+    if marked_only:
+        tasks = int(notes.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # all of them: such lines are packed much closer than they are sorted
+        seen = seen.filter(F.col("fence") | F.col("named").isNotNull() | linked).repartition(tasks, "path")
     so_far = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    fence = F.col("value").rlike(FENCE)
-    code = fence | (F.sum(fence.cast("int")).over(so_far) % 2 == 1)
-    named = F.regexp_replace(F.regexp_extract("value", HEADING, 1), r"[*`]+", "")
-    marked = each.withColumn("code", code).withColumn("heading", F.when(~F.col("code") & F.col("value").rlike(HEADING), named))
+    code = F.col("fence") | (F.sum(F.col("fence").cast("int")).over(so_far) % 2 == 1)
+    marked = seen.withColumn("code", code).select("path", "line", "value", "code", F.when(~F.col("code"), F.col("named")).alias("heading"))
     owner = F.max(F.when(F.col("heading").isNotNull(), F.col("line"))).over(so_far)
     return marked.withColumn("section", F.coalesce(owner, F.lit(0)))
 
 
+def _keyed(lines: DataFrame) -> DataFrame:
+    """The lines with key: of headings their key, of others null. Keys are slugs of headings, with the number of the twin from the second on;
+    'document' counts as taken. If that key is taken too the number goes up by one, and if that is, the line is added after a dot, which
+    no slug holds: keys are unique in their file."""
+    base = F.when(F.col("heading").isNotNull(), tx.slug(F.coalesce(F.nullif("heading", F.lit("")), stem(F.col("path")))))
+    nth = lambda name: F.row_number().over(Window.partitionBy("path", name).orderBy("section"))
+    at = lines.withColumn("base", base)
+    at = at.withColumn("n", nth("base") + F.when(F.col("base") == "document", 1).otherwise(0))
+    numbered = lambda more: F.concat("base", F.lit("-"), (F.col("n") + more).cast("string"))
+    at = at.withColumn("key", F.when(F.col("n") == 1, F.col("base")).otherwise(numbered(0))).withColumn("twin", nth("key"))
+    at = at.withColumn("key", F.when(F.col("twin") == 1, F.col("key")).otherwise(numbered(1))).withColumn("twin", nth("key"))
+    key = F.when(F.col("twin") == 1, F.col("key")).otherwise(F.concat("key", F.lit("."), F.col("section").cast("string")))
+    return at.withColumn("key", F.when(F.col("heading").isNotNull(), key)).drop("base", "n", "twin")
+
+
 class Vault:
     """The tables of a set of notes. Sections are told apart by path and section (the heading's line, 0 for the whole file)."""
 
@@ -82,21 +104,23 @@ class Vault:
         front = F.regexp_extract("text", FRONT, 0)
         read = notes.filter("path is not null").select("path", "content", text.alias("text")).withColumn("front", front)
         self.notes = read.withColumn("body", F.substring("text", F.length("front") + 1, F.lit(MOST)))
-        self.lines = cut(_lines(self.notes.filter("text is not null")))
+
+    @cached_property
+    def lines(self) -> DataFrame:
+        """All lines, written once."""
+        return cut(_lines(self.notes.filter("text is not null")))
+
+    @cached_property
+    def marks(self) -> DataFrame:
+        """The headings and the lines with links, written once, with owner: the key of the section that owns the line. A file's lines come
+        together in one task, and keys are given there."""
+        keyed = _keyed(_lines(self.notes.filter("text is not null"), marked_only=True))
+        so_far = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+        return cut(keyed.withColumn("owner", F.last("key", ignorenulls=True).over(so_far)).drop("key"))
 
     def keys(self) -> DataFrame:
-        """path, section, heading and key of the headings. Keys are slugs of headings, with the number of the twin from the second on;
-        'document' counts as taken. If that key is taken too the number goes up by one, and if that is, the line is added after a
-        dot, which no slug holds: keys are unique in their file."""
-        base = tx.slug(F.coalesce(F.nullif("heading", F.lit("")), stem(F.col("path"))))
-        at = self.lines.filter("heading is not null").select("path", "section", "heading", base.alias("base"))
-        nth = lambda name: F.row_number().over(Window.partitionBy("path", name).orderBy("section"))
-        at = at.withColumn("n", nth("base") + F.when(F.col("base") == "document", 1).otherwise(0))
-        numbered = lambda more: F.concat("base", F.lit("-"), (F.col("n") + more).cast("string"))
-        at = at.withColumn("key", F.when(F.col("n") == 1, F.col("base")).otherwise(numbered(0))).withColumn("twin", nth("key"))
-        at = at.withColumn("key", F.when(F.col("twin") == 1, F.col("key")).otherwise(numbered(1))).withColumn("twin", nth("key"))
-        key = F.when(F.col("twin") == 1, F.col("key")).otherwise(F.concat_ws(".", "key", "section"))
-        return at.select("path", "section", "heading", key.alias("key"))
+        """path, section, heading and key of the headings."""
+        return _keyed(self.lines.filter("heading is not null").select("path", "section", "heading")).select("path", "section", "heading", "key")
 
     def _blocks(self) -> DataFrame:
         """path, section, end_line and the section's lines as an array, without its heading and a blank line right under it."""
@@ -128,22 +152,26 @@ class Vault:
     def links(self) -> DataFrame:
         """path, key (of the section that owns the link), type, text, to_path and to_anchor of each different link. to_path is resolved
         from the file's folder, or from the top after '/'; '#anchor' is in the file itself; both are null for addresses outside."""
-        wiki = self.lines.filter(F.col("value").contains("[[")).select("path", "section", F.explode(F.regexp_extract_all("value", F.lit(WIKI), 1)).alias("raw"))
-        label = F.nullif(F.regexp_extract("raw", r"(?s)^[^|]*\|(.*)\z", 1), F.lit(""))
-        to = F.regexp_extract("raw", r"^[^|]*", 0)
-        wiki = wiki.select("path", "section", F.lit("wikilink").alias("type"), F.coalesce(label, to).alias("text"), to.alias("to"))
-        marked = self.lines.filter(~F.col("code") & F.col("value").contains("](")).select("path", "section", F.explode(F.regexp_extract_all("value", F.lit(LINK), 0)).alias("raw"))
-        marked = marked.select("path", "section", F.lit("markdown").alias("type"), F.regexp_extract("raw", LINK, 1).alias("text"), F.regexp_extract("raw", LINK, 2).alias("to"))
-        own = F.when(~F.col("to").rlike(OUTSIDE), F.coalesce(F.when(F.col("to").startswith("#"), F.col("path")), F.nullif(tx.resolved_path(F.regexp_replace("path", r"/?[^/]*$", ""), F.col("to")), F.lit(""))))
-        hint = F.when(~F.col("to").rlike(OUTSIDE), F.nullif(F.regexp_extract("to", r"(?s)^[^#]*#(.*)\z", 1), F.lit("")))
-        found = wiki.unionByName(marked).distinct().select("path", "section", "type", "text", own.alias("to_path"), hint.alias("to_anchor"))
-        owned = found.join(self.keys().drop("heading"), ["path", "section"], "left")
-        return owned.select("path", F.coalesce("key", F.lit("document")).alias("key"), "type", "text", "to_path", "to_anchor").distinct()
+        key = F.coalesce("owner", F.lit("document")).alias("key")
+        wiki = self.marks.filter(F.contains("value", F.lit("[["))).select("path", key, F.explode(F.regexp_extract_all("value", F.lit(WIKI), 1)).alias("raw"))
+        label, to = F.substring("raw", F.locate("|", F.col("raw")) + 1, F.lit(MOST)), F.substring_index("raw", "|", 1)
+        wiki = wiki.select("path", "key", F.lit("wikilink").alias("type"), F.when(label == "", to).otherwise(label).alias("text"), to.alias("to"))
+        marked = self.marks.filter(~F.col("code") & F.contains("value", F.lit("]("))).select("path", key, F.explode(F.regexp_extract_all("value", F.lit(LINK), 0)).alias("raw"))
+        marked = marked.select("path", "key", F.lit("markdown").alias("type"), F.regexp_extract("raw", LINK, 1).alias("text"), F.regexp_extract("raw", LINK, 2).alias("to"))
+        found = wiki.unionByName(marked)
+        # a step a column: what is used more than once isn't worked out again
+        found = found.withColumns({"outside": F.col("to").rlike(OUTSIDE), "folder": F.regexp_extract("path", r"(?s)^(.*)/[^/]*$", 1)})
+        found = found.withColumn("resolved", F.when(~F.col("outside"), tx.resolved_path(F.col("folder"), F.col("to"))))
+        own = F.when(~F.col("outside"), F.when(F.startswith("to", F.lit("#")), F.col("path")).when(F.col("resolved") != "", F.col("resolved")))
+        after = F.when(~F.col("outside") & F.contains("to", F.lit("#")), F.substring("to", F.locate("#", F.col("to")) + 1, F.lit(MOST)))
+        found = found.withColumn("to_path", own).withColumn("after", after)
+        return found.select("path", "key", "type", "text", "to_path", F.when(F.col("after") != "", F.col("after")).alias("to_anchor")).distinct()
 
     def files(self) -> DataFrame:
         """path, title (that of the front matter, else the first heading, else the file's name), aliases (sorted), checksum, length and
         metadata: the front matter as JSON of lists by name, a scalar as a list of one, or the kind of content."""
-        first = self.lines.filter("heading is not null").groupBy("path").agg(F.min_by("heading", "line").alias("first"))
+        known = self.lines if "lines" in self.__dict__ else self.marks  # what is written already
+        first = known.filter("heading is not null").groupBy("path").agg(F.min_by("heading", "line").alias("first"))
         given = self.notes.withColumn("front_matter", ps.frontmatter_lists(F.coalesce("front", F.lit("")))).join(first, "path", "left")
         said = F.nullif(F.get(F.col("front_matter")["title"], F.lit(0)), F.lit(""))
         aliases = F.array_compact(F.concat(F.array(stem(F.col("path")), said), F.coalesce(F.col("front_matter")["aliases"], F.array().cast("array<string>"))))

@@ -107,3 +107,17 @@ def test_random_notes_have_sections_that_cover_them_and_unique_keys(spark):
         assert len({x[4] for x in mine} | {"document"}) == len(mine) + 1
     assert v.files().filter("path = 'null.md'").select("metadata", "checksum").first() == ('{"content_type":"binary"}', None)
     assert v.files().count() == 121 and v.lines.filter(F.col("path") == "null.md").count() == 0
+
+
+def test_links_are_made_of_headings_and_lines_with_links_alone(spark):
+    """No plain line is put in order or written, keys come with the lines instead of by a join, and tasks aren't put together."""
+    texts = {f"n/{i}.md": "plain\n" * 50 + "```\n# no\n[[in]] [out](out.md)\n```\n# A\r\nx\r[[../up#B|said]] [y](./z.md#)\n# A\n[a](#b) [[ |]] [s](https://x.example/#q)" for i in range(9)}
+    v = vault.Vault(spark.createDataFrame([(p, bytearray(t.encode())) for p, t in texts.items()], "path string, content binary"))
+    found = v.links()
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    assert "lines" not in v.__dict__ and v.marks.count() == 8 * 9
+    want = {("document", "wikilink", "in", "n/in", None), ("a", "wikilink", "said", "up", "B"), ("a", "markdown", "y", "n/z.md", None), ("a-2", "markdown", "a", None, "b"), ("a-2", "wikilink", " ", None, None), ("a-2", "markdown", "s", None, None)}
+    got = [tuple(r) for r in found.filter("path = 'n/3.md'").select("key", "type", "text", F.when(F.col("to_path") != "n/3.md", F.col("to_path")), "to_anchor").collect()]
+    assert len(got) == len(want) and set(got) == want
+    plain = vault._lines(v.notes, True)._jdf.queryExecution().logical().toString()
+    assert "RepartitionByExpression [path" in plain
