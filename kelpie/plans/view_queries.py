@@ -63,10 +63,16 @@ _GRAPH = """n AS (SELECT p_partkey AS id, CAST(p_size % 7 AS BIGINT) AS communit
 e AS (SELECT DISTINCT l_suppkey AS a, l_partkey AS b, l_shipmode AS type FROM (SELECT *, CASE WHEN l_quantity > 40 THEN 'large' ELSE 'small' END AS l_shipmode FROM lineitem) x WHERE l_suppkey <> l_partkey)"""
 
 
+#: As many links are told apart by a task; Spark would put together as many as are packed into 64 MB, which are some five millions.
+_LINKS_A_TASK = 200_000
+
+
 def _graph(spark, sf_dir):
-    p, li = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem").filter("l_suppkey <> l_partkey")
+    p, li = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem")
     nodes = p.select(F.col("p_partkey").alias("node_id"), (F.col("p_size") % 7).cast("long").alias("community_id"), F.col("p_name").alias("name"), F.col("p_brand").alias("path"))
-    return nodes, li.select(F.col("l_suppkey").alias("first_id"), F.col("l_partkey").alias("second_id"), F.when(F.col("l_quantity") > 40, "large").otherwise("small").alias("type")).distinct()
+    tasks = 1 + li.count() // _LINKS_A_TASK  # read from the files' footers
+    links = li.filter("l_suppkey <> l_partkey").select(F.col("l_suppkey").alias("first_id"), F.col("l_partkey").alias("second_id"), F.when(F.col("l_quantity") > 40, "large").otherwise("small").alias("type"))
+    return nodes, links.repartition(tasks, *links.columns).distinct()
 
 
 @query(f"""WITH {_GRAPH}, c AS (SELECT o_custkey AS id, o_orderpriority AS text FROM orders)

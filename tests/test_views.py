@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from kelpie.functions import parsing as ps
 from kelpie.operators import extraction, views
+from kelpie.plans import view_queries
 from kelpie.sources import notes
 
 
@@ -160,3 +161,13 @@ def test_rows_that_go_by_their_parents_id_meet_the_ids_gone_once(spark):
     assert sorted(r[0] for r in kept[1].na.fill(-1).collect()) == [-1, 3, 3, 4, 9]
     one = views.deleted_below([(lines, "order_id", "order_id")], gone.withColumnRenamed("customer", "order_id"))[0]
     assert one._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
+def test_links_of_the_graph_are_told_apart_by_bounded_tasks(spark, monkeypatch):
+    """A task gets about so many links however well they are packed: the number of tasks goes with the rows."""
+    monkeypatch.setattr(view_queries, "_LINKS_A_TASK", 500)
+    edges = view_queries._graph(spark, "/root/testdata/sf0.001")[1]
+    sizes = [r["count"] for r in edges.groupBy(F.spark_partition_id()).count().collect()]
+    li = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").filter("l_suppkey <> l_partkey")
+    assert sum(sizes) == li.select("l_suppkey", "l_partkey", F.col("l_quantity") > 40).distinct().count()
+    assert len(sizes) > 8 and max(sizes) < 1000
