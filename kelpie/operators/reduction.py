@@ -2,26 +2,37 @@
 
 Affinities of nearest neighbours are an edge table, made symmetric and of sum 1. Points start on the leading principal axes, which
 come from one d x d sum. Each round lowers the cross entropy between the edges' affinities and those of the reduced points (of
-Student's kernel, over all pairs) by a step along its gradient. The points are packed in blocks; a task has a pair of blocks and the edges
-between them, and gives sums for each point, so that a round is two passes of joins and sums and only its scalars reach the driver. The
-work is that of all pairs, as the repulsion is; it is meant for the model's rows (see `views.reduced_by_model`), and it is spread evenly.
+Student's kernel, over all pairs) by a step along its gradient.
+
+What pairs give besides their affinities depends smoothly on their distance alone. So it is summed through a grid that is fine against the kernel's
+width of 1: points are dealt to grid places by polynomials of degree 13, the grid's sums are convolutions, and points take theirs from the places by
+the same polynomials. That leaves out no pair and equals the plain sums to some 1e-12 of the kernel; the work is that of points and edges. Few points,
+those too far apart for a grid and those of over three dimensions are compared pair by pair. Edges stay packed where they lie, and
+the driver knows the points' places. Beyond `MOST_POINTS` points are packed in blocks instead, a task has a pair of blocks and the edges between
+them, and the work is that of all pairs.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kelpie.operators import partition
 from kelpie.operators.neighbours import unit_rows
 from kelpie.plans.storage import cut
 
 #: Fixed values of the fit.
 ROUNDS, RATE, PATIENCE, LEAST = 150, 0.05, 20, 1e-6
+#: Beyond so many points their places aren't known to all; up to so many all is summed by pairs; tasks share the work beyond so many; a grid has
+#: at most so many places with those that keep its ends apart, in steps of so much, and a point so many of them in each direction.
+MOST_POINTS, FEW_POINTS, ALONE, MOST_PLACES, STEP, NODES = 1 << 21, 1024, 1 << 14, 1 << 22, 1 / 20, 14
 
 
 def affinities(near: DataFrame, least: float = LEAST) -> DataFrame:
@@ -110,6 +121,173 @@ def _kernel(y: np.ndarray, z: np.ndarray, same: bool, least: float) -> np.ndarra
     return kernel
 
 
+def _of_kernel(kernel: np.ndarray, total: float, least: float = LEAST) -> tuple[np.ndarray, np.ndarray]:
+    """The slope and the loss of pairs without affinity, by their kernel."""
+    q = np.clip(kernel / total + least, least, 1 - least)
+    rest = 1 + least - q
+    return (1 - least) / rest - least / q, -(least * np.log(q) + (1 - least) * np.log(rest))
+
+
+def _edge_sums(row: partition.Row, y: np.ndarray, total: float) -> tuple[np.ndarray, np.ndarray, float, float]:
+    """Nodes of a row of links and what their affinities add to `both_sums`: the first sums of each, the share and the loss."""
+    node, other, a = row.ends()
+    apart = y[node] - y[other]
+    kernel = 1 / (1 + (apart * apart).sum(1) + LEAST)
+    q = np.clip(kernel / total + LEAST, LEAST, 1 - LEAST)
+    rest = 1 + LEAST - q
+    slope = -a * (1 / q + 1 / rest)
+    first = np.append(0, row.upto[:-1])
+    return row.node, np.add.reduceat((slope * kernel * kernel)[:, None] * apart, first, axis=0), float(slope @ kernel), float(-(a * (np.log(q) - np.log(rest))).sum())
+
+
+def _weights(t: np.ndarray) -> np.ndarray:
+    """The polynomials of the NODES places 0, 1 and so on at a place t past the last one left of the middle."""
+    k = np.arange(NODES)
+    x = (t + NODES // 2 - 1)[:, None] - k
+    before, after = np.ones_like(x), np.ones_like(x)
+    np.cumprod(x[:, :-1], axis=1, out=before[:, 1:])
+    after[:, :-1] = np.cumprod(x[:, :0:-1], axis=1)[:, ::-1]
+    scale = np.array([np.prod([c - j for j in k if j != c], dtype=float) for c in k])
+    return before * after / scale
+
+
+def _cells(y: np.ndarray, low: np.ndarray) -> np.ndarray:
+    return np.floor((y - low) / STEP).astype(np.int64)
+
+
+def _in_cells(y: np.ndarray, low: np.ndarray):  # noqa: ANN202
+    """Slices of points that come cell by cell, each cell and its points' weights: those of the first two directions together, and of the last."""
+    cell = _cells(y, low)
+    starts = np.flatnonzero((np.diff(cell, axis=0, prepend=-1) != 0).any(1)).tolist()
+    one, two, three = (_weights(x) for x in ((y - low) / STEP - cell).T)
+    for at, upto in zip(starts, [*starts[1:], len(y)], strict=True):
+        of = slice(at, upto)
+        yield of, cell[at], (one[of, :, None] * two[of, None, :]).reshape(upto - at, -1), three[of]
+
+
+def _spread(y: np.ndarray, low: np.ndarray, shape: tuple[int, ...]) -> np.ndarray:
+    """How much of the points is at each place."""
+    grid = np.zeros(shape)
+    for _, (a, b, c), first, last in _in_cells(y, low):
+        grid[a : a + NODES, b : b + NODES, c : c + NODES] += (first.T @ last).reshape(NODES, NODES, NODES)
+    return grid
+
+
+def _taken(y: np.ndarray, low: np.ndarray, grids: np.ndarray) -> np.ndarray:
+    """The grids' values at the points, side by side."""
+    out = np.zeros((len(y), len(grids)))
+    for of, (a, b, c), first, last in _in_cells(y, low):
+        some = grids[:, a : a + NODES, b : b + NODES, c : c + NODES].reshape(len(grids), NODES * NODES, NODES)
+        out[of] = np.einsum("gnk,nk->ng", first @ some, last)
+    return out
+
+
+class _Points:
+    """Sums over all pairs of points, each known by its place, without their affinities."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.shape, self.kernels = spark, None, {}
+
+    def each(self, work, y: np.ndarray, *known: object) -> list:  # noqa: ANN001
+        """What the work says of parts of the points in their order."""
+        if len(y) <= ALONE:
+            return [work(y, *known)]
+        block = ALONE // 4
+        shared = self.spark.sparkContext.broadcast((y, known))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            points, rest = shared.value
+            for some in batches:
+                for at in some["id"].tolist():
+                    yield pd.DataFrame({"at": [at], "v": [pickle.dumps(work(points[at * block : (at + 1) * block], *rest))]})
+
+        blocks = -(-len(y) // block)
+        said = sorted(self.spark.range(0, blocks, 1, min(blocks, 4096)).mapInPandas(run, "at long, v binary").collect())
+        shared.destroy()
+        return [pickle.loads(r["v"]) for r in said]
+
+    def look(self, y: np.ndarray) -> float:
+        """Know these places; the sum of the kernel over all pairs."""
+        n, d = y.shape
+        self.y, self.grid = y, None
+        low, high = (np.pad(x, (0, max(0, 3 - d))) for x in (y.min(0), y.max(0)))
+        whole = _whole(2 * int(np.floor((high - low).max() / STEP) + NODES + 1))
+        if n <= FEW_POINTS or d > 3 or whole**3 > MOST_PLACES:
+            return float(sum(self.each(lambda some, all_: sum(_kernel(some[a : a + 128], all_, False, LEAST).sum() for a in range(0, len(some), 128)), y, y))) - n / (1 + LEAST)
+        place = np.pad(y, ((0, 0), (0, 3 - d)))
+        self.low, self.order = low, np.lexsort(_cells(place, low).T[::-1])
+        self.sorted, self.whole = place[self.order], whole
+        half = (whole // 2,) * 3
+        self.grid = np.fft.rfftn(sum(self.each(_spread, self.sorted, low, half)), (whole,) * 3, (0, 1, 2))
+        if self.shape != whole:
+            far = np.minimum(np.arange(whole), whole - np.arange(whole)) * STEP
+            side = np.where(np.arange(whole) < whole // 2, far, -far)
+            self.shape, self.side = whole, side
+            self.kernel = 1 / (1 + far[:, None, None] ** 2 + far[None, :, None] ** 2 + far**2 + LEAST)
+            self.squares = [np.fft.rfftn(self._along(self.kernel**2, k)) for k in range(3)]
+            self.whole_kernel = np.fft.rfftn(self.kernel)
+        return self._over_pairs(self.whole_kernel) - n / (1 + LEAST)
+
+    def _along(self, x: np.ndarray, k: int) -> np.ndarray:
+        """The numbers by distance times the distance in a direction."""
+        return x * self.side.reshape([-1 if k == j else 1 for j in range(3)])
+
+    def _over_pairs(self, spectrum: np.ndarray) -> float:
+        power = spectrum.real * (self.grid.real**2 + self.grid.imag**2)
+        twice = power[:, :, 1 : -1 if self.whole % 2 == 0 else None].sum()
+        return float(power.sum() + twice) / self.whole**3
+
+    def sums(self, total: float) -> tuple[np.ndarray, float, float]:
+        """`both_sums` of all points against all."""
+        n, d = self.y.shape
+        if self.grid is None:
+            none = np.zeros(0, int)
+            said = self.each(lambda some, all_: both_sums(some, all_, none, none, np.zeros(0), False, total), self.y, self.y)
+            share, loss = (sum(s[k] for s in said) for k in (2, 3))
+            mine = np.concatenate([s[0] for s in said])
+        else:
+            slope, losses = _of_kernel(self.kernel, total)
+            share, loss = (self._over_pairs(np.fft.rfftn(x)) for x in (slope * self.kernel, losses))
+            spectra = [np.fft.rfftn(self._along(slope * self.kernel**2, k)) for k in range(d)] + self.squares[:d]
+            half = slice(0, self.whole // 2)
+            fields = np.stack([np.fft.irfftn(x * self.grid, (self.whole,) * 3, (0, 1, 2))[half, half, half] for x in spectra])
+            mine = np.zeros((n, 2 * d))
+            mine[self.order] = np.concatenate(self.each(_taken, self.sorted, self.low, fields))
+        slope, losses = _of_kernel(np.array([1 / (1 + LEAST), 0.0]), total)
+        return mine, float(share - n * slope[0] / (1 + LEAST)), float(loss + n * (losses[1] - losses[0]))  # each with itself counts as far away
+
+
+def _whole(least: int) -> int:
+    """The next even number that has no large prime factors."""
+    at = least + least % 2
+    while True:
+        rest = at
+        for f in (2, 3, 5):
+            while rest % f == 0:
+                rest //= f
+        if rest == 1:
+            return at
+        at += 2
+
+
+def _known_rounds(spark: SparkSession, y: np.ndarray, edges: partition.Level, rounds: int, rate: float, patience: int) -> tuple[np.ndarray, list[float]]:
+    """Places after the rounds, and the losses."""
+    points, d = _Points(spark), y.shape[1]
+    best, stalled, losses = float("inf"), 0, []
+    for _ in range(rounds):
+        total = max(points.look(y), LEAST)
+        mine, share, loss = points.sums(total)
+        for node, more, more_share, more_loss in edges.each(_edge_sums, y, total):
+            mine[node, :d] += more
+            share, loss = share + more_share, loss + more_loss
+        losses.append(loss)
+        best, stalled = (loss, 0) if loss < best else (best, stalled + 1)
+        y = y + 4 * rate * (mine[:, :d] / total - share / total**2 * mine[:, d:])
+        if stalled >= patience:
+            break
+    return y, losses
+
+
 @dataclass(frozen=True)
 class Fit:
     """Points (id, vector, reduced) and the loss before each round's step."""
@@ -188,6 +366,8 @@ def fitted(vectors: DataFrame, near: DataFrame, id_col: str, vec_col: str, dims:
         return along / length - float(mean @ axis)
 
     first = F.array(*(start(axes[:, k]) for k in range(axes.shape[1])), *(F.lit(0.0) for _ in range(dims - axes.shape[1])))
+    if n <= MOST_POINTS:
+        return _known_fit(rows.withColumn("y", first), affinities(near), rounds, rate, patience)
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("y", first)
     place = F.row_number().over(Window.partitionBy("block").orderBy("id")) - 1  # of a block's points
     points = cut(dealt.select("id", "block", place.alias("at"), "y"))
@@ -201,3 +381,19 @@ def fitted(vectors: DataFrame, near: DataFrame, id_col: str, vec_col: str, dims:
     pairs = cut(every.select("one", "two", part("i_at").cast("array<int>").alias("i"), part("j_at").cast("array<int>").alias("j"), part("p").cast("array<double>").alias("p")).repartition("one", "two"))
     points, losses = _rounds(points, pairs, dims, rounds, rate, patience)
     return Fit(rows.join(points, "id").select("id", F.col("v").alias("vector"), F.col("y").alias("reduced")), losses)
+
+
+def _known_fit(points: DataFrame, edges: DataFrame, rounds: int, rate: float, patience: int) -> Fit:
+    """Of points (id, v, y) whose places all can know."""
+    spark, kind = points.sparkSession, points.schema["id"].dataType.simpleString()
+    there = points.select(F.col("id").cast("long").alias("id"), *(F.col("y")[k].alias(f"y{k}") for k in range(len(points.select("y").first()[0])))).toArrow()
+    ids = there["id"].to_numpy()
+    order = np.argsort(ids)
+    ids, y = ids[order], np.column_stack([c.to_numpy()[order] for c in there.columns[1:]])
+    known = points.select(F.col("id").alias("i"))
+    once = edges.filter("i < j").join(known, "i", "left_semi").join(known.withColumnRenamed("i", "j"), "j", "left_semi")
+    links = partition.level_of(cut(once.select(F.col("i").alias("first_id"), F.col("j").alias("second_id"), F.col("p").alias("weight"))), ids, np.ones(len(ids)))
+    y, losses = _known_rounds(spark, y, links, rounds, rate, patience)
+    found = spark.createDataFrame(pa.table({"id": ids, **{f"y{k}": y[:, k] for k in range(y.shape[1])}}))
+    reduced = found.select(F.col("id").cast(kind), F.array(*(f"y{k}" for k in range(y.shape[1]))).alias("reduced"))
+    return Fit(points.select("id", F.col("v").alias("vector")).join(reduced, "id"), losses)

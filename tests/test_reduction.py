@@ -119,3 +119,35 @@ def test_sums_of_two_blocks_are_made_at_once():
         assert np.allclose(theirs[:, 3 * k : 3 * k + 3], -(force[..., None] * apart).sum(0), rtol=1e-9, atol=1e-12)
     assert np.isclose(share, (slope * kernel).sum())
     assert np.isclose(loss, -((p + least) * np.log(q) + (1 - p - least) * np.log(1 - q + least)).sum())
+
+
+@pytest.mark.parametrize("d", [3, 2])
+def test_sums_through_the_grid_leave_out_no_pair(spark, monkeypatch, d):
+    """All pairs' sums by the grid, in parts too, equal those by pairs."""
+    y = np.random.default_rng(5).normal(size=(1500, d)) * 0.2
+    monkeypatch.setattr(reduction, "ALONE", 1000)
+    grid, plain = reduction._Points(spark), reduction._Points(spark)
+    total = grid.look(y)
+    monkeypatch.setattr(reduction, "FEW_POINTS", 1 << 20)
+    assert grid.grid is not None and plain.look(y) == pytest.approx(total, rel=1e-12) and plain.grid is None
+    assert total == pytest.approx(reduction._kernel(y, y, True, reduction.LEAST).sum(), rel=1e-12)
+    (mine, share, loss), (want, want_share, want_loss) = grid.sums(total), plain.sums(total)
+    assert np.abs(mine - want).max() < 1e-10 * np.abs(want).max()
+    assert share == pytest.approx(want_share, rel=1e-10) and loss == pytest.approx(want_loss, rel=1e-10)
+    none = np.zeros(0, int)
+    mine, _, share, loss = reduction.both_sums(y, y, none, none, np.zeros(0), True, total)
+    assert want == pytest.approx(mine, abs=1e-9) and (want_share, want_loss) == pytest.approx((share, loss), rel=1e-9)
+
+
+def test_either_way_gives_the_same_rounds(spark, monkeypatch):
+    frame = frame_of(spark, made(90))
+    near = graph.nearest_of_all(frame, "i", "v", 7)
+    low = lambda fit: np.array([r["reduced"] for r in fit.model.orderBy("id").collect()])
+    blocks = monkeypatch.context
+    with blocks() as m:
+        m.setattr(reduction, "MOST_POINTS", 0)
+        want = reduction.fitted(frame, near, "i", "v", rounds=3, rate=0.5, block=16)
+    for few in (1024, 10):
+        monkeypatch.setattr(reduction, "FEW_POINTS", few)
+        fit = reduction.fitted(frame, near, "i", "v", rounds=3, rate=0.5)
+        assert low(fit) == pytest.approx(low(want), abs=1e-9) and fit.losses == pytest.approx(want.losses, rel=1e-10)
