@@ -157,7 +157,7 @@ def g9_ontology_run(spark, sf_dir):
 
 
 def _fit(spark, sf_dir):
-    return reduction.fitted(table(spark, sf_dir, "embeddings"), kept_vectors(spark, sf_dir).nearest_of_all(45), "vec_id", "embedding", rounds=10)
+    return reduction.fitted(table(spark, sf_dir, "embeddings"), kept_vectors(spark, sf_dir).nearest_of_all(45), "vec_id", "embedding")
 
 
 @query()

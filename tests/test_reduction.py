@@ -151,3 +151,15 @@ def test_either_way_gives_the_same_rounds(spark, monkeypatch):
         monkeypatch.setattr(reduction, "FEW_POINTS", few)
         fit = reduction.fitted(frame, near, "i", "v", rounds=3, rate=0.5)
         assert low(fit) == pytest.approx(low(want), abs=1e-9) and fit.losses == pytest.approx(want.losses, rel=1e-10)
+
+
+def test_the_query_goes_on_for_all_rounds(spark, monkeypatch):
+    """No parameter shortens the fit."""
+    from kelpie.plans import knowledge_queries
+
+    given = {}
+    monkeypatch.setattr(knowledge_queries, "table", lambda *_: None)
+    monkeypatch.setattr(knowledge_queries, "kept_vectors", lambda *_: type("Index", (), {"nearest_of_all": lambda self, k: k})())
+    monkeypatch.setattr(reduction, "fitted", lambda *a, **k: given.update(k) or a)
+    assert knowledge_queries._fit(spark, "")[1] == 45
+    assert not {"rounds", "rate", "patience"} & given.keys() and reduction.ROUNDS == 150
