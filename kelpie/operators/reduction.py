@@ -122,22 +122,22 @@ def _kernel(y: np.ndarray, z: np.ndarray, same: bool, least: float) -> np.ndarra
 
 
 def _of_kernel(kernel: np.ndarray, total: float, least: float = LEAST) -> tuple[np.ndarray, np.ndarray]:
-    """The slope and the loss of pairs without affinity, by their kernel."""
-    q = np.clip(kernel / total + least, least, 1 - least)
-    rest = 1 + least - q
-    return (1 - least) / rest - least / q, -(least * np.log(q) + (1 - least) * np.log(rest))
+    """The slope of pairs without affinity, by their kernel, and their loss above that of pairs far apart."""
+    x = np.minimum(kernel / total, 1 - 2 * least)
+    over = x / least
+    return over / (1 + over) + (x - least) / (1 - x), -least * np.log1p(over) - (1 - least) * np.log1p(-x)
 
 
-def _edge_sums(row: partition.Row, y: np.ndarray, total: float) -> tuple[np.ndarray, np.ndarray, float, float]:
-    """Nodes of a row of links and what their affinities add to `both_sums`: the first sums of each, the share and the loss."""
+def _edge_sums(row: partition.Row, y: np.ndarray, total: float) -> tuple[np.ndarray, np.ndarray, float, float, float]:
+    """Nodes of a row of links and what their affinities add to `both_sums`: the first sums of each, the share, the loss above that of links
+    far apart, and the affinities' sum."""
     node, other, a = row.ends()
     apart = y[node] - y[other]
     kernel = 1 / (1 + (apart * apart).sum(1) + LEAST)
-    q = np.clip(kernel / total + LEAST, LEAST, 1 - LEAST)
-    rest = 1 + LEAST - q
-    slope = -a * (1 / q + 1 / rest)
+    x = np.minimum(kernel / total, 1 - 2 * LEAST)
+    slope = -a * (1 / (x + LEAST) + 1 / (1 - x))
     first = np.append(0, row.upto[:-1])
-    return row.node, np.add.reduceat((slope * kernel * kernel)[:, None] * apart, first, axis=0), float(slope @ kernel), float(-(a * (np.log(q) - np.log(rest))).sum())
+    return row.node, np.add.reduceat((slope * kernel * kernel)[:, None] * apart, first, axis=0), float(slope @ kernel), float(-(a @ (np.log1p(x / LEAST) - np.log1p(-x)))), float(a.sum())
 
 
 def _weights(t: np.ndarray) -> np.ndarray:
@@ -238,12 +238,13 @@ class _Points:
         return float(power.sum() + twice) / self.whole**3
 
     def sums(self, total: float) -> tuple[np.ndarray, float, float]:
-        """`both_sums` of all points against all."""
+        """`both_sums` of all points against all, the loss above that of points far apart."""
         n, d = self.y.shape
         if self.grid is None:
             none = np.zeros(0, int)
             said = self.each(lambda some, all_: both_sums(some, all_, none, none, np.zeros(0), False, total), self.y, self.y)
             share, loss = (sum(s[k] for s in said) for k in (2, 3))
+            loss += n * n * LEAST * np.log(LEAST)
             mine = np.concatenate([s[0] for s in said])
         else:
             slope, losses = _of_kernel(self.kernel, total)
@@ -253,8 +254,8 @@ class _Points:
             fields = np.stack([np.fft.irfftn(x * self.grid, (self.whole,) * 3, (0, 1, 2))[half, half, half] for x in spectra])
             mine = np.zeros((n, 2 * d))
             mine[self.order] = np.concatenate(self.each(_taken, self.sorted, self.low, fields))
-        slope, losses = _of_kernel(np.array([1 / (1 + LEAST), 0.0]), total)
-        return mine, float(share - n * slope[0] / (1 + LEAST)), float(loss + n * (losses[1] - losses[0]))  # each with itself counts as far away
+        slope, losses = _of_kernel(np.array(1 / (1 + LEAST)), total)
+        return mine, float(share - n * slope / (1 + LEAST)), float(loss - n * losses)  # each with itself counts as far apart
 
 
 def _whole(least: int) -> int:
@@ -271,16 +272,18 @@ def _whole(least: int) -> int:
 
 
 def _known_rounds(spark: SparkSession, y: np.ndarray, edges: partition.Level, rounds: int, rate: float, patience: int) -> tuple[np.ndarray, list[float]]:
-    """Places after the rounds, and the losses."""
+    """Places after the rounds, and the losses. What a round gains is far less than the loss of many points, so what doesn't change is added
+    only to tell it."""
     points, d = _Points(spark), y.shape[1]
     best, stalled, losses = float("inf"), 0, []
     for _ in range(rounds):
         total = max(points.look(y), LEAST)
         mine, share, loss = points.sums(total)
-        for node, more, more_share, more_loss in edges.each(_edge_sums, y, total):
+        affinity = 0.0
+        for node, more, more_share, more_loss, sum_ in edges.each(_edge_sums, y, total):
             mine[node, :d] += more
-            share, loss = share + more_share, loss + more_loss
-        losses.append(loss)
+            share, loss, affinity = share + more_share, loss + more_loss, affinity + sum_
+        losses.append(float(loss - (len(y) ** 2 * LEAST + affinity) * np.log(LEAST)))
         best, stalled = (loss, 0) if loss < best else (best, stalled + 1)
         y = y + 4 * rate * (mine[:, :d] / total - share / total**2 * mine[:, d:])
         if stalled >= patience:
